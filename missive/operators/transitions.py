@@ -155,8 +155,9 @@ def outcome_rules(status: Column, retry_count: Column, external_id: Column,
     new_count = F.when(retry_more | to_perm, retry_count + 1).otherwise(retry_count)
     new_next = (F.when(lim, at + F.expr(RATE_LIMIT_DELAY))
                 .when(retry_more, at + backoff(retry_count))
-                .when(to_perm | ok, F.lit(None).cast("timestamp_ntz")).otherwise(next_retry_at))
-    new_ext = F.when(ok & (message_id != ""), message_id).otherwise(external_id)
+                .when(to_perm, F.lit(None).cast("timestamp_ntz")).otherwise(next_retry_at))
+    # delivered writes the webhook's message id, or null when it sent none
+    new_ext = F.when(ok, F.when(message_id != "", message_id)).otherwise(external_id)
     new_upd = F.when(proc, at).otherwise(updated_at)
     return {"status": new_status, "retry_count": new_count.cast("int"),
             "next_retry_at": new_next, "external_id": new_ext, "updated_at": new_upd,
@@ -164,7 +165,7 @@ def outcome_rules(status: Column, retry_count: Column, external_id: Column,
 
 
 def apply_outcomes(snapshot: DataFrame, attempts: DataFrame,
-                   max_retries: int = MAX_RETRIES) -> DataFrame:
+                   max_retries: int = MAX_RETRIES, keep: tuple[str, ...] = ()) -> DataFrame:
     """J7 + M4/M6/M7: latest outcome per id joined to the snapshot, applied only when
     the row is processing.  Adds ``dlq`` (the permanent failures to publish)."""
     o = latest_outcome(attempts).select(
@@ -175,7 +176,7 @@ def apply_outcomes(snapshot: DataFrame, attempts: DataFrame,
                       F.col("next_retry_at"), F.col("updated_at"), F.col("_outcome"),
                       F.col("_mid"), F.col("_at"), max_retries)
     return j.select(*[r[c].alias(c) if c in r else F.col(c) for c in SNAPSHOT_COLS],
-                    r["dlq"].alias("dlq"))
+                    r["dlq"].alias("dlq"), *keep)
 
 
 def apply_rate_limited(snapshot: DataFrame, refusals: DataFrame) -> DataFrame:

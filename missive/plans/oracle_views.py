@@ -49,7 +49,7 @@ FROM request_json WHERE body <> '' AND seq % 31 <> 0 GROUP BY batch_no"""
 VIEWS["notifications"] = """
 SELECT '00000000-0000-4000-8000-' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS id,
   '10000000-0000-4000-8000-' || lpad(CAST(o_custkey AS VARCHAR), 12, '0') AS batch_id,
-  'k-' || CAST(o_orderkey AS VARCHAR) AS idempotency_key,
+  'k-' || CAST(o_orderkey * 3 AS VARCHAR) AS idempotency_key,
   'user_' || CAST(o_custkey AS VARCHAR) || '@example.com' AS recipient,
   CASE o_orderkey % 3 WHEN 0 THEN 'sms' WHEN 1 THEN 'email' ELSE 'push' END AS channel,
   'order ' || CAST(o_orderkey AS VARCHAR) AS content,
@@ -164,3 +164,7 @@ _DEPS["outbox"] = ["notifications"]
 def rfc3339(expr: str) -> str:
     return (f"(strftime({expr}, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us({expr}) % 1000000 = 0 THEN '' "
             f"ELSE '.' || rtrim(lpad(CAST(epoch_us({expr}) % 1000000 AS VARCHAR), 6, '0'), '0') END || 'Z')")
+
+VIEWS["cancel_requests"] = """
+SELECT event_id AS req_id, '00000000-0000-4000-8000-' || lpad(CAST((event_id % 9000) * 2 AS VARCHAR), 12, '0') AS id, ts
+FROM events"""

@@ -1 +1,126 @@
-"""Queries: transitions."""
+"""Snapshot transition queries (M1-M9)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from missive.operators import transitions as M
+from missive.plans.joins import ADMITTED_SQL, OUTCOME_SQL, admitted
+from missive.plans.registry import query
+from missive.sources import derived as D
+
+AS_OF_SQL = "TIMESTAMP '1998-06-01 00:00:00'"
+
+
+@query("apply_create", f"""SELECT '30000000-0000-4000-8000-' || lpad(CAST(seq AS VARCHAR), 12, '0') AS id,
+  idempotency_key, recipient, channel, content, priority, 'pending' AS status, 0 AS retry_count,
+  arrival_ts AS created_at FROM {ADMITTED_SQL}""", ("requests", "notifications"))
+def apply_create(spark, sf):
+    rows, _outbox = M.apply_create(admitted(spark, sf))
+    return rows.select("id", "idempotency_key", "recipient", "channel", "content", "priority",
+                       "status", "retry_count", "created_at")
+
+
+_LOCK_MSGS = """(SELECT id, attempt_no, attempt_ts, http_status, message_id, latency_s,
+  row_number() OVER (PARTITION BY id ORDER BY attempt_no, attempt_ts, http_status, message_id, latency_s) = 1 AS first
+  FROM attempts)"""
+
+
+@query("apply_lock", f"""SELECT m.id, attempt_no, coalesce(first AND (n.status = 'pending' OR
+  (n.status = 'failed_retrying' AND n.next_retry_at <= {AS_OF_SQL})), false) AS taken, n.id IS NULL AS missing
+FROM {_LOCK_MSGS} m LEFT JOIN notifications n ON n.id = m.id""", ("notifications", "attempts"))
+def apply_lock(spark, sf):
+    a = D.attempts(spark, sf)
+    order = F.struct("attempt_no", "attempt_ts", "http_status", "message_id", "latency_s")
+    _new, verdict = M.apply_lock(D.notifications(spark, sf), a.withColumn("_o", order), D.AS_OF, "_o")
+    return verdict.select("id", F.col("_o.attempt_no").alias("attempt_no"), "taken", "missing")
+
+
+@query("apply_lock_snapshot", f"""SELECT id, CASE WHEN (status = 'pending' OR (status = 'failed_retrying'
+  AND next_retry_at <= {AS_OF_SQL})) AND id IN (SELECT id FROM attempts) THEN 'processing' ELSE status END AS status
+FROM notifications""", ("notifications", "attempts"))
+def apply_lock_snapshot(spark, sf):
+    new, _ = M.apply_lock(D.notifications(spark, sf), D.attempts(spark, sf), D.AS_OF, "attempt_no")
+    return new.select("id", "status")
+
+
+@query("apply_cancel", """SELECT req_id, r.id,
+  CASE WHEN n.status IS NULL THEN 'not_found' WHEN rn = 1 AND n.status IN ('pending', 'failed_retrying')
+       THEN 'canceled' ELSE 'refused' END AS result,
+  CASE WHEN n.status IS NULL OR (rn = 1 AND n.status IN ('pending', 'failed_retrying')) THEN ''
+       WHEN n.status IN ('pending', 'failed_retrying') THEN 'canceled' ELSE n.status END AS current_status
+FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY req_id) AS rn FROM cancel_requests) r
+LEFT JOIN notifications n ON n.id = r.id""", ("cancel_requests", "notifications"))
+def apply_cancel(spark, sf):
+    _new, verdict = M.apply_cancel(D.notifications(spark, sf), D.cancel_requests(spark, sf), D.AS_OF)
+    return verdict
+
+
+@query("apply_delivered", f"""SELECT id, status, external_id, updated_at FROM ({OUTCOME_SQL})
+  WHERE old_status = 'processing' AND status = 'delivered'""", ("notifications", "attempts"))
+def apply_delivered(spark, sf):
+    n = D.notifications(spark, sf).withColumn("old_status", F.col("status"))
+    out = M.apply_outcomes(n, D.attempts(spark, sf), keep=("old_status",))
+    return (out.where((F.col("old_status") == "processing") & (F.col("status") == "delivered"))
+               .select("id", "status", "external_id", "updated_at"))
+
+
+@query("apply_rate_limited", """SELECT n.id, CASE WHEN n.status = 'processing' AND r.at IS NOT NULL
+    THEN 'failed_retrying' ELSE n.status END AS status, n.retry_count,
+  CASE WHEN n.status = 'processing' AND r.at IS NOT NULL THEN r.at + INTERVAL 10 SECOND
+    ELSE n.next_retry_at END AS next_retry_at
+FROM notifications n LEFT JOIN (SELECT id, max(attempt_ts) AS at FROM attempts WHERE http_status = 429 GROUP BY id) r
+  ON r.id = n.id""", ("notifications", "attempts"))
+def apply_rate_limited(spark, sf):
+    ref = D.attempts(spark, sf).where(F.col("http_status") == 429).select("id", F.col("attempt_ts").alias("ts"))
+    new = M.apply_rate_limited(D.notifications(spark, sf), ref)
+    return new.select("id", "status", "retry_count", "next_retry_at")
+
+
+@query("apply_failure", f"""SELECT id, status, retry_count, next_retry_at, dlq FROM ({OUTCOME_SQL})
+  WHERE old_status = 'processing' AND status IN ('failed_retrying', 'failed_permanently')""",
+       ("notifications", "attempts"))
+def apply_failure(spark, sf):
+    n = D.notifications(spark, sf).withColumn("old_status", F.col("status"))
+    out = M.apply_outcomes(n, D.attempts(spark, sf), keep=("old_status",))
+    return (out.where((F.col("old_status") == "processing")
+                      & F.col("status").isin("failed_retrying", "failed_permanently"))
+               .select("id", "status", "retry_count", "next_retry_at", "dlq"))
+
+
+@query("apply_permanent", f"""SELECT id, status, retry_count, next_retry_at, dlq FROM ({OUTCOME_SQL.replace("< 3", "< 0").replace(">= 3", ">= 0")})
+  WHERE old_status = 'processing' AND status <> 'processing'""", ("notifications", "attempts"))
+def apply_permanent(spark, sf):
+    """M7: the failure rule with max_retries = 0 (every non-2xx answer is final)."""
+    n = D.notifications(spark, sf).withColumn("old_status", F.col("status"))
+    out = M.apply_outcomes(n, D.attempts(spark, sf), max_retries=0, keep=("old_status",))
+    return (out.where((F.col("old_status") == "processing") & (F.col("status") != "processing"))
+               .select("id", "status", "retry_count", "next_retry_at", "dlq"))
+
+
+@query("sweep_retries", f"""SELECT id, CASE WHEN due THEN 'pending' ELSE status END AS status,
+  CASE WHEN due THEN {AS_OF_SQL} ELSE updated_at END AS updated_at FROM (
+  SELECT *, coalesce(status = 'failed_retrying' AND next_retry_at <= {AS_OF_SQL}, false) AS due FROM notifications)""",
+       ("notifications",))
+def sweep_retries(spark, sf):
+    new, _out = M.sweep_retries(D.notifications(spark, sf), D.AS_OF)
+    return new.select("id", "status", "updated_at")
+
+
+@query("sweep_zombies", f"""SELECT id, CASE WHEN z AND retry_count < 3 THEN 'pending' WHEN z THEN 'failed_permanently'
+    ELSE status END AS status,
+  CAST(CASE WHEN z AND retry_count < 3 THEN retry_count + 1 ELSE retry_count END AS INT) AS retry_count,
+  CASE WHEN z THEN {AS_OF_SQL} ELSE updated_at END AS updated_at FROM (
+  SELECT *, status = 'processing' AND updated_at < {AS_OF_SQL} - INTERVAL 5 MINUTE AS z FROM notifications)""",
+       ("notifications",))
+def sweep_zombies(spark, sf):
+    new, _out = M.sweep_zombies(D.notifications(spark, sf), D.AS_OF)
+    return new.select("id", "status", "retry_count", "updated_at")
+
+
+@query("sweep_zombies_outbox", f"""SELECT 'z-' || id AS id, id AS aggregate_id, 'NotificationCreated' AS event_type
+FROM notifications WHERE status = 'processing' AND updated_at < {AS_OF_SQL} - INTERVAL 5 MINUTE AND retry_count < 3""",
+       ("notifications",))
+def sweep_zombies_outbox(spark, sf):
+    _new, out = M.sweep_zombies(D.notifications(spark, sf), D.AS_OF)
+    return out.select("id", "aggregate_id", "event_type")

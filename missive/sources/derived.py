@@ -118,7 +118,7 @@ def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(
         uuid_from(k).alias("id"),
         uuid_from(c, "1").alias("batch_id"),
-        F.concat(F.lit("k-"), s(k)).alias("idempotency_key"),
+        F.concat(F.lit("k-"), s(k * 3)).alias("idempotency_key"),
         F.concat(F.lit("user_"), s(c), F.lit("@example.com")).alias("recipient"),
         _pick(k % 3, ["sms", "email", "push"]).alias("channel"),
         F.concat(F.lit("order "), s(k)).alias("content"),
@@ -246,3 +246,10 @@ def outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
          .otherwise("sent").alias("status"),
         F.col("created_at"),
     )
+
+
+def cancel_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cancel API calls by notification id (repeats and unknown ids included)."""
+    e = read_table(spark, sf_dir, "events")
+    return e.select(F.col("event_id").alias("req_id"),
+                    uuid_from((F.col("event_id") % 9000) * 2).alias("id"), "ts")
