@@ -1 +1,149 @@
-"""Queries: metrics."""
+"""Delivery metric queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from missive.operators import ingest
+from missive.operators import joins as J
+from missive.operators import metrics as A
+from missive.operators import transitions as M
+from missive.operators.projections import classify_http, route_priority
+from missive.plans.joins import ADMITTED_SQL, OUTCOME_SQL, admitted
+from missive.plans.registry import query
+from missive.sources import derived as D
+
+AS_OF_SQL = "TIMESTAMP '1998-06-01 00:00:00'"
+
+
+def _hist_sql(src: str, labels: list[str], value: str, buckets: list[float]) -> str:
+    lab = ", ".join(labels)
+    sel = (lab + ", ") if labels else ""
+    parts = [f"SELECT {sel}'{A.le_label(b)}' AS le, count_if({value} <= {b}) AS bucket_count, "
+             f"round(sum({value}), 6) AS sum, count({value}) AS count FROM {src}"
+             + (f" GROUP BY {lab}" if labels else "") for b in buckets]
+    parts.append(f"SELECT {sel}'+Inf' AS le, count({value}) AS bucket_count, round(sum({value}), 6) AS sum, "
+                 f"count({value}) AS count FROM {src}" + (f" GROUP BY {lab}" if labels else ""))
+    return "\nUNION ALL ".join(parts)
+
+
+@query("http_requests_total", """SELECT method, route, status_code, count(*) AS value FROM api_log
+  GROUP BY ALL""", ("api_log",))
+def http_requests_total(spark, sf):
+    return A.counter(D.api_log(spark, sf), ["method", "route", "status_code"])
+
+
+@query("http_latency_hist", _hist_sql("api_log", ["method", "route"], "latency_s", A.API_LATENCY_BUCKETS),
+       ("api_log",))
+def http_latency_hist(spark, sf):
+    return A.histogram(D.api_log(spark, sf), ["method", "route"], "latency_s", A.API_LATENCY_BUCKETS)
+
+
+@query("created_by_channel", f"SELECT channel, count(*) AS value FROM {ADMITTED_SQL} GROUP BY channel",
+       ("requests", "notifications"))
+def created_by_channel(spark, sf):
+    rows, _ = M.apply_create(admitted(spark, sf))
+    return A.counter(rows, ["channel"])
+
+
+_BATCH_SIZES = """(SELECT batch_no, json_array_length(CAST(body AS JSON)) AS size FROM batch_json
+  WHERE json_array_length(CAST(body AS JSON)) BETWEEN 1 AND 1000
+    AND NOT EXISTS (SELECT 1 FROM (SELECT unnest(CAST(body AS JSON[])) AS item) WHERE
+      len(list_filter(json_keys(item), lambda k: lower(k) NOT IN ('idempotency_key', 'recipient', 'channel', 'content', 'priority'))) > 0
+      OR coalesce(json_type(item, '$.priority'), 'NULL') NOT IN ('VARCHAR', 'NULL')))"""
+
+
+@query("batch_size_hist", _hist_sql(_BATCH_SIZES, [], "size", A.BATCH_SIZE_BUCKETS), ("batch_json",))
+def batch_size_hist(spark, sf):
+    rows, _ = ingest.parse_batches(D.batch_json(spark, sf), "body", "batch_no")
+    sizes = rows.groupBy("batch_no").agg(F.count(F.lit(1)).alias("size"))
+    return A.histogram(sizes, [], "size", A.BATCH_SIZE_BUCKETS)
+
+
+@query("canceled_total", """SELECT count(*) AS value FROM (
+  SELECT r.id, row_number() OVER (PARTITION BY r.id ORDER BY req_id) AS rn, n.status
+  FROM cancel_requests r JOIN notifications n ON n.id = r.id)
+  WHERE rn = 1 AND status IN ('pending', 'failed_retrying')""", ("cancel_requests", "notifications"))
+def canceled_total(spark, sf):
+    _new, verdict = M.apply_cancel(D.notifications(spark, sf), D.cancel_requests(spark, sf), D.AS_OF)
+    return A.counter(verdict.where(F.col("result") == "canceled"), [])
+
+
+def _applied(spark, sf):
+    n = D.notifications(spark, sf).withColumn("old_status", F.col("status"))
+    return M.apply_outcomes(n, D.attempts(spark, sf), keep=("old_status",))
+
+
+@query("processed_by_status", f"""SELECT CASE status WHEN 'failed_retrying' THEN 'retrying' ELSE status END AS status,
+  channel, count(*) AS value FROM ({OUTCOME_SQL}) o JOIN (SELECT id, channel FROM notifications) c USING (id)
+  WHERE old_status = 'processing' AND status <> 'processing' GROUP BY ALL""", ("notifications", "attempts"))
+def processed_by_status(spark, sf):
+    a = _applied(spark, sf).where((F.col("old_status") == "processing") & (F.col("status") != "processing"))
+    a = a.withColumn("status", F.when(F.col("status") == "failed_retrying", "retrying").otherwise(F.col("status")))
+    return A.counter(a, ["status", "channel"])
+
+
+_ATT_CH = """(SELECT a.*, n.channel FROM attempts a JOIN notifications n ON n.id = a.id)"""
+
+
+def _attempts_ch(spark, sf):
+    n = D.notifications(spark, sf).select("id", "channel")
+    return D.attempts(spark, sf).join(n, "id")
+
+
+@query("processing_latency_hist", _hist_sql(_ATT_CH, ["channel"], "latency_s", A.PROCESSING_BUCKETS),
+       ("attempts", "notifications"))
+def processing_latency_hist(spark, sf):
+    return A.histogram(_attempts_ch(spark, sf), ["channel"], "latency_s", A.PROCESSING_BUCKETS)
+
+
+@query("webhook_latency_hist", _hist_sql(_ATT_CH.replace("n.id = a.id)", "n.id = a.id WHERE a.http_status IS NOT NULL)"),
+                                         ["channel"], "latency_s", A.WEBHOOK_BUCKETS), ("attempts", "notifications"))
+def webhook_latency_hist(spark, sf):
+    a = _attempts_ch(spark, sf).where(F.col("http_status").isNotNull())
+    return A.histogram(a, ["channel"], "latency_s", A.WEBHOOK_BUCKETS)
+
+
+@query("webhook_calls", f"""SELECT channel, CASE WHEN http_status IS NULL OR http_status >= 500 OR http_status IN (429, 408)
+  THEN 'error' ELSE 'success' END AS result, count(*) AS value FROM {_ATT_CH} GROUP BY ALL""",
+       ("attempts", "notifications"))
+def webhook_calls(spark, sf):
+    a = _attempts_ch(spark, sf)
+    res = F.when(classify_http("http_status") == "retriable", "error").otherwise("success")
+    return A.counter(a.withColumn("result", res), ["channel", "result"])
+
+
+@query("retry_total", f"""SELECT channel, count(*) AS value FROM ({OUTCOME_SQL}) o
+  JOIN (SELECT id, channel FROM notifications) c USING (id)
+  WHERE old_status = 'processing' AND status = 'failed_retrying' GROUP BY channel""", ("notifications", "attempts"))
+def retry_total(spark, sf):
+    a = _applied(spark, sf).where((F.col("old_status") == "processing") & (F.col("status") == "failed_retrying"))
+    return A.counter(a, ["channel"])
+
+
+@query("consumed_by_topic", """SELECT CASE coalesce(payload ->> '$.priority', '') WHEN 'high' THEN 'notifications.high'
+  WHEN 'low' THEN 'notifications.low' ELSE 'notifications.normal' END AS topic, count(*) AS value
+FROM outbox WHERE json_valid(payload) AND (json_type(payload) = 'NULL' OR (json_type(payload) = 'OBJECT'
+  AND coalesce(json_type(payload, '$.id'), 'NULL') IN ('VARCHAR', 'NULL'))) GROUP BY 1""", ("outbox",))
+def consumed_by_topic(spark, sf):
+    o = D.outbox(spark, sf)
+    ok = o.where(~J.poison_payload(F.col("payload")))
+    pr = F.coalesce(F.get_json_object("payload", "$.priority"), F.lit(""))
+    return A.counter(ok.withColumn("topic", route_priority(pr)), ["topic"])
+
+
+@query("dlq_total", f"SELECT count(*) AS value FROM ({OUTCOME_SQL}) WHERE dlq", ("notifications", "attempts"))
+def dlq_total(spark, sf):
+    return A.counter(_applied(spark, sf).where("dlq"), [])
+
+
+@query("zombie_recovered", f"""SELECT count(*) AS value FROM notifications WHERE status = 'processing'
+  AND updated_at < {AS_OF_SQL} - INTERVAL 5 MINUTE AND retry_count < 3""", ("notifications",))
+def zombie_recovered(spark, sf):
+    _new, out = M.sweep_zombies(D.notifications(spark, sf), D.AS_OF)
+    return A.counter(out, [])
+
+
+@query("outbox_depth", "SELECT count(*) AS value FROM outbox WHERE status = 'pending'", ("outbox",))
+def outbox_depth(spark, sf):
+    return A.counter(D.outbox(spark, sf).where(F.col("status") == "pending"), [])

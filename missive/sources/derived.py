@@ -166,6 +166,8 @@ def offset_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(eid / 9).cast("bigint").alias("offset"),
         F.col("ts").alias("tracked_at"),
         F.when(done, eid + F.floor(F.col("value"))).cast("bigint").alias("done_rank"),
+        F.when(done, F.col("ts") + F.make_dt_interval(secs=F.floor(F.col("value")).cast("int")))
+         .alias("done_at"),
     )
 
 
