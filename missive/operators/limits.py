@@ -22,3 +22,96 @@ def fixed_window_rank(df: DataFrame, key: str, ts: str, order: str) -> DataFrame
 def limit_fixed(df: DataFrame, key: str, ts: str, order: str, limit: int) -> DataFrame:
     """L1: admitted iff the request is among the first ``limit`` of its key-second."""
     return fixed_window_rank(df, key, ts, order).withColumn("allowed", F.col("n") <= limit)
+
+
+# --------------------------------------------------------------------- L2 sliding log
+def limit_sliding(df: DataFrame, key: str, ts: str, order: str, limit: int,
+                  window_ms: int) -> DataFrame:
+    """L2: admit iff fewer than ``limit`` *admitted* requests lie in (now - window, now].
+
+    Refused requests are not recorded, so a plain range count is wrong; the decision is
+    a fold.  Times are floored to milliseconds; an idle gap >= window empties the log,
+    so each key's timeline is cut there and the pieces fold in parallel.
+    """
+    from missive.operators.fold import _extend, segment_by_gap
+
+    d = df.withColumn("_ms", F.expr(f"unix_millis(cast({ts} as timestamp))")) \
+          .withColumn("_us", F.col("_ms") * 1000)
+    seg = segment_by_gap(d, key, "_us", ["_us", order], (F.col("_us") - F.col("_prev")) >= window_ms * 1000)
+    schema = _extend(seg.schema, [("allowed", "boolean")])
+
+    def fold(pdf):
+        import collections
+        pdf = pdf.sort_values(["_ms", order], kind="stable")
+        log: collections.deque = collections.deque()
+        out = []
+        for ms in pdf["_ms"].to_numpy():
+            while log and log[0] <= ms - window_ms:
+                log.popleft()
+            if len(log) < limit:
+                log.append(ms)
+                out.append(True)
+            else:
+                out.append(False)
+        pdf["allowed"] = out
+        return pdf
+
+    res = seg.groupBy(key, "_seg").applyInPandas(fold, schema)
+    return res.drop("_ms", "_us", "_seg")
+
+
+# -------------------------------------------------------------------- L3 token bucket
+def seconds_double(ts: str):
+    """Seconds as the limiter's clock gives them: whole seconds + micros / 1e6 (double)."""
+    us = f"unix_micros(cast({ts} as timestamp))"
+    return F.expr(f"cast(floor({us} / 1000000) as double) + cast(pmod({us}, 1000000) as double) / 1000000")
+
+
+def limit_token_bucket(df: DataFrame, key: str, ts: str, order: str, weight: str,
+                       capacity: float, rate: float, fail_open: bool | None = None) -> DataFrame:
+    """L3: full bucket at first sight, refill elapsed*rate up to capacity, admit iff
+    tokens >= weight (a refusal still stores the refill).
+
+    An idle gap with gap*rate >= capacity refills the bucket completely, which is the
+    same state as a new key: each key's timeline is cut there.
+    """
+    from missive.operators.fold import _extend, segment_by_gap
+
+    d = (df.withColumn("_now", seconds_double(ts))
+           .withColumn("_us", F.expr(f"unix_micros(cast({ts} as timestamp))")))
+    gap = F.col("_now") - (F.floor(F.col("_prev") / 1000000).cast("double")
+                           + F.pmod(F.col("_prev"), F.lit(1000000)).cast("double") / 1000000)
+    seg = segment_by_gap(d, key, "_us", ["_us", order], gap * rate >= capacity)
+    schema = _extend(seg.schema, [("allowed", "boolean"), ("tokens_left", "double")])
+
+    def fold(pdf):
+        pdf = pdf.sort_values(["_us", order], kind="stable")
+        tokens = None
+        last = 0.0
+        allowed, left = [], []
+        for now, w in zip(pdf["_now"].to_numpy(), pdf[weight].to_numpy()):
+            if tokens is None:
+                tokens, last = float(capacity), now
+            else:
+                tokens = min(float(capacity), tokens + max(0.0, now - last) * rate)
+                last = now
+            if tokens >= w:
+                tokens -= w
+                allowed.append(True)
+            else:
+                allowed.append(False)
+            left.append(tokens)
+        pdf["allowed"] = allowed
+        pdf["tokens_left"] = left
+        return pdf
+
+    res = seg.groupBy(key, "_seg").applyInPandas(fold, schema).drop("_now", "_us", "_seg")
+    if fail_open is not None:
+        res = res.withColumn("allowed", fail_policy(F.col("allowed"), fail_open))
+    return res
+
+
+def fail_policy(verdict, fail_open: bool):
+    """A missing limiter verdict (store unavailable) lets the request through on the
+    API (fail open) and counts as refused in the worker (fail closed)."""
+    return F.coalesce(verdict, F.lit(fail_open))

@@ -1 +1,189 @@
-"""Queries: limits."""
+"""Rate-limit and breaker queries.
+
+The oracles replay the same rules in DuckDB with a recursive CTE per key (one row per
+step), an independent statement of the fold.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from missive.operators import breaker as B
+from missive.operators import limits as L
+from missive.operators import metrics as A
+from missive.plans.registry import query
+from missive.sources import derived as D
+
+# Parameters of the fixture runs (see FIXTURES.md: limiter inputs, calls).
+FIXED_LIMIT = 1
+SLIDING_LIMIT, SLIDING_WINDOW_MS = 2, 15 * 60 * 1000
+BUCKET_CAPACITY, BUCKET_RATE = 10, 1 / 600
+BREAKER = dict(max_failures=2, window_s=2 * 3600, open_s=3600)
+
+
+@query("limit_fixed", """SELECT req_id, key, n <= 1 AS allowed FROM (
+  SELECT req_id, key, row_number() OVER (PARTITION BY key, epoch_us(ts) // 1000000 ORDER BY ts, req_id) AS n
+  FROM limiter_requests)""", ("limiter_requests",))
+def limit_fixed(spark, sf):
+    return L.limit_fixed(D.limiter_requests(spark, sf), "key", "ts", "req_id", FIXED_LIMIT) \
+            .select("req_id", "key", "allowed")
+
+
+_SLIDING_SQL = f"""WITH RECURSIVE src AS (
+  SELECT key, req_id, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY key ORDER BY epoch_ms(ts), req_id) AS rn
+  FROM limiter_requests),
+r AS (
+  SELECT key, rn, req_id, true AS allowed, [ms] AS log FROM src WHERE rn = 1
+  UNION ALL
+  SELECT key, rn, req_id, len(kept) < {SLIDING_LIMIT} AS allowed,
+    CASE WHEN len(kept) < {SLIDING_LIMIT} THEN list_append(kept, ms) ELSE kept END AS log
+  FROM (SELECT s.key, s.rn, s.req_id, s.ms, list_filter(r.log, lambda x: x > s.ms - {SLIDING_WINDOW_MS}) AS kept
+        FROM r JOIN src s ON s.key = r.key AND s.rn = r.rn + 1))
+SELECT req_id, key, allowed FROM r"""
+
+
+@query("limit_sliding", _SLIDING_SQL, ("limiter_requests",))
+def limit_sliding(spark, sf):
+    return L.limit_sliding(D.limiter_requests(spark, sf), "key", "ts", "req_id", SLIDING_LIMIT,
+                           SLIDING_WINDOW_MS).select("req_id", "key", "allowed")
+
+
+_NOW = "(CAST(epoch_us(ts) // 1000000 AS DOUBLE) + CAST(epoch_us(ts) % 1000000 AS DOUBLE) / 1000000)"
+
+
+def _bucket_sql(src: str, cap, rate) -> str:
+    return f"""WITH RECURSIVE src AS (
+  SELECT key, req_id, weight, {_NOW} AS now,
+    row_number() OVER (PARTITION BY key ORDER BY epoch_us(ts), req_id) AS rn FROM {src}),
+r AS (
+  SELECT key, rn, req_id, CAST({cap} AS DOUBLE) >= weight AS allowed,
+    CASE WHEN CAST({cap} AS DOUBLE) >= weight THEN CAST({cap} AS DOUBLE) - weight
+         ELSE CAST({cap} AS DOUBLE) END AS tokens, now AS last FROM src WHERE rn = 1
+  UNION ALL
+  SELECT key, rn, req_id, refilled >= weight,
+    CASE WHEN refilled >= weight THEN refilled - weight ELSE refilled END, now
+  FROM (SELECT s.key, s.rn, s.req_id, s.weight, s.now,
+          least(CAST({cap} AS DOUBLE), r.tokens + greatest(0.0, s.now - r.last) * {rate!r}) AS refilled
+        FROM r JOIN src s ON s.key = r.key AND s.rn = r.rn + 1))
+SELECT req_id, key, allowed, round(tokens, 9) AS tokens_left FROM r"""
+
+
+@query("limit_token_bucket", _bucket_sql("limiter_requests", BUCKET_CAPACITY, BUCKET_RATE), ("limiter_requests",))
+def limit_token_bucket(spark, sf):
+    r = L.limit_token_bucket(D.limiter_requests(spark, sf), "key", "ts", "req_id", "weight",
+                             BUCKET_CAPACITY, BUCKET_RATE)
+    return r.select("req_id", "key", "allowed", F.round("tokens_left", 9).alias("tokens_left"))
+
+
+_BATCH_WEIGHTS = """(SELECT batch_no AS req_id, 'api_tokens:10.0.0.1' AS key, arrival_ts AS ts,
+  CAST(json_array_length(CAST(body AS JSON)) AS INT) AS weight FROM batch_json)"""
+
+
+@query("limit_weighted_batches", _bucket_sql(_BATCH_WEIGHTS, 1000, 0.5), ("batch_json",))
+def limit_weighted_batches(spark, sf):
+    """L4: the token bucket spends a batch's size before the batch is validated, so
+    refused-later batches still cost tokens (weight = item count of the raw body)."""
+    b = D.batch_json(spark, sf)
+    w = F.coalesce(F.size(F.try_variant_get(F.try_parse_json("body"), "$", "array<variant>")), F.lit(0))
+    reqs = b.select(F.col("batch_no").alias("req_id"), F.lit("api_tokens:10.0.0.1").alias("key"),
+                    F.col("arrival_ts").alias("ts"), w.cast("int").alias("weight"))
+    r = L.limit_token_bucket(reqs, "key", "ts", "req_id", "weight", 1000, 0.5)
+    return r.select("req_id", "key", "allowed", F.round("tokens_left", 9).alias("tokens_left"))
+
+
+@query("fail_policy", """SELECT req_id, key, CASE WHEN req_id % 10 = 0 THEN true ELSE allowed END AS api_allowed,
+  CASE WHEN req_id % 10 = 0 THEN false ELSE allowed END AS worker_allowed FROM (
+  SELECT req_id, key, n <= 1 AS allowed FROM (
+  SELECT req_id, key, row_number() OVER (PARTITION BY key, epoch_us(ts) // 1000000 ORDER BY ts, req_id) AS n
+  FROM limiter_requests))""", ("limiter_requests",))
+def fail_policy(spark, sf):
+    """Every tenth verdict is lost (store down): the API lets it pass, the worker not."""
+    r = L.limit_fixed(D.limiter_requests(spark, sf), "key", "ts", "req_id", FIXED_LIMIT)
+    v = F.when(F.col("req_id") % 10 != 0, F.col("allowed"))
+    return r.select("req_id", "key", L.fail_policy(v, True).alias("api_allowed"),
+                    L.fail_policy(v, False).alias("worker_allowed"))
+
+
+def _replay(spark, sf):
+    return B.breaker_replay(D.calls(spark, sf), **BREAKER)
+
+
+_US = "epoch_us(ts)"
+_TRIPS = f"(CASE WHEN fu IS NOT NULL AND t < fu THEN fails + 1 ELSE 1 END) >= {BREAKER['max_failures']}"
+_NEXT_FAILS = "(CASE WHEN fu IS NOT NULL AND t < fu THEN fails + 1 ELSE 1 END)"
+_BREAKER_SQL = f"""WITH RECURSIVE src AS (
+  SELECT name, call_id, ts, ok, {_US} AS t, row_number() OVER (PARTITION BY name ORDER BY {_US}, call_id) AS rn FROM calls),
+r AS (
+  SELECT name, 0 AS rn, CAST(NULL AS BIGINT) AS st, CAST(NULL AS BIGINT) AS hf, CAST(NULL AS BIGINT) AS pr,
+    0 AS fails, CAST(NULL AS BIGINT) AS fu, CAST(NULL AS BIGINT) AS call_id, CAST(NULL AS VARCHAR) AS verdict,
+    false AS tripped FROM (SELECT DISTINCT name FROM src)
+  UNION ALL
+  SELECT name, rn,
+    CASE WHEN v <> 'open' AND ok THEN NULL
+         WHEN v = 'probe' THEN t + {BREAKER['open_s']} * CAST(1000000 AS BIGINT)
+         WHEN v = 'closed' AND {_TRIPS} THEN t + {BREAKER['open_s']} * CAST(1000000 AS BIGINT) ELSE st END,
+    CASE WHEN v <> 'open' AND ok THEN NULL
+         WHEN v = 'probe' THEN t + {BREAKER['open_s'] + 5} * CAST(1000000 AS BIGINT)
+         WHEN v = 'closed' AND {_TRIPS} THEN t + {BREAKER['open_s'] + 5} * CAST(1000000 AS BIGINT) ELSE hf END,
+    CASE WHEN v <> 'open' AND ok THEN NULL WHEN v = 'probe' AND NOT ok THEN NULL
+         WHEN v = 'probe' THEN t + CAST(10000000 AS BIGINT) ELSE pr END,
+    CASE WHEN v <> 'open' AND ok THEN 0 WHEN v = 'closed' THEN CASE WHEN {_TRIPS} THEN 0 ELSE {_NEXT_FAILS} END
+         ELSE fails END,
+    CASE WHEN v <> 'open' AND ok THEN NULL WHEN v = 'closed' THEN
+           CASE WHEN {_TRIPS} THEN NULL WHEN fu IS NOT NULL AND t < fu THEN fu ELSE t + {BREAKER['window_s']} * CAST(1000000 AS BIGINT) END
+         ELSE fu END,
+    call_id, v, NOT ok AND (v = 'probe' OR (v = 'closed' AND {_TRIPS}))
+  FROM (SELECT *,
+      CASE WHEN st IS NOT NULL AND t < st THEN 'open'
+           WHEN hf IS NOT NULL AND t < hf THEN CASE WHEN pr IS NOT NULL AND t < pr THEN 'open' ELSE 'probe' END
+           ELSE 'closed' END AS v
+    FROM (SELECT s.name, s.call_id, s.ts, s.ok, s.t, s.rn, r.st, r.hf, r.pr, r.fails, r.fu
+          FROM r JOIN src s ON s.name = r.name AND s.rn = r.rn + 1)))
+SELECT r.call_id, r.name, r.verdict, r.verdict <> 'open' AS executed, r.tripped FROM r WHERE rn > 0"""
+
+
+@query("breaker_replay", _BREAKER_SQL, ("calls",))
+def breaker_replay(spark, sf):
+    return _replay(spark, sf).select("call_id", "name", "verdict", "executed", "tripped")
+
+
+@query("breaker_intervals", _BREAKER_SQL.replace(
+    "SELECT r.call_id, r.name, r.verdict, r.verdict <> 'open' AS executed, r.tripped FROM r WHERE rn > 0",
+    f"""SELECT r.name, s.ts AS opened_at, s.ts + INTERVAL {BREAKER['open_s']} SECOND AS closes_at
+    FROM r JOIN src s ON s.call_id = r.call_id WHERE r.rn > 0 AND r.tripped"""), ("calls",))
+def breaker_intervals(spark, sf):
+    return B.breaker_intervals(_replay(spark, sf), open_s=BREAKER["open_s"])
+
+
+@query("breaker_trips", _BREAKER_SQL.replace(
+    "SELECT r.call_id, r.name, r.verdict, r.verdict <> 'open' AS executed, r.tripped FROM r WHERE rn > 0",
+    "SELECT count(*) AS value FROM r WHERE rn > 0 AND tripped"), ("calls",))
+def breaker_trips(spark, sf):
+    """closed/half-open -> open edges."""
+    return A.counter(_replay(spark, sf).where("tripped"), [])
+
+
+@query("breaker_state", _BREAKER_SQL.replace(
+    "SELECT r.call_id, r.name, r.verdict, r.verdict <> 'open' AS executed, r.tripped FROM r WHERE rn > 0",
+    """SELECT name, CAST(CASE WHEN arg_max(verdict, rn) = 'open' OR arg_max(tripped, rn) THEN 1 ELSE 0 END AS INT) AS value
+    FROM r WHERE rn > 0 GROUP BY name"""), ("calls",))
+def breaker_state(spark, sf):
+    """Gauge per breaker after its last call (1 = open, 0 = closed)."""
+    r = _replay(spark, sf)
+    last = F.max_by(F.struct("verdict", "tripped"), F.struct("ts", "call_id"))
+    g = r.groupBy("name").agg(last.alias("l"))
+    return g.select("name", F.when((F.col("l.verdict") == "open") | F.col("l.tripped"), 1).otherwise(0)
+                    .cast("int").alias("value"))
+
+
+@query("breaker_asof", _BREAKER_SQL.replace(
+    "SELECT r.call_id, r.name, r.verdict, r.verdict <> 'open' AS executed, r.tripped FROM r WHERE rn > 0",
+    f"""SELECT m.msg_id, m.name, EXISTS (SELECT 1 FROM r JOIN src s ON s.call_id = r.call_id
+      WHERE r.rn > 0 AND r.tripped AND s.name = m.name AND s.ts <= m.ts AND m.ts < s.ts + INTERVAL {BREAKER['open_s']} SECOND)
+      AS breaker_open
+    FROM (SELECT msg_id, 'hook_' || CAST(id % 4 AS VARCHAR) AS name, ts FROM messages) m"""), ("calls", "messages"))
+def breaker_asof(spark, sf):
+    trips = _replay(spark, sf).where("tripped").select("name", "ts")
+    fetches = D.messages(spark, sf).select("msg_id", F.concat(F.lit("hook_"), (F.col("id") % 4).cast("string"))
+                                           .alias("name"), "ts")
+    return B.breaker_open_at(fetches, trips, open_s=BREAKER["open_s"]).select("msg_id", "name", "breaker_open")
