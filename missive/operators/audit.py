@@ -10,3 +10,66 @@ def with_previous(log: DataFrame, key: str = "id", seq: str = "seq", status: str
     """Previous status per id (groups are one notification's history: small)."""
     w = Window.partitionBy(key).orderBy(seq)
     return log.withColumn("prev_status", F.lag(status).over(w))
+
+
+# Statuses and the legal moves of the lifecycle table.
+KNOWN_STATUSES = ("pending", "processing", "delivered", "failed_retrying",
+                  "failed_permanently", "canceled")
+TERMINAL = ("delivered", "failed_permanently", "canceled")
+LEGAL_MOVES = [
+    ("pending", "processing"), ("failed_retrying", "processing"),
+    ("pending", "canceled"), ("failed_retrying", "canceled"),
+    ("processing", "delivered"), ("processing", "failed_retrying"),
+    ("processing", "failed_permanently"), ("failed_retrying", "pending"),
+    ("processing", "pending"),
+]
+
+
+def audit_types(log: DataFrame, max_retries: int = 3) -> DataFrame:
+    """Unknown status or retry_count outside 0..max."""
+    bad_status = ~F.col("status").isin(*KNOWN_STATUSES)
+    bad_count = (F.col("retry_count") < 0) | (F.col("retry_count") > max_retries)
+    return log.where(bad_status | bad_count).select(
+        "id", "seq", "status", "retry_count",
+        F.when(bad_status, "unknown_status").otherwise("retry_count_out_of_range").alias("reason"))
+
+
+def audit_terminal_stable(log: DataFrame, terminal: str) -> DataFrame:
+    """A row that leaves ``terminal`` (W5 + filter)."""
+    p = with_previous(log)
+    return p.where((F.col("prev_status") == terminal) & (F.col("status") != terminal)) \
+            .select("id", "seq", "prev_status", "status")
+
+
+def audit_legal_moves(log: DataFrame) -> DataFrame:
+    """T4: moves (prev -> status) missing from the legal table; a first row must be
+    pending; repeating a status is not a move.  The pair table is fixed (9 rows), so it
+    is broadcast."""
+    spark = log.sparkSession
+    legal = spark.createDataFrame(LEGAL_MOVES, "prev_status string, status string")
+    p = with_previous(log)
+    moves = p.where(F.col("prev_status").isNull() | (F.col("prev_status") != F.col("status")))
+    first_bad = moves.where(F.col("prev_status").isNull() & (F.col("status") != "pending"))
+    later = moves.where(F.col("prev_status").isNotNull())
+    bad = later.join(F.broadcast(legal), ["prev_status", "status"], "left_anti")
+    cols = ["id", "seq", "prev_status", "status"]
+    return first_bad.select(*cols).unionByName(bad.select(*cols))
+
+
+def audit_unresolved(log: DataFrame) -> DataFrame:
+    """T5: ids whose last status is not terminal (``max_by`` per id: partial aggregate)."""
+    g = log.groupBy("id").agg(F.max_by("status", "seq").alias("last_status"),
+                              F.count(F.lit(1)).alias("steps"))
+    return g.where(~F.col("last_status").isin(*TERMINAL))
+
+
+def audit_dlq_complete(snapshot: DataFrame, dlq_ids: DataFrame) -> DataFrame:
+    """failed_permanently rows without a DLQ record (left anti join)."""
+    return (snapshot.where(F.col("status") == "failed_permanently").select("id")
+                    .join(dlq_ids.select("id"), "id", "left_anti"))
+
+
+def audit_outbox_complete(snapshot: DataFrame, sendable_outbox: DataFrame) -> DataFrame:
+    """Pending rows with no sendable outbox row for them (left anti join)."""
+    return (snapshot.where(F.col("status") == "pending").select("id")
+                    .join(sendable_outbox.select(F.col("aggregate_id").alias("id")), "id", "left_anti"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from missive.operators.fold import _extend, segment_by_gap
+from missive.operators.fold import segment_by_gap, stream_fold
 
 # Fixed values of the breaker.
 HALF_OPEN_EXTRA_S = 5
@@ -31,56 +31,43 @@ def breaker_replay(calls: DataFrame, name: str = "name", ts: str = "ts", ok: str
     d = calls.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
     reset_us = max(open_s + HALF_OPEN_EXTRA_S, window_s, PROBE_LOCK_S) * 1_000_000
     seg = segment_by_gap(d, name, "_us", ["_us", order], (F.col("_us") - F.col("_prev")) >= reset_us)
-    schema = _extend(seg.schema, [("verdict", "string"), ("executed", "boolean"),
-                                  ("tripped", "boolean")])
-
-    def fold(pdf):
-        pdf = pdf.sort_values(["_us", order], kind="stable")
-        state = half = probe = fails_until = None
-        fails = 0
-        verdicts, executed, tripped = [], [], []
-        for us, good in zip(pdf["_us"].to_numpy(), pdf[ok].to_numpy()):
-            t = int(us)
-            trip = False
-            if _alive(state, t):
+    open_us, half_us = open_s * 1_000_000, (open_s + HALF_OPEN_EXTRA_S) * 1_000_000
+    win_us, lock_us = window_s * 1_000_000, PROBE_LOCK_S * 1_000_000
+
+    def init():
+        return {"state": None, "half": None, "probe": None, "fails": 0, "fails_until": None}
+
+    def step(s, t, good):
+        trip = False
+        if _alive(s["state"], t):
+            v = "open"
+        elif _alive(s["half"], t):
+            if _alive(s["probe"], t):
                 v = "open"
-            elif _alive(half, t):
-                if _alive(probe, t):
-                    v = "open"
-                else:
-                    probe = t + PROBE_LOCK_S * 1_000_000
-                    v = "probe"
             else:
-                v = "closed"
-            run = v != "open"
-            if run and bool(good):
-                state = half = probe = fails_until = None
-                fails = 0
-            elif run:
-                if v == "probe":
-                    state = t + open_s * 1_000_000
-                    half = t + (open_s + HALF_OPEN_EXTRA_S) * 1_000_000
-                    probe = None
-                    trip = True
-                elif not _alive(state, t):
-                    if not _alive(fails_until, t):
-                        fails, fails_until = 1, t + window_s * 1_000_000
-                    else:
-                        fails += 1
-                    if fails >= max_failures:
-                        state = t + open_s * 1_000_000
-                        half = t + (open_s + HALF_OPEN_EXTRA_S) * 1_000_000
-                        fails, fails_until = 0, None
-                        trip = True
-            verdicts.append(v)
-            executed.append(run)
-            tripped.append(trip)
-        pdf["verdict"] = verdicts
-        pdf["executed"] = executed
-        pdf["tripped"] = tripped
-        return pdf
-
-    return seg.groupBy(name, "_seg").applyInPandas(fold, schema).drop("_us", "_seg")
+                s["probe"] = t + lock_us
+                v = "probe"
+        else:
+            v = "closed"
+        run = v != "open"
+        if run and good:                       # any executed success clears every key
+            s.update(state=None, half=None, probe=None, fails=0, fails_until=None)
+        elif run and v == "probe":             # a failed probe re-opens at once
+            s.update(state=t + open_us, half=t + half_us, probe=None)
+            trip = True
+        elif run:
+            if not _alive(s["fails_until"], t):
+                s["fails"], s["fails_until"] = 1, t + win_us
+            else:
+                s["fails"] += 1
+            if s["fails"] >= max_failures:
+                s.update(state=t + open_us, half=t + half_us, fails=0, fails_until=None)
+                trip = True
+        return v, run, trip
+
+    res = stream_fold(seg, [name, "_seg"], ["_us", order], ["_us", ok], init, step,
+                      [("verdict", "string"), ("executed", "boolean"), ("tripped", "boolean")])
+    return res.drop("_us", "_seg")
 
 
 def breaker_intervals(replayed: DataFrame, name: str = "name", ts: str = "ts",

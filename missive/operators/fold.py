@@ -66,5 +66,44 @@ def _extend(schema, extra):
     """A new schema: ``schema`` plus (name, type) fields (never mutate a frame's schema)."""
     from pyspark.sql import types as T
     names = {"boolean": T.BooleanType(), "double": T.DoubleType(), "string": T.StringType(),
-             "long": T.LongType()}
+             "long": T.LongType(), "int": T.IntegerType(), "timestamp_ntz": T.TimestampNTZType()}
     return T.StructType(list(schema.fields) + [T.StructField(n, names[t], True) for n, t in extra])
+
+
+def stream_fold(df: DataFrame, group_cols: list[str], order_cols: list[str], inputs: list[str],
+                init, step, extra: list[tuple[str, str]], num_partitions: int | None = None) -> DataFrame:
+    """Run a per-group state machine over rows in order, without ever holding a group.
+
+    Rows are hash-partitioned on ``group_cols`` and sorted inside partitions (the sort
+    spills to disk as needed); ``mapInPandas`` then streams Arrow batches through the
+    machine, resetting the state where the group changes.  Memory is one batch plus
+    one state, however large a group is; a group's rows stay in one task because its
+    decisions are sequential.  ``step(state, *inputs)`` returns one value per ``extra``
+    output column.
+    """
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    schema = _extend(df.schema, extra)
+    d = df.repartition(n, *group_cols).sortWithinPartitions(*group_cols, *order_cols)
+    names = [e[0] for e in extra]
+
+    def run(it):
+        cur = object()
+        state = None
+        for pdf in it:
+            if pdf.empty:
+                continue
+            gk = list(zip(*[pdf[c].tolist() for c in group_cols]))
+            cols = [pdf[c].tolist() for c in inputs]
+            outs: list[list] = [[] for _ in names]
+            for i, k in enumerate(gk):
+                if k != cur:
+                    cur, state = k, init()
+                res = step(state, *[c[i] for c in cols])
+                for j, v in enumerate(res):
+                    outs[j].append(v)
+            for j, name in enumerate(names):
+                pdf[name] = outs[j]
+            yield pdf
+
+    return d.mapInPandas(run, schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import collections
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,30 +35,24 @@ def limit_sliding(df: DataFrame, key: str, ts: str, order: str, limit: int,
     a fold.  Times are floored to milliseconds; an idle gap >= window empties the log,
     so each key's timeline is cut there and the pieces fold in parallel.
     """
-    from missive.operators.fold import _extend, segment_by_gap
+    from missive.operators.fold import segment_by_gap, stream_fold
 
     d = df.withColumn("_ms", F.expr(f"unix_millis(cast({ts} as timestamp))")) \
           .withColumn("_us", F.col("_ms") * 1000)
     seg = segment_by_gap(d, key, "_us", ["_us", order], (F.col("_us") - F.col("_prev")) >= window_ms * 1000)
-    schema = _extend(seg.schema, [("allowed", "boolean")])
-
-    def fold(pdf):
-        import collections
-        pdf = pdf.sort_values(["_ms", order], kind="stable")
-        log: collections.deque = collections.deque()
-        out = []
-        for ms in pdf["_ms"].to_numpy():
-            while log and log[0] <= ms - window_ms:
-                log.popleft()
-            if len(log) < limit:
-                log.append(ms)
-                out.append(True)
-            else:
-                out.append(False)
-        pdf["allowed"] = out
-        return pdf
-
-    res = seg.groupBy(key, "_seg").applyInPandas(fold, schema)
+
+    def init():
+        return collections.deque()
+
+    def step(log, ms):
+        while log and log[0] <= ms - window_ms:
+            log.popleft()
+        if len(log) < limit:
+            log.append(ms)
+            return (True,)
+        return (False,)
+
+    res = stream_fold(seg, [key, "_seg"], ["_us", order], ["_ms"], init, step, [("allowed", "boolean")])
     return res.drop("_ms", "_us", "_seg")
 
 
@@ -75,37 +71,31 @@ def limit_token_bucket(df: DataFrame, key: str, ts: str, order: str, weight: str
     An idle gap with gap*rate >= capacity refills the bucket completely, which is the
     same state as a new key: each key's timeline is cut there.
     """
-    from missive.operators.fold import _extend, segment_by_gap
+    from missive.operators.fold import segment_by_gap, stream_fold
 
     d = (df.withColumn("_now", seconds_double(ts))
            .withColumn("_us", F.expr(f"unix_micros(cast({ts} as timestamp))")))
     gap = F.col("_now") - (F.floor(F.col("_prev") / 1000000).cast("double")
                            + F.pmod(F.col("_prev"), F.lit(1000000)).cast("double") / 1000000)
     seg = segment_by_gap(d, key, "_us", ["_us", order], gap * rate >= capacity)
-    schema = _extend(seg.schema, [("allowed", "boolean"), ("tokens_left", "double")])
-
-    def fold(pdf):
-        pdf = pdf.sort_values(["_us", order], kind="stable")
-        tokens = None
-        last = 0.0
-        allowed, left = [], []
-        for now, w in zip(pdf["_now"].to_numpy(), pdf[weight].to_numpy()):
-            if tokens is None:
-                tokens, last = float(capacity), now
-            else:
-                tokens = min(float(capacity), tokens + max(0.0, now - last) * rate)
-                last = now
-            if tokens >= w:
-                tokens -= w
-                allowed.append(True)
-            else:
-                allowed.append(False)
-            left.append(tokens)
-        pdf["allowed"] = allowed
-        pdf["tokens_left"] = left
-        return pdf
-
-    res = seg.groupBy(key, "_seg").applyInPandas(fold, schema).drop("_now", "_us", "_seg")
+    cap = float(capacity)
+
+    def init():
+        return [None, 0.0]                     # tokens (None = unseen key), last refill
+
+    def step(st, now, w):
+        if st[0] is None:
+            st[0], st[1] = cap, now
+        else:
+            st[0] = min(cap, st[0] + max(0.0, now - st[1]) * rate)
+            st[1] = now
+        if st[0] >= w:
+            st[0] -= w
+            return True, st[0]
+        return False, st[0]
+
+    res = stream_fold(seg, [key, "_seg"], ["_us", order], ["_now", weight], init, step,
+                      [("allowed", "boolean"), ("tokens_left", "double")]).drop("_now", "_us", "_seg")
     if fail_open is not None:
         res = res.withColumn("allowed", fail_policy(F.col("allowed"), fail_open))
     return res

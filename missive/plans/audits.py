@@ -1 +1,66 @@
-"""Queries: audits."""
+"""Invariant audit queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from missive.operators import audit as T
+from missive.operators import joins as J
+from missive.operators import transitions as M
+from missive.plans.joins import OUTCOME_SQL
+from missive.plans.registry import query
+from missive.sources import derived as D
+
+_LAG = "(SELECT *, lag(status) OVER (PARTITION BY id ORDER BY seq) AS prev_status FROM transitions)"
+_LEGAL = ", ".join(f"('{a}', '{b}')" for a, b in T.LEGAL_MOVES)
+
+
+@query("audit_types", """SELECT id, seq, status, retry_count,
+  CASE WHEN status NOT IN ('pending', 'processing', 'delivered', 'failed_retrying', 'failed_permanently', 'canceled')
+       THEN 'unknown_status' ELSE 'retry_count_out_of_range' END AS reason
+FROM transitions WHERE status NOT IN ('pending', 'processing', 'delivered', 'failed_retrying', 'failed_permanently',
+  'canceled') OR retry_count < 0 OR retry_count > 3""", ("transitions",))
+def audit_types(spark, sf):
+    return T.audit_types(D.transitions(spark, sf))
+
+
+@query("audit_delivered_stable", f"""SELECT id, seq, prev_status, status FROM {_LAG}
+  WHERE prev_status = 'delivered' AND status <> 'delivered'""", ("transitions",))
+def audit_delivered_stable(spark, sf):
+    return T.audit_terminal_stable(D.transitions(spark, sf), "delivered")
+
+
+@query("audit_failed_stable", f"""SELECT id, seq, prev_status, status FROM {_LAG}
+  WHERE prev_status = 'failed_permanently' AND status <> 'failed_permanently'""", ("transitions",))
+def audit_failed_stable(spark, sf):
+    return T.audit_terminal_stable(D.transitions(spark, sf), "failed_permanently")
+
+
+@query("audit_legal_moves", f"""SELECT id, seq, prev_status, status FROM {_LAG}
+  WHERE (prev_status IS NULL AND status <> 'pending')
+     OR (prev_status IS NOT NULL AND prev_status <> status
+         AND (prev_status, status) NOT IN (SELECT * FROM (VALUES {_LEGAL})))""", ("transitions",))
+def audit_legal_moves(spark, sf):
+    return T.audit_legal_moves(D.transitions(spark, sf))
+
+
+@query("audit_unresolved", """SELECT id, arg_max(status, seq) AS last_status, count(*) AS steps FROM transitions
+  GROUP BY id HAVING arg_max(status, seq) NOT IN ('delivered', 'failed_permanently', 'canceled')""", ("transitions",))
+def audit_unresolved(spark, sf):
+    return T.audit_unresolved(D.transitions(spark, sf))
+
+
+@query("audit_dlq_complete", f"""SELECT id FROM ({OUTCOME_SQL}) WHERE status = 'failed_permanently' AND NOT dlq""",
+       ("notifications", "attempts"))
+def audit_dlq_complete(spark, sf):
+    applied = M.apply_outcomes(D.notifications(spark, sf), D.attempts(spark, sf))
+    return T.audit_dlq_complete(applied, applied.where("dlq"))
+
+
+@query("audit_outbox_complete", """SELECT id FROM notifications n WHERE status = 'pending' AND NOT EXISTS (
+  SELECT 1 FROM outbox o WHERE o.aggregate_id = n.id AND json_valid(o.payload)
+    AND (json_type(o.payload) = 'NULL' OR (json_type(o.payload) = 'OBJECT'
+         AND coalesce(json_type(o.payload, '$.id'), 'NULL') IN ('VARCHAR', 'NULL'))))""", ("notifications", "outbox"))
+def audit_outbox_complete(spark, sf):
+    o = D.outbox(spark, sf)
+    return T.audit_outbox_complete(D.notifications(spark, sf), o.where(~J.poison_payload(F.col("payload"))))
