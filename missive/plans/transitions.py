@@ -124,3 +124,63 @@ FROM notifications WHERE status = 'processing' AND updated_at < {AS_OF_SQL} - IN
 def sweep_zombies_outbox(spark, sf):
     _new, out = M.sweep_zombies(D.notifications(spark, sf), D.AS_OF)
     return out.select("id", "aggregate_id", "event_type")
+
+
+# --------------------------------------------------------------------------- M10
+_EVENTS_SQL = """SELECT id, t, rank, kind, http_status, message_id,
+    row_number() OVER (PARTITION BY id ORDER BY t, rank, attempt_no NULLS FIRST, http_status NULLS FIRST,
+      message_id NULLS FIRST, latency_s NULLS FIRST) AS en FROM (
+  SELECT id, epoch_us(created_at) AS t, 0 AS rank, 'create' AS kind, CAST(NULL AS INT) AS http_status,
+    CAST(NULL AS VARCHAR) AS message_id, CAST(NULL AS INT) AS attempt_no, CAST(NULL AS DOUBLE) AS latency_s
+  FROM notifications
+  UNION ALL SELECT id, epoch_us(attempt_ts), 1, 'attempt', http_status, message_id, attempt_no, latency_s FROM attempts
+  UNION ALL SELECT id, epoch_us(ts), 2, 'cancel', NULL, NULL, NULL, NULL FROM cancel_requests
+    WHERE id IN (SELECT id FROM notifications))"""
+
+_Z = "CAST(300000000 AS BIGINT)"
+LIFECYCLE_SQL = f"""WITH RECURSIVE ev AS ({_EVENTS_SQL}),
+r AS (
+  SELECT id, CAST(0 AS BIGINT) AS en, CAST(NULL AS VARCHAR) AS status, 0 AS retry, CAST(NULL AS BIGINT) AS nxt,
+    CAST(NULL AS VARCHAR) AS ext, CAST(NULL AS BIGINT) AS upd, 0 AS n FROM (SELECT DISTINCT id FROM ev)
+  UNION ALL
+  SELECT id, en,
+    CASE WHEN kind = 'create' AND s1 IS NULL THEN 'pending'
+         WHEN kind = 'attempt' AND s1 = 'pending' THEN
+           CASE WHEN oc = 'delivered' THEN 'delivered' WHEN oc = 'retriable' AND r1 + 1 < 3 THEN 'failed_retrying'
+                ELSE 'failed_permanently' END
+         WHEN kind = 'cancel' AND s1 IN ('pending', 'failed_retrying') THEN 'canceled' ELSE s1 END,
+    CASE WHEN kind = 'create' AND s1 IS NULL THEN 0
+         WHEN kind = 'attempt' AND s1 = 'pending' AND oc <> 'delivered' THEN r1 + 1 ELSE r1 END,
+    CASE WHEN kind = 'create' AND s1 IS NULL THEN NULL
+         WHEN kind = 'attempt' AND s1 = 'pending' AND oc = 'retriable' AND r1 + 1 < 3
+           THEN t + CAST(power(2, r1) AS BIGINT) * CAST(60000000 AS BIGINT)
+         WHEN kind = 'attempt' AND s1 = 'pending' AND oc <> 'delivered' THEN NULL ELSE nxt END,
+    CASE WHEN kind = 'create' AND s1 IS NULL THEN NULL
+         WHEN kind = 'attempt' AND s1 = 'pending' AND oc = 'delivered' THEN nullif(message_id, '') ELSE ext END,
+    CASE WHEN (kind = 'create' AND s1 IS NULL) OR (kind = 'attempt' AND s1 = 'pending')
+           OR (kind = 'cancel' AND s1 IN ('pending', 'failed_retrying')) THEN t ELSE u1 END,
+    n1 + CASE WHEN kind = 'create' AND s1 IS NULL THEN 1 WHEN kind = 'attempt' AND s1 = 'pending' THEN 2
+              WHEN kind = 'cancel' AND s1 IN ('pending', 'failed_retrying') THEN 1 ELSE 0 END
+  FROM (SELECT e.id, e.en, e.t, e.kind, e.message_id, r.ext, r.nxt,
+      CASE WHEN e.http_status IS NULL OR e.http_status >= 500 OR e.http_status IN (429, 408) THEN 'retriable'
+           WHEN e.http_status BETWEEN 200 AND 299 THEN 'delivered' ELSE 'permanent' END AS oc,
+      CASE WHEN r.status = 'failed_retrying' AND r.nxt <= e.t THEN 'pending'
+           WHEN r.status = 'processing' AND r.upd < e.t - {_Z} THEN
+             CASE WHEN r.retry < 3 THEN 'pending' ELSE 'failed_permanently' END
+           ELSE r.status END AS s1,
+      CASE WHEN r.status = 'processing' AND r.upd < e.t - {_Z} AND r.retry < 3 THEN r.retry + 1 ELSE r.retry END AS r1,
+      CASE WHEN r.status = 'failed_retrying' AND r.nxt <= e.t THEN r.nxt
+           WHEN r.status = 'processing' AND r.upd < e.t - {_Z} THEN r.upd + {_Z} ELSE r.upd END AS u1,
+      r.n + CASE WHEN (r.status = 'failed_retrying' AND r.nxt <= e.t)
+                   OR (r.status = 'processing' AND r.upd < e.t - {_Z}) THEN 1 ELSE 0 END AS n1
+    FROM r JOIN ev e ON e.id = r.id AND e.en = r.en + 1))
+SELECT id, status, CAST(retry AS INT) AS retry_count, make_timestamp(nxt) AS next_retry_at, ext AS external_id,
+  make_timestamp(upd) AS updated_at, CAST(n AS INT) AS moves
+FROM r QUALIFY en = max(en) OVER (PARTITION BY id)"""
+
+
+@query("lifecycle_fold", LIFECYCLE_SQL, ("notifications", "attempts", "cancel_requests"))
+def lifecycle_fold(spark, sf):
+    from missive.operators import lifecycle as LC
+    ev = LC.event_log(D.notifications(spark, sf), D.attempts(spark, sf), D.cancel_requests(spark, sf))
+    return LC.final_rows(LC.lifecycle_fold(ev))
