@@ -108,38 +108,52 @@ def _replay(spark, sf):
     return B.breaker_replay(D.calls(spark, sf), **BREAKER)
 
 
-_US = "epoch_us(ts)"
-_TRIPS = f"(CASE WHEN fu IS NOT NULL AND t < fu THEN fails + 1 ELSE 1 END) >= {BREAKER['max_failures']}"
-_NEXT_FAILS = "(CASE WHEN fu IS NOT NULL AND t < fu THEN fails + 1 ELSE 1 END)"
-_BREAKER_SQL = f"""WITH RECURSIVE src AS (
-  SELECT name, call_id, ts, ok, {_US} AS t, row_number() OVER (PARTITION BY name ORDER BY {_US}, call_id) AS rn FROM calls),
+def breaker_sql(src: str, max_failures: int, window_s: int, open_s: int, final: str | None = None) -> str:
+    """Recursive replay of the breaker rules over ``src`` (name, call_id, ts, ok); the
+    result view ``rep`` has one row per call with verdict/executed/tripped."""
+    us = "CAST(1000000 AS BIGINT)"
+    trips = f"(CASE WHEN fu IS NOT NULL AND t < fu THEN fails + 1 ELSE 1 END) >= {max_failures}"
+    nxt = "(CASE WHEN fu IS NOT NULL AND t < fu THEN fails + 1 ELSE 1 END)"
+    final = final or "SELECT call_id, name, verdict, executed, tripped FROM rep"
+    return f"""WITH RECURSIVE src AS (
+  SELECT name, call_id, ts, ok, epoch_us(ts) AS t,
+    row_number() OVER (PARTITION BY name ORDER BY epoch_us(ts), call_id) AS rn FROM {src}),
 r AS (
-  SELECT name, 0 AS rn, CAST(NULL AS BIGINT) AS st, CAST(NULL AS BIGINT) AS hf, CAST(NULL AS BIGINT) AS pr,
-    0 AS fails, CAST(NULL AS BIGINT) AS fu, CAST(NULL AS BIGINT) AS call_id, CAST(NULL AS VARCHAR) AS verdict,
+  SELECT name, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS st, CAST(NULL AS BIGINT) AS hf,
+    CAST(NULL AS BIGINT) AS pr, 0 AS fails, CAST(NULL AS BIGINT) AS fu, CAST(NULL AS VARCHAR) AS verdict,
     false AS tripped FROM (SELECT DISTINCT name FROM src)
   UNION ALL
   SELECT name, rn,
     CASE WHEN v <> 'open' AND ok THEN NULL
-         WHEN v = 'probe' THEN t + {BREAKER['open_s']} * CAST(1000000 AS BIGINT)
-         WHEN v = 'closed' AND {_TRIPS} THEN t + {BREAKER['open_s']} * CAST(1000000 AS BIGINT) ELSE st END,
+         WHEN v = 'probe' THEN t + {open_s} * {us}
+         WHEN v = 'closed' AND {trips} THEN t + {open_s} * {us} ELSE st END,
     CASE WHEN v <> 'open' AND ok THEN NULL
-         WHEN v = 'probe' THEN t + {BREAKER['open_s'] + 5} * CAST(1000000 AS BIGINT)
-         WHEN v = 'closed' AND {_TRIPS} THEN t + {BREAKER['open_s'] + 5} * CAST(1000000 AS BIGINT) ELSE hf END,
+         WHEN v = 'probe' THEN t + {open_s + 5} * {us}
+         WHEN v = 'closed' AND {trips} THEN t + {open_s + 5} * {us} ELSE hf END,
     CASE WHEN v <> 'open' AND ok THEN NULL WHEN v = 'probe' AND NOT ok THEN NULL
-         WHEN v = 'probe' THEN t + CAST(10000000 AS BIGINT) ELSE pr END,
-    CASE WHEN v <> 'open' AND ok THEN 0 WHEN v = 'closed' THEN CASE WHEN {_TRIPS} THEN 0 ELSE {_NEXT_FAILS} END
+         WHEN v = 'probe' THEN t + 10 * {us} ELSE pr END,
+    CASE WHEN v <> 'open' AND ok THEN 0 WHEN v = 'closed' THEN CASE WHEN {trips} THEN 0 ELSE {nxt} END
          ELSE fails END,
     CASE WHEN v <> 'open' AND ok THEN NULL WHEN v = 'closed' THEN
-           CASE WHEN {_TRIPS} THEN NULL WHEN fu IS NOT NULL AND t < fu THEN fu ELSE t + {BREAKER['window_s']} * CAST(1000000 AS BIGINT) END
+           CASE WHEN {trips} THEN NULL WHEN fu IS NOT NULL AND t < fu THEN fu ELSE t + {window_s} * {us} END
          ELSE fu END,
-    call_id, v, NOT ok AND (v = 'probe' OR (v = 'closed' AND {_TRIPS}))
+    v, NOT ok AND (v = 'probe' OR (v = 'closed' AND {trips}))
   FROM (SELECT *,
       CASE WHEN st IS NOT NULL AND t < st THEN 'open'
            WHEN hf IS NOT NULL AND t < hf THEN CASE WHEN pr IS NOT NULL AND t < pr THEN 'open' ELSE 'probe' END
            ELSE 'closed' END AS v
-    FROM (SELECT s.name, s.call_id, s.ts, s.ok, s.t, s.rn, r.st, r.hf, r.pr, r.fails, r.fu
-          FROM r JOIN src s ON s.name = r.name AND s.rn = r.rn + 1)))
-SELECT r.call_id, r.name, r.verdict, r.verdict <> 'open' AS executed, r.tripped FROM r WHERE rn > 0"""
+    FROM (SELECT s.name, s.ts, s.ok, s.t, s.rn, r.st, r.hf, r.pr, r.fails, r.fu
+          FROM r JOIN src s ON s.name = r.name AND s.rn = r.rn + 1))),
+rep AS (SELECT s.call_id, s.name, s.ts, r.verdict, r.verdict <> 'open' AS executed, r.tripped
+  FROM r JOIN src s ON s.name = r.name AND s.rn = r.rn WHERE r.rn > 0)
+{final}"""
+
+
+_BREAKER_SQL = breaker_sql("calls", **BREAKER)
+
+
+def _breaker_final(final: str) -> str:
+    return breaker_sql("calls", **BREAKER, final=final)
 
 
 @query("breaker_replay", _BREAKER_SQL, ("calls",))
@@ -147,26 +161,22 @@ def breaker_replay(spark, sf):
     return _replay(spark, sf).select("call_id", "name", "verdict", "executed", "tripped")
 
 
-@query("breaker_intervals", _BREAKER_SQL.replace(
-    "SELECT r.call_id, r.name, r.verdict, r.verdict <> 'open' AS executed, r.tripped FROM r WHERE rn > 0",
-    f"""SELECT r.name, s.ts AS opened_at, s.ts + INTERVAL {BREAKER['open_s']} SECOND AS closes_at
-    FROM r JOIN src s ON s.call_id = r.call_id WHERE r.rn > 0 AND r.tripped"""), ("calls",))
+@query("breaker_intervals", _breaker_final(
+    f"""SELECT name, ts AS opened_at, ts + INTERVAL {BREAKER['open_s']} SECOND AS closes_at FROM rep WHERE tripped"""),
+    ("calls",))
 def breaker_intervals(spark, sf):
     return B.breaker_intervals(_replay(spark, sf), open_s=BREAKER["open_s"])
 
 
-@query("breaker_trips", _BREAKER_SQL.replace(
-    "SELECT r.call_id, r.name, r.verdict, r.verdict <> 'open' AS executed, r.tripped FROM r WHERE rn > 0",
-    "SELECT count(*) AS value FROM r WHERE rn > 0 AND tripped"), ("calls",))
+@query("breaker_trips", _breaker_final("SELECT count(*) AS value FROM rep WHERE tripped"), ("calls",))
 def breaker_trips(spark, sf):
     """closed/half-open -> open edges."""
     return A.counter(_replay(spark, sf).where("tripped"), [])
 
 
-@query("breaker_state", _BREAKER_SQL.replace(
-    "SELECT r.call_id, r.name, r.verdict, r.verdict <> 'open' AS executed, r.tripped FROM r WHERE rn > 0",
-    """SELECT name, CAST(CASE WHEN arg_max(verdict, rn) = 'open' OR arg_max(tripped, rn) THEN 1 ELSE 0 END AS INT) AS value
-    FROM r WHERE rn > 0 GROUP BY name"""), ("calls",))
+@query("breaker_state", _breaker_final(
+    """SELECT name, CAST(CASE WHEN arg_max(verdict, (ts, call_id)) = 'open' OR arg_max(tripped, (ts, call_id))
+      THEN 1 ELSE 0 END AS INT) AS value FROM rep GROUP BY name"""), ("calls",))
 def breaker_state(spark, sf):
     """Gauge per breaker after its last call (1 = open, 0 = closed)."""
     r = _replay(spark, sf)
@@ -176,10 +186,9 @@ def breaker_state(spark, sf):
                     .cast("int").alias("value"))
 
 
-@query("breaker_asof", _BREAKER_SQL.replace(
-    "SELECT r.call_id, r.name, r.verdict, r.verdict <> 'open' AS executed, r.tripped FROM r WHERE rn > 0",
-    f"""SELECT m.msg_id, m.name, EXISTS (SELECT 1 FROM r JOIN src s ON s.call_id = r.call_id
-      WHERE r.rn > 0 AND r.tripped AND s.name = m.name AND s.ts <= m.ts AND m.ts < s.ts + INTERVAL {BREAKER['open_s']} SECOND)
+@query("breaker_asof", _breaker_final(
+    f"""SELECT m.msg_id, m.name, EXISTS (SELECT 1 FROM rep
+      WHERE rep.tripped AND rep.name = m.name AND rep.ts <= m.ts AND m.ts < rep.ts + INTERVAL {BREAKER['open_s']} SECOND)
       AS breaker_open
     FROM (SELECT msg_id, 'hook_' || CAST(id % 4 AS VARCHAR) AS name, ts FROM messages) m"""), ("calls", "messages"))
 def breaker_asof(spark, sf):
