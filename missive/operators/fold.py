@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from missive.operators.ordering import binned_running
 
@@ -81,10 +82,19 @@ def stream_fold(df: DataFrame, group_cols: list[str], order_cols: list[str], inp
     decisions are sequential.  ``step(state, *inputs)`` returns one value per ``extra``
     output column.
     """
+    from missive.session import ship_package
     spark = df.sparkSession
+    ship_package(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    schema = _extend(df.schema, extra)
     d = df.repartition(n, *group_cols).sortWithinPartitions(*group_cols, *order_cols)
+    # struct columns would reach pandas as one Python dict per row: flatten them for the
+    # Arrow transfer and rebuild them afterwards
+    structs = {f.name: [x.name for x in f.dataType.fields] for f in df.schema.fields
+               if isinstance(f.dataType, T.StructType)}
+    if structs:
+        d = d.select(*[F.col(f"`{c}`.`{x}`").alias(f"__{c}__{x}") for c in d.columns if c in structs
+                       for x in structs[c]], *[c for c in d.columns if c not in structs])
+    schema = _extend(d.schema, extra)
     names = [e[0] for e in extra]
 
     def run(it):
@@ -106,4 +116,8 @@ def stream_fold(df: DataFrame, group_cols: list[str], order_cols: list[str], inp
                 pdf[name] = outs[j]
             yield pdf
 
-    return d.mapInPandas(run, schema)
+    res = d.mapInPandas(run, schema)
+    if structs:
+        res = res.select(*[F.struct(*[F.col(f"__{c}__{x}").alias(x) for x in structs[c]]).alias(c)
+                           if c in structs else F.col(c) for c in df.columns], *names)
+    return res

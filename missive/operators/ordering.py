@@ -59,10 +59,11 @@ def global_row_number(df: DataFrame, order: list[str], keys: list[str] | None =
 
     ``order`` must be a total order (unique), as in every use here.
     """
-    from missive.session import ensure_checkpoint_dir
+    from missive.session import ensure_checkpoint_dir, ship_package
     keys = keys or []
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sort_cols = [F.col(k) for k in keys] + [F.col(c).desc() if descending else F.col(c) for c in order]
     ranged = (df.repartitionByRange(n, *sort_cols).sortWithinPartitions(*sort_cols)

@@ -77,3 +77,27 @@ def dlq_split(spark, sf):
     """S7 / X8 batch form: the DLQ side of the disposition, counted by reason."""
     d = disposition(spark, sf)
     return d.where(F.col("disposition").startswith("dlq")).groupBy("disposition").agg(F.count(F.lit(1)).alias("n"))
+
+
+_D2_KEY = "'k-' || CAST((CASE WHEN seq % 50 = 49 THEN seq - 1 ELSE seq END) % 5000 AS VARCHAR)"
+
+
+@query("batch_atomic_admission", f"""WITH RECURSIVE mem AS (SELECT batch_no, {_D2_KEY} AS k FROM requests),
+bk AS (SELECT batch_no, list(DISTINCT k) AS ks, count(*) <> count(DISTINCT k) AS inner_dup,
+    row_number() OVER (ORDER BY batch_no) AS rn FROM mem GROUP BY batch_no),
+r AS (SELECT CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS batch_no, CAST(NULL AS BOOLEAN) AS admitted,
+    CAST([] AS VARCHAR[]) AS taken
+  UNION ALL
+  SELECT b.rn, b.batch_no, NOT b.inner_dup AND NOT list_has_any(r.taken, b.ks),
+    CASE WHEN NOT b.inner_dup AND NOT list_has_any(r.taken, b.ks) THEN list_concat(r.taken, b.ks) ELSE r.taken END
+  FROM r JOIN bk b ON b.rn = r.rn + 1)
+SELECT batch_no, admitted FROM r WHERE rn > 0""", ("requests",))
+def batch_atomic_admission(spark, sf):
+    """D2 over the request batches with a key rule that makes batches b and b+250 share
+    keys (chains of conflicts), plus the in-batch duplicates of the fixture."""
+    from missive.operators.admission import batch_atomic_admission as admit_batches
+    r = D.requests(spark, sf)
+    base = F.when(F.col("seq") % 50 == 49, F.col("seq") - 1).otherwise(F.col("seq"))
+    mem = r.select("batch_no", F.concat(F.lit("k-"), (base % 5000).cast("string")).alias("key"),
+                   F.col("batch_no").alias("batch_order"))
+    return admit_batches(mem).select("batch_no", "admitted")

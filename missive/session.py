@@ -48,3 +48,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             os.makedirs(path, exist_ok=True)
         sc.setCheckpointDir(path)
     return path
+
+
+_SHIPPED: dict[int, str] = {}
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``missive`` importable in Python workers (pandas folds reference it).
+
+    The package is zipped once per driver process and added with ``addPyFile``, which
+    distributes it to every executor, whatever the working directory is.
+    """
+    sc = spark.sparkContext
+    key = id(sc)
+    if key in _SHIPPED:
+        return
+    import zipfile
+    root = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="missive-py-"), "missive.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _dirs, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(out)
+    _SHIPPED[key] = out
