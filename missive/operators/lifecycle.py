@@ -25,8 +25,10 @@ def _us(c):
     return F.unix_micros(F.col(c).cast("timestamp"))
 
 
-def event_log(notifications: DataFrame, attempts: DataFrame, cancels: DataFrame) -> DataFrame:
-    """Union of the three event kinds with a total order (t, rank, tie columns)."""
+def event_log(notifications: DataFrame, attempts: DataFrame, cancels: DataFrame,
+              known_ids: DataFrame | None = None) -> DataFrame:
+    """Union of the three event kinds with a total order (t, rank, tie columns).  Cancels
+    of unknown ids are dropped (``known_ids``, default the notifications' ids)."""
     cols = ["id", "t", "rank", "kind", "http_status", "message_id", "attempt_no", "latency_s"]
     c = notifications.select("id", _us("created_at").alias("t"), F.lit(0).alias("rank"),
                              F.lit("create").alias("kind"), F.lit(None).cast("int").alias("http_status"),
@@ -36,7 +38,8 @@ def event_log(notifications: DataFrame, attempts: DataFrame, cancels: DataFrame)
     a = attempts.select("id", _us("attempt_ts").alias("t"), F.lit(1).alias("rank"),
                         F.lit("attempt").alias("kind"), "http_status", "message_id", "attempt_no",
                         "latency_s")
-    k = (cancels.join(notifications.select("id"), "id", "left_semi")
+    known = known_ids if known_ids is not None else notifications.select("id")
+    k = (cancels.join(known, "id", "left_semi")
          .select("id", _us("ts").alias("t"), F.lit(2).alias("rank"), F.lit("cancel").alias("kind"),
                  F.lit(None).cast("int").alias("http_status"), F.lit(None).cast("string").alias("message_id"),
                  F.lit(None).cast("int").alias("attempt_no"), F.lit(None).cast("double").alias("latency_s")))
@@ -51,6 +54,52 @@ def _outcome(http):
     return "permanent"
 
 
+def apply_timers(s: dict, t: int, max_retries: int = MAX_RETRIES) -> None:
+    """Timers due before time ``t``: retry sweep at next_retry_at, zombie sweep after
+    five minutes in processing."""
+    st = s["status"]
+    if st == "failed_retrying" and s["next"] is not None and s["next"] <= t:
+        s.update(status="pending", upd=s["next"], n=s["n"] + 1)
+    elif st == "processing" and s["upd"] is not None and s["upd"] < t - ZOMBIE_US:
+        if s["retry"] < max_retries:
+            s.update(status="pending", retry=s["retry"] + 1)
+        else:
+            s["status"] = "failed_permanently"
+        s.update(upd=s["upd"] + ZOMBIE_US, n=s["n"] + 1)
+
+
+def next_timer(s: dict):
+    """When the next timer of the row fires (microseconds), or None."""
+    if s["status"] == "failed_retrying" and s["next"] is not None:
+        return s["next"]
+    if s["status"] == "processing" and s["upd"] is not None:
+        return s["upd"] + ZOMBIE_US + 1
+    return None
+
+
+def apply_event(s: dict, t: int, kind: str, http, mid, max_retries: int = MAX_RETRIES) -> None:
+    """One event on the row state ``s`` (timers first)."""
+    apply_timers(s, t, max_retries)
+    st = s["status"]
+    if kind == "create":
+        if st is None:
+            s.update(status="pending", retry=0, next=None, ext=None, upd=t, n=s["n"] + 1)
+    elif kind == "attempt":
+        if st == "pending":                       # lock taken, then the outcome
+            oc = _outcome(None if http is None or http != http else int(http))
+            r = s["retry"]
+            if oc == "delivered":
+                s.update(status="delivered", ext=(mid or None))
+            elif oc == "retriable" and r + 1 < max_retries:
+                s.update(status="failed_retrying", retry=r + 1, next=t + (2 ** r) * MINUTE_US)
+            else:
+                s.update(status="failed_permanently", retry=r + 1, next=None)
+            s.update(upd=t, n=s["n"] + 2)
+    elif kind == "cancel":
+        if st in ("pending", "failed_retrying"):
+            s.update(status="canceled", upd=t, n=s["n"] + 1)
+
+
 def lifecycle_fold(events: DataFrame, max_retries: int = MAX_RETRIES) -> DataFrame:
     """Per event, the row state after it: status, retry_count, next_retry_us,
     external_id, updated_us and the number of transitions so far (``moves``)."""
@@ -59,34 +108,7 @@ def lifecycle_fold(events: DataFrame, max_retries: int = MAX_RETRIES) -> DataFra
         return {"status": None, "retry": 0, "next": None, "ext": None, "upd": None, "n": 0}
 
     def step(s, t, kind, http, mid):
-        st = s["status"]
-        # lazy timers: retry sweep at next_retry_at, zombie sweep after five minutes
-        if st == "failed_retrying" and s["next"] is not None and s["next"] <= t:
-            s.update(status="pending", upd=s["next"], n=s["n"] + 1)
-        elif st == "processing" and s["upd"] is not None and s["upd"] < t - ZOMBIE_US:
-            if s["retry"] < max_retries:
-                s.update(status="pending", retry=s["retry"] + 1)
-            else:
-                s["status"] = "failed_permanently"
-            s.update(upd=s["upd"] + ZOMBIE_US, n=s["n"] + 1)
-        st = s["status"]
-        if kind == "create":
-            if st is None:
-                s.update(status="pending", retry=0, next=None, ext=None, upd=t, n=s["n"] + 1)
-        elif kind == "attempt":
-            if st == "pending":                       # lock taken, then the outcome
-                oc = _outcome(None if http is None or http != http else int(http))
-                r = s["retry"]
-                if oc == "delivered":
-                    s.update(status="delivered", ext=(mid or None))
-                elif oc == "retriable" and r + 1 < max_retries:
-                    s.update(status="failed_retrying", retry=r + 1, next=t + (2 ** r) * MINUTE_US)
-                else:
-                    s.update(status="failed_permanently", retry=r + 1, next=None)
-                s.update(upd=t, n=s["n"] + 2)
-        elif kind == "cancel":
-            if st in ("pending", "failed_retrying"):
-                s.update(status="canceled", upd=t, n=s["n"] + 1)
+        apply_event(s, t, kind, http, mid, max_retries)
         return s["status"], s["retry"], s["next"], s["ext"], s["upd"], s["n"]
 
     return stream_fold(events, ["id"], ["t", "rank", "attempt_no", "http_status", "message_id", "latency_s"],

@@ -15,21 +15,19 @@ from missive.sources import derived as D
 AS_OF_SQL = "TIMESTAMP '1998-06-01 00:00:00'"
 
 # Oracle text of the admitted requests: valid, first arrival of the key, key not taken.
-ADMITTED_SQL = f"""(SELECT * FROM (
+ADMITTED_SQL = f"""(SELECT * FROM (SELECT *, min(seq) OVER (PARTITION BY idempotency_key) AS first_seq FROM (
     SELECT seq, arrival_ts, idempotency_key, recipient, channel, content,
-      CASE WHEN priority = '' THEN 'normal' ELSE priority END AS priority, {_FIRST_ERROR} AS error,
-      min(seq) OVER (PARTITION BY idempotency_key) AS first_seq
-    FROM ({_NORM.replace("SELECT seq, batch_no,", "SELECT seq, batch_no, arrival_ts,")}))
-  WHERE error IS NULL AND seq = first_seq
-    AND idempotency_key NOT IN (SELECT idempotency_key FROM notifications))"""
+      CASE WHEN priority = '' THEN 'normal' ELSE priority END AS priority, {_FIRST_ERROR} AS error
+    FROM ({_NORM.replace("SELECT seq, batch_no,", "SELECT seq, batch_no, arrival_ts,")})) WHERE error IS NULL)
+  WHERE seq = first_seq AND idempotency_key NOT IN (SELECT idempotency_key FROM notifications))"""
 
 
 def admitted(spark, sf):
-    """Valid requests that are the first of their key and whose key is not yet taken."""
-    reqs = D.requests(spark, sf)
-    ok, _bad = V.validity_split(reqs)
-    first = J.dedup_in_batch(V.validate_requests(reqs)).select("seq", "first_seq")
-    ok = ok.join(first, "seq").where(F.col("seq") == F.col("first_seq")).drop("first_seq")
+    """Valid requests that are the first valid one of their key, key not yet taken."""
+    ok, _bad = V.validity_split(D.requests(spark, sf))
+    # an invalid request never reaches the insert, so it takes no key: first among valid
+    first = ok.groupBy("idempotency_key").agg(F.min("seq").alias("seq"))
+    ok = ok.join(first, ["idempotency_key", "seq"], "left_semi")
     return J.dedup_against_existing(ok, D.notifications(spark, sf))
 
 
