@@ -87,3 +87,60 @@ def breaker_open_at(fetches: DataFrame, trips: DataFrame, name: str = "name", ts
     m = latest_before(fetches, trips.select(name, F.col(ts).alias("_trip_ts")), name, ts,
                       "_trip_ts", open_s, "_trip")
     return m.withColumn("breaker_open", F.col("_trip").isNotNull()).drop("_trip")
+
+
+def breaker_concurrent(calls: DataFrame, name: str = "name", start: str = "ts", end: str = "end_ts",
+                       ok: str = "ok", order: str = "call_id", max_failures: int = 10,
+                       window_s: int = 10, open_s: int = 30) -> DataFrame:
+    """Calls with a start (check, probe lock) and an end (outcome).  Starts and ends
+    are interleaved per name (an end sorts before a start at the same instant); the
+    probe flag travels from a call's start to its end inside the state."""
+    ev = (calls.select(name, order, ok, F.col(start).alias("_t"), F.lit(1).alias("_kind"))
+          .unionByName(calls.select(name, order, ok, F.col(end).alias("_t"), F.lit(0).alias("_kind"))))
+    ev = ev.withColumn("_us", F.unix_micros(F.col("_t").cast("timestamp")))
+    open_us, half_us = open_s * 1_000_000, (open_s + HALF_OPEN_EXTRA_S) * 1_000_000
+    win_us, lock_us = window_s * 1_000_000, PROBE_LOCK_S * 1_000_000
+
+    def init():
+        return {"state": None, "half": None, "probe": None, "fails": 0, "fails_until": None, "flight": {}}
+
+    def step(s, t, kind, cid, good):
+        if kind == 1:                                   # start: the check
+            if _alive(s["state"], t):
+                v = "open"
+            elif _alive(s["half"], t):
+                if _alive(s["probe"], t):
+                    v = "open"
+                else:
+                    s["probe"] = t + lock_us
+                    v = "probe"
+            else:
+                v = "closed"
+            if v != "open":
+                s["flight"][cid] = v == "probe"
+            return v, v != "open", False
+        probe = s["flight"].pop(cid, None)             # end: the outcome of an executed call
+        if probe is None:
+            return None, False, False
+        if good:
+            s.update(state=None, half=None, probe=None, fails=0, fails_until=None)
+            return None, True, False
+        if probe:
+            s.update(state=t + open_us, half=t + half_us, probe=None)
+            return None, True, True
+        if _alive(s["state"], t):
+            return None, True, False
+        if not _alive(s["fails_until"], t):
+            s["fails"], s["fails_until"] = 1, t + win_us
+        else:
+            s["fails"] += 1
+        if s["fails"] >= max_failures:
+            s.update(state=t + open_us, half=t + half_us, fails=0, fails_until=None)
+            return None, True, True
+        return None, True, False
+
+    res = stream_fold(ev, [name], ["_us", "_kind", order], ["_us", "_kind", order, ok], init, step,
+                      [("verdict", "string"), ("executed", "boolean"), ("tripped", "boolean")])
+    starts = res.where("_kind = 1").select(name, order, "verdict", "executed")
+    ends = res.where("_kind = 0").select(name, order, F.col("tripped"))
+    return starts.join(ends, [name, order])

@@ -255,3 +255,12 @@ def cancel_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read_table(spark, sf_dir, "events")
     return e.select(F.col("event_id").alias("req_id"),
                     uuid_from((F.col("event_id") % 9000) * 2).alias("id"), "ts")
+
+
+def timed_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Webhook calls with a duration: end = start + floor(value) seconds (B3 input)."""
+    e = read_table(spark, sf_dir, "events")
+    return e.select(F.col("event_id").alias("call_id"),
+                    F.concat(F.lit("hook_"), s(F.col("user_id") % 4)).alias("name"),
+                    "ts", (F.col("event_type") != "error").alias("ok"),
+                    (F.col("ts") + F.make_dt_interval(secs=F.floor("value").cast("int"))).alias("end_ts"))
