@@ -93,10 +93,14 @@ def breaker_concurrent(calls: DataFrame, name: str = "name", start: str = "ts",
                        ok: str = "ok", order: str = "call_id", max_failures: int = 10,
                        window_s: int = 10, open_s: int = 30) -> DataFrame:
     """Calls with a start (check, probe lock) and an end (outcome).  Starts and ends
-    are interleaved per name (an end sorts before a start at the same instant); the
-    probe flag travels from a call's start to its end inside the state."""
-    ev = (calls.select(name, order, ok, F.col(start).alias("_t"), F.lit(1).alias("_kind"))
-          .unionByName(calls.select(name, order, ok, F.col(end).alias("_t"), F.lit(0).alias("_kind"))))
+    are interleaved per name in time order; the probe flag travels from a call's start
+    to its end inside the state (the in-flight calls of one name)."""
+    # at one instant: ends of calls started earlier, then starts, then ends of calls that
+    # also started at that instant (a zero-length call ends after its own start)
+    ev = (calls.select(name, order, ok, F.col(start).alias("_t"), F.lit(1).alias("_kind"),
+                       F.lit(1).alias("_phase"))
+          .unionByName(calls.select(name, order, ok, F.col(end).alias("_t"), F.lit(0).alias("_kind"),
+                                    F.when(F.col(end) > F.col(start), 0).otherwise(2).alias("_phase"))))
     ev = ev.withColumn("_us", F.unix_micros(F.col("_t").cast("timestamp")))
     open_us, half_us = open_s * 1_000_000, (open_s + HALF_OPEN_EXTRA_S) * 1_000_000
     win_us, lock_us = window_s * 1_000_000, PROBE_LOCK_S * 1_000_000
@@ -139,7 +143,7 @@ def breaker_concurrent(calls: DataFrame, name: str = "name", start: str = "ts",
             return None, True, True
         return None, True, False
 
-    res = stream_fold(ev, [name], ["_us", "_kind", order], ["_us", "_kind", order, ok], init, step,
+    res = stream_fold(ev, [name], ["_us", "_phase", order], ["_us", "_kind", order, ok], init, step,
                       [("verdict", "string"), ("executed", "boolean"), ("tripped", "boolean")])
     starts = res.where("_kind = 1").select(name, order, "verdict", "executed")
     ends = res.where("_kind = 0").select(name, order, F.col("tripped"))
