@@ -22,8 +22,17 @@ def fixed_window_rank(df: DataFrame, key: str, ts: str, order: str) -> DataFrame
 
 
 def limit_fixed(df: DataFrame, key: str, ts: str, order: str, limit: int) -> DataFrame:
-    """L1: admitted iff the request is among the first ``limit`` of its key-second."""
-    return fixed_window_rank(df, key, ts, order).withColumn("allowed", F.col("n") <= limit)
+    """L1: admitted iff the request is among the first ``limit`` of its key-second.
+
+    Only the admitted rows need a rank: ``row_number() <= limit`` plans a partial
+    ``WindowGroupLimit`` before the shuffle (at most ``limit`` rows per key-second per
+    task move), and every row learns its verdict by a join on its id.
+    """
+    d = df.withColumn("sec", epoch_second(ts))
+    w = Window.partitionBy(key, "sec").orderBy(ts, order)
+    admitted = (d.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit)
+                 .select(order, F.lit(True).alias("allowed")))
+    return d.join(admitted, order, "left").withColumn("allowed", F.coalesce("allowed", F.lit(False)))
 
 
 # --------------------------------------------------------------------- L2 sliding log

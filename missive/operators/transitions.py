@@ -51,6 +51,23 @@ def lookup_ids(snapshot: DataFrame, ids: DataFrame, col: str = "id") -> DataFram
     return snapshot.join(ids.select(col), on=col, how="left_semi")
 
 
+def first_per_key(df: DataFrame, key: str, order: str, out: str = "_first") -> DataFrame:
+    """Mark the first row of each key along ``order`` without a per-key window.
+
+    ``min(order)`` per key is a partial aggregate (a hot key is combined map-side); rows
+    equal to it are the first, and only among exact ties (identical order values) does a
+    window run, partitioned by (key, order) - a group of identical rows, not a key.
+    """
+    m = df.groupBy(key).agg(F.min(order).alias("_min"))
+    x = df.join(m, key, "left")
+    w = Window.partitionBy(key, order).orderBy(order)
+    tie = F.row_number().over(w)
+    at_min = F.col(order) == F.col("_min")
+    return (x.withColumn(out, at_min)
+             .withColumn(out, F.when(F.col(out), tie == 1).otherwise(F.lit(False)))
+             .drop("_min"))
+
+
 def backoff(retry_count: Column) -> Column:
     """2^n minutes as a day-time interval (n = retry count before the failure)."""
     return F.make_dt_interval(mins=F.pow(F.lit(2), retry_count).cast("int"))
@@ -83,8 +100,7 @@ def apply_lock(snapshot: DataFrame, msgs: DataFrame, as_of: _dt.datetime,
 
     Returns (new snapshot, per-message verdict ``taken``).
     """
-    w = Window.partitionBy("id").orderBy(order_col)
-    first = msgs.withColumn("_first", F.row_number().over(w) == 1)
+    first = first_per_key(msgs, "id", order_col, "_first")
     cur = snapshot.select("id", "status", "next_retry_at")
     v = first.join(cur, "id", "left")
     taken = F.coalesce(F.col("_first") & lock_eligible(as_of), F.lit(False))
@@ -105,8 +121,8 @@ def apply_cancel(snapshot: DataFrame, requests: DataFrame, as_of: _dt.datetime,
                  order_col: str = "req_id", cancelable=CANCELABLE) -> tuple[DataFrame, DataFrame]:
     """M3: canceled / not_found / refused(current status) per request; the first request
     per id wins, later ones see ``canceled``."""
-    w = Window.partitionBy("id").orderBy(order_col)
-    r = requests.withColumn("_rn", F.row_number().over(w))
+    r = first_per_key(requests, "id", order_col, "_first") \
+        .withColumn("_rn", F.when(F.col("_first"), 1).otherwise(2))
     v = r.join(snapshot.select("id", "status"), "id", "left")
     ok = F.col("status").isin(*cancelable)
     seen = F.when((F.col("_rn") > 1) & ok, F.lit("canceled")).otherwise(F.col("status"))
