@@ -39,28 +39,19 @@ def previous_time(df: DataFrame, key: str, t_us: str, order: list[str], bin_us:
     return y.withColumn(out, F.coalesce(F.col("_lag"), F.col("_before"))).drop("_b", "_lag", "_before")
 
 
-ROWS_PER_GROUP = 20_000
-
-
 def segment_by_gap(df: DataFrame, key: str, t_us: str, order: list[str], gap: Column,
-                   out: str = "_seg", bin_us: int = DAY_US,
-                   rows_per_group: int = ROWS_PER_GROUP) -> DataFrame:
-    """Group the rows of each key into fold units made of whole segments.
+                   out: str = "_seg", bin_us: int = DAY_US) -> DataFrame:
+    """Number the segments of each key's timeline.
 
     A segment starts where ``gap`` (a predicate over ``_prev`` and the row) is true or at
-    the key's first row; there the folded state is provably empty, so a fold may run
-    over several consecutive segments without a reset.  ``out`` numbers units of about
-    ``rows_per_group`` rows (a unit is never cut inside a segment): tiny segments share
-    one ``applyInPandas`` call, a long segment is one unit of its own.
+    the key's first row; there the folded state is provably empty, so segments fold
+    independently.  ``out`` is the running count of starts (binned, no per-key window).
     """
     bin_ = F.floor(F.col(t_us) / F.lit(bin_us))
     p = previous_time(df, key, t_us, order, bin_us)
-    p = p.withColumn("_start", (F.col("_prev").isNull() | gap))
-    p = binned_running(p, [key], [F.col(c) for c in order], bin_, F.lit(1), "sum", "_rc")
-    p = binned_running(p, [key], [F.col(c) for c in order], bin_,
-                       F.when(F.col("_start"), F.col("_rc") - 1).otherwise(F.lit(0)), "max", "_src")
-    return (p.withColumn(out, F.floor(F.col("_src") / rows_per_group).cast("bigint"))
-             .drop("_prev", "_start", "_rc", "_src"))
+    p = p.withColumn("_start", (F.col("_prev").isNull() | gap).cast("int"))
+    p = binned_running(p, [key], [F.col(c) for c in order], bin_, F.col("_start"), "sum", out)
+    return p.withColumn(out, F.col(out).cast("bigint")).drop("_prev", "_start")
 
 
 def _extend(schema, extra):

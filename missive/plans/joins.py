@@ -24,10 +24,12 @@ ADMITTED_SQL = f"""(SELECT * FROM (SELECT *, min(seq) OVER (PARTITION BY idempot
 
 def admitted(spark, sf):
     """Valid requests that are the first valid one of their key, key not yet taken."""
-    ok, _bad = V.validity_split(D.requests(spark, sf))
+    v = V.validate_requests(D.requests(spark, sf))
     # an invalid request never reaches the insert, so it takes no key: first among valid
-    first = ok.groupBy("idempotency_key").agg(F.min("seq").alias("seq"))
-    ok = ok.join(first, ["idempotency_key", "seq"], "left_semi")
+    # (a conditional min, so the validation runs once, inside the aggregate's projection)
+    first = (v.groupBy("idempotency_key").agg(F.min(F.when(F.col("error").isNull(), F.col("seq"))).alias("seq"))
+              .where(F.col("seq").isNotNull()))
+    ok = v.join(first, ["idempotency_key", "seq"], "left_semi").drop("error")
     return J.dedup_against_existing(ok, D.notifications(spark, sf))
 
 

@@ -23,7 +23,10 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     builder = (SparkSession.builder.master(master).appName(app)
                .config("spark.ui.enabled", "false")
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-               .config("spark.driver.memory", "20g"))
+               .config("spark.driver.memory", "20g")
+               # wide generated methods (validation CASE chains) must still be JIT-compiled
+               .config("spark.driver.extraJavaOptions", "-XX:-DontCompileHugeMethods")
+               .config("spark.executor.extraJavaOptions", "-XX:-DontCompileHugeMethods"))
     for k, v in REQUIRED_CONF.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
