@@ -46,17 +46,31 @@ def _fields(v: Column) -> list[Column]:
 
 
 def parse_requests(df: DataFrame, col: str) -> DataFrame:
-    """One body -> error (null = accepted) and the five string fields."""
+    """One body -> error (null = accepted) and the five string fields.
+
+    The body is parsed once and each field looked up once: the parsed value, its map
+    and the field values are separate projections, which Catalyst keeps apart because
+    each is used several times.
+    """
+    keep = [c for c in df.columns if c != col]
     body = F.col(col)
-    v = F.try_parse_json(body)
-    err = (F.when(body == "", "empty_body").when(v.isNull(), "malformed_json")
-           .otherwise(_object_problem(v)))
-    out = df.withColumn("_v", v).withColumn("error", err)
+    x = df.select(*keep, body.alias("_body"), F.try_parse_json(body).alias("_v"))
+    x = x.select(*keep, "_body", "_v", _as_map(F.col("_v")).alias("_m"))
+    x = x.select(*keep, "_body", "_v", "_m",
+                 F.exists(F.map_keys("_m"), lambda k: ~F.lower(k).isin(*REQUEST_FIELDS)).alias("_unknown"),
+                 *[_field(F.col("_m"), f).alias(f"_f_{f}") for f in REQUEST_FIELDS])
+    wrong = None
+    for f in REQUEST_FIELDS:
+        bad = F.coalesce(~F.schema_of_variant(F.col(f"_f_{f}")).isin("STRING", "VOID"), F.lit(False))
+        wrong = bad if wrong is None else (wrong | bad)
+    err = (F.when(F.col("_body") == "", "empty_body").when(F.col("_v").isNull(), "malformed_json")
+           .when(F.col("_m").isNull(), "not_an_object").when(F.col("_unknown"), "unknown_field")
+           .when(wrong, "wrong_type"))
+    x = x.withColumn("error", err)
     ok = F.col("error").isNull()
-    m = _as_map(F.col("_v"))
-    fields = [F.when(ok, F.coalesce(F.variant_get(_field(m, f), "$", "string"), F.lit("")))
+    fields = [F.when(ok, F.coalesce(F.variant_get(F.col(f"_f_{f}"), "$", "string"), F.lit("")))
                .otherwise(F.lit("")).alias(f) for f in REQUEST_FIELDS]
-    return out.select(*[c for c in df.columns if c != col], "error", *fields)
+    return x.select(*keep, "error", *fields)
 
 
 def parse_batches(df: DataFrame, col: str, batch_col: str) -> tuple[DataFrame, DataFrame]:
