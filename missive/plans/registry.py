@@ -20,7 +20,14 @@ def query(key: str, sql: str | None = None, views: tuple[str, ...] = ()):
     def deco(fn: Builder) -> Builder:
         if key in QUERIES:
             raise ValueError(f"duplicate query key {key}")
-        QUERIES[key] = fn
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # the derived inputs are UTC wall-clock times: the session must read them so
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return fn(spark, sf_dir)
+
+        run.__name__, run.__doc__ = fn.__name__, fn.__doc__
+        QUERIES[key] = run
         if sql is not None:
             ORACLE[key] = with_views(sql, *views)
         return fn
