@@ -46,3 +46,13 @@ def normalize_request(df, cols=("idempotency_key", "recipient", "channel", "cont
             v = ulower(v)
         out = out.withColumn(name, v)
     return out
+
+
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body(v)``.
+
+    Projections share common subexpressions, filters do not: a predicate pushed into a
+    scan would re-evaluate (re-parse, re-trim) the value at each reference.  Binding it
+    as the variable of a one-element ``transform`` evaluates it once in every context.
+    """
+    return F.transform(F.array(value), body)[0]

@@ -93,15 +93,19 @@ def dedup_in_batch(reqs: DataFrame, key: str = "idempotency_key", order: str = "
 def poison_payload(payload: Column) -> Column:
     """D3: true when the payload does not decode to an object of six string fields.
 
-    JSON ``null`` decodes to an empty payload and is not poison.  One parse; the type of
-    each field is read by path from the parsed value.
+    JSON ``null`` decodes to an empty payload and is not poison.  The payload is parsed
+    once (``let``) and each field's type read by path from the parsed value.
     """
-    v = F.try_parse_json(payload)
-    sch = F.schema_of_variant(v)
-    wrong = None
-    for f in PAYLOAD_FIELDS:
-        t = F.schema_of_variant(F.variant_get(v, f"$.{f}", "variant"))
-        bad = F.coalesce(~t.isin("STRING", "VOID"), F.lit(False))
-        wrong = bad if wrong is None else (wrong | bad)
-    return (F.when(v.isNull(), True).when(sch == "VOID", False)
-            .when(~sch.startswith("OBJECT"), True).otherwise(wrong))
+    from missive.functions.text import let
+
+    def check(v: Column) -> Column:
+        sch = F.schema_of_variant(v)
+        wrong = None
+        for f in PAYLOAD_FIELDS:
+            t = F.schema_of_variant(F.variant_get(v, f"$.{f}", "variant"))
+            bad = F.coalesce(~t.isin("STRING", "VOID"), F.lit(False))
+            wrong = bad if wrong is None else (wrong | bad)
+        return (F.when(v.isNull(), True).when(sch == "VOID", False)
+                .when(~sch.startswith("OBJECT"), True).otherwise(wrong))
+
+    return let(F.try_parse_json(payload), check)

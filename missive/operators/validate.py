@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from missive.functions.text import byte_len, normalize_request
+from missive.functions.text import byte_len, let, normalize_request
 
 # Limits and the phone pattern of the reference's validation.
 MAX_CONTENT_BYTES = 2048
@@ -45,8 +45,10 @@ def first_error(recipient: Column, content: Column, key: Column, channel: Column
 def validate_requests(df: DataFrame) -> DataFrame:
     """P1+P5+P6: normalise, attach ``error`` (null = valid) and default the priority."""
     n = normalize_request(df)
-    err = first_error(F.col("recipient"), F.col("content"), F.col("idempotency_key"),
-                      F.col("channel"), F.col("priority"))
+    # bound once: a filter on ``error`` would otherwise re-normalise at each reference
+    fields = F.struct("recipient", "content", "idempotency_key", "channel", "priority")
+    err = let(fields, lambda s: first_error(s["recipient"], s["content"], s["idempotency_key"],
+                                            s["channel"], s["priority"]))
     return (n.withColumn("error", err)
              .withColumn("priority", F.when(F.col("priority") == "", "normal")
                          .otherwise(F.col("priority"))))

@@ -289,17 +289,22 @@ def lifecycle_stream(events: DataFrame, delay: str = "3650 days") -> DataFrame:
             now = state.getCurrentWatermarkMs() * 1000
             LC.apply_timers(s, now)
         else:
-            pdf = pd.concat(list(it)).sort_values(order, kind="stable", na_position="first")
-            for t, kind, http, mid in zip(pdf["t"].tolist(), pdf["kind"].tolist(),
-                                          pdf["http_status"].tolist(), pdf["message_id"].tolist()):
+            chunks = list(it)
+            pdf = chunks[0] if len(chunks) == 1 else pd.concat(chunks)
+            rows = list(zip(pdf["t"].tolist(), pdf["rank"].tolist(), pdf["attempt_no"].tolist(),
+                            pdf["http_status"].tolist(), pdf["message_id"].tolist(),
+                            pdf["latency_s"].tolist(), pdf["kind"].tolist()))
+            if len(rows) > 1:                      # total order; nulls first, as in the batch fold
+                rows.sort(key=lambda r: tuple((0, 0) if x is None or x != x else (1, x) for x in r[:6]))
+            for t, _rank, _no, http, mid, _lat, kind in rows:
                 LC.apply_event(s, t, kind, http, mid)
         state.update((s["status"], s["retry"], s["next"], s["ext"], s["upd"], s["n"]))
         due = LC.next_timer(s)
         if due is not None:
             state.setTimeoutTimestamp(max(due // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([{"id": k[0], "status": s["status"], "retry_count": s["retry"],
-                             "next_retry_us": s["next"], "external_id": s["ext"],
-                             "updated_us": s["upd"], "moves": s["n"]}])
+        yield pd.DataFrame({"id": [k[0]], "status": [s["status"]], "retry_count": [s["retry"]],
+                            "next_retry_us": [s["next"]], "external_id": [s["ext"]],
+                            "updated_us": [s["upd"]], "moves": [s["n"]]})
 
     return d.groupBy("id").applyInPandasWithState(fn, out_schema, state_schema, "append",
                                                  GroupStateTimeout.EventTimeTimeout)
