@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from missive.session import ensure_checkpoint_dir
+from missive.session import checkpoint_once, ensure_checkpoint_dir
 
 UNDECIDED, ADMITTED, REFUSED = 0, 1, 2
 
@@ -41,7 +41,7 @@ def batch_atomic_admission(members: DataFrame, batch: str = "batch_no", key: str
         st = st.join(up, "b", "left").select(
             "b", "o", F.when(F.col("_up"), F.lit(REFUSED)).otherwise(F.col("s")).alias("s"),
             F.when(F.col("_up"), F.lit(0)).otherwise(F.col("r")).alias("r"))
-    st = st.checkpoint(eager=True)
+    st = checkpoint_once(st)
     rnd = 0
     while rnd < max_rounds and st.where(F.col("s") == UNDECIDED).limit(1).count() > 0:
         rnd += 1
@@ -61,6 +61,6 @@ def batch_atomic_admission(members: DataFrame, batch: str = "batch_no", key: str
              .otherwise(F.lit(UNDECIDED)).alias("s"),
             F.when((F.col("s") == UNDECIDED) & (F.col("blocked") | F.col("all_first")), F.lit(rnd))
              .otherwise(F.col("r")).alias("r"))
-        st = nxt.checkpoint(eager=True)
+        st = checkpoint_once(nxt)
     return st.select(F.col("b").alias(batch), (F.col("s") == ADMITTED).alias("admitted"),
                      F.col("r").cast("int").alias("round"))

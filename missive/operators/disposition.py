@@ -18,6 +18,7 @@ from missive.operators import joins as J
 from missive.operators import limits as L
 from missive.operators.projections import classify_http
 from missive.operators.transitions import MAX_RETRIES, latest_outcome
+from missive.session import materialize
 
 # Fixed values of the worker (limits per channel, breaker settings).
 CHANNEL_LIMIT, CHANNEL_WINDOW_MS = 100, 1000
@@ -41,10 +42,9 @@ def disposition(messages: DataFrame, snapshot: DataFrame, cancels: DataFrame,
                 attempts: DataFrame, max_retries: int = MAX_RETRIES) -> DataFrame:
     """``messages``: (msg_id, ts, payload).  Returns one row per message with
     ``disposition`` and the notification id it names."""
-    poison = J.poison_payload(F.col("payload"))
-    m = messages.select("msg_id", "ts", poison.alias("poison"),
-                        F.coalesce(F.get_json_object("payload", "$.id"), F.lit("")).alias("nid"),
-                        F.coalesce(F.get_json_object("payload", "$.channel"), F.lit("")).alias("channel"))
+    m = messages.select("msg_id", "ts", J.parse_payload(F.col("payload")).alias("_p"))
+    m = m.select("msg_id", "ts", F.col("_p.poison").alias("poison"), F.col("_p.id").alias("nid"),
+                 F.col("_p.channel").alias("channel"))
     # Live cancel flag (latest cancel within 24 h before the message)
     c = cancels.select(F.col("id").alias("nid"), F.col("ts").alias("cancel_ts"))
     m = J.latest_before(m, c, "nid", "ts", "cancel_ts", J.CANCEL_TTL_SECONDS, "_cancel")
@@ -59,6 +59,10 @@ def disposition(messages: DataFrame, snapshot: DataFrame, cancels: DataFrame,
                ((F.col("status") == "failed_retrying") & (F.col("next_retry_at") <= F.col("ts")))
     first = F.struct("ts", "msg_id") == F.col("_f")
     m = m.withColumn("taken", F.coalesce(F.col("_reach") & first & eligible, F.lit(False)))
+    # the frame feeds the limiter branch and the main branch: write it once to the shared
+    # checkpoint folder instead of re-parsing every payload in each branch
+    m = materialize(m.select("msg_id", "ts", "poison", "nid", "channel", "_cancel", "taken", "status",
+                             "retry_count"), "disposition_messages")
     # L2 over the taken messages only (refused ones are not recorded)
     taken = m.where("taken").select("msg_id", "channel", "ts")
     lim = L.limit_sliding(taken, "channel", "ts", "msg_id", CHANNEL_LIMIT, CHANNEL_WINDOW_MS) \

@@ -90,6 +90,29 @@ def dedup_in_batch(reqs: DataFrame, key: str = "idempotency_key", order: str = "
                     F.coalesce(F.col("batch_has_dup"), F.lit(False)).alias("batch_has_dup"))
 
 
+def _poison_of(v: Column) -> Column:
+    sch = F.schema_of_variant(v)
+    wrong = None
+    for f in PAYLOAD_FIELDS:
+        t = F.schema_of_variant(F.variant_get(v, f"$.{f}", "variant"))
+        bad = F.coalesce(~t.isin("STRING", "VOID"), F.lit(False))
+        wrong = bad if wrong is None else (wrong | bad)
+    return (F.when(v.isNull(), True).when(sch == "VOID", False)
+            .when(~sch.startswith("OBJECT"), True).otherwise(wrong))
+
+
+def parse_payload(payload: Column) -> Column:
+    """D3 + decode: struct(poison, id, channel, priority, recipient), the string fields
+    '' when absent or null (a JSON ``null`` payload decodes to empty).  Meant for a
+    projection, where the one ``try_parse_json`` is shared by all references; inside a
+    filter use ``poison_payload``."""
+    v = F.try_parse_json(payload)
+    get = lambda f: F.coalesce(F.try_variant_get(v, f"$.{f}", "string"), F.lit(""))
+    return F.struct(_poison_of(v).alias("poison"), get("id").alias("id"),
+                    get("channel").alias("channel"), get("priority").alias("priority"),
+                    get("recipient").alias("recipient"))
+
+
 def poison_payload(payload: Column) -> Column:
     """D3: true when the payload does not decode to an object of six string fields.
 
@@ -97,15 +120,4 @@ def poison_payload(payload: Column) -> Column:
     once (``let``) and each field's type read by path from the parsed value.
     """
     from missive.functions.text import let
-
-    def check(v: Column) -> Column:
-        sch = F.schema_of_variant(v)
-        wrong = None
-        for f in PAYLOAD_FIELDS:
-            t = F.schema_of_variant(F.variant_get(v, f"$.{f}", "variant"))
-            bad = F.coalesce(~t.isin("STRING", "VOID"), F.lit(False))
-            wrong = bad if wrong is None else (wrong | bad)
-        return (F.when(v.isNull(), True).when(sch == "VOID", False)
-                .when(~sch.startswith("OBJECT"), True).otherwise(wrong))
-
-    return let(F.try_parse_json(payload), check)
+    return let(F.try_parse_json(payload), _poison_of)

@@ -59,7 +59,7 @@ def global_row_number(df: DataFrame, order: list[str], keys: list[str] | None =
 
     ``order`` must be a total order (unique), as in every use here.
     """
-    from missive.session import ensure_checkpoint_dir, ship_package
+    from missive.session import checkpoint_once, ensure_checkpoint_dir, ship_package
     keys = keys or []
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -68,7 +68,7 @@ def global_row_number(df: DataFrame, order: list[str], keys: list[str] | None =
     sort_cols = [F.col(k) for k in keys] + [F.col(c).desc() if descending else F.col(c) for c in order]
     ranged = (df.repartitionByRange(n, *sort_cols).sortWithinPartitions(*sort_cols)
                 .withColumn("_pid", F.spark_partition_id()))
-    ranged = ranged.checkpoint(eager=True)
+    ranged = checkpoint_once(ranged)
     counts = ranged.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", *keys, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))

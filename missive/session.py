@@ -77,3 +77,27 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(root)))
     sc.addPyFile(out)
     _SHIPPED[key] = out
+
+
+def checkpoint_once(df):
+    """Reliable checkpoint that computes ``df`` once: an RDD checkpoint re-runs its
+    lineage to write unless the data is persisted, so persist, checkpoint, unpersist.
+    Partitioning and order inside partitions are kept (needed by two-pass numbering)."""
+    from pyspark import StorageLevel
+    ensure_checkpoint_dir(df.sparkSession)
+    p = df.persist(StorageLevel.MEMORY_AND_DISK)
+    c = p.checkpoint(eager=True)
+    p.unpersist()
+    return c
+
+
+def materialize(df, name: str):
+    """Write ``df`` as a Parquet table under the shared checkpoint folder and read it
+    back: lineage is cut, a lost executor re-reads files instead of recomputing, and
+    every branch that uses the frame scans it instead of re-deriving it."""
+    import uuid
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
