@@ -10,6 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Exported metric names (the reference's registry names).
+METRIC_HTTP_REQUESTS = "api_http_requests_total"
+METRIC_HTTP_DURATION = "api_request_duration_seconds"
+METRIC_OUTBOX_DEPTH = "notification_outbox_queue_depth"
+METRIC_ZOMBIES = "notification_zombie_recovered_total"
+
 # Bucket bounds of the reference's histograms.
 API_LATENCY_BUCKETS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1, 2.5, 5]
 BATCH_SIZE_BUCKETS = [1, 5, 10, 25, 50, 100, 250, 500, 1000]

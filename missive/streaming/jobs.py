@@ -137,11 +137,13 @@ def cancel_join_stream_stream(messages: DataFrame, cancels: DataFrame, delay: st
                               ttl_hours: int = 24) -> DataFrame:
     """X6, stream-stream: left outer interval join with watermarks on both sides; rows
     without a live flag come out once the watermark passes their interval."""
-    m = messages.withWatermark("ts", delay)
-    c = cancels.select(F.col("id").alias("_cid"), "cancel_ts").withWatermark("cancel_ts", delay)
-    cond = ((m["id"] == c["_cid"]) & (c["cancel_ts"] <= m["ts"])
-            & (m["ts"] < c["cancel_ts"] + F.expr(f"INTERVAL {ttl_hours} HOURS")))
-    return m.join(c, cond, "leftOuter").where(F.col("_cid").isNull()).drop("_cid", "cancel_ts")
+    # event time for watermarks must be TIMESTAMP; the wall-clock inputs are UTC
+    m = messages.withColumn("_mt", F.col("ts").cast("timestamp")).withWatermark("_mt", delay)
+    c = (cancels.select(F.col("id").alias("_cid"), F.col("cancel_ts").cast("timestamp").alias("_ct"))
+         .withWatermark("_ct", delay))
+    cond = ((m["id"] == c["_cid"]) & (c["_ct"] <= m["_mt"])
+            & (m["_mt"] < c["_ct"] + F.expr(f"INTERVAL {ttl_hours} HOURS")))
+    return m.join(c, cond, "leftOuter").where(F.col("_cid").isNull()).drop("_cid", "_ct", "_mt")
 
 
 # ------------------------------------------------------------------ X7 windowed metrics
