@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from missive.operators.ordering import binned_running
 
 DAY_US = 86_400_000_000
+HOUR_US = 3_600_000_000
 
 
 def micros(c) -> Column:
@@ -23,7 +24,7 @@ def micros(c) -> Column:
     return F.unix_micros(x.cast("timestamp"))
 
 
-def previous_time(df: DataFrame, key: str, t_us: str, order: list[str], bin_us: int = DAY_US,
+def previous_time(df: DataFrame, key: str, t_us: str, order: list[str], bin_us: int = HOUR_US,
                   out: str = "_prev") -> DataFrame:
     """Time of the previous row of the same key along ``order`` (first sort key ``t_us``).
 
@@ -40,7 +41,7 @@ def previous_time(df: DataFrame, key: str, t_us: str, order: list[str], bin_us:
 
 
 def segment_by_gap(df: DataFrame, key: str, t_us: str, order: list[str], gap: Column,
-                   out: str = "_seg", bin_us: int = DAY_US) -> DataFrame:
+                   out: str = "_seg", bin_us: int = HOUR_US) -> DataFrame:
     """Number the segments of each key's timeline.
 
     A segment starts where ``gap`` (a predicate over ``_prev`` and the row) is true or at
