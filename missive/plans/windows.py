@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from missive.operators import joins as J
-from missive.operators import metrics as A
 from missive.operators import offsets as O
 from missive.operators import ordering as R
 from missive.plans.registry import query

@@ -16,18 +16,24 @@ REQUIRED_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+# Settings for sessions this package builds itself (tests, bench).
+LOCAL_CONF = {
+    "spark.ui.enabled": "false",
+    "spark.driver.memory": "20g",
+    # wide generated methods (validation CASE chains) must still be JIT-compiled
+    "spark.driver.extraJavaOptions": "-XX:-DontCompileHugeMethods",
+    "spark.executor.extraJavaOptions": "-XX:-DontCompileHugeMethods",
+    # checkpoint files of frames no longer referenced are removed
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+}
+
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
                   app: str = "missive") -> SparkSession:
     """Local session for tests and the bench; on a cluster use the provided session."""
     builder = (SparkSession.builder.master(master).appName(app)
-               .config("spark.ui.enabled", "false")
-               .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-               .config("spark.driver.memory", "20g")
-               # wide generated methods (validation CASE chains) must still be JIT-compiled
-               .config("spark.driver.extraJavaOptions", "-XX:-DontCompileHugeMethods")
-               .config("spark.executor.extraJavaOptions", "-XX:-DontCompileHugeMethods"))
-    for k, v in REQUIRED_CONF.items():
+               .config("spark.sql.shuffle.partitions", str(shuffle_partitions)))
+    for k, v in {**LOCAL_CONF, **REQUIRED_CONF}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
