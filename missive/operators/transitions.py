@@ -241,3 +241,23 @@ def sweep_zombies(snapshot: DataFrame, as_of: _dt.datetime,
         F.lit("NotificationCreated").alias("event_type"), payload_json().alias("payload"),
         F.lit("pending").alias("status"), now.alias("created_at"))
     return new, out
+
+
+def dual_write(valid_requests: DataFrame, out_dir: str, batch_id: Column | None = None) -> tuple[str, str]:
+    """S8 batch form: one admitted frame -> the notifications rows and their outbox rows,
+    both written from the same persisted data (both or none per run; a rerun overwrites
+    both folders).  Returns the two table paths."""
+    from pyspark import StorageLevel
+    rows, outbox = apply_create(valid_requests, batch_id)
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        rows.write.mode("overwrite").parquet(f"{out_dir}/notifications")
+        box = rows.select(
+            F.concat(F.lit("o-"), F.col("id")).alias("id"), F.col("id").alias("aggregate_id"),
+            F.lit("NotificationCreated").alias("event_type"), payload_json().alias("payload"),
+            F.lit("pending").alias("status"), "created_at")
+        box.write.mode("overwrite").parquet(f"{out_dir}/outbox")
+    finally:
+        rows.unpersist()
+    del outbox
+    return f"{out_dir}/notifications", f"{out_dir}/outbox"

@@ -184,3 +184,25 @@ def lifecycle_fold(spark, sf):
     from missive.operators import lifecycle as LC
     ev = LC.event_log(D.notifications(spark, sf), D.attempts(spark, sf), D.cancel_requests(spark, sf))
     return LC.final_rows(LC.lifecycle_fold(ev))
+
+
+@query("dual_write_outbox", f"""SELECT 'o-30000000-0000-4000-8000-' || lpad(CAST(seq AS VARCHAR), 12, '0') AS id,
+  '30000000-0000-4000-8000-' || lpad(CAST(seq AS VARCHAR), 12, '0') AS aggregate_id, 'NotificationCreated' AS event_type
+FROM {ADMITTED_SQL}""", ("requests", "notifications"))
+def dual_write_outbox(spark, sf):
+    """Admitted requests written as notifications + outbox tables under the shared
+    checkpoint folder; the outbox rows whose notification row exists are returned."""
+    import uuid
+    from missive.session import ensure_checkpoint_dir
+    base = ensure_checkpoint_dir(spark).rstrip("/") + f"/tables/dual-{uuid.uuid4().hex[:12]}"
+    rows_path, box_path = M.dual_write(admitted(spark, sf), base)
+    rows = spark.read.parquet(rows_path).select(F.col("id").alias("aggregate_id"))
+    return spark.read.parquet(box_path).join(rows, "aggregate_id", "left_semi") \
+                .select("id", "aggregate_id", "event_type")
+
+
+@query("attempts", """SELECT id, attempt_no, attempt_ts, http_status, message_id, latency_s FROM attempts""",
+       ("attempts",))
+def attempts(spark, sf):
+    """The delivery-attempt facts (webhook outcomes re-aimed as an input table)."""
+    return D.attempts(spark, sf)
