@@ -41,7 +41,7 @@ def histogram(df: DataFrame, labels: list[str], value: str, buckets: list[float]
     series ``sum`` (rounded to ``digits``) and ``count`` on every row."""
     v = F.col(value)
     aggs = [F.count_if(v <= F.lit(b)).alias(f"_b{i}") for i, b in enumerate(buckets)]
-    aggs += [F.round(F.sum(v), digits).alias("sum"), F.count(v).alias("count")]
+    aggs += [F.round(F.sum(v).cast("double"), digits).alias("sum"), F.count(v).alias("count")]
     g = df.groupBy(*labels).agg(*aggs) if labels else df.agg(*aggs)
     arr = F.array(*[F.struct(F.lit(le_label(b)).alias("le"), F.col(f"_b{i}").alias("bucket_count"))
                     for i, b in enumerate(buckets)],

@@ -164,9 +164,9 @@ def batch_listing(spark, sf):
 
 
 @query("batch_status", """SELECT batch_id, count(*) AS total_count,
-  count_if(status = 'pending') AS n_pending, count_if(status = 'processing') AS n_processing,
-  count_if(status = 'delivered') AS n_delivered, count_if(status = 'failed_retrying') AS n_failed_retrying,
-  count_if(status = 'failed_permanently') AS n_failed_permanently, count_if(status = 'canceled') AS n_canceled
+  CAST(count_if(status = 'pending') AS BIGINT) AS n_pending, CAST(count_if(status = 'processing') AS BIGINT) AS n_processing,
+  CAST(count_if(status = 'delivered') AS BIGINT) AS n_delivered, CAST(count_if(status = 'failed_retrying') AS BIGINT) AS n_failed_retrying,
+  CAST(count_if(status = 'failed_permanently') AS BIGINT) AS n_failed_permanently, CAST(count_if(status = 'canceled') AS BIGINT) AS n_canceled
 FROM notifications GROUP BY batch_id""", ("notifications",))
 def batch_status(spark, sf):
     return L.batch_status(D.notifications(spark, sf))

@@ -19,10 +19,11 @@ AS_OF_SQL = "TIMESTAMP '1998-06-01 00:00:00'"
 def _hist_sql(src: str, labels: list[str], value: str, buckets: list[float]) -> str:
     lab = ", ".join(labels)
     sel = (lab + ", ") if labels else ""
-    parts = [f"SELECT {sel}'{A.le_label(b)}' AS le, count_if({value} <= {b}) AS bucket_count, "
-             f"round(sum({value}), 6) AS sum, count({value}) AS count FROM {src}"
+    total = f"round(CAST(sum({value}) AS DOUBLE), 6) AS sum"
+    parts = [f"SELECT {sel}'{A.le_label(b)}' AS le, CAST(count_if({value} <= {b}) AS BIGINT) AS bucket_count, "
+             f"{total}, count({value}) AS count FROM {src}"
              + (f" GROUP BY {lab}" if labels else "") for b in buckets]
-    parts.append(f"SELECT {sel}'+Inf' AS le, count({value}) AS bucket_count, round(sum({value}), 6) AS sum, "
+    parts.append(f"SELECT {sel}'+Inf' AS le, count({value}) AS bucket_count, {total}, "
                  f"count({value}) AS count FROM {src}" + (f" GROUP BY {lab}" if labels else ""))
     return "\nUNION ALL ".join(parts)
 

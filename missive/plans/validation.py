@@ -238,7 +238,7 @@ def client_ip(spark, sf):
 
 
 @query("correlation_id", """SELECT id, CASE WHEN coalesce(correlation_id, '') = '' THEN 'generated' ELSE 'given' END AS source,
-  CASE WHEN coalesce(correlation_id, '') = '' THEN 36 ELSE length(correlation_id) END AS id_len
+  CAST(CASE WHEN coalesce(correlation_id, '') = '' THEN 36 ELSE length(correlation_id) END AS INTEGER) AS id_len
 FROM notifications""", ("notifications",))
 def correlation_id(spark, sf):
     n = D.notifications(spark, sf)

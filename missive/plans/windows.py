@@ -41,8 +41,8 @@ _GAUGE_SQL = """(SELECT topic, tracked_at AS ts, 1 AS delta FROM offset_log
   UNION ALL SELECT topic, done_at, -1 FROM offset_log WHERE done_at IS NOT NULL)"""
 
 
-@query("gauge_over_time", f"""SELECT topic, ts, delta, sum(delta) OVER (PARTITION BY topic ORDER BY ts, delta DESC
-  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS gauge FROM {_GAUGE_SQL}""", ("offset_log",))
+@query("gauge_over_time", f"""SELECT topic, ts, delta, CAST(sum(delta) OVER (PARTITION BY topic ORDER BY ts, delta DESC
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS gauge FROM {_GAUGE_SQL}""", ("offset_log",))
 def gauge_over_time(spark, sf):
     return _gauge(spark, sf)
 
@@ -59,8 +59,8 @@ def _gauge(spark, sf):
 
 
 @query("active_workers", f"""SELECT topic, max(gauge) AS peak, arg_max(gauge, (ts, -delta)) AS last_value FROM (
-  SELECT topic, ts, delta, sum(delta) OVER (PARTITION BY topic ORDER BY ts, delta DESC
-  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS gauge FROM {_GAUGE_SQL}) GROUP BY topic""", ("offset_log",))
+  SELECT topic, ts, delta, CAST(sum(delta) OVER (PARTITION BY topic ORDER BY ts, delta DESC
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS gauge FROM {_GAUGE_SQL}) GROUP BY topic""", ("offset_log",))
 def active_workers(spark, sf):
     """Gauge per topic over time (W3); peak and final value."""
     g = _gauge(spark, sf)
