@@ -171,3 +171,8 @@ def rfc3339(expr: str) -> str:
 VIEWS["cancel_requests"] = """
 SELECT event_id AS req_id, '00000000-0000-4000-8000-' || lpad(CAST((event_id % 9000) * 2 AS VARCHAR), 12, '0') AS id, ts
 FROM events"""
+
+VIEWS["timed_calls"] = """
+SELECT event_id AS call_id, 'hook_' || CAST(user_id % 4 AS VARCHAR) AS name, ts, event_type <> 'error' AS ok,
+  ts + to_seconds(CAST(floor(value) AS BIGINT)) AS end_ts
+FROM events"""

@@ -66,9 +66,55 @@ def topic_source(spark, sf):
 
 
 # --------------------------------------------------------------------------- B3
-@query("breaker_concurrent")
+def _b3_sql(max_failures: int, window_s: int, open_s: int) -> str:
+    us = "CAST(1000000 AS BIGINT)"
+    alive = lambda x: f"({x} IS NOT NULL AND t < {x})"
+    trips = f"(CASE WHEN {alive('fu')} THEN fails + 1 ELSE 1 END) >= {max_failures}"
+    nxt = f"(CASE WHEN {alive('fu')} THEN fails + 1 ELSE 1 END)"
+    # end of an executed, non-probe failing call while the breaker is closed
+    closed_fail = f"(kind = 0 AND found AND NOT ok AND NOT probe AND NOT {alive('st')})"
+    clear = "(kind = 0 AND found AND ok)"
+    reopen = "(kind = 0 AND found AND NOT ok AND probe)"
+    return f"""WITH RECURSIVE ev AS (
+  SELECT name, call_id, ok, t, kind, row_number() OVER (PARTITION BY name ORDER BY t, phase, call_id) AS rn FROM (
+    SELECT name, call_id, ok, epoch_us(ts) AS t, 1 AS kind, 1 AS phase FROM timed_calls
+    UNION ALL SELECT name, call_id, ok, epoch_us(end_ts), 0, CASE WHEN end_ts > ts THEN 0 ELSE 2 END FROM timed_calls)),
+r AS (
+  SELECT name, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS st, CAST(NULL AS BIGINT) AS hf,
+    CAST(NULL AS BIGINT) AS pr, 0 AS fails, CAST(NULL AS BIGINT) AS fu,
+    CAST([] AS STRUCT(cid BIGINT, probe BOOLEAN)[]) AS flight, CAST(NULL AS BIGINT) AS call_id, 0 AS kind,
+    CAST(NULL AS VARCHAR) AS verdict, false AS tripped FROM (SELECT DISTINCT name FROM ev)
+  UNION ALL
+  SELECT name, rn,
+    CASE WHEN {clear} THEN NULL WHEN {reopen} THEN t + {open_s} * {us}
+         WHEN {closed_fail} AND {trips} THEN t + {open_s} * {us} ELSE st END,
+    CASE WHEN {clear} THEN NULL WHEN {reopen} THEN t + {open_s + 5} * {us}
+         WHEN {closed_fail} AND {trips} THEN t + {open_s + 5} * {us} ELSE hf END,
+    CASE WHEN kind = 1 AND v = 'probe' THEN t + 10 * {us} WHEN {clear} OR {reopen} THEN NULL ELSE pr END,
+    CASE WHEN {clear} THEN 0 WHEN {closed_fail} THEN CASE WHEN {trips} THEN 0 ELSE {nxt} END ELSE fails END,
+    CASE WHEN {clear} THEN NULL WHEN {closed_fail} THEN
+           CASE WHEN {trips} THEN NULL WHEN {alive('fu')} THEN fu ELSE t + {window_s} * {us} END
+         ELSE fu END,
+    CASE WHEN kind = 1 AND v <> 'open' THEN list_append(flight, {{'cid': call_id, 'probe': v = 'probe'}})
+         WHEN kind = 0 THEN list_filter(flight, lambda x: x.cid <> call_id) ELSE flight END,
+    call_id, kind, CASE WHEN kind = 1 THEN v END,
+    kind = 0 AND ({reopen} OR ({closed_fail} AND {trips}))
+  FROM (SELECT *, len(list_filter(flight, lambda x: x.cid = call_id)) > 0 AS found,
+      coalesce(list_filter(flight, lambda x: x.cid = call_id)[1].probe, false) AS probe,
+      CASE WHEN {alive('st')} THEN 'open'
+           WHEN {alive('hf')} THEN CASE WHEN {alive('pr')} THEN 'open' ELSE 'probe' END
+           ELSE 'closed' END AS v
+    FROM (SELECT e.name, e.rn, e.call_id, e.ok, e.t, e.kind, r.st, r.hf, r.pr, r.fails, r.fu, r.flight
+          FROM r JOIN ev e ON e.name = r.name AND e.rn = r.rn + 1)))
+SELECT s.call_id, s.name, s.verdict, s.verdict <> 'open' AS executed, e.tripped
+FROM (SELECT * FROM r WHERE rn > 0 AND kind = 1) s JOIN (SELECT * FROM r WHERE rn > 0 AND kind = 0) e
+  ON e.name = s.name AND e.call_id = s.call_id"""
+
+
+@query("breaker_concurrent", _b3_sql(**BREAKER), ("timed_calls",))
 def breaker_concurrent(spark, sf):
-    """B3 (no SQL oracle; tested against a direct replay on a fixture)."""
+    """Breaker replay over interleaved call starts and ends (probe lock held while
+    a probe is in flight)."""
     c = D.timed_calls(spark, sf)
     return B.breaker_concurrent(c, **BREAKER).select("call_id", "name", "verdict", "executed", "tripped")
 
