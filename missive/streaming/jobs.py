@@ -90,8 +90,10 @@ def admission(requests: DataFrame, existing_keys: DataFrame, name: str = "admiss
 def admission_bounded(requests: DataFrame, horizon: str = "24 hours") -> DataFrame:
     """X1 with bounded state: duplicates are dropped only within the watermark horizon."""
     valid = V.validate_requests(requests).where(F.col("error").isNull()).drop("error")
-    return (valid.withWatermark("arrival_ts", horizon)
-                 .dropDuplicatesWithinWatermark(["idempotency_key"]))
+    # event time for the watermark must be TIMESTAMP; arrival times are UTC wall clock
+    return (valid.withColumn("_ets", F.col("arrival_ts").cast("timestamp"))
+                 .withWatermark("_ets", horizon)
+                 .dropDuplicatesWithinWatermark(["idempotency_key"]).drop("_ets"))
 
 
 # ------------------------------------------------------------------------ X2 routing

@@ -38,3 +38,15 @@ def test_stream_dlq_split_covers_every_row(spark):
     dlq = spark.read.parquet(f"{out}/dlq").count()
     topics = spark.read.parquet(f"{out}/topics").count()
     assert dlq + topics == D.outbox(spark, SF_SMALL).count() and dlq > 0
+
+
+def test_bounded_admission_keeps_one_row_per_key(spark):
+    from pyspark.sql import functions as F
+    from missive.operators import validate as V
+    with streaming_tables("events"):
+        reqs = D.requests(spark, SF_SMALL)
+    out = X.run_to_parquet(X.admission_bounded(reqs, "24 hours").drop("error"), "t_bounded")
+    got = spark.read.parquet(out)
+    valid = V.validate_requests(D.requests(spark, SF_SMALL)).where(F.col("error").isNull())
+    assert got.count() == valid.select("idempotency_key").distinct().count()
+    assert got.groupBy("idempotency_key").count().where("count > 1").count() == 0
