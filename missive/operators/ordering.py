@@ -22,6 +22,10 @@ from pyspark.sql import types as T
 
 _AGGS = {"sum": F.sum, "max": F.max, "min": F.min}
 
+# Offsets tables up to this many rows are sent to the tasks with the closure; larger
+# ones (very many small keys) are joined instead.
+OFFSETS_COLLECT_LIMIT = 100_000
+
 
 def binned_running(df: DataFrame, keys: list[str], order: list[Column], bin_expr: Column,
                    value: Column, how: str = "sum", out: str = "running") -> DataFrame:
@@ -75,7 +79,7 @@ def global_row_number(df: DataFrame, order: list[str], keys: list[str] | None =
     # the offsets table has one row per (partition, key) present: bounded by
     # #partitions + #distinct keys; collected once to the driver only when small
     n_off = offsets.count()
-    if n_off <= 100_000:
+    if n_off <= OFFSETS_COLLECT_LIMIT:
         table = {tuple(r[: len(keys) + 1]): r[-1]
                  for r in offsets.select("_pid", *keys, "_off").collect()}
         kcols = ["_pid", *keys]

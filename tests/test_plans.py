@@ -21,6 +21,17 @@ def test_global_row_number_matches_window(spark):
     assert sorted(got.select("id", "rn").collect()) == sorted(want.select("id", "rn").collect())
 
 
+def test_global_row_number_join_path(spark, monkeypatch):
+    monkeypatch.setattr(R, "OFFSETS_COLLECT_LIMIT", 0)
+    rnd = random.Random(4)
+    rows = [(i, rnd.choice("ab"), rnd.randint(0, 30)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, k string, v long")
+    got = R.global_row_number(df, ["v", "id"], keys=["k"], num_partitions=5, descending=True)
+    w = Window.partitionBy("k").orderBy(F.col("v").desc(), F.col("id").desc())
+    want = df.withColumn("rn", F.row_number().over(w))
+    assert sorted(got.select("id", "rn").collect()) == sorted(want.select("id", "rn").collect())
+
+
 def test_binned_running_matches_window(spark):
     rnd = random.Random(2)
     rows = [(i, rnd.choice("ab"), rnd.randint(-5, 5)) for i in range(4000)]
@@ -38,6 +49,10 @@ def test_batch_atomic_admission_chain(spark):
     df = spark.createDataFrame([(b, k, b) for b, k in mem], "batch_no long, key string, batch_order long")
     got = {r["batch_no"]: r["admitted"] for r in batch_atomic_admission(df).collect()}
     assert got == {1: False, 2: True, 3: False, 4: True}
+    # refusing batch 2 up front (say, an invalid row) frees y for batch 3
+    up = spark.createDataFrame([(2,)], "batch_no long")
+    got = {r["batch_no"]: r["admitted"] for r in batch_atomic_admission(df, refused_upfront=up).collect()}
+    assert got == {1: False, 2: False, 3: True, 4: True}
 
 
 def _snap(spark, rows):
