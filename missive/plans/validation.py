@@ -252,3 +252,19 @@ def correlation_id(spark, sf):
 def webhook_body(spark, sf):
     n = D.notifications(spark, sf)
     return n.select("id", projections.webhook_body().alias("body"))
+
+
+@query("correlation_trace", """SELECT n.correlation_id, count(a.id) AS attempts, count(DISTINCT n.id) AS notifications,
+  min(a.attempt_ts) AS first_attempt, max(a.attempt_ts) AS last_attempt
+FROM notifications n LEFT JOIN attempts a ON a.id = n.id
+WHERE n.correlation_id IS NOT NULL GROUP BY n.correlation_id""", ("notifications", "attempts"))
+def correlation_trace(spark, sf):
+    """P26 trace: everything that happened under one correlation id (attempts joined to
+    their notification, then one partial/final aggregate per correlation id)."""
+    n = D.notifications(spark, sf).where(F.col("correlation_id").isNotNull()).select("id", "correlation_id")
+    a = D.attempts(spark, sf).select(F.col("id").alias("aid"), "attempt_ts")
+    j = n.join(a, n["id"] == a["aid"], "left")
+    return j.groupBy("correlation_id").agg(F.count("aid").alias("attempts"),
+                                           F.count_distinct("id").alias("notifications"),
+                                           F.min("attempt_ts").alias("first_attempt"),
+                                           F.max("attempt_ts").alias("last_attempt"))
