@@ -86,11 +86,15 @@ def apply_create(valid_requests: DataFrame, batch_id: Column | None = None,
         F.lit(0).alias("retry_count"), F.lit(None).cast("timestamp_ntz").alias("next_retry_at"),
         F.lit(None).cast("string").alias("correlation_id"),
         F.col(created_at).alias("created_at"), F.col(created_at).alias("updated_at"))
-    outbox = rows.select(
+    return rows, outbox_rows(rows)
+
+
+def outbox_rows(rows: DataFrame) -> DataFrame:
+    """The 'NotificationCreated' outbox row of each new notification row."""
+    return rows.select(
         F.concat(F.lit("o-"), F.col("id")).alias("id"),
         F.col("id").alias("aggregate_id"), F.lit("NotificationCreated").alias("event_type"),
         payload_json().alias("payload"), F.lit("pending").alias("status"), "created_at")
-    return rows, outbox
 
 
 # ------------------------------------------------------------------------ M2 lock
@@ -248,16 +252,11 @@ def dual_write(valid_requests: DataFrame, out_dir: str, batch_id: Column | None
     both written from the same persisted data (both or none per run; a rerun overwrites
     both folders).  Returns the two table paths."""
     from pyspark import StorageLevel
-    rows, outbox = apply_create(valid_requests, batch_id)
+    rows, _ = apply_create(valid_requests, batch_id)
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         rows.write.mode("overwrite").parquet(f"{out_dir}/notifications")
-        box = rows.select(
-            F.concat(F.lit("o-"), F.col("id")).alias("id"), F.col("id").alias("aggregate_id"),
-            F.lit("NotificationCreated").alias("event_type"), payload_json().alias("payload"),
-            F.lit("pending").alias("status"), "created_at")
-        box.write.mode("overwrite").parquet(f"{out_dir}/outbox")
+        outbox_rows(rows).write.mode("overwrite").parquet(f"{out_dir}/outbox")
     finally:
         rows.unpersist()
-    del outbox
     return f"{out_dir}/notifications", f"{out_dir}/outbox"
