@@ -3,7 +3,7 @@
 A limiter or breaker decision depends on every earlier decision of its key, so some
 sequential fold is unavoidable.  What Spark can do is cut each key's timeline where the
 state provably resets (an idle gap longer than every expiry), and fold the pieces in
-parallel with ``applyInPandas``.  Finding the cuts needs "previous time of the same key",
+parallel with ``mapInPandas`` over sorted partitions.  Finding the cuts needs "previous time of the same key",
 computed in time bins so that few or hot keys still spread over many tasks.
 """
 
