@@ -29,7 +29,7 @@ THRESHOLDS = (
     ("word_chars", "<", 2, "n_words", 1),          # mean word length under 2
     ("word_chars", ">", 16, "n_words", 1),         # mean word length over 16
     ("n_stop_words", "<", 4, "n_words", 100),      # stop words: under 4 per 100 words
-    ("n_dup_lines", ">", 30, "n_lines", 100),      # repeated lines: over 30 of 100
+    ("n_dup_lines", ">", 50, "n_lines", 100),      # repeated lines: over half
     ("n_bullet_lines", ">", 90, "n_lines", 100),   # lines that start with a list mark
     ("n_ellipsis_lines", ">", 30, "n_lines", 100),  # lines that end in an ellipsis
     ("n_upper_words", ">", 50, "n_words", 100),    # words in capitals: over half
@@ -57,32 +57,37 @@ def _repeated_places(h: Column) -> Column:
 
 
 def _n_repeat_words(w: Column) -> Column:
-    windows = F.transform(F.sequence(F.lit(0), F.size(w) - 5),
-                          lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(5)]))
+    """Words in 5-word windows found twice or more; windows are hashes of word hashes."""
+    windows = let(F.transform(w, lambda x: F.xxhash64(x)), lambda c: F.transform(
+        F.sequence(F.lit(0), F.size(c) - 5), lambda i: F.xxhash64(*[F.get(c, i + k) for k in range(5)])))
     covered = let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long"))
                   .otherwise(let(_repeated_places(h), _covered)))
     return F.when(F.size(w) < 6, F.lit(0).cast("long")).otherwise(covered)
 
 
+BLANKS = " \t\n\x0b\x0c\r"
+
+
 def measures(text: Column) -> dict[str, Column]:
     """Measures of a text as DataFrame expressions (all long)."""
     t = F.coalesce(text, F.lit(""))
     stop = sorted({w for ws in STOP_WORDS.values() for w in ws.split()})
-    stop_re = r"(?<![^\x20\x09-\x0D])(?:" + "|".join(stop) + r")(?=[.,;:!?]?(?:[\x20\x09-\x0D]|$))"
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD_CLASS))
-    in_words = let(words_of(t), lambda w: F.struct(F.size(w).cast("long").alias("n_words"),
-                                                    _n_repeat_words(w).alias("n_repeat_words")))
+    in_words = let(words_of(t), lambda w: F.struct(
+        F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+        _n_repeat_words(w).alias("n_repeat_words"),
+        F.size(F.filter(w, lambda x: F.lower(x).isin(stop))).cast("long").alias("n_stop_words")))
     in_lines = let(lines, lambda ls: F.struct(
         F.size(ls).cast("long").alias("n_lines"),
         (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
         F.size(F.filter(ls, lambda x: x.rlike(r"^[\x20\x09-\x0D]*[-*•·]"))).cast("long").alias("n_bullet_lines"),
-        F.size(F.filter(ls, lambda x: x.rlike(r"(\.\.\.|…)[\x20\x09-\x0D]*$"))).cast("long").alias("n_ellipsis_lines")))
+        F.size(F.filter(F.transform(ls, lambda x: F.rtrim(x, F.lit(BLANKS))), lambda x: x.endswith("...") | x.endswith("…")))
+        .cast("long").alias("n_ellipsis_lines")))
     return {
         "in_words": in_words, "in_lines": in_lines,
-        "word_chars": F.length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("long"),
-        "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
-        "n_stop_words": F.regexp_count(F.lower(t), F.lit(stop_re)).cast("long"),
-        "n_upper_words": F.regexp_count(t, F.lit(r"(?<![^\x20\x09-\x0D])\p{Lu}{2,}(?=\P{L}*(?:[\x20\x09-\x0D]|$))")).cast("long"),
+        "n_symbols": F.regexp_count(t, F.lit("[" + SYMBOLS + "]")).cast("long"),
+        # the first capital is tried before the look-behind: other characters cost one test
+        "n_upper_words": F.regexp_count(t, F.lit(r"\p{Lu}(?<![^\x20\x09-\x0D].)\p{Lu}+(?=\P{L}*(?:[\x20\x09-\x0D]|$))")).cast("long"),
     }
 
 
@@ -108,7 +113,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     each; other columns of ``docs`` are not read.
     """
     out = docs.select(F.col(id_col), *[c.alias(n) for n, c in measures(F.col(text_col)).items()])
-    out = out.select(F.col(id_col), "word_chars", "n_symbols", "n_stop_words", "n_upper_words", "in_words.*", "in_lines.*")
+    out = out.select(F.col(id_col), "n_symbols", "n_upper_words", "in_words.*", "in_lines.*")
     base = (F.col("n_words") < 10) | (F.lit(100) * F.col("n_repeat_words") > F.lit(20) * F.col("n_words"))
     bad = compile_rules(thresholds)
     return out.select(F.col(id_col), *MEASURES, base.alias("base_failed"), bad.alias("rules_failed"),

@@ -77,7 +77,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- 4: quality rules ------------------------------------------------------------------
 
-_STOP = "|".join(sorted({w for ws in STOP_WORDS.values() for w in ws.split()}))
+_STOP = ", ".join(repr(w) for w in sorted({w for ws in STOP_WORDS.values() for w in ws.split()}))
 OP4_SQL = f"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t,
@@ -93,14 +93,14 @@ m AS (
          (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols,
          len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
          coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
-         len(list_filter(w, lambda x: regexp_full_match(lower(x), '({_STOP})[.,;:!?]?')))::BIGINT AS n_stop_words,
+         len(list_filter(w, lambda x: lower(x) IN ({_STOP})))::BIGINT AS n_stop_words,
          len(list_filter(ls, lambda x: regexp_matches(x, '^[\\x20\\x09-\\x0D]*[-*•·]')))::BIGINT AS n_bullet_lines,
          len(list_filter(ls, lambda x: regexp_matches(x, '(\\.\\.\\.|…)[\\x20\\x09-\\x0D]*$')))::BIGINT AS n_ellipsis_lines,
          len(list_filter(w, lambda x: regexp_full_match(x, '\\p{{Lu}}{{2,}}\\P{{L}}*')))::BIGINT AS n_upper_words
   FROM d LEFT JOIN cov USING (doc_id)),
 b AS (SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
         (100 * n_symbols > 10 * n_words OR word_chars < 2 * n_words OR word_chars > 16 * n_words
-         OR 100 * n_stop_words < 4 * n_words OR 100 * n_dup_lines > 30 * n_lines OR 100 * n_bullet_lines > 90 * n_lines
+         OR 100 * n_stop_words < 4 * n_words OR 100 * n_dup_lines > 50 * n_lines OR 100 * n_bullet_lines > 90 * n_lines
          OR 100 * n_ellipsis_lines > 30 * n_lines OR 100 * n_upper_words > 50 * n_words) AS rules_failed FROM m)
 SELECT *, NOT base_failed AND NOT rules_failed AS kept FROM b
 """
