@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from missive.llm.mixing import mixture
+from missive.llm.near_dups import near_duplicates
 from missive.llm.quality_rules import STOP_WORDS, quality_rules
+from missive.llm.substring_dedup import substring_digest
 from missive.llm.url_filters import host_of, path_of, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,3 +161,46 @@ SELECT page_id, fetched_on, host, coalesce(n, 0)::BIGINT AS n_active, f.key AS e
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return url_filter(captures_of(pages), list_entries_of(pages))
+
+
+# --- 6: substring dedup ----------------------------------------------------------------
+
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 19), ' ')) AS g FROM d, unnest(generate_series(1, len(w) - 19)) u(i) WHERE len(w) >= 20),
+dup AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS r FROM win) WHERE r > 1),
+gone AS (SELECT doc_id, list(DISTINCT i + k) AS places FROM dup, generate_series(0, 19) g(k) GROUP BY doc_id),
+kept AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(places), 0)::BIGINT AS n_removed FROM d LEFT JOIN gone USING (doc_id)),
+words AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS s FROM (
+    SELECT d.doc_id, i, w[i] AS x FROM d, unnest(generate_series(1, len(w))) u(i)) v
+    ANTI JOIN (SELECT doc_id, unnest(places) AS i FROM gone) g ON v.doc_id = g.doc_id AND v.i = g.i GROUP BY doc_id)
+SELECT doc_id, n_words, n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM kept LEFT JOIN words USING (doc_id)
+"""
+
+
+@query("op6_substring_dedup", OP6_SQL)
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_digest(table(spark, sf_dir, "documents"))
+
+
+# --- 7: near-duplicates ----------------------------------------------------------------
+
+OP7_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                             '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS g
+      FROM d, unnest(generate_series(1, greatest(1, len(w) - 1))) u(i) WHERE len(w) >= 1),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+inter AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM inter JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 80 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.b FROM reach r JOIN both_ways l ON r.y = l.a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id, c = doc_id AS kept
+FROM documents LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS c FROM reach GROUP BY x) USING (doc_id)
+"""
+
+
+@query("op7_near_dups", OP7_SQL)
+def op7_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
