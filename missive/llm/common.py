@@ -98,7 +98,7 @@ def one_row_per_id(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         return docs
     again = shared_table(again, "again")
     once = docs.join(again, key, "left_anti")
-    text = F.col("text") if "text" in docs.columns else F.lit(0)
+    text = F.col("text") if "text" in docs.columns else F.to_json(F.struct(*docs.columns))
     many = docs.join(again, key, "left_semi").withColumn("__size", F.struct(F.length(text), text))
     return once.unionByName(many.groupBy(key).agg(F.min_by(F.struct(*docs.columns), "__size").alias("__row"))
                             .select("__row.*").select(docs.columns))

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from missive.llm.mixing import mixture
 from missive.llm.near_dups import near_duplicates
+from missive.llm.packing import pack
 from missive.llm.quality_rules import STOP_WORDS, quality_rules
 from missive.llm.substring_dedup import substring_digest
+from missive.llm.topk import exact_top_k
 from missive.llm.url_filters import host_of, path_of, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -204,3 +206,31 @@ FROM documents LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS c
 @query("op7_near_dups", OP7_SQL)
 def op7_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
+# --- 2: exact top-k --------------------------------------------------------------------
+
+OP2_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id,
+             list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+"""
+
+
+@query("op2_exact_topk", OP2_SQL)
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec = table(spark, sf_dir, "embeddings").select("vec_id", F.expr(
+        "transform(embedding, x -> CASE WHEN abs(CAST(x AS DOUBLE)) < double('infinity') THEN CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE) ELSE CAST(x AS DOUBLE) END)").alias("embedding"))
+    out = exact_top_k(vec, F.expr("vec_id % 100 = 0"))
+    return out.select("query_id", "rank", F.col("id").alias("vec_id"), F.col("score").cast("long").alias("score"))
+
+
+# --- 3: packing ------------------------------------------------------------------------
+
+@query("op3_best_fit_packing")
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
