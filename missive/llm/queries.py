@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from missive.llm.labelled import remainder
 from missive.llm.mixing import mixture
 from missive.llm.near_dups import near_duplicates
 from missive.llm.packing import pack
+from missive.llm.quality_crf import fit_quality, quality
 from missive.llm.quality_rules import STOP_WORDS, quality_rules
 from missive.llm.substring_dedup import substring_digest
 from missive.llm.topk import exact_top_k
+from missive.llm.toxicity import fit_toxicity, toxicity
 from missive.llm.url_filters import host_of, path_of, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -234,3 +237,24 @@ def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_best_fit_packing")
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
+
+
+# --- 8 and 9: toxicity and quality -----------------------------------------------------
+
+def _scored(docs: DataFrame, rem: int, out: int) -> DataFrame:
+    held = F.coalesce(remainder("doc_id", rem) == out, F.lit(False))
+    return docs.withColumn("held_out", held).withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = fit_toxicity(docs, labels, remainder("doc_id", 4) != 2)
+    return _scored(toxicity(docs, model), 4, 2).select("doc_id", "held_out", "score", "predicted", "n_hits", "n_words")
+
+
+@query("op9_quality_classifier")
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = fit_quality(docs, labels, remainder("doc_id", 5) != 0)
+    return _scored(quality(docs, model), 5, 0).select("doc_id", "held_out", "score", "predicted", "line_quality", "n_lines")
