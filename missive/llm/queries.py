@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from missive.llm.language_id import MARKUP_RE, fit_languages, identify, visible_text
 from missive.llm.labelled import remainder
 from missive.llm.mixing import mixture
 from missive.llm.near_dups import near_duplicates
@@ -258,3 +259,25 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = fit_quality(docs, labels, remainder("doc_id", 5) != 0)
     return _scored(quality(docs, model), 5, 0).select("doc_id", "held_out", "score", "predicted", "line_quality", "n_lines")
+
+
+# --- 5: language identification --------------------------------------------------------
+
+def _declared(sf_dir=None) -> dict:
+    """Evidence a document table carries: its declared language and its source as host."""
+    return {"declared": F.col("lang"), "host": F.col("source")}
+
+
+@query("op5_language_id")
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, fit_languages(docs), **_declared())
+
+
+@query("language_id_pages")
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator over web pages, with markup language, address suffix and host."""
+    pages = table(spark, sf_dir, "pages")
+    host = host_of(F.col("url"))
+    return identify(pages.withColumn("visible", visible_text(F.col("html"))), fit_languages(table(spark, sf_dir, "documents")), "page_id", "visible",
+                    declared=F.regexp_extract("html", MARKUP_RE, 1), suffix=F.regexp_extract(host, r"\.([^.]+)$", 1), host=host)
