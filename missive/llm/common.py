@@ -31,15 +31,16 @@ def settings(spark: SparkSession, **conf: str):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def shared_table(df: DataFrame, name: str) -> DataFrame:
+def shared_table(df: DataFrame, name: str, **conf: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 
     Lineage is cut (a lost executor re-reads files), and the shuffle files of the job go
-    as soon as it ends, so the disk need is that of one step, not of all.
+    as soon as it ends, so the disk need is that of one step, not of all.  ``conf``:
+    further settings (dots as two underscores) for this job.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
-    with settings(spark, **{CLEANUP.replace(".", "__"): "true"}):
+    with settings(spark, **{CLEANUP.replace(".", "__"): "true"}, **conf):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -57,6 +58,25 @@ def drop_tables(*frames: DataFrame) -> None:
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+# A join of all texts with the few ids that need them: texts of other ids are dropped by a
+# Bloom filter of the ids before the shuffle (it only ever lets too much pass).
+ID_FILTER = {
+    "spark__sql__autoBroadcastJoinThreshold": "-1",       # the ids have no bound: one plan at every size
+    "spark__sql__optimizer__runtime__bloomFilter__enabled": "true",
+    "spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold": "1MB",
+    "spark__sql__optimizer__runtime__bloomFilter__creationSideThreshold": "1GB",
+}
+
+
+def texts_of(texts: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """``texts`` joined with ``ids`` on ``key``.
+
+    The ids grow with the corpus, so they are never broadcast: one plan at every size, a
+    shuffled hash join that neither sorts the texts nor needs a bound on the ids.
+    """
+    return texts.join(ids.where(F.col(key) > F.lit(-(1 << 63))).hint("shuffle_hash"), key)
+
+
 def let(value: Column, body) -> Column:
     """``body(v)`` with ``value`` evaluated once per row, however often ``v`` is used."""
     return F.transform(F.array(value), body)[0]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from missive.llm.common import arrow_rows, one_row_per_id, shared_table
+from missive.llm.common import arrow_rows, shared_table
 from missive.llm.words import slices
 from missive.session import ship_package
 
@@ -71,7 +71,9 @@ def log_likelihoods(buf: np.ndarray, off: np.ndarray, table: np.ndarray) -> np.n
     return out
 
 
-def _text_evidence(table: np.ndarray):
+def _text_evidence(table: np.ndarray, with_text: bool):
+    """(row, text, declared, suffix, host) to the same, with or without the text, and the
+    relative log-likelihoods, the best language and the number of letters."""
     def run(batches):
         for b in batches:
             ll = np.zeros((b.num_rows, table.shape[1]))
@@ -83,9 +85,10 @@ def _text_evidence(table: np.ndarray):
                 letters[i:j] = n[off[1:]] - n[off[:-1]]
             rel = np.round(ll - ll.max(1, keepdims=True), 6)
             off = np.arange(0, rel.size + 1, rel.shape[1], dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0)] + [b.column(c) for c in range(2, b.num_columns)] + [
+            names = [n for n in b.schema.names if with_text or n != "text"]
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(n)) for n in names] + [
                 pa.ListArray.from_arrays(pa.array(off), pa.array(rel.ravel())), pa.array(rel.argmax(1).astype(np.int32)), pa.array(letters)],
-                names=["row", *b.schema.names[2:], "ll", "best", "letters"])
+                names=[*names, "ll", "best", "letters"])
     return run
 
 
@@ -105,14 +108,13 @@ def fit_languages(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
     return train(texts, names) if names else ([], np.zeros((BUCKETS, 1), np.float32))
 
 
-def _log(c: Column) -> Column:
-    return F.log(c)
-
-
 def identify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", declared: Column | None = None,
              suffix: Column | None = None, host: Column | None = None, accept=None, least: float = 0.5,
-             min_letters: int = 3, strength: float = STRENGTH, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: id, ``language``, ``probability``, ``text_language`` (text alone), ``kept``, and the ``carry`` columns.
+             min_letters: int = 3, strength: float = STRENGTH, whole: bool = False) -> DataFrame:
+    """Per row: id, ``language``, ``probability``, ``text_language`` (text alone), ``kept``.
+
+    ``whole``: the rows kept, with the columns of ``docs``, instead; the texts' evidence is
+    then computed again beside the rows, so that no text is stored or shuffled.
 
     ``declared``, ``suffix`` and ``host`` are expressions on the columns of ``docs``; a
     missing or null one is no evidence.  Kept: the most probable language is one of
@@ -131,11 +133,16 @@ def identify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "te
     none = F.lit(None).cast("string")
     declared_code = none if declared is None else F.lower(F.regexp_extract(declared, r"^\s*([A-Za-z]{2,3})(?![A-Za-z])", 1))
     at = F.array_position(known, declared_code)
-    rows = docs.select(F.struct(F.col(id_col), *[F.col(c) for c in carry]).alias("row"), F.col(text_col).alias("text"),
+    carried = [F.col(c) for c in docs.columns if c != text_col]
+    rows = docs.select(F.struct(F.col(id_col)).alias("row"), F.struct(*carried).alias("all"), F.col(text_col).alias("text"),
                        F.when(declared_code.isNull() | (declared_code == ""), F.lit(None)).when(at > 0, (at - 1).cast("int")).otherwise(F.lit(n - 1)).alias("declared"),
                        (none if suffix is None else suffix).alias("suffix"), (none if host is None else host).alias("host"))
-    kind = rows.schema["row"].dataType.simpleString()
-    ev = shared_table(rows.mapInArrow(_text_evidence(table), f"row {kind}, declared int, suffix string, host string, ll array<double>, best int, letters long"), "li-evidence")
+
+    def evidence(df: DataFrame, with_text: bool) -> DataFrame:
+        kind = df.schema["row"].dataType.simpleString()
+        return df.mapInArrow(_text_evidence(table, with_text), f"row {kind}, " + "text string, " * with_text +
+                             "declared int, suffix string, host string, ll array<double>, best int, letters long")
+    ev = shared_table(evidence(rows.drop("all"), False), "li-evidence")
     said = ev.where(F.col("letters") >= min_letters)
 
     def counted(df, *by):
@@ -162,7 +169,7 @@ def identify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "te
     trust = np.log(seen / seen.sum(1, keepdims=True))
     declared_ll = F.when(F.col("declared").isNull(), F.array(*[F.lit(0.0)] * n)).otherwise(
         F.array(*[F.array(*[F.lit(float(v)) for v in trust[:, d]]) for d in range(n)])[F.coalesce("declared", F.lit(0))])
-    out = ev
+    out = evidence(rows.drop("row").withColumnRenamed("all", "row").select("row", "text", "declared", "suffix", "host"), True) if whole else ev
     if suffix is not None:
         out = out.join(by_suffix, "suffix", "left")
     if host is not None:
@@ -177,20 +184,11 @@ def identify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "te
     allowed = list(names) if accept is None else list(accept)
     kept = (F.col("language").isin(allowed) if allowed else F.lit(False)) & (F.col("probability") >= least) & (F.col("letters") >= min_letters)
     out = out.withColumn("language", names_col[F.col("pick")])
+    if whole:
+        return out.where(F.coalesce(kept, F.lit(False))).select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
     return out.select("row.*", "language", "probability", names_col[F.col("best")].alias("text_language"), F.coalesce(kept, F.lit(False)).alias("kept"))
 
 
-def in_known_language(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", **evidence) -> DataFrame:
-    """The rows whose language is accepted; columns as given."""
-    cols = [c for c in docs.columns if c != id_col]
-    renamed = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.struct(*docs.columns).alias("__whole"),
-                          *[e.alias(f"__{k}") for k, e in evidence.items() if isinstance(e, Column)])
-    fixed = {k: e for k, e in evidence.items() if not isinstance(e, Column)}
-    cols = {k: F.col(f"__{k}") for k, e in evidence.items() if isinstance(e, Column)}
-    out = identify(renamed, model, "__id", "__text", carry=("__whole",), **cols, **fixed)
-    return out.where("kept").select("__whole.*")
-
-
 MARKUP_RE = r"<html[^>]*?\slang\s*=\s*[\"']?([A-Za-z-]+)"
 
 

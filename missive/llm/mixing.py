@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from missive.llm.common import drop_tables, key60, n_words_of, one_row_per_id, shared_table, sqrt_buckets
 
-LEVELS = 3          # bisection steps evaluated by one aggregate (2^3 - 1 candidates)
-ROUNDS = 10         # aggregates: 30 bisection steps in all
+LEVELS = 5          # bisection steps evaluated by one aggregate (2^5 - 1 candidates)
+ROUNDS = 6          # aggregates: 30 bisection steps in all
 PARTS = 1_000_000   # weights are whole millionths from here on: integer arithmetic only
 
 
@@ -34,35 +34,37 @@ def source_shares(counts: DataFrame) -> DataFrame:
     return shared_table(by.withColumn("share", F.lit(0.0) if n == 0 else F.col("tokens") / F.lit(float(n))), "shares")
 
 
-def _power(a: float) -> Column:
-    return F.when(F.col("share") > 0, F.pow("share", F.lit(a))).otherwise(F.lit(0.0))
-
-
-def _meets(shares: DataFrame, exponents: list[float], target_entropy, max_epochs, budget: int) -> list[bool]:
-    """For each exponent: is its mixture at or beyond the flat side of the target?"""
-    cols = []
-    for k, a in enumerate(exponents):
-        p = _power(a)
-        cols += [F.sum(p).alias(f"z{k}"), F.sum(F.when(F.col("share") > 0, p * F.lit(a) * F.log("share")).otherwise(0.0)).alias(f"e{k}"),
-                 F.max(F.when(F.col("tokens") > 0, p / F.col("tokens")).otherwise(0.0)).alias(f"m{k}")]
-    r = shares.agg(*cols).first()
-    out = []
-    for k in range(len(exponents)):
-        z, e, m = (r[f"{c}{k}"] or 0.0 for c in "zem")
-        if z <= 0:
-            out.append(False)
-        elif target_entropy is not None:
-            out.append(math.log(z) - e / z >= target_entropy)
-        else:
-            out.append(m / z * budget > max_epochs)
-    return out
+def _power(a) -> Column:
+    return F.when(F.col("share") > 0, F.pow("share", a if isinstance(a, Column) else F.lit(a))).otherwise(F.lit(0.0))
+
+
+def _meets(shares: DataFrame, exponents: list[float], target_entropy, max_epochs, budget: int | None) -> list[bool]:
+    """For each exponent: is its mixture at or beyond the flat side of the target?
+
+    One aggregate over (source, exponent) rows; the exponents are data, not code, so every
+    round runs the same compiled plan."""
+    a, p = F.col("a"), F.col("p")
+    rows = (shares.where("share > 0").withColumn("a", F.explode(F.array(*[F.lit(float(x)) for x in exponents]))).withColumn("p", _power(a))
+            .groupBy("a").agg(F.sum(p).alias("z"), F.sum(p * a * F.log("share")).alias("e"),
+                              F.max(p / F.col("tokens")).alias("m"), F.min(p / F.col("tokens")).alias("l"))).collect()
+    by = {r["a"]: r for r in rows}
 
+    def met(x: float) -> bool:
+        r = by.get(x)
+        if r is None:
+            return False
+        if target_entropy is not None:
+            return math.log(r["z"]) - r["e"] / r["z"] >= target_entropy
+        return (r["m"] / r["l"] if budget is None else r["m"] / r["z"] * budget) > max_epochs
+    return [met(float(x)) for x in exponents]
 
-def mix_exponent(shares: DataFrame, budget: int, target_entropy: float | None = None, max_epochs: float | None = None) -> float:
+
+def mix_exponent(shares: DataFrame, budget: int | None, target_entropy: float | None = None, max_epochs: float | None = None) -> float:
     """Bisect the exponent in [0, 1].
 
     ``target_entropy`` (nats): the largest exponent whose entropy is at least the target.
-    ``max_epochs``: the smallest exponent that repeats no source more often than that.
+    ``max_epochs``: the smallest exponent that repeats no source more often than that, within
+    ``budget`` tokens (None: with the least repeated source used exactly once).
     Entropy and the highest repetition both fall as the exponent rises, so one predicate
     serves both.  A target that no exponent meets gives 0 (entropy) or 1 (repetition).
     """
@@ -85,12 +87,14 @@ def mix_exponent(shares: DataFrame, budget: int, target_entropy: float | None =
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", *,
             tokens: Column | None = None, budget: int | None = None, target_entropy: float | None = None,
-            max_epochs: float | None = None, block_tokens: int = 1 << 20, seed: int = 42) -> DataFrame:
+            max_epochs: float | None = None, cover: bool = False, block_tokens: int = 1 << 20,
+            seed: int = 42) -> DataFrame:
     """One row per use of a document: id, source, n_tokens, epoch, block, place.
 
     Tokens are whitespace words unless ``tokens`` gives an expression.  ``budget`` (default:
     all tokens of the input) is shared by the weights; a document is used while its start in
-    its source's stream is below the quota.  ``block`` numbers blocks of about
+    its source's stream is below the quota.  ``cover``: the budget follows from the weights
+    instead, so that every document is used at least once.  ``block`` numbers blocks of about
     ``block_tokens`` tokens, ``place`` the documents inside a block.
 
     A null source is a source of its own.  Null or empty texts have no token: they take no
@@ -102,11 +106,15 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     shares = source_shares(counts)
     row = counts.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("t")).first()
     budget = int(row["t"]) if budget is None else int(budget)
-    blocks = max(1, -(-budget // block_tokens))
     buckets = sqrt_buckets(int(row["n"]))
-    exponent = mix_exponent(shares, budget, target_entropy, max_epochs)
-    norm = shares.agg(F.sum(_power(exponent)).alias("z")).first()["z"] or 1.0
+    exponent = mix_exponent(shares, None if cover else budget, target_entropy, max_epochs)
+    r = shares.where("tokens > 0").agg(F.sum(_power(exponent)).alias("z"), F.max(F.col("tokens") / _power(exponent)).alias("need")).first()
+    norm = r["z"] or 1.0
+    if cover:
+        budget = math.ceil((r["need"] or 0.0) * norm)
+    blocks = max(1, -(-budget // block_tokens))
     quota = (F.floor(_power(exponent) / F.lit(norm) * F.lit(float(PARTS)) + F.lit(0.5)) * F.lit(budget) / F.lit(PARTS))
+    quota = F.greatest(quota, F.col("tokens")) if cover else quota
     plan = shared_table(shares.where("tokens > 0").select("source", "tokens", F.floor(quota).cast("long").alias("quota")).where("quota > 0")
                         .withColumn("epochs", F.ceil(F.col("quota") / F.col("tokens")).cast("long")), "mix-plan")
     uses = (counts.where("n_tokens > 0").join(plan.select("source", "epochs"), "source")

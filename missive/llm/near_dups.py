@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from missive.llm.common import arrow_rows, drop_tables, one_row_per_id, shared_table
+from missive.llm.common import ID_FILTER, arrow_rows, drop_tables, one_row_per_id, shared_table, texts_of
 from missive.llm.components import components
 from missive.llm.words import find_words, lists, mix, runs, signed, slices, word_hashes
 from missive.session import ship_package
@@ -213,10 +213,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .withColumn("j", F.explode(F.sequence(F.col("i"), F.col("blocks") - 1)))
             .select("hub", "i", "j", F.col("hub").alias("id"), F.lit(-1).alias("block")))
     dealt = shared_table(dealt.unionByName(hubs), "nd-dealt")
-    tasks = (dealt.join(texts.withColumnRenamed("text", "body"), "id")
+    tasks = (texts_of(texts.withColumnRenamed("text", "body"), dealt)
              .select("hub", "i", "j", "id", "block", "body")
              .repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j"))
-    links = shared_table(tasks.mapInArrow(_confirm(shingle, percent), "a long, b long"), "nd-links")
+    links = shared_table(tasks.mapInArrow(_confirm(shingle, percent), "a long, b long"), "nd-links", **ID_FILTER)
     roots = components(links)
     named = shared_table(nodes.select("d1", "d2", "n", "id").join(roots.withColumnRenamed("node", "id"), "id", "left")
                          .select("d1", "d2", "n", F.coalesce("root", "id").alias("component")), "nd-named")

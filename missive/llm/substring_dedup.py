@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from missive.llm.common import arrow_rows, drop_tables, one_row_per_id, shared_table
+from missive.llm.common import ID_FILTER, arrow_rows, drop_tables, one_row_per_id, shared_table, texts_of
 from missive.llm.words import find_words, lists, long_runs, mix, runs, signed, slices, word_hashes
 from missive.session import ship_package
 
@@ -132,8 +132,7 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     drop_tables(index, again)
     # the first place of each content; anchors with several contents are looked into
     place = F.struct("id", "first")
-    contents = shared_table(hits.groupBy("anchor", "content").agg(F.min(place).alias("place"), F.min("last").alias("last"), F.count("*").alias("c"))
-                            .select("anchor", "content", "place", "c"), "sd-contents")
+    contents = shared_table(hits.groupBy("anchor", "content").agg(F.min(place).alias("place"), F.count("*").alias("c")), "sd-contents")
     several = shared_table(contents.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "sd-several")
     later = (hits.join(contents.where("c > 1").select("anchor", "content", "place"), ["anchor", "content"])
              .where(F.struct("id", "first") > F.col("place")).select("id", "first", "last"))
@@ -143,8 +142,8 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
               .join(hits, ["anchor", "content", "id", "first"]).select("id", "first", "last").distinct())
     asked = shared_table(firsts.groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "sd-asked")
     drop_tables(hits, contents, several)
-    seen = texts.join(asked, "id").select("id", "text", "spans").mapInArrow(_windows(window), "id long, at int, h1 long, h2 long")
-    seen = shared_table(seen, "sd-windows")
+    seen = texts_of(texts, asked).select("id", "text", "spans").mapInArrow(_windows(window), "id long, at int, h1 long, h2 long")
+    seen = shared_table(seen, "sd-windows", **ID_FILTER)
     first = shared_table(seen.groupBy("h1", "h2").agg(F.min(F.struct("id", "at")).alias("place"), F.count("*").alias("c")).where("c > 1")
                          .select("h1", "h2", "place"), "sd-first")
     single = (seen.join(first, ["h1", "h2"]).where(F.struct("id", "at") > F.col("place"))
@@ -180,32 +179,34 @@ def _digest(window: int):
     return run
 
 
+def cut(text: str, spans, window: int) -> str:
+    """The text without the words of its spans (and the blanks after them)."""
+    raw = text.encode("utf-8", "surrogatepass")
+    buf = np.frombuffer(raw, np.uint8)
+    starts, ends, _ = find_words(buf, np.array([0, buf.size]))
+    gone = _cover(starts.size, spans, window)
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
+    parts, at = [], 0
+    for a, b in zip(edge[::2], edge[1::2]):
+        parts.append(raw[at:starts[a]])
+        at = int(starts[b]) if b < starts.size else int(ends[-1])
+    parts.append(raw[at:])
+    return b"".join(parts).decode("utf-8", "surrogatepass")
+
+
 def _cleaned(window: int):
     def run(batches):
         for batch in batches:
-            out = []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if not spans or text is None:
-                    out.append(text)
-                    continue
-                raw = text.encode("utf-8", "surrogatepass")
-                buf = np.frombuffer(raw, np.uint8)
-                starts, ends, _ = find_words(buf, np.array([0, buf.size]))
-                gone = _cover(starts.size, spans, window)
-                edge = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
-                parts, at = [], 0
-                for a, b in zip(edge[::2], edge[1::2]):      # cut words a..b-1 and the blanks after them
-                    parts.append(raw[at:starts[a]])
-                    at = int(starts[b]) if b < starts.size else int(ends[-1])
-                parts.append(raw[at:])
-                out.append(b"".join(parts).decode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["id", "text"])
+            row, text, spans = (batch.column(batch.schema.get_field_index(c)) for c in ("row", "text", "spans"))
+            out = [t if not s or t is None else cut(t, s, window) for t, s in zip(text.to_pylist(), spans.to_pylist())]
+            yield pa.RecordBatch.from_arrays([row, pa.array(out, pa.string())], names=["row", "text"])
     return run
 
 
-def _with_spans(docs: DataFrame, id_col: str, text_col: str, spans: DataFrame) -> DataFrame:
+def _with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """Rows with an ``id`` joined with the list of their spans (null: none)."""
     by = shared_table(spans.groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "sd-by-doc")
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(by, "id", "left").select("id", "text", "spans")
+    return rows.join(by, "id", "left")
 
 
 def substring_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -217,7 +218,8 @@ def substring_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     docs = one_row_per_id(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col), F.col(text_col).alias("text")), id_col)
     _, spans = duplicate_spans(docs, id_col, "text", window)
-    out = _with_spans(docs, id_col, "text", spans).mapInArrow(_digest(window), "id long, n_words long, n_removed long, kept_sha256 string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), "text")
+    out = _with_spans(rows, spans).select("id", "text", "spans").mapInArrow(_digest(window), "id long, n_words long, n_removed long, kept_sha256 string")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -227,10 +229,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     that is all repeats becomes empty and its row stays.  Rows without an id go."""
     docs = one_row_per_id(docs.where(F.col(id_col).isNotNull()), id_col)
     _, spans = duplicate_spans(docs, id_col, text_col, window)
-    touched = shared_table(spans.select("id").distinct(), "sd-touched")
-    same = docs.join(touched.withColumnRenamed("id", id_col), id_col, "left_anti").select(docs.columns)
-    new = (_with_spans(docs, id_col, text_col, spans).where("spans IS NOT NULL")
-           .mapInArrow(_cleaned(window), "id long, text string").select(F.col("id").alias("__id"), F.col("text").alias("__text")))
-    keep = [F.col("__text").alias(text_col) if c == text_col else
-            F.length("__text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return same.unionByName(docs.join(shared_table(new, "sd-texts"), F.col(id_col) == F.col("__id")).select(*keep))
+    others = [c for c in docs.columns if c != text_col]
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.struct(*others).alias("row"), F.col(text_col).alias("text"))
+    kind = rows.schema["row"].dataType.simpleString()
+    out = _with_spans(rows, spans).select("row", "text", "spans").mapInArrow(_cleaned(window), f"row {kind}, text string")
+    return out.select(*[F.col("text").alias(c) if c == text_col else F.length("text").cast("long").alias(c) if c == "n_chars"
+                        else F.col("row")[c].alias(c) for c in docs.columns])
