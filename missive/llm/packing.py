@@ -136,19 +136,15 @@ def fill(lengths: np.ndarray, left: np.ndarray, size: int) -> np.ndarray:
     return a
 
 
-def solve(lengths: np.ndarray, counts: np.ndarray, size: int, epsilon: float = 0.5, steps: int = 300) -> list[tuple[np.ndarray, int]]:
-    """Configurations with their numbers of copies that use up all counts exactly.
+def fractions(lengths: np.ndarray, counts: np.ndarray, size: int, epsilon: float = 0.2) -> tuple[dict[bytes, float], np.ndarray]:
+    """Multiplicative weights: amounts of configurations and how often they cover each length.
 
-    ``steps`` multiplicative-weights steps give the fractions; the number of filling steps
-    depends on the number of distinct lengths only, not on the counts.
-    """
-    order = np.argsort(lengths)
-    lengths, counts = np.asarray(lengths, np.int64)[order], np.asarray(counts, np.int64)[order]
-    if lengths.size == 0:
-        return []
+    Each step prices a length by its weight over its count, takes the best configuration
+    until its scarcest length is covered once more, and lowers the weights of what it
+    covers.  The number of steps depends on the size and the number of lengths only."""
     weight, covered = np.ones(lengths.size), np.zeros(lengths.size)
     amounts: dict[bytes, float] = {}
-    for _ in range(steps):
+    for _ in range(int(np.clip(600_000_000 // (size * lengths.size), 300, 3000))):
         a = knapsack(lengths, weight / counts, size)
         used = a > 0
         step = float((counts[used] / a[used]).min())
@@ -157,22 +153,52 @@ def solve(lengths: np.ndarray, counts: np.ndarray, size: int, epsilon: float = 0
         covered += share
         weight *= np.exp(-epsilon * share)
         weight /= weight.max()
-    scale = max(1.0, float(np.median(covered)))
+    return amounts, covered
+
+
+def rounded(lengths: np.ndarray, counts: np.ndarray, size: int, amounts, scale: float, gap: int) -> list[tuple[np.ndarray, int]]:
+    """Whole copies of the configurations with at most ``gap`` unused, the largest amounts
+    first; what they leave is filled by exact subset sums."""
     left, out = counts.copy(), []
     for key, x in sorted(amounts.items(), key=lambda kv: (-kv[1], kv[0])):
         a = np.frombuffer(key, np.int64)
         used = a > 0
         copies = int(min(x // scale, (left[used] // a[used]).min()))
-        if copies > 0 and size - int(a @ lengths) <= size // 256:    # well filled ones only; the rest are refilled
+        if copies > 0 and size - int(a @ lengths) <= gap:
             left -= a * copies
             out.append((a, copies))
-    while left.any():
+    while left.any():                                   # each turn uses up a length
         a = fill(lengths, left, size)
         used = a > 0
         copies = int((left[used] // a[used]).min())
         left -= a * copies
         out.append((a, copies))
-    return [(np.stack([lengths[a > 0], a[a > 0]]), m) for a, m in out]
+    return out
+
+
+def solve(lengths: np.ndarray, counts: np.ndarray, size: int) -> list[tuple[np.ndarray, int]]:
+    """Configurations with their numbers of copies that use up all counts exactly: the best
+    of a few roundings of the fractional solution, the first that meets the lower bound."""
+    order = np.argsort(lengths)
+    lengths, counts = np.asarray(lengths, np.int64)[order], np.asarray(counts, np.int64)[order]
+    if lengths.size == 0:
+        return []
+    least = max(-(-int(lengths @ counts) // size), int(counts[lengths > size // 2].sum()))
+    amounts, covered = fractions(lengths, counts, size)
+    best, n_best = [], None
+    for scale in sorted({max(1.0, float(np.median(covered))), max(1.0, float(covered.min()))}, reverse=True):
+        for gap in (size // 256, size):
+            out = rounded(lengths, counts, size, amounts, scale, gap)
+            n = sum(m for _, m in out)
+            if n_best is None or n < n_best:
+                best, n_best = out, n
+            if n_best <= least:
+                return _plan(lengths, best)
+    return _plan(lengths, best)
+
+
+def _plan(lengths: np.ndarray, configs) -> list[tuple[np.ndarray, int]]:
+    return [(np.stack([lengths[a > 0], a[a > 0]]), m) for a, m in configs]
 
 
 def segments(plan) -> np.ndarray:

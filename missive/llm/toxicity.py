@@ -53,7 +53,8 @@ def fold(text: str) -> str:
     if not text.isascii():
         text = text.translate(_FOLD)
     text = _MIXED.sub(lambda m: m.group().translate(_SIGNS), text)
-    return " " + _GAP.sub(" ", text).strip() + " "
+    text = _GAP.sub(" ", text).strip()
+    return f" {text} " if text else " "
 
 
 def _beginnings(word: str):
