@@ -24,9 +24,10 @@ UNDECIDED, ADMITTED, REFUSED = 0, 1, 2
 
 
 def batch_atomic_admission(members: DataFrame, batch: str = "batch_no", key: str = "key",
-                           order: str = "batch_order", refused_upfront: DataFrame | None = None,
-                           max_rounds: int = 10_000) -> DataFrame:
-    """``members``: one row per (batch, key, order).  Returns (batch, admitted, round)."""
+                           order: str = "batch_order", refused_upfront: DataFrame | None = None) -> DataFrame:
+    """``members``: one row per (batch, key, order).  Returns (batch, admitted, round).
+
+    Runs until every batch is decided; each round decides at least the earliest."""
     ensure_checkpoint_dir(members.sparkSession)
     m = members.select(F.col(batch).alias("b"), F.col(key).alias("k"), F.col(order).alias("o")).distinct()
     batches = m.groupBy("b").agg(F.min("o").alias("o"))
@@ -43,7 +44,7 @@ def batch_atomic_admission(members: DataFrame, batch: str = "batch_no", key: str
             F.when(F.col("_up"), F.lit(0)).otherwise(F.col("r")).alias("r"))
     st = checkpoint_once(st)
     rnd = 0
-    while rnd < max_rounds and st.where(F.col("s") == UNDECIDED).limit(1).count() > 0:
+    while st.where(F.col("s") == UNDECIDED).limit(1).count() > 0:
         rnd += 1
         ms = m.join(st.select("b", "s"), "b")
         per_key = ms.groupBy("k").agg(

@@ -101,12 +101,25 @@ def _poison_of(v: Column) -> Column:
             .when(~sch.startswith("OBJECT"), True).otherwise(wrong))
 
 
+def strict_json(text: Column) -> Column:
+    """The value of a text that is one JSON value and nothing else (null otherwise).
+
+    The parser itself stops after the first value; inside an array, text after it breaks
+    the array or adds elements.  Only a text that holds a closing bracket could close the
+    array itself, and is parsed inside an object as well.
+    """
+    inside = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    one = F.when(F.size(F.try_variant_get(inside, "$", "array<variant>")) == 1, F.try_variant_get(inside, "$[0]", "variant"))
+    as_member = F.try_parse_json(F.concat(F.lit('{"k":'), text, F.lit("}")))
+    return F.when(~F.contains(text, F.lit("]")) | as_member.isNotNull(), one)
+
+
 def parse_payload(payload: Column) -> Column:
     """D3 + decode: struct(poison, id, channel, priority, recipient), the string fields
     '' when absent or null (a JSON ``null`` payload decodes to empty).  Meant for a
     projection, where the one ``try_parse_json`` is shared by all references; inside a
     filter use ``poison_payload``."""
-    v = F.try_parse_json(payload)
+    v = strict_json(payload)
     get = lambda f: F.coalesce(F.try_variant_get(v, f"$.{f}", "string"), F.lit(""))
     return F.struct(_poison_of(v).alias("poison"), get("id").alias("id"),
                     get("channel").alias("channel"), get("priority").alias("priority"),
@@ -120,4 +133,4 @@ def poison_payload(payload: Column) -> Column:
     once (``let``) and each field's type read by path from the parsed value.
     """
     from missive.functions.text import let
-    return let(F.try_parse_json(payload), _poison_of)
+    return let(strict_json(payload), _poison_of)

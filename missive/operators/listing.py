@@ -104,13 +104,15 @@ def list_envelope(page: DataFrame, limit: int) -> DataFrame:
     """
     fields = [rfc3339_nano(c).alias(c) if c in ("next_retry_at", "created_at", "updated_at")
               else F.col(c) for c in LIST_COLUMNS]
-    rows = page.agg(F.sort_array(F.collect_list(F.struct(
+    data = page.agg(F.sort_array(F.collect_list(F.struct(
         F.col("created_at").alias("k0"), F.col("id").alias("k1"),
         F.struct(*fields).alias("row"))), asc=False).alias("data"))
-    meta = page_meta(page, limit)
-    return rows.crossJoin(meta).select(F.to_json(F.struct(
+    full = F.size("data") == limit                        # one aggregate gives rows and meta
+    last = F.try_element_at("data", F.lit(-1))
+    cur = F.when(full, encode_cursor(last["k0"], last["k1"])).otherwise(F.lit(""))
+    return data.select(F.to_json(F.struct(
         F.transform("data", lambda x: x["row"]).alias("data"),
-        F.struct("has_more", "limit", "next_cursor").alias("meta"))).alias("envelope"))
+        F.struct(full.alias("has_more"), F.lit(limit).alias("limit"), cur.alias("next_cursor")).alias("meta"))).alias("envelope"))
 
 
 def saved_search_check(spark, sf_dir: str) -> DataFrame:

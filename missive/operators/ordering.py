@@ -7,25 +7,16 @@ replace it with two-pass plans:
 * ``binned_running``: per-bin totals, an exclusive prefix over the small bin table, and a
   running aggregate inside each bin (bins are a monotone function of the order).
 * ``global_row_number``: range partitioning on (keys, order), per-(partition, key)
-  counts, offsets over that small table, and a per-partition running counter.
+  counts, offsets over that small table, and a row number inside each partition.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 _AGGS = {"sum": F.sum, "max": F.max, "min": F.min}
 
-# Offsets tables up to this many rows are sent to the tasks with the closure; larger
-# ones (very many small keys) are joined instead.
-OFFSETS_COLLECT_LIMIT = 100_000
-
 
 def binned_running(df: DataFrame, keys: list[str], order: list[Column], bin_expr: Column,
                    value: Column, how: str = "sum", out: str = "running") -> DataFrame:
@@ -59,15 +50,14 @@ def global_row_number(df: DataFrame, order: list[str], keys: list[str] | None =
        in the same partitions, and a lost executor must not change them);
     2. count rows per (partition id, keys) - a table of about #partitions + #keys rows;
        offsets = exclusive running sum over partition ids per key;
-    3. one ``mapInPandas`` pass numbers rows inside each partition from those offsets.
+    3. a row number inside each (partition id, keys), plus its offset (null-safe join).
 
     ``order`` must be a total order (unique), as in every use here.
     """
-    from missive.session import checkpoint_once, ensure_checkpoint_dir, ship_package
+    from missive.session import checkpoint_once, ensure_checkpoint_dir
     keys = keys or []
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    ship_package(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sort_cols = [F.col(k) for k in keys] + [F.col(c).desc() if descending else F.col(c) for c in order]
     ranged = (df.repartitionByRange(n, *sort_cols).sortWithinPartitions(*sort_cols)
@@ -76,32 +66,12 @@ def global_row_number(df: DataFrame, order: list[str], keys: list[str] | None =
     counts = ranged.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", *keys, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    # the offsets table has one row per (partition, key) present: bounded by
-    # #partitions + #distinct keys; collected once to the driver only when small
-    n_off = offsets.count()
-    if n_off <= OFFSETS_COLLECT_LIMIT:
-        table = {tuple(r[: len(keys) + 1]): r[-1]
-                 for r in offsets.select("_pid", *keys, "_off").collect()}
-        kcols = ["_pid", *keys]
-        schema = T.StructType(ranged.schema.fields + [T.StructField(out, T.LongType(), False)])
-
-        def number(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            seen: dict = {}                      # rows already numbered per key here
-            for pdf in it:
-                if pdf.empty:
-                    continue
-                g = pdf.groupby(kcols, sort=False, dropna=False)
-                uniq = [tuple(k) for k in pdf[kcols].drop_duplicates().itertuples(index=False)]
-                base = np.array([table.get(k, 0) + seen.get(k, 0) for k in uniq], dtype="int64")
-                pdf[out] = base[g.ngroup().to_numpy()] + g.cumcount().to_numpy() + 1
-                sizes = g.size()
-                for k in uniq:
-                    seen[k] = seen.get(k, 0) + int(sizes.loc[k if len(k) > 1 else k[0]])
-                yield pdf
-
-        res = ranged.mapInPandas(number, schema)
-    else:
-        wl = Window.partitionBy("_pid", *keys).orderBy(*[c for c in sort_cols[len(keys):]])
-        res = (ranged.join(offsets, ["_pid", *keys])
-                     .withColumn(out, F.col("_off") + F.row_number().over(wl)).drop("_off"))
-    return res.drop("_pid")
+    # one plan at every size: null-safe join on (partition id, keys), so null keys are
+    # numbered like any other, and a window inside one (partition, key)
+    offsets = offsets.select(F.col("_pid").alias("_p"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_off")
+    cond = F.col("_pid") == F.col("_p")
+    for i, k in enumerate(keys):
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    inside = Window.partitionBy("_pid", *keys).orderBy(*sort_cols[len(keys):])
+    return (ranged.withColumn("_rn", F.row_number().over(inside)).join(offsets, cond)
+            .select(*df.columns, (F.col("_off") + F.col("_rn")).cast("bigint").alias(out)))

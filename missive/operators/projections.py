@@ -15,7 +15,7 @@ _CANON = f"{_H}{{8}}-{_H}{{4}}-{_H}{{4}}-{_H}{{4}}-{_H}{{12}}"
 UUID_RE = rf"(?i)^(urn:uuid:)?{_CANON}\z|^\{{{_CANON}\}}\z|^{_H}{{32}}\z"
 
 # Topic names per priority.
-TOPIC_HIGH, TOPIC_NORMAL, TOPIC_LOW = "notifications.high", "notifications.normal", "notifications.low"
+TOPIC_HIGH, TOPIC_NORMAL, TOPIC_LOW = "notifications-high", "notifications-normal", "notifications-low"
 
 PAYLOAD_FIELDS = ("id", "correlation_id", "recipient", "channel", "content", "priority")
 
@@ -45,7 +45,7 @@ def uuid_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def limit_clamp(c: Column) -> Column:
     """An integer text in 1..100, else 10."""
-    n = F.when(c.rlike(r"^[+-]?[0-9]{1,9}\z"), c.cast("bigint"))
+    n = F.when(c.rlike(r"^[+-]?[0-9]+\z"), c.try_cast("bigint"))
     return F.when(n.between(1, 100), n.cast("int")).otherwise(F.lit(10))
 
 
@@ -53,6 +53,8 @@ def limit_clamp_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read_table(spark, sf_dir, "events")
     eid = F.col("event_id")
     raw = (F.when(eid % 17 == 0, "abc").when(eid % 19 == 0, "")
+           .when(eid % 23 == 0, F.concat(F.lit("00000000"), (eid % 130).cast("string")))
+           .when(eid % 29 == 0, F.concat((eid % 130).cast("string"), F.lit("00000000000000000000")))
            .otherwise((eid % 130 - 10).cast("string")))
     return e.select(eid.alias("seq"), raw.alias("raw")).select(
         "seq", "raw", limit_clamp(F.col("raw")).alias("limit"))

@@ -79,6 +79,17 @@ def dlq_split(spark, sf):
     return d.where(F.col("disposition").startswith("dlq")).groupBy("disposition").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("dlq_total", breaker_sql(_CALLS, DS.BREAKER_MAX, DS.BREAKER_WINDOW_S, DS.BREAKER_OPEN_S,
+                                final=_FINAL.replace("SELECT msg_id, nid, disposition FROM (",
+                                                     "SELECT count(*) AS value FROM (", 1) + " WHERE disposition LIKE 'dlq%'"),
+       ("outbox", "notifications", "attempts", "cancel_requests"))
+def dlq_total(spark, sf):
+    """Messages sent to the DLQ at any of its three sites: unparsable, failed for good
+    on this message, or already failed for good when it came."""
+    d = disposition(spark, sf)
+    return d.where(F.col("disposition").startswith("dlq")).agg(F.count(F.lit(1)).alias("value"))
+
+
 _D2_KEY = "'k-' || CAST((CASE WHEN seq % 50 = 49 THEN seq - 1 ELSE seq END) % 5000 AS VARCHAR)"
 
 

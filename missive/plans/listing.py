@@ -181,8 +181,8 @@ def sweep_limit(spark, sf):
 
 @query("top_per_group", """SELECT * FROM (SELECT id, topic, created_at,
   row_number() OVER (PARTITION BY topic ORDER BY created_at, id) AS rank FROM (
-  SELECT id, created_at, CASE priority WHEN 'high' THEN 'notifications.high' WHEN 'low' THEN 'notifications.low'
-    ELSE 'notifications.normal' END AS topic FROM notifications WHERE status = 'pending'))
+  SELECT id, created_at, CASE priority WHEN 'high' THEN 'notifications-high' WHEN 'low' THEN 'notifications-low'
+    ELSE 'notifications-normal' END AS topic FROM notifications WHERE status = 'pending'))
   WHERE rank <= 5""", ("notifications",))
 def top_per_group(spark, sf):
     from missive.operators.projections import route_priority

@@ -87,22 +87,24 @@ def processed_by_status(spark, sf):
 _ATT_CH = """(SELECT a.*, n.channel FROM attempts a JOIN notifications n ON n.id = a.id)"""
 
 
-def _attempts_ch(spark, sf):
-    n = D.notifications(spark, sf).select("id", "channel")
+def _attempts_ch(spark, sf, more=()):
+    n = D.notifications(spark, sf).select("id", "channel", *more)
     return D.attempts(spark, sf).join(n, "id")
 
 
-@query("processing_latency_hist", _hist_sql(_ATT_CH, ["channel"], "latency_s", A.PROCESSING_BUCKETS),
+@query("processing_latency_hist", _hist_sql(_ATT_CH.replace("n.id = a.id)", "n.id = a.id WHERE n.status <> 'canceled')"), ["channel"], "latency_s", A.PROCESSING_BUCKETS),
        ("attempts", "notifications"))
 def processing_latency_hist(spark, sf):
-    return A.histogram(_attempts_ch(spark, sf), ["channel"], "latency_s", A.PROCESSING_BUCKETS)
+    """Messages dropped before the call (poison, empty id: they have no attempt) and
+    canceled rows are not observed."""
+    reached = _attempts_ch(spark, sf, ("status",)).where(F.col("status") != "canceled")
+    return A.histogram(reached, ["channel"], "latency_s", A.PROCESSING_BUCKETS)
 
 
-@query("webhook_latency_hist", _hist_sql(_ATT_CH.replace("n.id = a.id)", "n.id = a.id WHERE a.http_status IS NOT NULL)"),
-                                         ["channel"], "latency_s", A.WEBHOOK_BUCKETS), ("attempts", "notifications"))
+@query("webhook_latency_hist", _hist_sql(_ATT_CH, ["channel"], "latency_s", A.WEBHOOK_BUCKETS), ("attempts", "notifications"))
 def webhook_latency_hist(spark, sf):
-    a = _attempts_ch(spark, sf).where(F.col("http_status").isNotNull())
-    return A.histogram(a, ["channel"], "latency_s", A.WEBHOOK_BUCKETS)
+    """Every call is observed, transport errors included."""
+    return A.histogram(_attempts_ch(spark, sf), ["channel"], "latency_s", A.WEBHOOK_BUCKETS)
 
 
 @query("webhook_calls", f"""SELECT channel, CASE WHEN http_status IS NULL OR http_status >= 500 OR http_status IN (429, 408)
@@ -122,10 +124,9 @@ def retry_total(spark, sf):
     return A.counter(a, ["channel"])
 
 
-@query("consumed_by_topic", """SELECT CASE coalesce(payload ->> '$.priority', '') WHEN 'high' THEN 'notifications.high'
-  WHEN 'low' THEN 'notifications.low' ELSE 'notifications.normal' END AS topic, count(*) AS value
-FROM outbox WHERE json_valid(payload) AND (json_type(payload) = 'NULL' OR (json_type(payload) = 'OBJECT'
-  AND coalesce(json_type(payload, '$.id'), 'NULL') IN ('VARCHAR', 'NULL'))) GROUP BY 1""", ("outbox",))
+@query("consumed_by_topic", """SELECT CASE coalesce(payload ->> '$.priority', '') WHEN 'high' THEN 'notifications-high'
+  WHEN 'low' THEN 'notifications-low' ELSE 'notifications-normal' END AS topic, count(*) AS value
+FROM outbox WHERE NOT __POISON__ GROUP BY 1""", ("outbox",))
 def consumed_by_topic(spark, sf):
     o = D.outbox(spark, sf)
     ok = o.where(~J.poison_payload(F.col("payload")))
@@ -133,11 +134,6 @@ def consumed_by_topic(spark, sf):
     return A.counter(ok.withColumn("topic", route_priority(pr)), ["topic"])
 
 
-@query("dlq_total", f"SELECT count(*) AS value FROM ({OUTCOME_SQL}) WHERE dlq", ("notifications", "attempts"))
-def dlq_total(spark, sf):
-    return A.counter(_applied(spark, sf).where("dlq"), [])
-
-
 @query("zombie_recovered", f"""SELECT count(*) AS value FROM notifications WHERE status = 'processing'
   AND updated_at < {AS_OF_SQL} - INTERVAL 5 MINUTE AND retry_count < 3""", ("notifications",))
 def zombie_recovered(spark, sf):

@@ -133,8 +133,16 @@ FROM events"""
 _DEPS = {"request_json": ["requests"], "batch_json": ["requests", "request_json"]}
 
 
+# A payload is poison unless it is JSON null or an object whose six fields are strings or null.
+POISON = "(CASE WHEN NOT json_valid(payload) THEN true WHEN json_type(payload) = 'NULL' THEN false\n" \
+    "  WHEN json_type(payload) <> 'OBJECT' THEN true ELSE NOT (" + " AND ".join(
+        f"coalesce(json_type(payload, '$.{f}'), 'NULL') IN ('VARCHAR', 'NULL')"
+        for f in ("id", "correlation_id", "recipient", "channel", "content", "priority")) + ") END)"
+
+
 def with_views(sql: str, *names: str) -> str:
     """Prefix ``sql`` with the CTEs it needs (dependencies first, each once)."""
+    sql = sql.replace("__POISON__", POISON)
     order: list[str] = []
     for n in names:
         for d in _DEPS.get(n, []) + [n]:
@@ -153,11 +161,13 @@ def with_views(sql: str, *names: str) -> str:
 VIEWS["outbox"] = """
 SELECT '20000000-0000-4000-8000-' || lpad(CAST(k AS VARCHAR), 12, '0') AS id, id AS aggregate_id,
   CASE WHEN status = 'failed_retrying' THEN 'NotificationRetry' ELSE 'NotificationCreated' END AS event_type,
-  CASE WHEN k % 101 = 0 THEN '{"id":5}' WHEN k % 103 = 0 THEN 'not json' WHEN k % 107 = 0 THEN 'null'
+  CASE WHEN k % 101 = 0 THEN '{"' || ['id', 'correlation_id', 'recipient', 'channel', 'content', 'priority'][k % 6 + 1] || '":5}'
+       WHEN k % 103 = 0 THEN 'not json' WHEN k % 107 = 0 THEN 'null'
+       WHEN k % 109 = 0 THEN '{"id":"90000000-0000-4000-8000-' || lpad(CAST(k AS VARCHAR), 12, '0') || '","channel":"sms"}'
        ELSE '{"id":"' || id || '","correlation_id":' ||
          CASE WHEN correlation_id IS NULL THEN 'null' ELSE '"' || correlation_id || '"' END ||
          ',"recipient":"' || recipient || '","channel":"' || channel || '","content":"' || content ||
-         '","priority":"' || priority || '"}' END AS payload,
+         '","priority":"' || priority || '"}' || CASE WHEN k % 113 = 0 THEN ' junk' ELSE '' END END AS payload,
   CASE WHEN status IN ('pending', 'failed_retrying') THEN 'pending' ELSE 'sent' END AS status,
   created_at
 FROM (SELECT *, CAST(substr(id, 25, 12) AS BIGINT) AS k FROM notifications)"""
@@ -169,8 +179,10 @@ def rfc3339(expr: str) -> str:
             f"ELSE '.' || rtrim(lpad(CAST(epoch_us({expr}) % 1000000 AS VARCHAR), 6, '0'), '0') END || 'Z')")
 
 VIEWS["cancel_requests"] = """
-SELECT event_id AS req_id, '00000000-0000-4000-8000-' || lpad(CAST((event_id % 9000) * 2 AS VARCHAR), 12, '0') AS id, ts
-FROM events"""
+SELECT event_id AS req_id, '00000000-0000-4000-8000-' || lpad(CAST(event_id // 2 * 2 AS VARCHAR), 12, '0') AS id, ts
+FROM events
+UNION ALL SELECT 1000000000000000 + o_orderkey, '00000000-0000-4000-8000-' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0'),
+  CAST(o_orderdate AS TIMESTAMP) - INTERVAL 3 HOUR FROM orders WHERE o_orderkey % 23 = 0"""
 
 VIEWS["timed_calls"] = """
 SELECT event_id AS call_id, 'hook_' || CAST(user_id % 4 AS VARCHAR) AS name, ts, event_type <> 'error' AS ok,

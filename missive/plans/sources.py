@@ -47,11 +47,10 @@ def gen_requests(spark, sf):
 # --------------------------------------------------------------------------- S5
 @query("topic_source", """SELECT topic, "partition", row_number() OVER (PARTITION BY topic, "partition"
     ORDER BY created_at, id) - 1 AS "offset", id, payload FROM (
-  SELECT id, payload, created_at, CASE coalesce(payload ->> '$.priority', '') WHEN 'high' THEN 'notifications.high'
-      WHEN 'low' THEN 'notifications.low' ELSE 'notifications.normal' END AS topic,
+  SELECT id, payload, created_at, CASE coalesce(payload ->> '$.priority', '') WHEN 'high' THEN 'notifications-high'
+      WHEN 'low' THEN 'notifications-low' ELSE 'notifications-normal' END AS topic,
     CAST(CAST(substr(aggregate_id, 25, 12) AS BIGINT) % 3 AS INT) AS "partition"
-  FROM outbox WHERE status = 'pending' AND json_valid(payload) AND (json_type(payload) = 'NULL'
-    OR (json_type(payload) = 'OBJECT' AND coalesce(json_type(payload, '$.id'), 'NULL') IN ('VARCHAR', 'NULL'))))""",
+  FROM outbox WHERE status = 'pending' AND NOT __POISON__)""",
        ("outbox",))
 def topic_source(spark, sf):
     """S5 offline: routed messages with the broker's (topic, partition, offset) layout;

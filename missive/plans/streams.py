@@ -39,10 +39,9 @@ def stream_dual_write(spark, sf):
     return box.join(rows.withColumnRenamed("id", "aggregate_id"), "aggregate_id", "left_semi")
 
 
-_ROUTED = """SELECT id, CASE coalesce(payload ->> '$.priority', '') WHEN 'high' THEN 'notifications.high'
-  WHEN 'low' THEN 'notifications.low' ELSE 'notifications.normal' END AS topic FROM outbox
-WHERE {cond} AND json_valid(payload) AND (json_type(payload) = 'NULL' OR (json_type(payload) = 'OBJECT'
-  AND coalesce(json_type(payload, '$.id'), 'NULL') IN ('VARCHAR', 'NULL')))"""
+_ROUTED = """SELECT id, CASE coalesce(payload ->> '$.priority', '') WHEN 'high' THEN 'notifications-high'
+  WHEN 'low' THEN 'notifications-low' ELSE 'notifications-normal' END AS topic FROM outbox
+WHERE {cond} AND NOT __POISON__"""
 
 
 @query("stream_route", _ROUTED.format(cond="status = 'pending'"), ("outbox",))
@@ -53,10 +52,7 @@ def stream_route(spark, sf):
     return spark.read.parquet(out).select("id", "topic")
 
 
-@query("stream_dlq", """SELECT id FROM outbox WHERE NOT json_valid(payload)
-  OR (json_type(payload) NOT IN ('NULL', 'OBJECT'))
-  OR (json_type(payload) = 'OBJECT' AND coalesce(json_type(payload, '$.id'), 'NULL') NOT IN ('VARCHAR', 'NULL'))""",
-       ("outbox",))
+@query("stream_dlq", "SELECT id FROM outbox WHERE __POISON__", ("outbox",))
 def stream_dlq(spark, sf):
     with streaming_tables("orders"):
         box = D.outbox(spark, sf)

@@ -193,9 +193,11 @@ def uuid_valid(spark, sf):
 
 
 @query("limit_clamp", """SELECT event_id AS seq, raw,
-  CASE WHEN regexp_full_match(raw, '[+-]?[0-9]{1,9}') AND CAST(raw AS BIGINT) BETWEEN 1 AND 100
+  CASE WHEN regexp_full_match(raw, '[+-]?[0-9]+') AND TRY_CAST(raw AS BIGINT) BETWEEN 1 AND 100
        THEN CAST(raw AS INT) ELSE 10 END AS "limit"
 FROM (SELECT event_id, CASE WHEN event_id % 17 = 0 THEN 'abc' WHEN event_id % 19 = 0 THEN ''
+  WHEN event_id % 23 = 0 THEN '00000000' || CAST(event_id % 130 AS VARCHAR)
+  WHEN event_id % 29 = 0 THEN CAST(event_id % 130 AS VARCHAR) || '00000000000000000000'
   ELSE CAST(event_id % 130 - 10 AS VARCHAR) END AS raw FROM events)""")
 def limit_clamp(spark, sf):
     return projections.limit_clamp_table(spark, sf)
@@ -211,8 +213,8 @@ def classify_http(spark, sf):
 
 
 @query("route_priority", """SELECT id, priority,
-  CASE priority WHEN 'high' THEN 'notifications.high' WHEN 'low' THEN 'notifications.low'
-       ELSE 'notifications.normal' END AS topic FROM notifications""", ("notifications",))
+  CASE priority WHEN 'high' THEN 'notifications-high' WHEN 'low' THEN 'notifications-low'
+       ELSE 'notifications-normal' END AS topic FROM notifications""", ("notifications",))
 def route_priority(spark, sf):
     n = D.notifications(spark, sf)
     return n.select("id", "priority", projections.route_priority("priority").alias("topic"))

@@ -92,9 +92,7 @@ def _relay(spark, sf):
 
 @query("relayed_total", f"""SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS value FROM (
   SELECT (rn - 1) // 100 AS b, count(*) AS n, bool_and(poison) AS all_poison FROM (
-    SELECT rn, CASE WHEN NOT json_valid(payload) THEN true WHEN json_type(payload) = 'NULL' THEN false
-      WHEN json_type(payload) <> 'OBJECT' THEN true
-      ELSE coalesce(json_type(payload, '$.id'), 'NULL') NOT IN ('VARCHAR', 'NULL') END AS poison
+    SELECT rn, __POISON__ AS poison
     FROM {_RELAY_SQL}) GROUP BY b) WHERE NOT all_poison""", ("outbox",))
 def relayed_total(spark, sf):
     """Rows counted per relay batch; all-poison batches are not counted."""

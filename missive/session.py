@@ -19,7 +19,7 @@ REQUIRED_CONF = {
 # Settings for sessions this package builds itself (tests, bench).
 LOCAL_CONF = {
     "spark.ui.enabled": "false",
-    "spark.driver.memory": "20g",
+    "spark.driver.memory": "10g",
     # wide generated methods (validation CASE chains) must still be JIT-compiled
     "spark.driver.extraJavaOptions": "-XX:-DontCompileHugeMethods",
     "spark.executor.extraJavaOptions": "-XX:-DontCompileHugeMethods",
@@ -45,10 +45,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting points at shared storage and is only read.  When it is
-    unset (local tests) a scratch folder is created and registered.
+    unset on a local master (tests) a scratch folder is created and registered; on any other
+    master that is an error, as executors would write to their own disks.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         path = tempfile.mkdtemp(prefix="missive-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     sc = spark.sparkContext

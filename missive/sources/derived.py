@@ -236,8 +236,12 @@ def outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.substring("id", 25, 12).cast("bigint")
     payload = F.to_json(F.struct("id", "correlation_id", "recipient", "channel", "content",
                                  "priority"), {"ignoreNullFields": "false"})
-    payload = (F.when(k % 101 == 0, F.lit('{"id":5}')).when(k % 103 == 0, F.lit("not json"))
-               .when(k % 107 == 0, F.lit("null")).otherwise(payload))
+    field = F.element_at(F.array(*[F.lit(f) for f in ("id", "correlation_id", "recipient", "channel", "content", "priority")]),
+                         (k % 6 + 1).cast("int"))
+    unknown = F.concat(F.lit('{"id":"'), uuid_from(k, "9"), F.lit('","channel":"sms"}'))
+    payload = (F.when(k % 101 == 0, F.concat(F.lit('{"'), field, F.lit('":5}'))).when(k % 103 == 0, F.lit("not json"))
+               .when(k % 107 == 0, F.lit("null")).when(k % 109 == 0, unknown)
+               .when(k % 113 == 0, F.concat(payload, F.lit(" junk"))).otherwise(payload))
     return n.select(
         uuid_from(k, "2").alias("id"),
         F.col("id").alias("aggregate_id"),
@@ -251,10 +255,16 @@ def outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cancel_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cancel API calls by notification id (repeats and unknown ids included)."""
+    """Cancel API calls by notification id: two per id and unknown ids long after the
+    messages (one per event), and calls three hours before a message (orders)."""
     e = read_table(spark, sf_dir, "events")
-    return e.select(F.col("event_id").alias("req_id"),
-                    uuid_from((F.col("event_id") % 9000) * 2).alias("id"), "ts")
+    o = read_table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 23 == 0)
+    late = e.select(F.col("event_id").alias("req_id"),
+                    uuid_from(F.floor(F.col("event_id") / 2) * 2).alias("id"), "ts")
+    live = o.select((F.lit(10 ** 15) + F.col("o_orderkey")).cast("bigint").alias("req_id"),
+                    uuid_from(F.col("o_orderkey")).alias("id"),
+                    (F.col("o_orderdate").cast("timestamp_ntz") - F.expr("INTERVAL 3 HOURS")).alias("ts"))
+    return late.unionByName(live)
 
 
 def timed_calls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,7 +52,12 @@ def run_foreach_batch(df: DataFrame, name: str, fn, mode: str = "append") -> str
 
 def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     """Idempotent per-batch write: a replayed batch id overwrites its own folder."""
-    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    df.write.mode("overwrite").parquet(f"{path}/micro_batch={batch_id}")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
 # ----------------------------------------------------------------------- X1 admission
@@ -71,12 +76,10 @@ def admission(requests: DataFrame, existing_keys: DataFrame, name: str = "admiss
         first = batch.groupBy("idempotency_key").agg(F.min("seq").alias("seq"))
         b = batch.join(first, ["idempotency_key", "seq"], "left_semi")
         b = b.join(existing_keys, "idempotency_key", "left_anti")
-        try:
-            seen = spark.read.parquet(f"{out}/notifications").where(F.col("batch_id") < batch_id) \
+        if _exists(spark, f"{out}/notifications"):      # any other read error stops the stream
+            seen = spark.read.parquet(f"{out}/notifications").where(F.col("micro_batch") < batch_id) \
                         .select("idempotency_key")
             b = b.join(seen, "idempotency_key", "left_anti")
-        except Exception:  # noqa: BLE001 - first batch: nothing written yet
-            pass
         from missive.operators.transitions import apply_create
         b = b.persist()
         rows, outbox = apply_create(b)

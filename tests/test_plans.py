@@ -21,8 +21,30 @@ def test_global_row_number_matches_window(spark):
     assert sorted(got.select("id", "rn").collect()) == sorted(want.select("id", "rn").collect())
 
 
-def test_global_row_number_join_path(spark, monkeypatch):
-    monkeypatch.setattr(R, "OFFSETS_COLLECT_LIMIT", 0)
+def test_global_row_number_null_keys(spark):
+    rows = [(i, None if i % 3 == 0 else "x", None if i % 5 == 0 else i % 7) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, k string, j long")
+    got = R.global_row_number(df, ["id"], keys=["k", "j"], num_partitions=4)
+    w = Window.partitionBy("k", "j").orderBy("id")
+    want = df.withColumn("rn", F.row_number().over(w))
+    assert sorted(got.select("id", "rn").collect()) == sorted(want.select("id", "rn").collect())
+
+
+def test_no_local_checkpoint_folder_on_a_cluster():
+    import pytest
+    from missive.session import ensure_checkpoint_dir
+
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "spark://host:7077"}.get(key, default)
+
+    class Session:
+        conf = Conf()
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(Session())
+
+
+def test_global_row_number_descending(spark):
     rnd = random.Random(4)
     rows = [(i, rnd.choice("ab"), rnd.randint(0, 30)) for i in range(2000)]
     df = spark.createDataFrame(rows, "id long, k string, v long")
