@@ -1,95 +1,95 @@
 """Strict JSON request decoding (S1, S2): VARIANT parse, key and type checks.
 
-A plain ``from_json`` would accept unknown fields and cast 5 to "5"; the reference's
-decoder refuses both, so the check goes through ``try_parse_json`` and
-``schema_of_variant``.  Everything stays in JVM expressions (no Python per row).
+A plain ``from_json`` into fields would accept unknown ones and cast 5 to "5"; the
+reference's decoder refuses both, so objects are read as maps of variants, whose keys and
+value types are checked.  Everything stays in JVM expressions (no Python per row).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The five request fields.
 REQUEST_FIELDS = ("idempotency_key", "recipient", "channel", "content", "priority")
 MAX_BATCH = 1000
+MAX_BODY, MAX_BATCH_BODY = 512 * 1024, 1024 * 1024
+
+
+def _entries(m: Column, name: str) -> Column:
+    """Values under ``name`` in the order of the text; the decoder ignores key case and
+    takes repeated keys one after the other."""
+    return F.transform(F.filter(F.map_entries(m), lambda e: F.lower(e["key"]) == name), lambda e: e["value"])
 
 
-def _as_map(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "map<string,variant>")
+def _wrong_type(values: Column) -> Column:
+    return F.exists(values, lambda v: ~F.coalesce(F.schema_of_variant(v), F.lit("VOID")).isin("STRING", "VOID"))
 
 
-def _field(m: Column, name: str) -> Column:
-    """Value of ``name`` matched case-insensitively (the decoder ignores key case)."""
-    hits = F.filter(F.map_entries(m), lambda e: F.lower(e["key"]) == name)
-    return F.try_element_at(hits, F.lit(-1))["value"]
+def _last_text(values: Column) -> Column:
+    """The last string wins; a JSON null leaves what was there."""
+    texts = F.filter(values, lambda v: F.coalesce(F.schema_of_variant(v), F.lit("VOID")) == "STRING")
+    return F.coalesce(F.variant_get(F.try_element_at(texts, F.lit(-1)), "$", "string"), F.lit(""))
 
 
-def _object_problem(v: Column) -> Column:
-    """Null when ``v`` is an object with only known keys and string-or-null values."""
-    m = _as_map(v)
-    unknown = F.exists(F.map_keys(m), lambda k: ~F.lower(k).isin(*REQUEST_FIELDS))
-    wrong = None
-    for f in REQUEST_FIELDS:
-        t = F.schema_of_variant(_field(m, f))
-        bad = F.coalesce(~t.isin("STRING", "VOID"), F.lit(False))
-        wrong = bad if wrong is None else (wrong | bad)
-    return (F.when(m.isNull(), "not_an_object")
-            .when(unknown, "unknown_field")
-            .when(wrong, "wrong_type"))
+def _unknown(m: Column) -> Column:
+    return F.exists(F.map_keys(m), lambda k: ~F.lower(k).isin(*REQUEST_FIELDS))
 
 
-def _fields(v: Column) -> list[Column]:
-    m = _as_map(v)
-    return [F.coalesce(F.variant_get(_field(m, f), "$", "string"), F.lit("")).alias(f)
-            for f in REQUEST_FIELDS]
+def _bad_item(m: Column) -> Column:
+    """An item is refused for an unknown key or a value that is neither string nor null; a
+    null item decodes to an empty request."""
+    wrong = reduce(lambda a, b: a | b, [_wrong_type(_entries(m, f)) for f in REQUEST_FIELDS])
+    return F.coalesce(_unknown(m) | wrong, F.lit(False))
 
 
 def parse_requests(df: DataFrame, col: str) -> DataFrame:
     """One body -> error (null = accepted) and the five string fields.
 
-    The body is parsed once and each field looked up once: the parsed value, its map
-    and the field values are separate projections, which Catalyst keeps apart because
-    each is used several times.
+    A body over 512 KiB is refused.  The object is read as a map in the order of the text
+    (``from_json`` keeps repeated keys); the map and the field values are separate
+    projections, which Catalyst keeps apart because each is used several times.
     """
     keep = [c for c in df.columns if c != col]
     body = F.col(col)
-    x = df.select(*keep, body.alias("_body"), F.try_parse_json(body).alias("_v"))
-    x = x.select(*keep, "_body", "_v", _as_map(F.col("_v")).alias("_m"))
-    x = x.select(*keep, "_body", "_v", "_m",
-                 F.exists(F.map_keys("_m"), lambda k: ~F.lower(k).isin(*REQUEST_FIELDS)).alias("_unknown"),
-                 *[_field(F.col("_m"), f).alias(f"_f_{f}") for f in REQUEST_FIELDS])
-    wrong = None
-    for f in REQUEST_FIELDS:
-        bad = F.coalesce(~F.schema_of_variant(F.col(f"_f_{f}")).isin("STRING", "VOID"), F.lit(False))
-        wrong = bad if wrong is None else (wrong | bad)
-    err = (F.when(F.col("_body") == "", "empty_body").when(F.col("_v").isNull(), "malformed_json")
+    x = df.select(*keep, body.alias("_body"), F.try_parse_json(body).isNull().alias("_broken"),
+                  F.from_json(body, "map<string,variant>").alias("_m"))
+    x = x.select(*keep, "_body", "_broken", "_m", _unknown(F.col("_m")).alias("_unknown"),
+                 *[_entries(F.col("_m"), f).alias(f"_f_{f}") for f in REQUEST_FIELDS])
+    wrong = reduce(lambda a, b: a | b, [_wrong_type(F.col(f"_f_{f}")) for f in REQUEST_FIELDS])
+    err = (F.when(F.octet_length("_body") > MAX_BODY, "body_too_large")
+           .when(F.col("_body") == "", "empty_body").when(F.col("_m").isNull() & F.col("_broken"), "malformed_json")
            .when(F.col("_m").isNull(), "not_an_object").when(F.col("_unknown"), "unknown_field")
            .when(wrong, "wrong_type"))
     x = x.withColumn("error", err)
     ok = F.col("error").isNull()
-    fields = [F.when(ok, F.coalesce(F.variant_get(F.col(f"_f_{f}"), "$", "string"), F.lit("")))
-               .otherwise(F.lit("")).alias(f) for f in REQUEST_FIELDS]
+    fields = [F.when(ok, _last_text(F.col(f"_f_{f}"))).otherwise(F.lit("")).alias(f) for f in REQUEST_FIELDS]
     return x.select(*keep, "error", *fields)
 
 
 def parse_batches(df: DataFrame, col: str, batch_col: str) -> tuple[DataFrame, DataFrame]:
     """A JSON array body per batch -> (accepted rows with 1-based row_no, rejections).
 
-    Size 1..1000, and every item strict as in S1, else the whole batch is refused.
-    The explode is per batch row and bounded by the 1000-item rule.
+    A body over 1 MiB is refused; size 1..1000, and every item strict as in S1, else the
+    whole batch is refused.  The explode is per batch row and bounded by the 1000-item rule.
     """
     body = F.col(col)
-    v = F.try_parse_json(body)
-    arr = F.try_variant_get(v, "$", "array<variant>")
-    n = F.size(arr)
-    err = (F.when(v.isNull(), "malformed_json").when(arr.isNull(), "not_an_array")
+    checked = df.select(batch_col, body.alias("_body"), F.from_json(body, "array<map<string,variant>>").alias("_items"),
+                        F.try_parse_json(body).alias("_v"))
+    values = F.try_variant_get("_v", "$", "array<variant>")
+    items = F.when(F.col("_v").isNull() | values.isNotNull(), F.col("_items"))
+    checked = checked.select(batch_col, "_body", F.col("_v").isNull().alias("_broken"), items.alias("_items"), F.size(values).alias("_n"))
+    n = F.coalesce(F.size("_items"), F.col("_n"))
+    err = (F.when(F.octet_length("_body") > MAX_BATCH_BODY, "body_too_large")
+           .when(F.col("_items").isNull() & F.col("_broken"), "malformed_json").when(n.isNull(), "not_an_array")
            .when(n == 0, "empty_batch").when(n > MAX_BATCH, "batch_too_large")
-           .when(F.exists(arr, lambda it: _object_problem(it).isNotNull()), "bad_item"))
-    checked = df.select(batch_col, arr.alias("_items"), err.alias("error"))
+           .when(F.col("_items").isNull(), "bad_item").when(F.exists("_items", _bad_item), "bad_item"))
+    checked = checked.select(batch_col, "_items", err.alias("error"))
     rejected = checked.where(F.col("error").isNotNull()).select(batch_col, "error")
     good = checked.where(F.col("error").isNull())
     rows = good.select(batch_col, F.posexplode("_items").alias("_pos", "_item"))
     rows = rows.select(batch_col, (F.col("_pos") + 1).cast("bigint").alias("row_no"),
-                       *_fields(F.col("_item")))
+                       *[_last_text(_entries(F.col("_item"), f)).alias(f) for f in REQUEST_FIELDS])
     return rows, rejected

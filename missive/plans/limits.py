@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from missive.operators import breaker as B
 from missive.operators import limits as L
+from missive.operators.ingest import MAX_BATCH_BODY
 from missive.operators import metrics as A
 from missive.plans.registry import query
 from missive.sources import derived as D
@@ -76,15 +77,15 @@ def limit_token_bucket(spark, sf):
 
 
 _BATCH_WEIGHTS = """(SELECT batch_no AS req_id, 'api_tokens:10.0.0.1' AS key, arrival_ts AS ts,
-  CAST(json_array_length(CAST(body AS JSON)) AS INT) AS weight FROM batch_json)"""
+  CAST(json_array_length(CAST(body AS JSON)) AS INT) AS weight FROM batch_json WHERE octet_length(encode(body)) <= 1048576)"""
 
 
 @query("limit_weighted_batches", _bucket_sql(_BATCH_WEIGHTS, 1000, 0.5), ("batch_json",))
 def limit_weighted_batches(spark, sf):
     """L4: the token bucket spends a batch's size before the batch is validated, so
     refused-later batches still cost tokens (weight = item count of the raw body)."""
-    b = D.batch_json(spark, sf)
-    w = F.coalesce(F.size(F.try_variant_get(F.try_parse_json("body"), "$", "array<variant>")), F.lit(0))
+    b = D.batch_json(spark, sf).where(F.octet_length("body") <= MAX_BATCH_BODY)   # larger ones are refused unread
+    w = F.coalesce(F.json_array_length("body"), F.lit(0))
     reqs = b.select(F.col("batch_no").alias("req_id"), F.lit("api_tokens:10.0.0.1").alias("key"),
                     F.col("arrival_ts").alias("ts"), w.cast("int").alias("weight"))
     r = L.limit_token_bucket(reqs, "key", "ts", "req_id", "weight", 1000, 0.5)

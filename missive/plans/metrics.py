@@ -48,7 +48,7 @@ def created_by_channel(spark, sf):
 
 
 _BATCH_SIZES = """(SELECT batch_no, json_array_length(CAST(body AS JSON)) AS size FROM batch_json
-  WHERE json_array_length(CAST(body AS JSON)) BETWEEN 1 AND 1000
+  WHERE octet_length(encode(body)) <= 1048576 AND json_array_length(CAST(body AS JSON)) BETWEEN 1 AND 1000
     AND NOT EXISTS (SELECT 1 FROM (SELECT unnest(CAST(body AS JSON[])) AS item) WHERE
       len(list_filter(json_keys(item), lambda k: lower(k) NOT IN ('idempotency_key', 'recipient', 'channel', 'content', 'priority'))) > 0
       OR coalesce(json_type(item, '$.priority'), 'NULL') NOT IN ('VARCHAR', 'NULL')))"""

@@ -31,7 +31,10 @@ _HEAD = """'"idempotency_key":"' || idempotency_key || '","recipient":"' || reci
 
 VIEWS["request_json"] = f"""
 SELECT seq, batch_no, arrival_ts,
-  CASE WHEN seq % 37 = 0 THEN ''
+  CASE WHEN seq % 9973 IN (4000, 4001) THEN '{{"content":"' || repeat('y', 600000) || '",' || {_HEAD} || '}}'
+       WHEN seq % 29 = 5 THEN '{{"Channel":"fax",' || {_HEAD} || '}}'
+       WHEN seq % 29 = 6 THEN '{{' || {_HEAD} || ',"CHANNEL":"sms"}}'
+       WHEN seq % 37 = 0 THEN ''
        WHEN seq % 31 = 0 THEN '{{"idempotency_key":"' || idempotency_key || '","recipient":'
        WHEN seq % 23 = 0 THEN '{{' || {_HEAD} || ',"priority":5}}'
        WHEN seq % 11 = 0 THEN '{{' || {_HEAD} || ',"priority":"' || priority || '","extra":"1"}}'

@@ -132,7 +132,7 @@ r AS (SELECT key, rn, true AS allowed, [ms] AS log FROM src WHERE rn = 1
 SELECT count(*) FILTER (WHERE NOT allowed) FROM r)"""
 
 _BATCH_WEIGHTS = """(SELECT batch_no AS req_id, 'api_tokens:10.0.0.1' AS key, arrival_ts AS ts,
-  CAST(json_array_length(CAST(body AS JSON)) AS INT) AS weight FROM batch_json)"""
+  CAST(json_array_length(CAST(body AS JSON)) AS INT) AS weight FROM batch_json WHERE octet_length(encode(body)) <= 1048576)"""
 _TOKEN_SQL = "(" + _bucket_sql(_BATCH_WEIGHTS, 1000, 0.5).replace(
     "SELECT req_id, key, allowed, round(tokens, 9) AS tokens_left FROM r",
     "SELECT count(*) FILTER (WHERE NOT allowed) FROM r") + ")"

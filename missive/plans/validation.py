@@ -117,7 +117,7 @@ def batch_first_invalid(spark, sf):
   CASE WHEN error IS NULL THEN k2 ELSE '' END AS channel,
   CASE WHEN error IS NULL THEN k3 ELSE '' END AS content,
   CASE WHEN error IS NULL THEN k4 ELSE '' END AS priority FROM (SELECT seq,
-  CASE WHEN body = '' THEN 'empty_body'
+  CASE WHEN octet_length(encode(body)) > 524288 THEN 'body_too_large' WHEN body = '' THEN 'empty_body'
        WHEN NOT json_valid(body) THEN 'malformed_json'
        WHEN json_type(body) <> 'OBJECT' THEN 'not_an_object'
        WHEN len(list_filter(json_keys(body), lambda k: lower(k) NOT IN
@@ -132,7 +132,7 @@ def batch_first_invalid(spark, sf):
 FROM (SELECT seq, body,
   CASE WHEN json_valid(body) AND body <> '' THEN coalesce(body ->> '$.idempotency_key', '') END AS idempotency_key,
   CASE WHEN json_valid(body) AND body <> '' THEN coalesce(body ->> '$.recipient', '') END AS recipient,
-  CASE WHEN json_valid(body) AND body <> '' THEN coalesce(body ->> '$.channel', '') END AS channel,
+  CASE WHEN json_valid(body) AND body <> '' THEN coalesce(body ->> '$.CHANNEL', body ->> '$.channel', '') END AS channel,
   CASE WHEN json_valid(body) AND body <> '' THEN coalesce(body ->> '$.content', '') END AS content,
   CASE WHEN json_valid(body) AND body <> '' THEN coalesce(body ->> '$.priority', '') END AS priority
   FROM request_json))""", ("request_json",))
@@ -142,7 +142,7 @@ def ingest_strict_json(spark, sf):
 
 
 @query("ingest_batch_explode", """WITH b AS (
-  SELECT batch_no, body, CAST(body AS JSON) AS j FROM batch_json),
+  SELECT batch_no, body, CAST(body AS JSON) AS j FROM batch_json WHERE octet_length(encode(body)) <= 1048576),
  items AS (SELECT batch_no, json_array_length(j) AS n, unnest(range(CAST(json_array_length(j) AS BIGINT))) AS i, j FROM b),
  rows AS (SELECT batch_no, n, i + 1 AS row_no, json_extract(j, '$[' || i || ']') AS item FROM items),
  checked AS (SELECT *, len(list_filter(json_keys(item), lambda k: lower(k) NOT IN
@@ -152,7 +152,7 @@ def ingest_strict_json(spark, sf):
 SELECT c.batch_no, c.row_no,
   coalesce(item ->> '$.idempotency_key', '') AS idempotency_key,
   coalesce(item ->> '$.recipient', '') AS recipient,
-  coalesce(item ->> '$.channel', '') AS channel,
+  coalesce(item ->> '$.CHANNEL', item ->> '$.channel', '') AS channel,
   coalesce(item ->> '$.content', '') AS content,
   coalesce(item ->> '$.priority', '') AS priority
 FROM checked c JOIN good g USING (batch_no)""", ("batch_json",))
@@ -161,7 +161,7 @@ def ingest_batch_explode(spark, sf):
     return rows
 
 
-@query("batch_rejections", """WITH b AS (SELECT batch_no, CAST(body AS JSON) AS j FROM batch_json),
+@query("batch_rejections", """WITH b AS (SELECT batch_no, CAST(body AS JSON) AS j FROM batch_json WHERE octet_length(encode(body)) <= 1048576),
  items AS (SELECT batch_no, json_array_length(j) AS n,
    unnest(CASE WHEN json_array_length(j) = 0 THEN [NULL::BIGINT] ELSE range(CAST(json_array_length(j) AS BIGINT)) END) AS i,
    j FROM b),
@@ -171,7 +171,8 @@ def ingest_batch_explode(spark, sf):
     OR coalesce(json_type(item, '$.priority'), 'NULL') NOT IN ('VARCHAR', 'NULL')) AS bad FROM rows)
 SELECT batch_no, CASE WHEN max(n) = 0 THEN 'empty_batch' WHEN max(n) > 1000 THEN 'batch_too_large'
   ELSE 'bad_item' END AS error
-FROM checked GROUP BY batch_no HAVING max(n) = 0 OR max(n) > 1000 OR bool_or(bad)""", ("batch_json",))
+FROM checked GROUP BY batch_no HAVING max(n) = 0 OR max(n) > 1000 OR bool_or(bad)
+UNION ALL SELECT batch_no, 'body_too_large' FROM batch_json WHERE octet_length(encode(body)) > 1048576""", ("batch_json",))
 def batch_rejections(spark, sf):
     _rows, rejected = ingest.parse_batches(D.batch_json(spark, sf), "body", "batch_no")
     return rejected

@@ -83,7 +83,11 @@ def request_json(spark: SparkSession, sf_dir: str) -> DataFrame:
                        _json_str("channel", F.col("channel")),
                        _json_str("content", F.col("content")))
     full = F.concat(F.lit("{"), head, F.lit(","), _json_str("priority", F.col("priority")), F.lit("}"))
-    body = (F.when(seq % 37 == 0, F.lit(""))
+    huge = F.concat(F.lit('{"content":"'), F.expr("repeat('y', 600000)"), F.lit('",'), head, F.lit("}"))
+    body = (F.when((seq % 9973).isin(4000, 4001), huge)
+            .when(seq % 29 == 5, F.concat(F.lit('{"Channel":"fax",'), head, F.lit("}")))
+            .when(seq % 29 == 6, F.concat(F.lit("{"), head, F.lit(',"CHANNEL":"sms"}')))
+            .when(seq % 37 == 0, F.lit(""))
             .when(seq % 31 == 0, F.concat(F.lit('{"idempotency_key":"'), F.col("idempotency_key"),
                                           F.lit('","recipient":')))
             .when(seq % 23 == 0, F.concat(F.lit("{"), head, F.lit(',"priority":5}')))

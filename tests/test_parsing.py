@@ -23,6 +23,32 @@ def test_strict_single(spark):
     assert r[6]["priority"] == ""
 
 
+def test_repeated_keys_and_body_size(spark):
+    """The last value in the order of the text wins whatever the case of its key, null
+    leaves what was there, every occurrence is type-checked, and size caps come first."""
+    bodies = ['{"channel":"a","Channel":"b"}', '{"Channel":"a","channel":"b"}', '{"channel":"a","channel":"b"}',
+              '{"channel":"a","channel":null}', '{"channel":5,"channel":"b"}', '{"content":"' + "x" * (512 * 1024) + '"}',
+              '{"content":"' + "x" * (512 * 1024 - 14) + '"}']
+    df = spark.createDataFrame(list(enumerate(bodies)), "seq long, body string")
+    r = {x["seq"]: x for x in ingest.parse_requests(df, "body").collect()}
+    assert [r[i]["channel"] for i in range(4)] == ["b", "b", "b", "a"]
+    assert [r[i]["error"] for i in range(7)] == [None] * 4 + ["wrong_type", "body_too_large", None]
+    item = '{"channel":"a","CHANNEL":"b","channel":"c"}'
+    batches = [(1, f"[{item},null]"), (2, '["x"]'), (3, '[{"content":"' + "x" * (1 << 20) + '"}]'), (4, "[")]
+    rows, rej = ingest.parse_batches(spark.createDataFrame(batches, "batch_no long, body string"), "body", "batch_no")
+    assert sorted((x["row_no"], x["channel"]) for x in rows.collect()) == [(1, "c"), (2, "")]
+    assert dict((x["batch_no"], x["error"]) for x in rej.collect()) == {2: "bad_item", 3: "body_too_large", 4: "malformed_json"}
+
+
+def test_payload_is_one_value(spark):
+    from missive.operators.joins import poison_payload
+    bodies = [('{"id":"1"}', False), ('{"id":"1"} junk', True), ('{"id":"1"},{"id":"2"}', True), ('{"id":"1"}] x', True), (' {"id":"]"} ', False),
+              ("null", False), ("", True), ('{"id":"1"}} x', True), ('{"id":5}', True), ('{"channel":[]}', True)]
+    df = spark.createDataFrame([(i, b) for i, (b, _) in enumerate(bodies)], "i int, payload string")
+    got = {r["i"]: r["p"] for r in df.select("i", poison_payload(F.col("payload")).alias("p")).collect()}
+    assert [got[i] for i in range(len(bodies))] == [p for _, p in bodies]
+
+
 def test_batches(spark):
     big = "[" + ",".join([GOOD] * 1001) + "]"
     bodies = [(1, "[" + GOOD + "," + GOOD.replace('"k"', '"k2"') + "]"), (2, "[]"), (3, big),
