@@ -76,15 +76,21 @@ def backoff(retry_count: Column) -> Column:
 # ------------------------------------------------------------------------ M1 create
 def apply_create(valid_requests: DataFrame, batch_id: Column | None = None,
                  created_at: str = "arrival_ts") -> tuple[DataFrame, DataFrame]:
-    """M1: admitted requests -> pending rows and their outbox rows (both from one frame)."""
-    ids = uuid_from(F.col("seq"), "3")          # deterministic id per admitted request
+    """M1: admitted requests -> pending rows and their outbox rows (both from one frame).
+
+    A request's correlation id is carried onto its row and payload; a request without one
+    gets its own.  ``batch_id`` names the batch of a batch request (null: single request).
+    """
+    ids = uuid_from(F.col("seq"), "3")          # deterministic ids per admitted request
+    own = uuid_from(F.col("seq"), "5")
+    given = F.col("correlation_id") if "correlation_id" in valid_requests.columns else F.lit(None).cast("string")
     rows = valid_requests.select(
         ids.alias("id"),
         (batch_id if batch_id is not None else F.lit(None).cast("string")).alias("batch_id"),
         "idempotency_key", "recipient", "channel", "content", "priority",
         F.lit("pending").alias("status"), F.lit(None).cast("string").alias("external_id"),
         F.lit(0).alias("retry_count"), F.lit(None).cast("timestamp_ntz").alias("next_retry_at"),
-        F.lit(None).cast("string").alias("correlation_id"),
+        F.coalesce(F.nullif(given, F.lit("")), own).alias("correlation_id"),
         F.col(created_at).alias("created_at"), F.col(created_at).alias("updated_at"))
     return rows, outbox_rows(rows)
 

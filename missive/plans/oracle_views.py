@@ -23,7 +23,8 @@ SELECT event_id AS seq, ts AS arrival_ts,
   repeat('x', CAST(floor(value * 2) AS INT)) AS content,
   CASE event_id % 5 WHEN 0 THEN ' HIGH ' WHEN 1 THEN 'normal' WHEN 2 THEN 'low' WHEN 3 THEN ''
        ELSE CASE WHEN event_id % 25 = 4 THEN 'critical' ELSE 'high' END END AS priority,
-  '10.0.' || CAST(user_id % 4 AS VARCHAR) || '.' || CAST(user_id AS VARCHAR) || ', 10.9.9.9' AS xff
+  '10.0.' || CAST(user_id % 4 AS VARCHAR) || '.' || CAST(user_id AS VARCHAR) || ', 10.9.9.9' AS xff,
+  CASE WHEN event_id % 3 = 0 THEN 'req-' || CAST(event_id AS VARCHAR) END AS correlation_id
 FROM events"""
 
 _HEAD = """'"idempotency_key":"' || idempotency_key || '","recipient":"' || recipient ||

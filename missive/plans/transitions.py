@@ -12,12 +12,21 @@ from missive.sources import derived as D
 AS_OF_SQL = "TIMESTAMP '1998-06-01 00:00:00'"
 
 
+# even batches are batch requests, the rows of odd ones are single requests
+def batch_id():
+    return F.expr("CASE WHEN batch_no % 2 = 0 THEN concat('40000000-0000-4000-8000-', lpad(CAST(batch_no AS STRING), 12, '0')) END")
+
+
+
 @query("apply_create", f"""SELECT '30000000-0000-4000-8000-' || lpad(CAST(seq AS VARCHAR), 12, '0') AS id,
+  CASE WHEN batch_no % 2 = 0 THEN '40000000-0000-4000-8000-' || lpad(CAST(batch_no AS VARCHAR), 12, '0') END AS batch_id,
+  coalesce(correlation_id, '50000000-0000-4000-8000-' || lpad(CAST(seq AS VARCHAR), 12, '0')) AS correlation_id,
   idempotency_key, recipient, channel, content, priority, 'pending' AS status, 0 AS retry_count,
-  arrival_ts AS created_at FROM {ADMITTED_SQL}""", ("requests", "notifications"))
+  arrival_ts AS created_at FROM {ADMITTED_SQL} JOIN (SELECT seq, batch_no, correlation_id FROM requests) USING (seq)""",
+       ("requests", "notifications"))
 def apply_create(spark, sf):
-    rows, _outbox = M.apply_create(admitted(spark, sf))
-    return rows.select("id", "idempotency_key", "recipient", "channel", "content", "priority",
+    rows, _outbox = M.apply_create(admitted(spark, sf), batch_id())
+    return rows.select("id", "batch_id", "correlation_id", "idempotency_key", "recipient", "channel", "content", "priority",
                        "status", "retry_count", "created_at")
 
 
@@ -187,18 +196,19 @@ def lifecycle_fold(spark, sf):
 
 
 @query("dual_write_outbox", f"""SELECT 'o-30000000-0000-4000-8000-' || lpad(CAST(seq AS VARCHAR), 12, '0') AS id,
-  '30000000-0000-4000-8000-' || lpad(CAST(seq AS VARCHAR), 12, '0') AS aggregate_id, 'NotificationCreated' AS event_type
-FROM {ADMITTED_SQL}""", ("requests", "notifications"))
+  '30000000-0000-4000-8000-' || lpad(CAST(seq AS VARCHAR), 12, '0') AS aggregate_id, 'NotificationCreated' AS event_type,
+  coalesce(correlation_id, '50000000-0000-4000-8000-' || lpad(CAST(seq AS VARCHAR), 12, '0')) AS correlation_id
+FROM {ADMITTED_SQL} JOIN (SELECT seq, correlation_id FROM requests) USING (seq)""", ("requests", "notifications"))
 def dual_write_outbox(spark, sf):
     """Admitted requests written as notifications + outbox tables under the shared
     checkpoint folder; the outbox rows whose notification row exists are returned."""
     import uuid
     from missive.session import ensure_checkpoint_dir
     base = ensure_checkpoint_dir(spark).rstrip("/") + f"/tables/dual-{uuid.uuid4().hex[:12]}"
-    rows_path, box_path = M.dual_write(admitted(spark, sf), base)
+    rows_path, box_path = M.dual_write(admitted(spark, sf), base, batch_id())
     rows = spark.read.parquet(rows_path).select(F.col("id").alias("aggregate_id"))
     return spark.read.parquet(box_path).join(rows, "aggregate_id", "left_semi") \
-                .select("id", "aggregate_id", "event_type")
+                .select("id", "aggregate_id", "event_type", F.get_json_object("payload", "$.correlation_id").alias("correlation_id"))
 
 
 @query("attempts", """SELECT id, attempt_no, attempt_ts, http_status, message_id, latency_s FROM attempts""",

@@ -67,6 +67,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("repeat('x', cast(floor(value * 2) as int))").alias("content"),
         priority.alias("priority"),
         F.concat(F.lit("10.0."), s(uid % 4), F.lit("."), s(uid), F.lit(", 10.9.9.9")).alias("xff"),
+        F.when(eid % 3 == 0, F.concat(F.lit("req-"), s(eid))).alias("correlation_id"),
     )
 
 
