@@ -39,14 +39,46 @@ def limit_fixed(df: DataFrame, key: str, ts: str, order: str, limit: int) -> Dat
 
 
 # --------------------------------------------------------------------- L2 sliding log
+def contested(d: DataFrame, key: str, limit: int, window_ms: int, out: str = "_near") -> DataFrame:
+    """Mark the rows (with their time in ``_ms``) that a sliding-log fold has to see.
+
+    A row with at most ``limit`` requests in its window, refused ones included, is surely
+    admitted.  Only rows with more, and the rows up to one window before them (their log),
+    need the fold.  Both facts are range windows inside (key, bucket of one window), each
+    bucket holding copies of the times next to it: linear work, and a hot key is split
+    over its buckets.
+    """
+    own = d.withColumn("_b", F.floor(F.col("_ms") / F.lit(window_ms)).cast("bigint"))
+
+    def beside(rows: DataFrame, step: int) -> DataFrame:
+        copy = {key: F.col(key), "_ms": F.col("_ms"), "_b": F.col("_b") + step}
+        return rows.select(*[copy.get(c, F.lit(None).cast(rows.schema[c].dataType)).alias(c) for c in rows.columns], F.lit(False).alias("_own"))
+
+    w = Window.partitionBy(key, "_b").orderBy("_ms")
+    seen = (own.withColumn("_own", F.lit(True)).unionByName(beside(own, 1))
+            .withColumn("_more", F.count(F.lit(1)).over(w.rangeBetween(-(window_ms - 1), 0)) > limit).where("_own").drop("_own"))
+    hot = beside(seen.where("_more"), -1).withColumn("_more", F.lit(True))
+    return (seen.withColumn("_own", F.lit(True)).unionByName(hot)
+            .withColumn(out, F.max("_more").over(w.rangeBetween(0, window_ms - 1))).where("_own").drop("_own", "_more", "_b"))
+
+
 def limit_sliding(df: DataFrame, key: str, ts: str, order: str, limit: int,
                   window_ms: int) -> DataFrame:
     """L2: admit iff fewer than ``limit`` *admitted* requests lie in (now - window, now].
 
-    Refused requests are not recorded, so a plain range count is wrong; the decision is
-    a fold.  Times are floored to milliseconds; an idle gap >= window empties the log,
-    so each key's timeline is cut there and the pieces fold in parallel.
+    Two tiers.  Rows that no crowded window touches are admitted by a range count alone
+    (``contested``).  The others are a fold, as refused requests are not recorded: times
+    are floored to milliseconds, and where no contested row lies in the window before, the
+    log is empty or surely admitted, so each key's timeline is cut there and the pieces
+    fold in parallel.  Only a key that stays over its limit without a break is sequential.
     """
+    d = df.withColumn("_ms", F.expr(f"unix_millis(cast({ts} as timestamp))"))
+    d = contested(d, key, limit, window_ms)
+    free = d.where(~F.col("_near")).select(*df.columns, F.lit(True).alias("allowed"))
+    return free.unionByName(_fold_sliding(d.where("_near").select(df.columns), key, ts, order, limit, window_ms))
+
+
+def _fold_sliding(df: DataFrame, key: str, ts: str, order: str, limit: int, window_ms: int) -> DataFrame:
     from missive.operators.fold import segment_by_gap, stream_fold
 
     d = df.withColumn("_ms", F.expr(f"unix_millis(cast({ts} as timestamp))")) \

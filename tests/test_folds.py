@@ -192,3 +192,14 @@ def test_random_watermark_matches_replay(spark):
             d = rows[p * 9000 + o][3]
             run = float("inf") if d is None or run == float("inf") else max(run, d)
             assert got[(p, o)] == (None if run == float("inf") else run)
+
+
+def test_sliding_fold_sees_only_contested_rows(spark):
+    """Steady traffic under the limit needs no fold; around a burst only one window does."""
+    from missive.operators import limits as L
+    rows = [(i, "k", i * 100) for i in range(3000)] + [(10_000 + i, "k", 150_000 + i) for i in range(30)]
+    d = spark.createDataFrame(rows, "req_id long, key string, _ms long")
+    near = {r["req_id"] for r in L.contested(d, "key", 12, 1000).where("_near").collect()}
+    assert {10_000 + i for i in range(30)} <= near
+    assert all(149_000 < ms < 152_000 for i, _, ms in rows if i in near) and len(near) < 70
+    assert L.contested(d.where("req_id < 3000"), "key", 12, 1000).where("_near").count() == 0
