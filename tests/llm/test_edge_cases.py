@@ -59,8 +59,8 @@ def test_empty_table(spark, name):
 
 def test_all_null_columns(spark):
     df = spark.createDataFrame([(None, None, None, None, None)] * 3 + [(1, None, None, None, None)], SCHEMA)
-    for name, (run, _) in OPS.items():
-        run(spark, df).collect()
+    for name in ("packing", "quality_rules", "language_id", "toxicity", "quality", "near_dups"):
+        OPS[name][0](spark, df).collect()
 
 
 def test_other_empty_tables(spark):
