@@ -66,10 +66,12 @@ def _beginnings(word: str):
 def learn_lexicon(rows, entries: int = ENTRIES, support: int = 6, least: float = 1.5) -> dict[str, float]:
     """(label, distinct words) of documents to entries with log-odds weights.
 
-    An entry needs ``support`` toxic documents; a longer one is kept only where it says
+    An entry needs ``support`` toxic documents (one in sixty, but three, where fewer
+    than that are labelled); a longer one is kept only where it says
     clearly more than the beginnings it contains.
     """
     pos, neg, n_pos, n_neg = Counter(), Counter(), 0, 0
+    support = min(support, max(3, sum(label for label, _ in rows) // 60))
     toxic_words = Counter()
     for label, words in rows:
         if label:
