@@ -26,16 +26,19 @@ BREAKER_NAME = "webhook_main"
 BREAKER_MAX, BREAKER_WINDOW_S, BREAKER_OPEN_S = 10, 10, 30
 
 
-def webhook_breaker_trips(attempts: DataFrame) -> DataFrame:
-    """B1 over all webhook calls (one breaker for the whole worker): trip times."""
+def webhook_replay(attempts: DataFrame) -> DataFrame:
+    """B1 over all webhook calls (one breaker for the whole worker): verdict per call."""
     calls = attempts.select(
         F.lit(BREAKER_NAME).alias("name"), F.col("attempt_ts").alias("ts"),
         (classify_http("http_status") != "retriable").alias("ok"),
         F.struct("id", "attempt_no", F.coalesce("http_status", F.lit(-1)).alias("h"), "message_id",
                  "latency_s").alias("call_id"))
-    rep = B.breaker_replay(calls, max_failures=BREAKER_MAX, window_s=BREAKER_WINDOW_S,
-                           open_s=BREAKER_OPEN_S)
-    return rep.where("tripped").select("name", "ts")
+    return B.breaker_replay(calls, max_failures=BREAKER_MAX, window_s=BREAKER_WINDOW_S,
+                            open_s=BREAKER_OPEN_S)
+
+
+def webhook_breaker_trips(attempts: DataFrame) -> DataFrame:
+    return webhook_replay(attempts).where("tripped").select("name", "ts")
 
 
 def disposition(messages: DataFrame, snapshot: DataFrame, cancels: DataFrame,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from missive.operators import disposition as DS
+from missive.operators import metrics as A
 from missive.plans.limits import breaker_sql
 from missive.plans.registry import query
 from missive.sources import derived as D
@@ -79,6 +80,19 @@ def dlq_split(spark, sf):
     return d.where(F.col("disposition").startswith("dlq")).groupBy("disposition").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("webhook_calls", breaker_sql(_CALLS, DS.BREAKER_MAX, DS.BREAKER_WINDOW_S, DS.BREAKER_OPEN_S,
+                                    final="""SELECT channel, CASE WHEN verdict = 'open' THEN 'circuit_open'
+  WHEN h = -1 OR h >= 500 OR h IN (429, 408) THEN 'error' ELSE 'success' END AS result, count(*) AS value
+FROM (SELECT verdict, struct_extract(call_id, 'h') AS h, struct_extract(call_id, 'id') AS id FROM rep)
+JOIN notifications USING (id) GROUP BY ALL"""), ("attempts", "notifications"))
+def webhook_calls(spark, sf):
+    """A10: calls by channel and result; a call that the open breaker refuses is circuit_open."""
+    rep = DS.webhook_replay(D.attempts(spark, sf)).select(F.col("call_id.id").alias("id"), "verdict", "ok")
+    res = F.when(F.col("verdict") == "open", "circuit_open").when(~F.col("ok"), "error").otherwise("success")
+    ch = D.notifications(spark, sf).select("id", "channel")
+    return A.counter(rep.withColumn("result", res).join(ch, "id"), ["channel", "result"])
+
+
 @query("dlq_total", breaker_sql(_CALLS, DS.BREAKER_MAX, DS.BREAKER_WINDOW_S, DS.BREAKER_OPEN_S,
                                 final=_FINAL.replace("SELECT msg_id, nid, disposition FROM (",
                                                      "SELECT count(*) AS value FROM (", 1) + " WHERE disposition LIKE 'dlq%'"),
