@@ -15,8 +15,12 @@ share is spread over many tasks.
 
 from __future__ import annotations
 
+import contextlib
 import os
+import re
+import struct
 import zlib
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -27,31 +31,83 @@ from missive.llm.common import arrow_rows, drop_tables, shared_table, sqrt_bucke
 from missive.session import ship_package
 
 SIZE = 2048
-CACHE = 300_000      # distinct words a task keeps tokenised
+CACHE = 400_000      # distinct words of one of the two generations a task keeps tokenised
+
+
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+
+
+def _byte_chars() -> dict[int, int]:
+    """Byte-level tokenizers write a byte that is not a printable Latin-1 sign as the next
+    free character from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+_BYTE_CHARS = _byte_chars()
 
 
 class WordTokens:
     """Token ids of texts by a tokenizer that never joins words across ASCII blanks.
 
-    Each distinct blank-separated word is tokenised once and its ids are kept as bytes; the
-    cache is emptied when full, which changes nothing but the time.
+    Each distinct blank-separated word is tokenised once and its ids are kept as bytes, in
+    two generations: a full one becomes the old one, from which words still in use move on.
+    What is forgotten changes nothing but the time.
     """
 
     def __init__(self, path: str, cache: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), cache, {}
+        self.before: dict[bytes, bytes] = {}
+        with contextlib.suppress(AttributeError):      # only speed: its own cache is not needed beside this one
+            self.tokenizer.model._resize_cache(0)
+        self._learn_all([b",", b"."])
+        self.marks = {"": b"", ",": self.known[b","], ".": self.known[b"."]}
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Tokenise new words.
+
+        A word of plain Latin letters (all of them composed, so that lower-casing is the
+        whole normalisation) and at most one mark after it goes to the tokenizer's model
+        directly, once for all its spellings.  Other words go through the whole tokenizer,
+        many at a time, joined by blanks; the tokens' places tell them apart.
+        """
+        known, model, hard = self.known, self.tokenizer.model.tokenize, []
+        for w in new:
+            plain = _PLAIN.fullmatch(w.decode("utf-8"))
+            if plain is None:
+                hard.append(w)
+                continue
+            core = plain[1].lower().encode("utf-8")
+            ids = known.get(core)
+            if ids is None:
+                found = [t.id for t in model(core.decode("latin-1").translate(_BYTE_CHARS))]
+                ids = known[core] = struct.pack(f"<{len(found)}I", *found)
+            if w != core:
+                known[w] = ids + self.marks[plain[2]]
+        self._learn_all(hard)
+
+    def _learn_all(self, new: list[bytes]) -> None:
+        for i in range(0, len(new), 1024):
+            part = [w.decode("utf-8") for w in new[i:i + 1024]]
+            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids = np.array(e.ids, "<u4").tobytes()
+            first = np.fromiter((a for a, _ in e.offsets), np.int64, len(e.ids))
+            begin = np.concatenate(([0], np.cumsum([len(w) + 1 for w in part])))
+            cut = (4 * np.searchsorted(first, begin)).tolist()
+            for w, a, b in zip(new[i:i + 1024], cut, cut[1:]):
+                self.known[w] = ids[a:b]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         words = [t.split() for t in texts]
-        new = list(set().union(*words).difference(self.known)) if words else []
-        if len(self.known) + len(new) > self.limit:
-            self.known = {}
-            new = list(set().union(*words))
-        for i in range(0, len(new), 4096):
-            part = new[i:i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode("utf-8") for w in part], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+        if len(self.known) > self.limit:
+            self.known, self.before = {}, self.known
+        new = set(filterfalse(self.known.__contains__, chain.from_iterable(words)))
+        old = new.intersection(self.before)
+        self.known.update(zip(old, map(self.before.__getitem__, old)))
+        self._learn(list(new - old))
         get = self.known.__getitem__
         return [b"".join(map(get, ws)) for ws in words]
 
