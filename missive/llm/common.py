@@ -108,6 +108,19 @@ def arrow_rows(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> N
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
+def hash_sample(rows: DataFrame, key: str, n_rows: int, k: int) -> DataFrame:
+    """At most ``k`` rows: those with the smallest hashes of ``key`` among ``n_rows``.
+
+    Rows above the hash that holds ``k`` rows (with six standard deviations to spare) are
+    dropped where they are read, so tasks hand over a handful of rows each, however many
+    tasks there are.
+    """
+    h = F.xxhash64(F.col(key).cast("long")).bitwiseAND(F.lit((1 << 63) - 1))
+    share = min(1.0, (k + 6 * k ** 0.5 + 10) / max(n_rows, 1))
+    near = rows.withColumn("__h", h).where(F.col("__h") <= F.lit(int(share * (1 << 30)) * (1 << 33) - 1))
+    return near.orderBy("__h", *[c for c in rows.columns if c != key and rows.schema[c].dataType.typeName() in ("string", "integer")]).limit(k).drop("__h")
+
+
 def one_row_per_id(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of one id are one document: keep one of them (the smallest text).
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from missive.llm.common import shared_table
+from missive.llm.common import hash_sample, shared_table
 
 
 def remainder(id_col: str, n: int) -> Column:
@@ -24,8 +24,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, usable:
     one = (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & usable)
            .groupBy(id_col).agg(F.max(label_col).cast("int").alias("label")))
     known = docs.select(id_col).distinct()
-    one = one.join(known, id_col, "left_semi").withColumn("h", F.xxhash64(F.col(id_col).cast("long")))
-    picked = [one.where(F.col("label") == c).orderBy("h", id_col).limit(per_class) for c in (0, 1)]
+    one = shared_table(one.join(known, id_col, "left_semi"), "sample-labels")
+    n = {r["label"]: r["count"] for r in one.groupBy("label").count().collect()}
+    picked = [hash_sample(one.where(F.col("label") == c), id_col, n.get(c, 0), per_class) for c in (0, 1)]
     ids = shared_table(picked[0].union(picked[1]).select(F.col(id_col).alias("id"), "label"), "sample-ids")
     # at most 2 * per_class rows: a proven bound for the broadcast
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from missive.llm.common import arrow_rows, shared_table
+from missive.llm.common import arrow_rows, hash_sample, shared_table
 from missive.llm.words import slices
 from missive.session import ship_package
 
@@ -97,12 +97,11 @@ def fit_languages(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
     """Train on at most ``per_language`` labelled texts of each language (smallest id hashes)."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows if usable is None else rows.where(usable)
-    langs = [r[0] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(64).collect()]
-    h = F.xxhash64(F.col(id_col).cast("long"))
+    langs = rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(64).collect()
     texts, names = [], []
-    for lang in langs:
-        picked = (rows.where(F.col(lang_col) == lang).select(F.substring(text_col, 1, CUT).alias("t"), h.alias("h"))
-                  .orderBy("h", "t").limit(per_language).collect())
+    for lang, n in langs:
+        own = rows.where(F.col(lang_col) == lang).select(F.col(id_col).alias("i"), F.substring(text_col, 1, CUT).alias("t"))
+        picked = hash_sample(own, "i", n, per_language).collect()
         texts += [r["t"] for r in picked]
         names += [lang] * len(picked)
     return train(texts, names) if names else ([], np.zeros((BUCKETS, 1), np.float32))

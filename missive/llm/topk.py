@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from missive.llm.common import arrow_rows, drop_tables, one_row_per_id, shared_table
+from missive.llm.common import arrow_rows, drop_tables, hash_sample, one_row_per_id, shared_table
 from missive.session import ship_package
 
 PIVOTS = 64
@@ -150,7 +150,7 @@ def exact_top_k(data: DataFrame, is_query: Column, id_col: str = "vec_id", vecto
     if row["n"] == 0:
         return spark.createDataFrame([], "query_id long, rank int, id long, score double")
     dim, top = int(row["dim"]), float(row["top"])
-    chosen = vec.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()         # a bounded set
+    chosen = hash_sample(vec, "id", int(row["n"]), pivots).collect()                # a bounded set
     p = np.zeros((len(chosen), dim))
     for i, r in enumerate(chosen):
         p[i, :len(r["v"])] = r["v"]
