@@ -148,4 +148,4 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataF
     """
     docs = one_row_per_id(docs, id_col)
     uses = mixture(docs, id_col, **options).groupBy(id_col).agg(F.count("*").cast("int").alias("__uses"))
-    return docs.join(shared_table(uses, "mix-times"), id_col).withColumn("__use", F.explode(F.sequence(F.lit(1), F.col("__uses")))).select(docs.columns)
+    return docs.join(shared_table(uses, "mix-times").hint("shuffle_hash"), id_col).withColumn("__use", F.explode(F.sequence(F.lit(1), F.col("__uses")))).select(docs.columns)

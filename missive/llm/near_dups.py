@@ -233,4 +233,5 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     (nothing could name them later); rows of one id are one document."""
     docs = one_row_per_id(docs.where(F.col(id_col).isNotNull()), id_col)
     kept = near_duplicates(docs, id_col, text_col, **options).where("kept").select(id_col)
-    return docs.join(shared_table(kept, "nd-kept"), id_col, "left_semi")
+    # the ids grow with the corpus: never broadcast, one plan at every size
+    return docs.join(shared_table(kept, "nd-kept").hint("shuffle_hash"), id_col, "left_semi")

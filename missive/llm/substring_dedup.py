@@ -206,7 +206,7 @@ def _cleaned(window: int):
 def _with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
     """Rows with an ``id`` joined with the list of their spans (null: none)."""
     by = shared_table(spans.groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "sd-by-doc")
-    return rows.join(by, "id", "left")
+    return rows.join(by.hint("merge"), "id", "left")
 
 
 def substring_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
