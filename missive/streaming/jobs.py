@@ -171,8 +171,8 @@ def windowed_counts(events: DataFrame, ts: str, labels: list[str], width: str =
 def latest_per_key(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """Read an update-mode output and keep the last value written per key."""
     df = spark.read.parquet(path)
-    cols = [c for c in df.columns if c not in keys and c != "batch_id"]
-    g = df.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.col("batch_id")).alias("_l"))
+    cols = [c for c in df.columns if c not in keys and c != "micro_batch"]
+    g = df.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.col("micro_batch")).alias("_l"))
     return g.select(*keys, *[F.col(f"_l.{c}").alias(c) for c in cols])
 
 

@@ -50,3 +50,20 @@ def test_bounded_admission_keeps_one_row_per_key(spark):
     valid = V.validate_requests(D.requests(spark, SF_SMALL)).where(F.col("error").isNull())
     assert got.count() == valid.select("idempotency_key").distinct().count()
     assert got.groupBy("idempotency_key").count().where("count > 1").count() == 0
+
+
+def test_latest_per_key_keeps_the_last_micro_batch(spark, tmp_path):
+    """What ``_write_batch`` wrote in two batches: a changed key has its last value."""
+    path = str(tmp_path / "out")
+    X._write_batch(spark.createDataFrame([("a", 9), ("b", 1)], "k string, value long"), path, 0)
+    X._write_batch(spark.createDataFrame([("a", 2)], "k string, value long"), path, 1)
+    got = X.latest_per_key(spark, path, ["k"])
+    assert got.columns == ["k", "value"] and sorted(tuple(r) for r in got.collect()) == [("a", 2), ("b", 1)]
+
+
+def test_stream_metrics_equals_batch_counts(spark):
+    from pyspark.sql import functions as F
+    from missive.plans.streams import stream_metrics
+    got = sorted(tuple(r) for r in stream_metrics(spark, SF_SMALL).collect())
+    log = D.api_log(spark, SF_SMALL).groupBy(F.date_trunc("minute", "ts").cast("timestamp_ntz"), "method", "route").count()
+    assert got and got == sorted(tuple(r) for r in log.collect())
