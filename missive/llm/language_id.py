@@ -15,6 +15,8 @@ that holds a third of all rows is combined map-side and its join can be split by
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,6 +27,7 @@ from missive.llm.words import slices
 from missive.session import ship_package
 
 SAMPLE = 1500        # training texts per language at most
+MOST = 512           # declared languages at most (256 KB of table each in every task); more raise an error
 BUCKETS = 1 << 16
 CUT = 4096           # bytes of each training text that are counted (the sample is bounded; scoring is not)
 STRENGTH = 20.0      # rows of pseudo-counts a parent level lends to its child
@@ -48,15 +51,22 @@ def trigrams(buf: np.ndarray) -> np.ndarray:
 
 def train(texts: list[str], langs: list[str]) -> tuple[list[str], np.ndarray]:
     """(languages, log-likelihood table [bucket, language + background])."""
-    names = sorted(set(langs))
-    counts = np.zeros((len(names), BUCKETS))
-    for text, lang in zip(texts, langs):
-        counts[names.index(lang)] += np.bincount(trigrams(np.frombuffer((text or "").encode()[:CUT], np.uint8)), minlength=BUCKETS)
-    total = counts.sum(1, keepdims=True)
-    table = np.log((counts + 0.2) / (total + 0.2 * BUCKETS))
-    seen = counts.sum(0) + 0.2
+    return _tables((name, [t for t, x in zip(texts, langs) if x == name]) for name in sorted(set(langs)))
+
+
+def _tables(samples) -> tuple[list[str], np.ndarray]:
+    """``train`` from (language, its texts) pairs; only one language's texts are held at a time."""
+    names, logs, seen = [], [], np.zeros(BUCKETS)
+    for name, texts in samples:
+        counts = np.zeros(BUCKETS)
+        for text in texts:
+            counts += np.bincount(trigrams(np.frombuffer((text or "").encode()[:CUT], np.uint8)), minlength=BUCKETS)
+        names.append(name)
+        logs.append(np.log((counts + 0.2) / (counts.sum() + 0.2 * BUCKETS)).astype(np.float32))
+        seen += counts
+    seen += 0.2
     flat = np.log((seen ** 0.25) / (seen ** 0.25).sum())          # background: nearly flat over trigrams
-    return names, np.concatenate([table, flat[None]]).T.astype(np.float32)
+    return names, np.stack([*logs, flat.astype(np.float32)]).T
 
 
 def log_likelihoods(buf: np.ndarray, off: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -93,18 +103,20 @@ def _text_evidence(table: np.ndarray, with_text: bool):
 
 
 def fit_languages(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_language: int = SAMPLE,
-                  usable: Column | None = None):
-    """Train on at most ``per_language`` labelled texts of each language (smallest id hashes)."""
+                  usable: Column | None = None, most_languages: int = MOST):
+    """Train every language of ``lang_col`` on at most ``per_language`` labelled texts (smallest
+    id hashes), one scan per language.  More than ``most_languages`` raise an error: none is left out."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows if usable is None else rows.where(usable)
-    langs = rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(64).collect()
-    texts, names = [], []
-    for lang, n in langs:
+    langs = rows.groupBy(lang_col).count().limit(most_languages + 1).collect()
+    if len(langs) > most_languages:
+        raise ValueError(f"{lang_col} declares more than {most_languages} languages: pass a larger most_languages, or clean the column")
+
+    def picked(lang, n):
         own = rows.where(F.col(lang_col) == lang).select(F.col(id_col).alias("i"), F.substring(text_col, 1, CUT).alias("t"))
-        picked = hash_sample(own, "i", n, per_language).collect()
-        texts += [r["t"] for r in picked]
-        names += [lang] * len(picked)
-    return train(texts, names) if names else ([], np.zeros((BUCKETS, 1), np.float32))
+        return [r["t"] for r in hash_sample(own, "i", n, per_language).collect()]
+    samples = ((lang, picked(lang, n)) for lang, n in sorted((r[0], r[1]) for r in langs))
+    return _tables(samples) if langs else ([], np.zeros((BUCKETS, 1), np.float32))
 
 
 def identify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", declared: Column | None = None,
@@ -144,30 +156,31 @@ def identify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "te
     ev = shared_table(evidence(rows.drop("all"), False), "li-evidence")
     said = ev.where(F.col("letters") >= min_letters)
 
+    # expressions grow with n, not with n x n: a corpus may declare hundreds of languages
     def counted(df, *by):
-        return df.groupBy(*by).agg(*[F.sum((F.col("best") == k).cast("long")).alias(f"n{k}") for k in range(n)])
+        g = df.groupBy(*by).agg(F.count(F.lit(1)).alias("total"), *[F.sum((F.col("best") == k).cast("long")).alias(f"n{k}") for k in range(n)])
+        return g.select(*by, "total", F.array(*[F.col(f"n{k}") for k in range(n)]).alias("counts"))
 
-    def smoothed(counts: list[Column], parent: list[Column]) -> Column:
-        total = sum(counts[1:], counts[0])
-        return F.array(*[(c + F.lit(strength) * p) / (total + F.lit(strength)) for c, p in zip(counts, parent)])
+    def smoothed(parent: Column) -> Column:
+        return F.zip_with("counts", parent, lambda c, p: (c + F.lit(strength) * p) / (F.col("total") + F.lit(strength)))
 
     # corpus level: n numbers; suffix and host levels: tables joined on their keys
-    overall = [int(x or 0) for x in counted(said).first()]
+    overall = [int(x or 0) for x in counted(said).first()["counts"]]
     base = [(c + 1.0) / (sum(overall) + len(overall)) for c in overall]
     top = F.array(*[F.lit(p) for p in base])
     hosts = said.where("host IS NOT NULL OR suffix IS NOT NULL")
     by_suffix = counted(hosts.where("suffix IS NOT NULL"), "suffix")
-    by_suffix = shared_table(by_suffix.select("suffix", smoothed([F.col(f"n{k}") for k in range(n)], [F.lit(p) for p in base]).alias("of_suffix")), "li-suffix")
-    by_host = counted(hosts.where("host IS NOT NULL"), F.col("host"), F.coalesce("suffix", F.lit("")).alias("of"))
+    by_suffix = shared_table(by_suffix.select("suffix", smoothed(top).alias("of_suffix")), "li-suffix")
+    by_host = counted(hosts.where("host IS NOT NULL").withColumn("of", F.coalesce("suffix", F.lit(""))), "host", "of")
     by_host = by_host.join(by_suffix.withColumnRenamed("suffix", "of"), "of", "left").withColumn("parent", F.coalesce("of_suffix", top))
-    by_host = shared_table(by_host.select("host", "of", smoothed([F.col(f"n{k}") for k in range(n)], [F.col("parent")[k] for k in range(n)]).alias("of_host")), "li-host")
+    by_host = shared_table(by_host.select("host", "of", smoothed(F.col("parent")).alias("of_host")), "li-host")
     # how each language is declared: (language by text, declared) counts, smoothed; at most n x n numbers
     seen = np.full((n, n), 0.5)
     for r in said.where("declared IS NOT NULL").groupBy("best", "declared").count().collect():
         seen[r["best"], r["declared"]] += r["count"]
     trust = np.log(seen / seen.sum(1, keepdims=True))
     declared_ll = F.when(F.col("declared").isNull(), F.array(*[F.lit(0.0)] * n)).otherwise(
-        F.array(*[F.array(*[F.lit(float(v)) for v in trust[:, d]]) for d in range(n)])[F.coalesce("declared", F.lit(0))])
+        F.from_json(F.lit(json.dumps(trust.T.tolist())), "array<array<double>>")[F.coalesce("declared", F.lit(0))])      # folded to a constant
     out = evidence(rows.drop("row").withColumnRenamed("all", "row").select("row", "text", "declared", "suffix", "host"), True) if whole else ev
     if suffix is not None:
         out = out.join(by_suffix, "suffix", "left")

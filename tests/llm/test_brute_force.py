@@ -331,6 +331,22 @@ def test_language_accuracy_on_documents_held_out(spark):
     assert (got["language"] == got["lang"]).mean() > 0.99 and got["kept"].mean() > 0.99
 
 
+def test_every_declared_language_is_trained(spark):
+    """More languages than the 64 that were once trained: none is mapped to 'und'."""
+    rng = random.Random(5)
+    codes = [a + b for a in "abcdefg" for b in "abcdefghij"]
+    vocabulary = {c: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for c in codes}
+    rows = [(i, " ".join(rng.choice(vocabulary[c]) for _ in range(40)), c, f"s{i % 3}") for i, c in enumerate(codes * 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(2).persist()
+    model = fit_languages(docs)
+    assert model[0] == codes and model[1].shape[1] == len(codes) + 1
+    from pyspark.sql import functions as F
+    got = {r["doc_id"]: r for r in identify(docs, model, declared=F.col("lang"), host=F.col("source")).collect()}
+    assert all(got[i]["language"] == c and got[i]["kept"] for i, _, c, _ in rows)
+    with pytest.raises(ValueError, match="more than 69"):
+        fit_languages(docs, most_languages=69)
+
+
 def test_fold_and_matcher():
     assert toxicity.fold("You 1DI0T, іdіоt!") == " you idiot idiot "
     assert toxicity.fold("in 2024 a 7 b") == " in 2024 a 7 b "
