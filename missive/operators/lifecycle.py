@@ -1,7 +1,9 @@
 """Lifecycle fold (M10): an ordered event log per notification -> its history and final row.
 
-Events: create, attempt (lock + webhook outcome at one instant) and cancel.  Timers are
-applied lazily before each event: a due retry is swept back to pending at its
+Events: create, lock (pending -> processing, which rests until an outcome), limited (the
+limiter's refusal: retry at +10 s), outcome (webhook result), cancel, and attempt, a lock and
+its outcome at one instant.  An outcome or refusal of a row that is not processing changes
+nothing.  Timers are applied lazily before each event: a due retry is swept back to pending at its
 ``next_retry_at``; a row stuck in processing for five minutes is swept like the zombie
 sweep.  The fold streams per id through ``stream_fold`` (sorted partitions, no group is
 ever held whole).
@@ -18,7 +20,8 @@ from missive.operators.fold import stream_fold
 MAX_RETRIES = 3
 ZOMBIE_US = 5 * 60 * 1_000_000
 MINUTE_US = 60 * 1_000_000
-RANK = {"create": 0, "attempt": 1, "cancel": 2}
+RATE_LIMIT_US = 10 * 1_000_000
+RANK = {"create": 0, "attempt": 1, "lock": 1, "limited": 2, "outcome": 2, "cancel": 3}
 
 
 def _us(c):
@@ -26,24 +29,26 @@ def _us(c):
 
 
 def event_log(notifications: DataFrame, attempts: DataFrame, cancels: DataFrame,
-              known_ids: DataFrame | None = None) -> DataFrame:
-    """Union of the three event kinds with a total order (t, rank, tie columns).  Cancels
-    of unknown ids are dropped (``known_ids``, default the notifications' ids)."""
+              known_ids: DataFrame | None = None, locks: DataFrame | None = None,
+              refusals: DataFrame | None = None, outcomes: DataFrame | None = None) -> DataFrame:
+    """Union of the event kinds with a total order (t, rank, tie columns).  ``locks`` and
+    ``refusals`` (id, ts) and ``outcomes`` (id, ts, http_status, message_id) are optional.
+    Cancels, locks, refusals and outcomes of unknown ids are dropped (``known_ids``, default
+    the notifications' ids)."""
     cols = ["id", "t", "rank", "kind", "http_status", "message_id", "attempt_no", "latency_s"]
-    c = notifications.select("id", _us("created_at").alias("t"), F.lit(0).alias("rank"),
-                             F.lit("create").alias("kind"), F.lit(None).cast("int").alias("http_status"),
-                             F.lit(None).cast("string").alias("message_id"),
-                             F.lit(None).cast("int").alias("attempt_no"),
-                             F.lit(None).cast("double").alias("latency_s"))
-    a = attempts.select("id", _us("attempt_ts").alias("t"), F.lit(1).alias("rank"),
-                        F.lit("attempt").alias("kind"), "http_status", "message_id", "attempt_no",
-                        "latency_s")
+    types = {"http_status": "int", "message_id": "string", "attempt_no": "int", "latency_s": "double"}
     known = known_ids if known_ids is not None else notifications.select("id")
-    k = (cancels.join(known, "id", "left_semi")
-         .select("id", _us("ts").alias("t"), F.lit(2).alias("rank"), F.lit("cancel").alias("kind"),
-                 F.lit(None).cast("int").alias("http_status"), F.lit(None).cast("string").alias("message_id"),
-                 F.lit(None).cast("int").alias("attempt_no"), F.lit(None).cast("double").alias("latency_s")))
-    return c.select(*cols).unionByName(a.select(*cols)).unionByName(k.select(*cols))
+
+    def of(df: DataFrame, kind: str, ts: str, carried=()) -> DataFrame:
+        return df.select("id", _us(ts).alias("t"), F.lit(RANK[kind]).alias("rank"), F.lit(kind).alias("kind"),
+                         *[F.col(c) if c in carried else F.lit(None).cast(t).alias(c) for c, t in types.items()])
+
+    log = of(notifications, "create", "created_at").unionByName(of(attempts, "attempt", "attempt_ts", types))
+    for df, kind, carried in ((locks, "lock", ()), (refusals, "limited", ()),
+                              (outcomes, "outcome", ("http_status", "message_id")), (cancels, "cancel", ())):
+        if df is not None:
+            log = log.unionByName(of(df.join(known, "id", "left_semi"), kind, "ts", carried))
+    return log.select(*cols)
 
 
 def _outcome(http):
@@ -77,6 +82,18 @@ def next_timer(s: dict):
     return None
 
 
+def _apply_outcome(s: dict, t: int, http, mid, max_retries: int) -> None:
+    oc = _outcome(None if http is None or http != http else int(http))
+    r = s["retry"]
+    if oc == "delivered":
+        s.update(status="delivered", ext=(mid or None))
+    elif oc == "retriable" and r + 1 < max_retries:
+        s.update(status="failed_retrying", retry=r + 1, next=t + (2 ** r) * MINUTE_US)
+    else:
+        s.update(status="failed_permanently", retry=r + 1, next=None)
+    s.update(upd=t, n=s["n"] + 1)
+
+
 def apply_event(s: dict, t: int, kind: str, http, mid, max_retries: int = MAX_RETRIES) -> None:
     """One event on the row state ``s`` (timers first)."""
     apply_timers(s, t, max_retries)
@@ -84,17 +101,17 @@ def apply_event(s: dict, t: int, kind: str, http, mid, max_retries: int = MAX_RE
     if kind == "create":
         if st is None:
             s.update(status="pending", retry=0, next=None, ext=None, upd=t, n=s["n"] + 1)
-    elif kind == "attempt":
-        if st == "pending":                       # lock taken, then the outcome
-            oc = _outcome(None if http is None or http != http else int(http))
-            r = s["retry"]
-            if oc == "delivered":
-                s.update(status="delivered", ext=(mid or None))
-            elif oc == "retriable" and r + 1 < max_retries:
-                s.update(status="failed_retrying", retry=r + 1, next=t + (2 ** r) * MINUTE_US)
-            else:
-                s.update(status="failed_permanently", retry=r + 1, next=None)
-            s.update(upd=t, n=s["n"] + 2)
+    elif kind in ("lock", "attempt"):
+        if st == "pending":
+            s.update(status="processing", upd=t, n=s["n"] + 1)
+            if kind == "attempt":                 # the outcome of the lock just taken
+                _apply_outcome(s, t, http, mid, max_retries)
+    elif kind == "outcome":
+        if st == "processing":
+            _apply_outcome(s, t, http, mid, max_retries)
+    elif kind == "limited":
+        if st == "processing":
+            s.update(status="failed_retrying", next=t + RATE_LIMIT_US, upd=t, n=s["n"] + 1)
     elif kind == "cancel":
         if st in ("pending", "failed_retrying"):
             s.update(status="canceled", upd=t, n=s["n"] + 1)

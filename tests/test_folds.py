@@ -203,3 +203,42 @@ def test_sliding_fold_sees_only_contested_rows(spark):
     assert {10_000 + i for i in range(30)} <= near
     assert all(149_000 < ms < 152_000 for i, _, ms in rows if i in near) and len(near) < 70
     assert L.contested(d.where("req_id < 3000"), "key", 12, 1000).where("_near").count() == 0
+
+
+def _split_events(spark):
+    """Histories with locks that rest, refusals and late outcomes, and their final rows."""
+    from missive.operators import lifecycle as LC
+    sec = lambda x: T0 + dt.timedelta(seconds=x)
+    made = spark.createDataFrame([(i, T0) for i in "abcde"], "id string, created_at timestamp_ntz")
+    none = spark.createDataFrame([], "id string, attempt_ts timestamp_ntz, http_status int, message_id string, attempt_no int, latency_s double")
+    locks = [("a", 10), ("a", 1200), ("b", 1), ("b", 5), ("b", 12), ("c", 1), ("e", 1), ("x", 1)] + [("d", 600 * k) for k in range(4)]
+    outcomes = [("b", 13, 200, "m1"), ("c", 3, 400, None), ("e", 600, 200, "late")]
+    at = "id string, ts timestamp_ntz"
+    ev = LC.event_log(made, none, spark.createDataFrame([("c", sec(2)), ("d", sec(2400))], at),
+                      locks=spark.createDataFrame([(i, sec(t)) for i, t in locks], at),
+                      refusals=spark.createDataFrame([("b", sec(1))], at),
+                      outcomes=spark.createDataFrame([(i, sec(t), h, m) for i, t, h, m in outcomes], at + ", http_status int, message_id string"))
+    want = {"a": ("processing", 1, None, None, sec(1200), 4),            # stuck, swept, locked again
+            "b": ("delivered", 0, sec(11), "m1", sec(13), 6),            # refused, swept after 10 s, delivered
+            "c": ("failed_permanently", 1, None, None, sec(3), 3),       # no cancel while processing
+            "d": ("failed_permanently", 3, None, None, sec(2100), 9),    # stuck four times
+            "e": ("pending", 1, None, None, sec(301), 3)}                # an outcome after the sweep is void
+    return ev, want
+
+
+def test_lifecycle_locks_refusals_and_stuck_rows(spark):
+    from missive.operators import lifecycle as LC
+    ev, want = _split_events(spark)
+    assert {r[0]: tuple(r)[1:] for r in LC.final_rows(LC.lifecycle_fold(ev)).collect()} == want
+
+
+def test_lifecycle_stream_sweeps_a_resting_lock(spark, tmp_path):
+    from missive.streaming import jobs as X
+    ev, want = _split_events(spark)
+    src = str(tmp_path / "events")
+    ev.write.parquet(src)
+    out = X.run_to_parquet(X.lifecycle_stream(spark.readStream.schema(ev.schema).parquet(src), "1 minute"), "t_lifecycle")
+    got = {r["id"]: r for r in spark.read.parquet(out).orderBy("moves").collect()}
+    sweep = {"a": ("pending", 2, 5)}                  # the watermark (last event less a minute) passes a's second lock + 5 min
+    for i, w in want.items():
+        assert (got[i]["status"], got[i]["retry_count"], got[i]["moves"]) == sweep.get(i, (w[0], w[1], w[5])), i
