@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from missive.plans.joins import ADMITTED_SQL
-from missive.plans.limits import BREAKER, SLIDING_LIMIT, SLIDING_WINDOW_MS, _SLIDING_SQL, breaker_sql
+from missive.plans.limits import (BREAKER, BUCKET_CAPACITY, BUCKET_RATE, SLIDING_LIMIT, SLIDING_WINDOW_MS,
+                                  _SLIDING_SQL, _bucket_sql, breaker_sql)
 from missive.plans.registry import query
 from missive.plans.transitions import LIFECYCLE_SQL
 from missive.sources import derived as D
@@ -90,6 +91,15 @@ def stream_limits(spark, sf):
     return spark.read.parquet(out).select("req_id", "key", "allowed")
 
 
+@query("stream_token_bucket", _bucket_sql("limiter_requests", BUCKET_CAPACITY, BUCKET_RATE), ("limiter_requests",))
+def stream_token_bucket(spark, sf):
+    with streaming_tables("events"):
+        reqs = D.limiter_requests(spark, sf)
+    s = X.token_bucket_stream(reqs, "key", "ts", "req_id", "weight", BUCKET_CAPACITY, BUCKET_RATE, "1 hour")
+    out = X.run_to_parquet(s, "token_bucket")
+    return spark.read.parquet(out).select("req_id", "key", "allowed", F.round("tokens_left", 9).alias("tokens_left"))
+
+
 @query("stream_breaker", breaker_sql("calls", **BREAKER), ("calls",))
 def stream_breaker(spark, sf):
     with streaming_tables("events"):

@@ -67,3 +67,18 @@ def test_stream_metrics_equals_batch_counts(spark):
     got = sorted(tuple(r) for r in stream_metrics(spark, SF_SMALL).collect())
     log = D.api_log(spark, SF_SMALL).groupBy(F.date_trunc("minute", "ts").cast("timestamp_ntz"), "method", "route").count()
     assert got and got == sorted(tuple(r) for r in log.collect())
+
+
+def test_stream_token_bucket_equals_batch_over_micro_batches(spark, tmp_path):
+    """Three files read one per micro-batch: the bucket's state is carried between them."""
+    rows = D.limiter_requests(spark, SF_SMALL).orderBy("ts").limit(600).collect()
+    schema = D.limiter_requests(spark, SF_SMALL).schema
+    src = str(tmp_path / "reqs")
+    for k in range(3):
+        spark.createDataFrame(rows[200 * k:200 * k + 200], schema).coalesce(1).write.mode("append").parquet(src)
+    reqs = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    out = X.run_to_parquet(X.token_bucket_stream(reqs, "key", "ts", "req_id", "weight", 10, 1 / 36_000, "3650 days"), "t_bucket")
+    got = {r["req_id"]: (r["allowed"], round(r["tokens_left"], 6)) for r in spark.read.parquet(out).collect()}
+    batch = L.limit_token_bucket(spark.read.parquet(src), "key", "ts", "req_id", "weight", 10, 1 / 36_000)
+    want = {r["req_id"]: (r["allowed"], round(r["tokens_left"], 6)) for r in batch.collect()}
+    assert got == want and len(got) == 600 and {a for a, _ in got.values()} == {True, False}
