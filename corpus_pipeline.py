@@ -36,7 +36,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources flattened as far as a quarter more of the rarest allows; every document with
-    words is used at least once."""
+    words is used at least once.  Only the use counts reach packing, which forms sequences
+    from lengths alone: the mixture's (block, place) order is not kept."""
     return mixed_documents(docs, max_epochs=1.25, cover=True)
 
 
