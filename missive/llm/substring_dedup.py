@@ -1,15 +1,18 @@
-"""Substring de-duplication by relative Lempel-Ziv parsing against an index of all text.
+"""Substring de-duplication against an index of all text.
+
+It stands for greedy relative Lempel-Ziv factoring, but no factor is formed or extended:
+the duplicate spans are the words of all windows that occur earlier, found by equality of
+hashed blocks and windows, which aggregates answer without a sequential pass.
 
 Every document is cut in reference blocks: content-defined anchors (the smallest hash of
 the 4-word runs inside each 20-word window) pick about one word in nine, and a block is
 the run of windows that share an anchor.  Equal windows always pick the same anchor, so
 the index of blocks by anchor meets every repeated passage at any alignment.
 
-A document is then factored greedily against the blocks of everything that starts before
-it: a block whose whole content occurs earlier is one factor; a block that shares only its
-anchor with an earlier one is checked at its boundaries window by window, so a factor ends
-exactly where one more word would leave what the reference holds.  Factors of at least
-``window`` words are duplicate spans; everything else stays literal.
+Blocks are then compared with those of everything that starts before them: a block whose
+whole content occurs earlier is a duplicate as a whole; one that shares only its anchor with
+an earlier one is compared window by window, so a span ends exactly where one more word would
+leave what occurs earlier.  Everything outside such windows stays literal.
 
 Only anchors that occur twice or more leave the first aggregate, and the windows of a
 block are only written out where its anchor has several contents; occurrences are never
