@@ -184,8 +184,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id of its component).
 
     Words are runs of non-blank bytes with A-Z folded; a text with fewer words than a
-    shingle is one shingle; an empty or null text has no shingle and no link.  Rows of one
-    id are one document.  A null id links its text's set but is never a component's id:
+    shingle is one shingle; an empty or null text has no shingle and no link.  Each row gives
+    a row, so an id must not stand for different texts: callers merge them first
+    (``one_row_per_id``, as ``op7`` and ``without_near_duplicates`` do).  A null id links its text's set but is never a component's id:
     such a row is kept only if no row with an id holds its set.
     """
     spark = docs.sparkSession

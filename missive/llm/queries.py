@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from missive.llm.common import one_row_per_id
 from missive.llm.language_id import MARKUP_RE, fit_languages, identify, visible_text
 from missive.llm.labelled import remainder
 from missive.llm.mixing import mixture
@@ -209,7 +210,7 @@ FROM documents LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS c
 
 @query("op7_near_dups", OP7_SQL)
 def op7_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+    return near_duplicates(one_row_per_id(table(spark, sf_dir, "documents").select("doc_id", "text")), shingle=2)
 
 
 # --- 2: exact top-k --------------------------------------------------------------------

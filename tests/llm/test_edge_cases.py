@@ -82,3 +82,15 @@ def test_pipeline_stages_on_odd_rows(spark, tmp_path):
             if name != "packing":
                 assert now.columns == docs.columns
         assert (now.count() == 0) == (not pairs)
+
+
+def test_op7_merges_different_texts_of_one_id(spark, tmp_path):
+    from missive.llm.queries import QUERIES
+    (_, a), (_, b) = [p for p in corpus(12) if len(p[1] or "") > 200][:2]
+    rows = [(1, a), (1, b + " and more words after it"), (2, a), (3, b + " and more words after it")]
+    for k, order in enumerate((rows, rows[::-1])):
+        frame(spark, order).coalesce(1).write.parquet(str(tmp_path / str(k) / "documents.parquet"))
+        out = QUERIES["op7_near_dups"](spark, str(tmp_path / str(k))).collect()
+        got = {r["doc_id"]: r["component_id"] for r in out}
+        kept = 2 if len(a) < len(rows[1][1]) else 3                    # the shorter text is the document's
+        assert len(out) == 3 and got == {1: 1, kept: 1, 5 - kept: 5 - kept}
