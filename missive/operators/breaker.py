@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from missive.operators.fold import segment_by_gap, stream_fold
+from missive.operators.fold import HOUR_US, segment_by_gap, stream_fold
+from missive.operators.ordering import binned_running
 
 # Fixed values of the breaker.
 HALF_OPEN_EXTRA_S = 5
@@ -89,6 +90,16 @@ def breaker_open_at(fetches: DataFrame, trips: DataFrame, name: str = "name", ts
     return m.withColumn("breaker_open", F.col("_trip").isNotNull()).drop("_trip")
 
 
+def _cut_idle(ev: DataFrame, name: str, order: str, expiry_us: int) -> DataFrame:
+    """Segments of each name's events: a start opens one where no call that will end is in
+    flight and every expiry set by an earlier event has passed (the state is empty there)."""
+    along = ["_us", "_phase", order]
+    ev = binned_running(ev, [name], [F.col(c) for c in along], F.floor(F.col("_us") / F.lit(HOUR_US)),
+                        F.col("_step"), "sum", "_flight")
+    idle = (F.col("_kind") == 1) & (F.col("_flight") == F.col("_step")) & (F.col("_us") - F.col("_prev") >= expiry_us)
+    return segment_by_gap(ev, name, "_us", along, idle)
+
+
 def breaker_concurrent(calls: DataFrame, name: str = "name", start: str = "ts", end: str = "end_ts",
                        ok: str = "ok", order: str = "call_id", max_failures: int = 10,
                        window_s: int = 10, open_s: int = 30) -> DataFrame:
@@ -97,11 +108,14 @@ def breaker_concurrent(calls: DataFrame, name: str = "name", start: str = "ts",
     to its end inside the state (the in-flight calls of one name)."""
     # at one instant: ends of calls started earlier, then starts, then ends of calls that
     # also started at that instant (a zero-length call ends after its own start)
+    calls = calls.withColumn("_ends", F.coalesce(F.col(end) >= F.col(start), F.lit(False)).cast("int"))
     ev = (calls.select(name, order, ok, F.col(start).alias("_t"), F.lit(1).alias("_kind"),
-                       F.lit(1).alias("_phase"))
+                       F.lit(1).alias("_phase"), F.col("_ends").alias("_step"))
           .unionByName(calls.select(name, order, ok, F.col(end).alias("_t"), F.lit(0).alias("_kind"),
-                                    F.when(F.col(end) > F.col(start), 0).otherwise(2).alias("_phase"))))
+                                    F.when(F.col(end) > F.col(start), 0).otherwise(2).alias("_phase"),
+                                    (-F.col("_ends")).alias("_step"))))
     ev = ev.withColumn("_us", F.unix_micros(F.col("_t").cast("timestamp")))
+    ev = _cut_idle(ev, name, order, max(open_s + HALF_OPEN_EXTRA_S, window_s, PROBE_LOCK_S) * 1_000_000)
     open_us, half_us = open_s * 1_000_000, (open_s + HALF_OPEN_EXTRA_S) * 1_000_000
     win_us, lock_us = window_s * 1_000_000, PROBE_LOCK_S * 1_000_000
 
@@ -143,7 +157,7 @@ def breaker_concurrent(calls: DataFrame, name: str = "name", start: str = "ts",
             return None, True, True
         return None, True, False
 
-    res = stream_fold(ev, [name], ["_us", "_phase", order], ["_us", "_kind", order, ok], init, step,
+    res = stream_fold(ev, [name, "_seg"], ["_us", "_phase", order], ["_us", "_kind", order, ok], init, step,
                       [("verdict", "string"), ("executed", "boolean"), ("tripped", "boolean")])
     starts = res.where("_kind = 1").select(name, order, "verdict", "executed")
     ends = res.where("_kind = 0").select(name, order, F.col("tripped"))

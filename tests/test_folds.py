@@ -242,3 +242,30 @@ def test_lifecycle_stream_sweeps_a_resting_lock(spark, tmp_path):
     sweep = {"a": ("pending", 2, 5)}                  # the watermark (last event less a minute) passes a's second lock + 5 min
     for i, w in want.items():
         assert (got[i]["status"], got[i]["retry_count"], got[i]["moves"]) == sweep.get(i, (w[0], w[1], w[5])), i
+
+
+def test_concurrent_breaker_is_cut_where_it_is_idle(spark):
+    """Three pieces where nothing is in flight for longer than every expiry; a call that
+    spans a pause holds its piece together, and verdicts are those of the whole timeline."""
+    rnd = random.Random(3)
+    calls, t = [], 0
+    for i in range(300):
+        t += rnd.randint(200, 3000) if i not in (100, 200, 250) else 100_000
+        calls.append((i, "z", t, rnd.random() < 0.4, t + rnd.randint(0, 4000)))
+    calls[249] = calls[249][:4] + (calls[250][2] + 5,)                      # in flight over the last pause
+    df = spark.createDataFrame([(i, n, ts(a), ok, ts(b)) for i, n, a, ok, b in calls],
+                               "call_id long, name string, ts timestamp_ntz, ok boolean, end_ts timestamp_ntz")
+    args = dict(max_failures=3, window_s=10, open_s=30)
+    got = sorted(tuple(r) for r in B.breaker_concurrent(df, **args).select("call_id", "verdict", "executed", "tripped").collect())
+    seen, cut = [], B._cut_idle
+
+    def watched(ev, name, order, expiry_us):
+        out = cut(ev, name, order, expiry_us)
+        seen.append(out.select("_seg").distinct().count())
+        return out.withColumn("_seg", F.lit(1).cast("bigint"))              # the whole timeline as one piece
+    B._cut_idle = watched
+    try:
+        want = sorted(tuple(r) for r in B.breaker_concurrent(df, **args).select("call_id", "verdict", "executed", "tripped").collect())
+    finally:
+        B._cut_idle = cut
+    assert seen == [3] and got == want and len(got) == 300 and any(r[3] for r in got)
