@@ -58,9 +58,7 @@ def audit_dlq_complete(spark, sf):
 
 
 @query("audit_outbox_complete", """SELECT id FROM notifications n WHERE status = 'pending' AND NOT EXISTS (
-  SELECT 1 FROM outbox o WHERE o.aggregate_id = n.id AND json_valid(o.payload)
-    AND (json_type(o.payload) = 'NULL' OR (json_type(o.payload) = 'OBJECT'
-         AND coalesce(json_type(o.payload, '$.id'), 'NULL') IN ('VARCHAR', 'NULL'))))""", ("notifications", "outbox"))
+  SELECT 1 FROM outbox o WHERE o.aggregate_id = n.id AND NOT __POISON__)""", ("notifications", "outbox"))
 def audit_outbox_complete(spark, sf):
     o = D.outbox(spark, sf)
     return T.audit_outbox_complete(D.notifications(spark, sf), o.where(~J.poison_payload(F.col("payload"))))

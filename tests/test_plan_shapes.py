@@ -4,7 +4,7 @@ partition after the partial step) or the small bin tables of the binned helpers.
 
 import re
 
-from conftest import SF_SMALL
+from tables_dir import SF_SMALL
 from missive.plans import registry
 
 ALLOWED_PARENT = re.compile(r"HashAggregate\(keys=\[\]|ObjectHashAggregate\(keys=\[\]|Sort \[_b(in)?#")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from missive.operators import ordering as R
 from missive.operators.admission import batch_atomic_admission
 from missive.operators import transitions as M
-from conftest import SF_SMALL
+from tables_dir import SF_SMALL
 
 
 def test_global_row_number_matches_window(spark):

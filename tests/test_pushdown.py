@@ -4,7 +4,7 @@ the Parquet scan, and only the listed columns are read."""
 import datetime as dt
 import uuid
 
-from conftest import SF_SMALL
+from tables_dir import SF_SMALL
 from missive.functions.timefmt import encode_cursor_py
 from missive.operators import listing as L
 from missive.session import ensure_checkpoint_dir

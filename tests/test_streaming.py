@@ -1,6 +1,6 @@
 """Streaming jobs: results equal the batch operators on the same input."""
 
-from conftest import SF_SMALL
+from tables_dir import SF_SMALL
 from missive.operators import joins as J
 from missive.operators import limits as L
 from missive.sources import derived as D
