@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from missive.llm.common import one_row_per_id
 from missive.llm.language_id import MARKUP_RE, fit_languages, identify, visible_text
 from missive.llm.labelled import remainder
+from missive.llm.merkle import tamper_audit
 from missive.llm.mixing import mixture
 from missive.llm.near_dups import near_duplicates
 from missive.llm.packing import pack
@@ -282,3 +283,58 @@ def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     host = host_of(F.col("url"))
     return identify(pages.withColumn("visible", visible_text(F.col("html"))), fit_languages(table(spark, sf_dir, "documents")), "page_id", "visible",
                     declared=F.regexp_extract("html", MARKUP_RE, 1), suffix=F.regexp_extract(host, r"\.([^.]+)$", 1), host=host)
+
+
+# --- 12: Merkle manifest ---------------------------------------------------------------
+
+def crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII text, bit by bit (DuckDB has no function for it)."""
+    return (f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)), "
+            "lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))))")
+
+
+def _field(v: str) -> str:
+    return f"coalesce(octet_length(encode({v}::VARCHAR)) || ':' || {v}, '-')"
+
+
+OP12_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS key, sha256({" || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))}) AS leaf,
+         CASE WHEN {crc32_sql("doc_id::VARCHAR")} % 3 = 0 THEN sha256({" || ".join(_field(c) for c in (
+             "doc_id", "source", "lang", "n_chars", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"))}) END AS altered
+  FROM documents),
+l0 AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY key) AS n FROM d),
+lev(l, key, idx, n, h) AS (
+  SELECT 0, key, idx, n, leaf FROM l0
+  UNION ALL
+  SELECT l + 1, key, idx // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY idx)) FROM lev WHERE n > 1 GROUP BY l, key, idx // 8, n),
+subs AS (SELECT key, max(l) AS height, arg_max(h, l) AS subroot FROM lev WHERE n = 1 GROUP BY key),
+top(l, idx, n, h) AS (
+  SELECT 0, row_number() OVER (ORDER BY key) - 1, count(*) OVER (), subroot FROM subs
+  UNION ALL
+  SELECT l + 1, idx // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY idx)) FROM top WHERE n > 1 GROUP BY l, idx // 8, n),
+heads AS (SELECT *, row_number() OVER (ORDER BY key) - 1 AS place FROM subs),
+steps AS (
+  SELECT l0.doc_id, l0.key, l0.idx, lev.l AS step, coalesce(string_agg(h, '' ORDER BY lev.idx) FILTER (WHERE lev.idx < l0.idx // pow(8, lev.l)::BIGINT), '') AS a,
+         coalesce(string_agg(h, '' ORDER BY lev.idx) FILTER (WHERE lev.idx > l0.idx // pow(8, lev.l)::BIGINT), '') AS b
+  FROM l0 JOIN lev ON lev.key = l0.key AND lev.n > 1 AND lev.idx // 8 = l0.idx // pow(8, lev.l + 1)::BIGINT GROUP BY ALL
+  UNION ALL
+  SELECT l0.doc_id, l0.key, l0.idx, height + 1 + top.l, coalesce(string_agg(h, '' ORDER BY top.idx) FILTER (WHERE top.idx < place // pow(8, top.l)::BIGINT), ''),
+         coalesce(string_agg(h, '' ORDER BY top.idx) FILTER (WHERE top.idx > place // pow(8, top.l)::BIGINT), '')
+  FROM l0 JOIN heads USING (key) JOIN top ON top.n > 1 AND top.idx // 8 = place // pow(8, top.l + 1)::BIGINT
+  GROUP BY l0.doc_id, l0.key, l0.idx, height, top.l, place),
+path AS (SELECT key, idx, list({{'a': a, 'b': b}} ORDER BY step) AS p, string_agg(a || b, '' ORDER BY step) AS sib FROM steps GROUP BY key, idx),
+climb(key, idx, k, h) AS (
+  SELECT key, idx, 1, coalesce(altered, leaf) FROM l0
+  UNION ALL
+  SELECT c.key, c.idx, k + 1, sha256(p[k].a || h || p[k].b) FROM climb c JOIN path USING (key, idx) WHERE k <= len(p)),
+ends AS (SELECT key, idx, arg_max(h, k) AS folded_root FROM climb GROUP BY key, idx)
+SELECT doc_id, leaf, subroot, (SELECT h FROM top WHERE n = 1 ORDER BY l LIMIT 1) AS root, sha256(coalesce(sib, '')) AS proof_sha256, folded_root,
+       folded_root = (SELECT h FROM top WHERE n = 1 ORDER BY l LIMIT 1) AS verified
+FROM l0 JOIN subs USING (key) LEFT JOIN path USING (key, idx) JOIN ends USING (key, idx)
+"""
+
+
+@query("op12_merkle_manifest", OP12_SQL)
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tamper_audit(table(spark, sf_dir, "documents"))
