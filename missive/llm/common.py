@@ -97,6 +97,11 @@ def key60(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 15), 16, 10).cast("long")
 
 
+def group_key(group: Column) -> Column:
+    """Key of a group that may be null: never null itself, sorts null first, then UTF-8 bytewise."""
+    return F.coalesce(F.concat(F.lit("="), group.cast("string")), F.lit(""))
+
+
 def sqrt_buckets(n: int) -> int:
     """Power of two near sqrt(n): both the buckets and the rows of one bucket stay small."""
     return 1 << max(0, (max(1, n).bit_length() + 1) // 2)

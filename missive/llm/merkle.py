@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from missive.llm.common import let, shared_table
+from missive.llm.common import group_key, let, shared_table
 from missive.operators.ordering import global_row_number
 
 FANOUT = 8
@@ -44,11 +44,6 @@ def leaf_of(*fields: Column) -> Column:
     return digest(F.concat(*parts))
 
 
-def group_key(group: Column) -> Column:
-    """Sort key of a group: null first, then UTF-8 bytewise."""
-    return F.coalesce(F.concat(F.lit("="), group.cast("string")), F.lit(""))
-
-
 @dataclass
 class Tree:
     stored: list[DataFrame]     # per stored level: key, block, n (nodes of the key there), nodes (array, field h)

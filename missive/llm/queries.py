@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from missive.llm.common import one_row_per_id
+from missive.llm.conversation_repair import repair_audit
 from missive.llm.language_id import MARKUP_RE, fit_languages, identify, visible_text
 from missive.llm.labelled import remainder
 from missive.llm.merkle import tamper_audit
@@ -338,3 +339,61 @@ FROM l0 JOIN subs USING (key) LEFT JOIN path USING (key, idx) JOIN ends USING (k
 @query("op12_merkle_manifest", OP12_SQL)
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tamper_audit(table(spark, sf_dir, "documents"))
+
+
+# --- 13: conversation structure repair -------------------------------------------------
+
+OP13_SQL = f"""
+WITH RECURSIVE x AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {crc32_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS f FROM conversations),
+dm AS (
+  SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+         CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, copy
+  FROM x, generate_series(1, CASE WHEN f = 3 THEN 2 ELSE 1 END) g(copy) WHERE f <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, substr(role, 1, 1), role, text, copy) AS i FROM dm),
+r AS (
+  SELECT *, substr(role, 1, 1) AS c, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+              WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+              WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '-' END AS fault FROM o),
+convs AS (SELECT DISTINCT conv_id FROM conversations),
+counts AS (
+  SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+         count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+         count(*) FILTER (WHERE i > 1 AND before || c NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM r GROUP BY conv_id),
+mv(p, c, q) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+ins(p, q, cost, edits) AS (VALUES (0, 0, 0, ''), (0, 2, 2, 'I'), (0, 3, 4, 'II'), (1, 1, 0, ''), (1, 2, 2, 'I'), (1, 3, 4, 'II'),
+                                  (2, 2, 0, ''), (2, 3, 2, 'I'), (3, 3, 0, ''), (3, 2, 2, 'I')),
+edits(p, q, c, cost, e) AS (
+  SELECT p, q, c, 0, 'K' FROM mv UNION ALL SELECT p, q, '*', 2, 'R' FROM mv WHERE c <> 's' UNION ALL SELECT p, p, '*', 3, 'D' FROM range(4) t(p)),
+dp(conv_id, i, st, v) AS (
+  SELECT conv_id, 0::BIGINT, q, {{'cost': cost::BIGINT, 'audit': edits}} FROM convs, ins WHERE p = 0
+  UNION ALL
+  SELECT r.conv_id, r.i, n.q, min({{'cost': dp.v.cost + e.cost + n.cost + CASE WHEN r.fault = 'truncated' AND e.e <> 'D' THEN 1 ELSE 0 END,
+                                    'audit': dp.v.audit || e.e || n.edits}})
+  FROM dp JOIN r ON r.conv_id IS NOT DISTINCT FROM dp.conv_id AND r.i = dp.i + 1
+  JOIN edits e ON e.p = dp.st AND e.c IN ('*', r.c) AND (e.e = 'D' OR r.fault IN ('-', 'truncated'))
+  JOIN ins n ON n.p = e.q GROUP BY r.conv_id, r.i, n.q),
+fin AS (SELECT c.conv_id, min(dp.v) AS v FROM counts c JOIN dp ON dp.conv_id IS NOT DISTINCT FROM c.conv_id AND dp.i = c.n AND dp.st IN (0, 3) GROUP BY c.conv_id),
+tok(conv_id, k, i, st, line) AS (
+  SELECT conv_id, 0, 0::BIGINT, 0, NULL::VARCHAR FROM fin
+  UNION ALL
+  SELECT t.conv_id, t.k + 1, t.i + CASE WHEN e = 'I' THEN 0 ELSE 1 END,
+         CASE WHEN e = 'D' THEN t.st WHEN e = 'K' AND r.c = 's' THEN 1 WHEN t.st = 2 THEN 3 ELSE 2 END,
+         CASE e WHEN 'D' THEN NULL WHEN 'K' THEN r.role || ':' || r.text
+                ELSE CASE WHEN t.st = 2 THEN 'assistant:' ELSE 'user:' END || CASE WHEN e = 'R' THEN r.text ELSE '' END END
+  FROM (SELECT t.*, f.v.audit[t.k + 1] AS e FROM tok t JOIN fin f ON f.conv_id IS NOT DISTINCT FROM t.conv_id WHERE t.k < length(f.v.audit)) t
+  LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM t.conv_id AND r.i = t.i + 1),
+txt AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY k) AS s FROM tok GROUP BY conv_id)
+SELECT convs.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(fin.v.cost, 0)::BIGINT AS cost,
+       coalesce(fin.v.audit, '') AS audit, sha256(coalesce(s, '')) AS repaired_sha256
+FROM convs LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM convs.conv_id
+LEFT JOIN fin ON fin.conv_id IS NOT DISTINCT FROM convs.conv_id LEFT JOIN txt ON txt.conv_id IS NOT DISTINCT FROM convs.conv_id
+"""
+
+
+@query("op13_conversation_repair", OP13_SQL)
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_audit(table(spark, sf_dir, "conversations"))
