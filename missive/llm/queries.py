@@ -11,6 +11,7 @@ from missive.llm.common import one_row_per_id
 from missive.llm.conversation_repair import repair_audit
 from missive.llm.language_id import MARKUP_RE, fit_languages, identify, visible_text
 from missive.llm.labelled import remainder
+from missive.llm.license_scan import NEAR, NOTICE_GRAM, NOTICES, PHRASE_GRAM, PHRASES, SHARE, license_scan
 from missive.llm.merkle import tamper_audit
 from missive.llm.mixing import mixture
 from missive.llm.near_dups import near_duplicates
@@ -397,3 +398,50 @@ LEFT JOIN fin ON fin.conv_id IS NOT DISTINCT FROM convs.conv_id LEFT JOIN txt ON
 @query("op13_conversation_repair", OP13_SQL)
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_audit(table(spark, sf_dir, "conversations"))
+
+
+# --- 11: license scans -----------------------------------------------------------------
+
+_TEMPS = ", ".join(f"({i}, '{a}', string_split('{b}', ' '), {phrase})" for i, (a, b, phrase) in enumerate(
+    [(a, b, "true") for a, b in PHRASES] + [(a, b, "false") for a, b in NOTICES]))
+OP11_SQL = f"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                   '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+temps(t, label, tw, phrase) AS (VALUES {_TEMPS}),
+tg AS (SELECT t, phrase, i - 1 AS tpos, array_to_string(tw[i:i + CASE WHEN phrase THEN {PHRASE_GRAM - 1} ELSE {NOTICE_GRAM - 1} END], ' ') AS g
+       FROM temps, unnest(generate_series(1, len(tw) - CASE WHEN phrase THEN {PHRASE_GRAM - 1} ELSE {NOTICE_GRAM - 1} END)) u(i)),
+g AS (SELECT doc_id, k = {PHRASE_GRAM} AS phrase, i - 1 AS pos, array_to_string(w[i:i + k - 1], ' ') AS g
+      FROM d, (VALUES ({PHRASE_GRAM}), ({NOTICE_GRAM})) v(k), unnest(generate_series(1, len(w) - k + 1)) u(i) WHERE len(w) >= k),
+votes AS (SELECT doc_id, t, phrase, pos - tpos AS diagonal, count(*) AS votes, min(pos) AS a, max(pos) AS b FROM g JOIN tg USING (phrase, g) GROUP BY ALL),
+grouped AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, t ORDER BY diagonal) AS grp FROM (
+  SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, t ORDER BY diagonal) <= CASE WHEN phrase THEN 0 ELSE {NEAR} END THEN 0 ELSE 1 END AS apart FROM votes)),
+cand AS (
+  SELECT doc_id, t, any_value(phrase) AS phrase, min(CASE WHEN phrase THEN diagonal ELSE a END) AS a, max(b) + CASE WHEN any_value(phrase) THEN {PHRASE_GRAM} ELSE {NOTICE_GRAM} END AS b, sum(votes) AS votes
+  FROM grouped GROUP BY doc_id, t, grp),
+seen AS (
+  SELECT c.doc_id, label, c.phrase, c.a, c.b, len(tw) AS size,
+         CASE WHEN c.phrase THEN CASE WHEN w[c.a + 1:c.a + len(tw)] = tw THEN len(tw) ELSE 0 END ELSE (
+           SELECT count(DISTINCT i + k) FROM unnest(generate_series(1, len(tw) - {NOTICE_GRAM - 1})) u(i), generate_series(0, {NOTICE_GRAM - 1}) v(k)
+           WHERE list_contains(list_transform(generate_series(c.a + 1, c.b - {NOTICE_GRAM - 1}), lambda j: array_to_string(w[j:j + {NOTICE_GRAM - 1}], ' ')),
+                               array_to_string(tw[i:i + {NOTICE_GRAM - 1}], ' '))) END AS covered
+  FROM cand c JOIN temps USING (t) JOIN d USING (doc_id)
+  WHERE votes >= CASE WHEN c.phrase THEN len(tw) - {PHRASE_GRAM - 1} ELSE ceil(ceil(len(tw) * {SHARE}) / {NOTICE_GRAM}) END AND c.a >= 0),
+regions AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, phrase ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS region FROM (
+  SELECT *, CASE WHEN a < max(b) OVER (PARTITION BY doc_id, phrase ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh
+  FROM seen WHERE NOT phrase OR covered > 0)),
+judged AS (SELECT *, covered::DOUBLE / size AS share,
+                  phrase OR (covered >= ceil(size * {SHARE}) AND covered = max(covered) OVER (PARTITION BY doc_id, phrase, region)) AS found FROM regions),
+per AS (
+  SELECT doc_id, count(*) FILTER (WHERE phrase) AS n_base, min(a) FILTER (WHERE phrase) AS first_word, max(a) FILTER (WHERE phrase) AS last_word,
+         list_sort(list(DISTINCT label) FILTER (WHERE phrase)) AS base, list_sort(list(DISTINCT label) FILTER (WHERE found)) AS every, max(share) AS score
+  FROM judged GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(array_to_string(base, ','), '') AS base_labels, coalesce(array_to_string(every, ','), '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN per USING (doc_id)
+"""
+
+
+@query("op11_license_scan", OP11_SQL)
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
