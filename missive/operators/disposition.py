@@ -42,7 +42,8 @@ def webhook_breaker_trips(attempts: DataFrame) -> DataFrame:
 
 
 def disposition(messages: DataFrame, snapshot: DataFrame, cancels: DataFrame,
-                attempts: DataFrame, max_retries: int = MAX_RETRIES) -> DataFrame:
+                attempts: DataFrame, max_retries: int = MAX_RETRIES,
+                channel_limit: int = CHANNEL_LIMIT) -> DataFrame:
     """``messages``: (msg_id, ts, payload).  Returns one row per message with
     ``disposition`` and the notification id it names."""
     m = messages.select("msg_id", "ts", J.parse_payload(F.col("payload")).alias("_p"))
@@ -68,7 +69,7 @@ def disposition(messages: DataFrame, snapshot: DataFrame, cancels: DataFrame,
                              "retry_count"), "disposition_messages")
     # L2 over the taken messages only (refused ones are not recorded)
     taken = m.where("taken").select("msg_id", "channel", "ts")
-    lim = L.limit_sliding(taken, "channel", "ts", "msg_id", CHANNEL_LIMIT, CHANNEL_WINDOW_MS) \
+    lim = L.limit_sliding(taken, "channel", "ts", "msg_id", channel_limit, CHANNEL_WINDOW_MS) \
            .select("msg_id", "allowed")
     m = m.join(lim, "msg_id", "left")
     # Breaker open at the message time

@@ -1,8 +1,8 @@
 """Strict JSON request decoding (S1, S2): VARIANT parse, key and type checks.
 
 A plain ``from_json`` into fields would accept unknown ones and cast 5 to "5"; the
-reference's decoder refuses both, so objects are read as maps of variants, whose keys and
-value types are checked.  Everything stays in JVM expressions (no Python per row).
+reference's decoder refuses both, so bodies are parsed to variants, whose keys and value
+types are checked.  Everything stays in JVM expressions (no Python per row).
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from missive.functions.text import let
+
 # The five request fields.
 REQUEST_FIELDS = ("idempotency_key", "recipient", "channel", "content", "priority")
 MAX_BATCH = 1000
@@ -45,28 +47,53 @@ def _bad_item(m: Column) -> Column:
     return F.coalesce(_unknown(m) | wrong, F.lit(False))
 
 
+# A body whose keys are spelled plainly, each once, with texts or nulls: its fields are read by
+# path from the one parse.  Everything else takes the careful way through maps.
+_FIELD = f"(?:{'|'.join(sorted(REQUEST_FIELDS))}): (?:STRING|VOID)"
+_PLAIN_OBJECT = f"OBJECT<(?:{_FIELD}(?:, {_FIELD})*)?>"
+_FIELDS_TYPE = "struct<" + ",".join(f"{f}:string" for f in REQUEST_FIELDS) + ">"
+
+
+def _careful(m: Column) -> Column:
+    """The five fields of an object read as a map in the order of the text."""
+    return F.struct(*[_last_text(_entries(m, f)).alias(f) for f in REQUEST_FIELDS])
+
+
+def _plain(value: Column, pattern: str) -> Column:
+    return F.coalesce(F.schema_of_variant(value).rlike(f"^{pattern}$"), F.lit(False))
+
+
+def _once(df: DataFrame, keep: list[str], result: Column) -> DataFrame:
+    """``keep`` and the fields of the struct ``result``, evaluated once per row: a filter on
+    them is not pushed below the generator, where it would parse again."""
+    return df.select(*keep, F.explode(F.array(result)).alias("_r")).select(*keep, "_r.*")
+
+
 def parse_requests(df: DataFrame, col: str) -> DataFrame:
     """One body -> error (null = accepted) and the five string fields.
 
-    A body over 512 KiB is refused.  The object is read as a map in the order of the text
-    (``from_json`` keeps repeated keys); the map and the field values are separate
-    projections, which Catalyst keeps apart because each is used several times.
+    A body over 512 KiB is refused.  The body is parsed once; only one that is not plain
+    (unknown, repeated or oddly spelled keys, other types, broken text) is read again as a
+    map in the order of the text (``from_json`` keeps repeated keys).
     """
     keep = [c for c in df.columns if c != col]
-    body = F.col(col)
-    x = df.select(*keep, body.alias("_body"), F.try_parse_json(body).isNull().alias("_broken"),
-                  F.from_json(body, "map<string,variant>").alias("_m"))
-    x = x.select(*keep, "_body", "_broken", "_m", _unknown(F.col("_m")).alias("_unknown"),
-                 *[_entries(F.col("_m"), f).alias(f"_f_{f}") for f in REQUEST_FIELDS])
-    wrong = reduce(lambda a, b: a | b, [_wrong_type(F.col(f"_f_{f}")) for f in REQUEST_FIELDS])
-    err = (F.when(F.octet_length("_body") > MAX_BODY, "body_too_large")
-           .when(F.col("_body") == "", "empty_body").when(F.col("_m").isNull() & F.col("_broken"), "malformed_json")
-           .when(F.col("_m").isNull(), "not_an_object").when(F.col("_unknown"), "unknown_field")
-           .when(wrong, "wrong_type"))
-    x = x.withColumn("error", err)
-    ok = F.col("error").isNull()
-    fields = [F.when(ok, _last_text(F.col(f"_f_{f}"))).otherwise(F.lit("")).alias(f) for f in REQUEST_FIELDS]
-    return x.select(*keep, "error", *fields)
+    body = F.col("_body")
+    x = df.select(*keep, F.col(col).alias("_body"), F.when(F.octet_length(col) <= MAX_BODY, F.try_parse_json(col)).alias("_v"))
+
+    def careful(m: Column) -> Column:
+        wrong = reduce(lambda a, b: a | b, [_wrong_type(_entries(m, f)) for f in REQUEST_FIELDS])
+        err = (F.when(m.isNull() & F.col("_v").isNull(), "malformed_json").when(m.isNull(), "not_an_object")
+               .when(_unknown(m), "unknown_field").when(wrong, "wrong_type"))
+        return F.struct(err.alias("error"), F.when(err.isNull(), _careful(m)).alias("f"))
+
+    none = F.lit(None).cast(_FIELDS_TYPE)
+    res = (F.when(F.octet_length(body) > MAX_BODY, F.struct(F.lit("body_too_large").alias("error"), none.alias("f")))
+           .when(body == "", F.struct(F.lit("empty_body").alias("error"), none.alias("f")))
+           .when(_plain(F.col("_v"), _PLAIN_OBJECT), F.struct(F.lit(None).cast("string").alias("error"),
+                                                              F.try_variant_get("_v", "$", _FIELDS_TYPE).alias("f")))
+           .otherwise(let(F.from_json(body, "map<string,variant>"), careful)))
+    r = _once(x, keep, res)
+    return r.select(*keep, "error", *[F.coalesce(F.col(f"f.{f}"), F.lit("")).alias(f) for f in REQUEST_FIELDS])
 
 
 def parse_batches(df: DataFrame, col: str, batch_col: str) -> tuple[DataFrame, DataFrame]:
@@ -75,21 +102,32 @@ def parse_batches(df: DataFrame, col: str, batch_col: str) -> tuple[DataFrame, D
     A body over 1 MiB is refused; size 1..1000, and every item strict as in S1, else the
     whole batch is refused.  The explode is per batch row and bounded by the 1000-item rule.
     """
-    body = F.col(col)
-    checked = df.select(batch_col, body.alias("_body"), F.from_json(body, "array<map<string,variant>>").alias("_items"),
-                        F.try_parse_json(body).alias("_v"))
-    values = F.try_variant_get("_v", "$", "array<variant>")
-    items = F.when(F.col("_v").isNull() | values.isNotNull(), F.col("_items"))
-    checked = checked.select(batch_col, "_body", F.col("_v").isNull().alias("_broken"), items.alias("_items"), F.size(values).alias("_n"))
-    n = F.coalesce(F.size("_items"), F.col("_n"))
-    err = (F.when(F.octet_length("_body") > MAX_BATCH_BODY, "body_too_large")
-           .when(F.col("_items").isNull() & F.col("_broken"), "malformed_json").when(n.isNull(), "not_an_array")
-           .when(n == 0, "empty_batch").when(n > MAX_BATCH, "batch_too_large")
-           .when(F.col("_items").isNull(), "bad_item").when(F.exists("_items", _bad_item), "bad_item"))
-    checked = checked.select(batch_col, "_items", err.alias("error"))
+    body = F.col("_body")
+    x = df.select(batch_col, F.col(col).alias("_body"), F.when(F.octet_length(col) <= MAX_BATCH_BODY, F.try_parse_json(col)).alias("_v"))
+    kind = f"array<{_FIELDS_TYPE}>"
+
+    def sized(n: Column) -> Column:
+        return F.when(n == 0, "empty_batch").when(n > MAX_BATCH, "batch_too_large")
+
+    def result(error: Column, items: Column) -> Column:
+        return F.struct(error.alias("error"), items.alias("items"))
+
+    def careful(items: Column) -> Column:
+        values = F.try_variant_get("_v", "$", "array<variant>")
+        # an unparsable value inside the array leaves it to the map reading alone
+        items = F.when(F.col("_v").isNull() | values.isNotNull(), items)
+        n = F.coalesce(F.size(items), F.size(values))
+        err = (F.when(items.isNull() & F.col("_v").isNull(), "malformed_json").when(n.isNull(), "not_an_array")
+               .otherwise(F.coalesce(sized(n), F.when(items.isNull(), "bad_item").when(F.exists(items, _bad_item), "bad_item"))))
+        return result(err, F.when(err.isNull(), F.transform(items, _careful)))
+
+    plain = F.try_variant_get("_v", "$", kind)
+    res = (F.when(F.octet_length(body) > MAX_BATCH_BODY, result(F.lit("body_too_large"), F.lit(None).cast(kind)))
+           .when(_plain(F.col("_v"), f"ARRAY<(?:{_PLAIN_OBJECT}|VOID)>"), result(sized(F.size(plain)), plain))
+           .otherwise(let(F.from_json(body, "array<map<string,variant>>"), careful)))
+    checked = _once(x, [batch_col], res)
     rejected = checked.where(F.col("error").isNotNull()).select(batch_col, "error")
-    good = checked.where(F.col("error").isNull())
-    rows = good.select(batch_col, F.posexplode("_items").alias("_pos", "_item"))
+    rows = checked.where(F.col("error").isNull()).select(batch_col, F.posexplode("items").alias("_pos", "_item"))
     rows = rows.select(batch_col, (F.col("_pos") + 1).cast("bigint").alias("row_no"),
-                       *[_last_text(_entries(F.col("_item"), f)).alias(f) for f in REQUEST_FIELDS])
+                       *[F.coalesce(F.col(f"_item.{f}"), F.lit("")).alias(f) for f in REQUEST_FIELDS])
     return rows, rejected

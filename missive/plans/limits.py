@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from missive.operators import breaker as B
 from missive.operators import limits as L
-from missive.operators.ingest import MAX_BATCH_BODY
 from missive.operators import metrics as A
+from missive.operators.token_bucket import amounts
 from missive.plans.registry import query
 from missive.sources import derived as D
 
@@ -49,24 +49,20 @@ def limit_sliding(spark, sf):
                            SLIDING_WINDOW_MS).select("req_id", "key", "allowed")
 
 
-_NOW = "(CAST(epoch_us(ts) // 1000000 AS DOUBLE) + CAST(epoch_us(ts) % 1000000 AS DOUBLE) / 1000000)"
-
-
 def _bucket_sql(src: str, cap, rate) -> str:
+    """Replay in whole units of 1 / (10^6 q) tokens (rate = p / q)."""
+    unit, p, full = amounts(cap, rate)
     return f"""WITH RECURSIVE src AS (
-  SELECT key, req_id, weight, {_NOW} AS now,
+  SELECT key, req_id, weight::HUGEINT * {unit} AS w, epoch_us(ts)::HUGEINT AS us,
     row_number() OVER (PARTITION BY key ORDER BY epoch_us(ts), req_id) AS rn FROM {src}),
 r AS (
-  SELECT key, rn, req_id, CAST({cap} AS DOUBLE) >= weight AS allowed,
-    CASE WHEN CAST({cap} AS DOUBLE) >= weight THEN CAST({cap} AS DOUBLE) - weight
-         ELSE CAST({cap} AS DOUBLE) END AS tokens, now AS last FROM src WHERE rn = 1
+  SELECT key, rn, req_id, {full} >= w AS allowed, CASE WHEN {full} >= w THEN {full} - w ELSE {full}::HUGEINT END AS tokens, us AS last
+  FROM src WHERE rn = 1
   UNION ALL
-  SELECT key, rn, req_id, refilled >= weight,
-    CASE WHEN refilled >= weight THEN refilled - weight ELSE refilled END, now
-  FROM (SELECT s.key, s.rn, s.req_id, s.weight, s.now,
-          least(CAST({cap} AS DOUBLE), r.tokens + greatest(0.0, s.now - r.last) * {rate!r}) AS refilled
+  SELECT key, rn, req_id, refilled >= w, CASE WHEN refilled >= w THEN refilled - w ELSE refilled END, us
+  FROM (SELECT s.key, s.rn, s.req_id, s.w, s.us, least({full}::HUGEINT, r.tokens + (s.us - r.last) * {p}) AS refilled
         FROM r JOIN src s ON s.key = r.key AND s.rn = r.rn + 1))
-SELECT req_id, key, allowed, round(tokens, 9) AS tokens_left FROM r"""
+SELECT req_id, key, allowed, round(tokens::DOUBLE / {float(unit)!r}, 9) AS tokens_left FROM r"""
 
 
 @query("limit_token_bucket", _bucket_sql("limiter_requests", BUCKET_CAPACITY, BUCKET_RATE), ("limiter_requests",))
@@ -76,22 +72,6 @@ def limit_token_bucket(spark, sf):
     return r.select("req_id", "key", "allowed", F.round("tokens_left", 9).alias("tokens_left"))
 
 
-_BATCH_WEIGHTS = """(SELECT batch_no AS req_id, 'api_tokens:10.0.0.1' AS key, arrival_ts AS ts,
-  CAST(json_array_length(CAST(body AS JSON)) AS INT) AS weight FROM batch_json WHERE octet_length(encode(body)) <= 1048576)"""
-
-
-@query("limit_weighted_batches", _bucket_sql(_BATCH_WEIGHTS, 1000, 0.5), ("batch_json",))
-def limit_weighted_batches(spark, sf):
-    """L4: the token bucket spends a batch's size before the batch is validated, so
-    refused-later batches still cost tokens (weight = item count of the raw body)."""
-    b = D.batch_json(spark, sf).where(F.octet_length("body") <= MAX_BATCH_BODY)   # larger ones are refused unread
-    w = F.coalesce(F.json_array_length("body"), F.lit(0))
-    reqs = b.select(F.col("batch_no").alias("req_id"), F.lit("api_tokens:10.0.0.1").alias("key"),
-                    F.col("arrival_ts").alias("ts"), w.cast("int").alias("weight"))
-    r = L.limit_token_bucket(reqs, "key", "ts", "req_id", "weight", 1000, 0.5)
-    return r.select("req_id", "key", "allowed", F.round("tokens_left", 9).alias("tokens_left"))
-
-
 @query("fail_policy", """SELECT req_id, key, CASE WHEN req_id % 10 = 0 THEN true ELSE allowed END AS api_allowed,
   CASE WHEN req_id % 10 = 0 THEN false ELSE allowed END AS worker_allowed FROM (
   SELECT req_id, key, n <= 1 AS allowed FROM (

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from missive.operators import ingest
 from missive.operators import joins as J
 from missive.operators import metrics as A
 from missive.operators import transitions as M
@@ -47,20 +46,6 @@ def created_by_channel(spark, sf):
     return A.counter(rows, ["channel"])
 
 
-_BATCH_SIZES = """(SELECT batch_no, json_array_length(CAST(body AS JSON)) AS size FROM batch_json
-  WHERE octet_length(encode(body)) <= 1048576 AND json_array_length(CAST(body AS JSON)) BETWEEN 1 AND 1000
-    AND NOT EXISTS (SELECT 1 FROM (SELECT unnest(CAST(body AS JSON[])) AS item) WHERE
-      len(list_filter(json_keys(item), lambda k: lower(k) NOT IN ('idempotency_key', 'recipient', 'channel', 'content', 'priority'))) > 0
-      OR coalesce(json_type(item, '$.priority'), 'NULL') NOT IN ('VARCHAR', 'NULL')))"""
-
-
-@query("batch_size_hist", _hist_sql(_BATCH_SIZES, [], "size", A.BATCH_SIZE_BUCKETS), ("batch_json",))
-def batch_size_hist(spark, sf):
-    rows, _ = ingest.parse_batches(D.batch_json(spark, sf), "body", "batch_no")
-    sizes = rows.groupBy("batch_no").agg(F.count(F.lit(1)).alias("size"))
-    return A.histogram(sizes, [], "size", A.BATCH_SIZE_BUCKETS)
-
-
 @query("canceled_total", """SELECT count(*) AS value FROM (
   SELECT r.id, row_number() OVER (PARTITION BY r.id ORDER BY req_id) AS rn, n.status
   FROM cancel_requests r JOIN notifications n ON n.id = r.id)

@@ -41,14 +41,18 @@ SELECT seq, batch_no, arrival_ts,
        WHEN seq % 11 = 0 THEN '{{' || {_HEAD} || ',"priority":"' || priority || '","extra":"1"}}'
        WHEN seq % 7 = 3 THEN '{{' || {_HEAD} || '}}'
        WHEN seq % 43 = 0 THEN '{{' || {_HEAD} || ',"priority":null}}'
-       ELSE '{{' || {_HEAD} || ',"priority":"' || priority || '"}}' END AS body
+       ELSE '{{' || {_HEAD} || ',"priority":"' || priority || '"}}' END AS body, xff
 FROM requests"""
 
 VIEWS["batch_json"] = """
 SELECT batch_no, min(arrival_ts) AS arrival_ts,
   CASE WHEN batch_no % 13 = 0 THEN '[]'
-       ELSE '[' || string_agg(body, ',' ORDER BY seq) || ']' END AS body
-FROM request_json WHERE body <> '' AND seq % 31 <> 0 GROUP BY batch_no"""
+       ELSE '[' || string_agg(body, ',' ORDER BY seq) || ']' END AS body, arg_min(xff, seq) AS xff
+FROM (SELECT seq, batch_no, arrival_ts, xff, CASE WHEN batch_no % 3 = 0 THEN
+    '{"idempotency_key":"g-' || CASE WHEN batch_no % 9 = 6 THEN seq - 60 WHEN seq % 50 = 49 THEN seq - 1 ELSE seq END ||
+    '","recipient":"user_' || seq || '@example.com","channel":"' || CASE WHEN batch_no % 15 = 12 AND seq % 20 = 7 THEN 'fax' ELSE 'email' END ||
+    '","content":"batch ' || batch_no || '","priority":"high"}' ELSE body END AS body
+  FROM request_json WHERE batch_no % 3 = 0 OR (body <> '' AND seq % 31 <> 0)) GROUP BY batch_no"""
 
 VIEWS["notifications"] = """
 SELECT '00000000-0000-4000-8000-' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS id,

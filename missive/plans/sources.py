@@ -1,4 +1,4 @@
-"""Source/sink and export queries (S5, S10, S11), B3 and A6."""
+"""Source/sink and export queries (S5, S10, S11) and B3."""
 
 from __future__ import annotations
 
@@ -7,12 +7,10 @@ from pyspark.sql import functions as F
 from missive.operators import breaker as B
 from missive.operators import ordering as R
 from missive.operators.projections import route_priority
-from missive.plans.dispatch import _CALLS, _FINAL
-from missive.plans.limits import BREAKER, _bucket_sql, breaker_sql
+from missive.plans.limits import BREAKER
 from missive.plans.registry import query
 from missive.sources import derived as D
 from missive.sources.tables import read_table
-from missive.operators import disposition as DS
 from missive.operators import metrics as A
 from missive.plans.metrics import _hist_sql
 
@@ -118,55 +116,6 @@ def breaker_concurrent(spark, sf):
     return B.breaker_concurrent(c, **BREAKER).select("call_id", "name", "verdict", "executed", "tripped")
 
 
-# --------------------------------------------------------------------------- A6
-_FLOOD_LIMIT, _FLOOD_WINDOW_MS = 500, 1000
-_FLOOD_SQL = f"""(WITH RECURSIVE src AS (
-  SELECT trim(split_part(xff, ',', 1)) AS key, seq, epoch_ms(arrival_ts) AS ms,
-    row_number() OVER (PARTITION BY trim(split_part(xff, ',', 1)) ORDER BY epoch_ms(arrival_ts), seq) AS rn FROM requests),
-r AS (SELECT key, rn, true AS allowed, [ms] AS log FROM src WHERE rn = 1
-  UNION ALL
-  SELECT key, rn, len(kept) < {_FLOOD_LIMIT},
-    CASE WHEN len(kept) < {_FLOOD_LIMIT} THEN list_append(kept, ms) ELSE kept END
-  FROM (SELECT s.key, s.rn, s.ms, list_filter(r.log, lambda x: x > s.ms - {_FLOOD_WINDOW_MS}) AS kept
-        FROM r JOIN src s ON s.key = r.key AND s.rn = r.rn + 1))
-SELECT count(*) FILTER (WHERE NOT allowed) FROM r)"""
-
-_BATCH_WEIGHTS = """(SELECT batch_no AS req_id, 'api_tokens:10.0.0.1' AS key, arrival_ts AS ts,
-  CAST(json_array_length(CAST(body AS JSON)) AS INT) AS weight FROM batch_json WHERE octet_length(encode(body)) <= 1048576)"""
-_TOKEN_SQL = "(" + _bucket_sql(_BATCH_WEIGHTS, 1000, 0.5).replace(
-    "SELECT req_id, key, allowed, round(tokens, 9) AS tokens_left FROM r",
-    "SELECT count(*) FILTER (WHERE NOT allowed) FROM r") + ")"
-_CHANNEL_SQL = "(" + breaker_sql(_CALLS, DS.BREAKER_MAX, DS.BREAKER_WINDOW_S, DS.BREAKER_OPEN_S, final=_FINAL) \
-    .replace("SELECT msg_id, nid, disposition FROM (", "SELECT count(*) FILTER (WHERE disposition = 'retry_limited') FROM (", 1) + ")"
-
-
-@query("rate_limit_hits", f"""SELECT 'global_flood' AS limiter_type, CAST({_FLOOD_SQL} AS BIGINT) AS value
-UNION ALL SELECT 'token_bucket', CAST({_TOKEN_SQL} AS BIGINT)
-UNION ALL SELECT 'channel_sliding', CAST({_CHANNEL_SQL} AS BIGINT)""",
-       ("requests", "batch_json", "outbox", "notifications", "attempts", "cancel_requests"))
-def rate_limit_hits(spark, sf):
-    """Refusals per limiter: API flood guard (sliding 500/s per client IP), API token
-    bucket on batches (1000 burst, weight = rows), worker channel limiter (100/s)."""
-    from missive.operators import limits as L
-    from missive.operators.projections import client_ip
-    from missive.plans.dispatch import disposition
-    from missive.plans.limits import limit_weighted_batches
-    reqs = D.requests(spark, sf)
-    ip = client_ip(F.col("xff"), F.lit(""))
-    flood = L.limit_sliding(reqs.select("seq", "arrival_ts", ip.alias("ip")), "ip", "arrival_ts", "seq",
-                            _FLOOD_LIMIT, _FLOOD_WINDOW_MS)
-    parts = [flood.where(~F.col("allowed")).agg(F.count(F.lit(1)).alias("value"))
-             .select(F.lit("global_flood").alias("limiter_type"), "value"),
-             limit_weighted_batches(spark, sf).where(~F.col("allowed")).agg(F.count(F.lit(1)).alias("value"))
-             .select(F.lit("token_bucket").alias("limiter_type"), "value"),
-             disposition(spark, sf).where(F.col("disposition") == "retry_limited")
-             .agg(F.count(F.lit(1)).alias("value")).select(F.lit("channel_sliding").alias("limiter_type"), "value")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 # --------------------------------------------------------------------------- S11
 def _labels(*pairs):
     """Exposition-style label text: k="v" pairs joined by commas, keys in order."""

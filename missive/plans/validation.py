@@ -111,7 +111,7 @@ def batch_first_invalid(spark, sf):
 
 
 # ------------------------------------------------------------------------- ingestion
-@query("ingest_strict_json", """SELECT seq, error,
+DECODED_SQL = """SELECT seq, error,
   CASE WHEN error IS NULL THEN k0 ELSE '' END AS idempotency_key,
   CASE WHEN error IS NULL THEN k1 ELSE '' END AS recipient,
   CASE WHEN error IS NULL THEN k2 ELSE '' END AS channel,
@@ -135,13 +135,8 @@ FROM (SELECT seq, body,
   CASE WHEN json_valid(body) AND body <> '' THEN coalesce(body ->> '$.CHANNEL', body ->> '$.channel', '') END AS channel,
   CASE WHEN json_valid(body) AND body <> '' THEN coalesce(body ->> '$.content', '') END AS content,
   CASE WHEN json_valid(body) AND body <> '' THEN coalesce(body ->> '$.priority', '') END AS priority
-  FROM request_json))""", ("request_json",))
-def ingest_strict_json(spark, sf):
-    p = ingest.parse_requests(D.request_json(spark, sf), "body")
-    return p.select("seq", "error", *ingest.REQUEST_FIELDS)
-
-
-@query("ingest_batch_explode", """WITH b AS (
+  FROM request_json))"""
+BATCH_ROWS_SQL = """WITH b AS (
   SELECT batch_no, body, CAST(body AS JSON) AS j FROM batch_json WHERE octet_length(encode(body)) <= 1048576),
  items AS (SELECT batch_no, json_array_length(j) AS n, unnest(range(CAST(json_array_length(j) AS BIGINT))) AS i, j FROM b),
  rows AS (SELECT batch_no, n, i + 1 AS row_no, json_extract(j, '$[' || i || ']') AS item FROM items),
@@ -155,7 +150,16 @@ SELECT c.batch_no, c.row_no,
   coalesce(item ->> '$.CHANNEL', item ->> '$.channel', '') AS channel,
   coalesce(item ->> '$.content', '') AS content,
   coalesce(item ->> '$.priority', '') AS priority
-FROM checked c JOIN good g USING (batch_no)""", ("batch_json",))
+FROM checked c JOIN good g USING (batch_no)"""
+
+
+@query("ingest_strict_json", DECODED_SQL, ("request_json",))
+def ingest_strict_json(spark, sf):
+    p = ingest.parse_requests(D.request_json(spark, sf), "body")
+    return p.select("seq", "error", *ingest.REQUEST_FIELDS)
+
+
+@query("ingest_batch_explode", BATCH_ROWS_SQL, ("batch_json",))
 def ingest_batch_explode(spark, sf):
     rows, _rejected = ingest.parse_batches(D.batch_json(spark, sf), "body", "batch_no")
     return rows

@@ -98,19 +98,31 @@ def request_json(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(seq % 7 == 3, F.concat(F.lit("{"), head, F.lit("}")))
             .when(seq % 43 == 0, F.concat(F.lit("{"), head, F.lit(',"priority":null}')))
             .otherwise(full))
-    return r.select("seq", "batch_no", "arrival_ts", body.alias("body"))
+    return r.select("seq", "batch_no", "arrival_ts", body.alias("body"), "xff")
 
 
 def batch_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One JSON array body per batch of 20 requests (every 13th batch is sent empty)."""
-    r = request_json(spark, sf_dir).where("body <> '' AND seq % 31 <> 0")
+    """One JSON array body per batch of 20 requests (every 13th batch is sent empty).
+
+    Every third batch holds well-formed items of its own; of these some repeat the keys of
+    the batch three before, or hold a key twice, or an item that validation refuses."""
+    r = request_json(spark, sf_dir)
+    seq, no = F.col("seq"), F.col("batch_no")
+    key_n = F.when(no % 9 == 6, seq - 60).when(seq % 50 == 49, seq - 1).otherwise(seq)
+    item = F.concat(F.lit("{"), F.concat_ws(
+        ",", _json_str("idempotency_key", F.concat(F.lit("g-"), s(key_n))),
+        _json_str("recipient", F.concat(F.lit("user_"), s(seq), F.lit("@example.com"))),
+        _json_str("channel", F.when((no % 15 == 12) & (seq % 20 == 7), "fax").otherwise("email")),
+        _json_str("content", F.concat(F.lit("batch "), s(no))), _json_str("priority", F.lit("high"))), F.lit("}"))
+    good = no % 3 == 0
+    r = r.where(good | ((F.col("body") != "") & (seq % 31 != 0))).withColumn("body", F.when(good, item).otherwise(F.col("body")))
     g = r.groupBy("batch_no").agg(
-        F.min("arrival_ts").alias("arrival_ts"),
+        F.min("arrival_ts").alias("arrival_ts"), F.min_by("xff", "seq").alias("xff"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "body"))),
                                  lambda x: x["body"]), ",").alias("items"))
     body = F.when(F.col("batch_no") % 13 == 0, F.lit("[]")).otherwise(
         F.concat(F.lit("["), F.col("items"), F.lit("]")))
-    return g.select("batch_no", "arrival_ts", body.alias("body"))
+    return g.select("batch_no", "arrival_ts", body.alias("body"), "xff")
 
 
 # ---------------------------------------------------------------------- notifications

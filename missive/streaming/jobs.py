@@ -9,7 +9,6 @@ one folder per batch id, overwritten if the batch is replayed.
 
 from __future__ import annotations
 
-import math
 import uuid
 from collections.abc import Iterator
 
@@ -217,15 +216,15 @@ def token_bucket_stream(reqs: DataFrame, key: str, ts: str, order: str, weight:
                         rate: float, delay: str = "1 hour") -> DataFrame:
     """L3 per key with the tokens and the last refill as keyed state; the state expires
     by event-time timeout when the bucket is full again, which equals a new key."""
-    from missive.operators.limits import seconds_double
+    from missive.operators.token_bucket import amounts
     ship_package(reqs.sparkSession)
-    d = (reqs.withColumn("_now", seconds_double(ts)).withColumn("_ets", F.col(ts).cast("timestamp"))
-             .withColumn("_us", F.unix_micros("_ets")).withColumn("_w", F.col(weight).cast("double"))
-             .withWatermark("_ets", delay).select(key, order, "_ets", "_us", "_now", "_w"))
+    unit, p, cap = amounts(capacity, rate)
+    d = (reqs.withColumn("_ets", F.col(ts).cast("timestamp")).withColumn("_us", F.unix_micros("_ets"))
+             .withColumn("_w", F.col(weight).cast("bigint") * unit)
+             .withWatermark("_ets", delay).select(key, order, "_ets", "_us", "_w"))
     out_schema = T.StructType([T.StructField(order, T.LongType()), T.StructField(key, T.StringType()),
                                T.StructField("allowed", T.BooleanType()), T.StructField("tokens_left", T.DoubleType())])
-    state_schema = T.StructType([T.StructField("tokens", T.DoubleType()), T.StructField("last", T.DoubleType())])
-    cap = float(capacity)
+    state_schema = T.StructType([T.StructField("tokens", T.LongType()), T.StructField("last", T.LongType())])
 
     def fn(k, it: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -234,16 +233,16 @@ def token_bucket_stream(reqs: DataFrame, key: str, ts: str, order: str, weight:
         tokens, last = state.get if state.exists else (cap, None)
         pdf = pd.concat(list(it)).sort_values(["_us", order], kind="stable")
         allowed, left = [], []
-        for now, w in zip(pdf["_now"].tolist(), pdf["_w"].tolist()):
+        for us, w in zip(pdf["_us"].tolist(), pdf["_w"].tolist()):
             if last is not None:
-                tokens = min(cap, tokens + max(0.0, now - last) * rate)
-            last = now
+                tokens = min(cap, tokens + max(0, us - last) * p)
+            last = us
             allowed.append(tokens >= w)
             if tokens >= w:
                 tokens -= w
-            left.append(tokens)
+            left.append(tokens / unit)
         state.update((tokens, last))
-        full_ms = math.ceil((last + cap / rate + 1) * 1000)
+        full_ms = (last + -(-cap // p)) // 1000 + 1000
         state.setTimeoutTimestamp(max(full_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({order: pdf[order].astype("int64"), key: k[0], "allowed": allowed, "tokens_left": left})
 
