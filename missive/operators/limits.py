@@ -7,6 +7,8 @@ import collections
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from missive.session import materialize
+
 
 def epoch_second(ts: str):
     return F.expr(f"unix_micros(cast({ts} as timestamp)) div 1000000")
@@ -39,51 +41,49 @@ def limit_fixed(df: DataFrame, key: str, ts: str, order: str, limit: int) -> Dat
 
 
 # --------------------------------------------------------------------- L2 sliding log
-def contested(d: DataFrame, key: str, limit: int, window_ms: int, out: str = "_near") -> DataFrame:
-    """Mark the rows (with their time in ``_ms``) that a sliding-log fold has to see.
-
-    A row with at most ``limit`` requests in its window, refused ones included, is surely
-    admitted.  Only rows with more, and the rows up to one window before them (their log),
-    need the fold.  Both facts are range windows inside (key, bucket of one window), each
-    bucket holding copies of the times next to it: linear work, and a hot key is split
-    over its buckets.
-    """
-    own = d.withColumn("_b", F.floor(F.col("_ms") / F.lit(window_ms)).cast("bigint"))
+PARTS = 8          # buckets per window: more of them tell steady traffic just under the limit from contested
+
+
+def contested_buckets(d: DataFrame, key: str, limit: int, window_ms: int) -> DataFrame:
+    """(_k, _bk, _seg): the buckets of a ``PARTS``-th of a window whose rows a fold has to see.
+
+    ``d`` has ``_bk``, the bucket of each row.  The log at any row lies in the row's bucket and
+    the ``PARTS`` before, so a row can only be refused in a bucket that, with these, holds
+    more than ``limit`` rows; such buckets and the ones before them (their log) are contested.
+    All of it is aggregates of counts per (key, bucket).  ``_seg`` numbers the runs of adjacent
+    contested buckets: a run starts with buckets that refuse nothing and need no log."""
+    from missive.operators.fold import segment_by_gap
+    reach = F.sequence(F.lit(0), F.lit(PARTS))
+    n = d.groupBy(F.col(key).alias("_k"), "_bk").agg(F.count(F.lit(1)).alias("n"))
+    hot = (n.select("_k", "n", F.explode(F.transform(reach, lambda i: F.col("_bk") + i)).alias("_bk")).groupBy("_k", "_bk")
+            .agg(F.sum("n").alias("near")).where(F.col("near") > limit))
+    run = hot.select("_k", F.explode(F.transform(reach, lambda i: F.col("_bk") - i)).alias("_bk")).distinct()
+    run = run.withColumn("_us", F.col("_bk") * window_ms * 1000).withColumn("_kk", F.struct("_k"))
+    seg = segment_by_gap(run, "_kk", "_us", ["_us"], (F.col("_us") - F.col("_prev")) > window_ms * 1000, bin_us=window_ms * 1_000_000)
+    return seg.select("_k", "_bk", "_seg")
 
-    def beside(rows: DataFrame, step: int) -> DataFrame:
-        copy = {key: F.col(key), "_ms": F.col("_ms"), "_b": F.col("_b") + step}
-        return rows.select(*[copy.get(c, F.lit(None).cast(rows.schema[c].dataType)).alias(c) for c in rows.columns], F.lit(False).alias("_own"))
 
-    w = Window.partitionBy(key, "_b").orderBy("_ms")
-    seen = (own.withColumn("_own", F.lit(True)).unionByName(beside(own, 1))
-            .withColumn("_more", F.count(F.lit(1)).over(w.rangeBetween(-(window_ms - 1), 0)) > limit).where("_own").drop("_own"))
-    hot = beside(seen.where("_more"), -1).withColumn("_more", F.lit(True))
-    return (seen.withColumn("_own", F.lit(True)).unionByName(hot)
-            .withColumn(out, F.max("_more").over(w.rangeBetween(0, window_ms - 1))).where("_own").drop("_own", "_more", "_b"))
+def bucket_of_window(ms, window_ms: int):
+    return F.floor(F.col(ms) * PARTS / F.lit(window_ms)).cast("bigint")
 
 
 def limit_sliding(df: DataFrame, key: str, ts: str, order: str, limit: int,
                   window_ms: int) -> DataFrame:
     """L2: admit iff fewer than ``limit`` *admitted* requests lie in (now - window, now].
 
-    Two tiers.  Rows that no crowded window touches are admitted by a range count alone
-    (``contested``).  The others are a fold, as refused requests are not recorded: times
-    are floored to milliseconds, and where no contested row lies in the window before, the
-    log is empty or surely admitted, so each key's timeline is cut there and the pieces
-    fold in parallel.  Only a key that stays over its limit without a break is sequential.
+    Two tiers.  Rows outside contested buckets are admitted without any sequential step.  The
+    others are a fold, as refused requests are not recorded: times are floored to
+    milliseconds, and each run of contested buckets is folded on its own, in parallel.  Only a
+    key that stays near its limit without a break is sequential.
     """
-    d = df.withColumn("_ms", F.expr(f"unix_millis(cast({ts} as timestamp))"))
-    d = contested(d, key, limit, window_ms)
-    free = d.where(~F.col("_near")).select(*df.columns, F.lit(True).alias("allowed"))
-    return free.unionByName(_fold_sliding(d.where("_near").select(df.columns), key, ts, order, limit, window_ms))
-
+    from missive.operators.fold import stream_fold
 
-def _fold_sliding(df: DataFrame, key: str, ts: str, order: str, limit: int, window_ms: int) -> DataFrame:
-    from missive.operators.fold import segment_by_gap, stream_fold
-
-    d = df.withColumn("_ms", F.expr(f"unix_millis(cast({ts} as timestamp))")) \
-          .withColumn("_us", F.col("_ms") * 1000)
-    seg = segment_by_gap(d, key, "_us", ["_us", order], (F.col("_us") - F.col("_prev")) >= window_ms * 1000)
+    d = df.withColumn("_ms", F.expr(f"unix_millis(cast({ts} as timestamp))"))
+    d = d.withColumn("_bk", bucket_of_window("_ms", window_ms))
+    runs = contested_buckets(d, key, limit, window_ms).withColumnRenamed("_bk", "_rb")
+    j = d.join(runs, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_bk") == F.col("_rb")), "left")
+    j = materialize(j.select(*df.columns, "_ms", "_seg"), "sliding_rows")
+    free = j.where("_seg IS NULL").select(*df.columns, F.lit(True).alias("allowed"))
 
     def init():
         return collections.deque()
@@ -96,8 +96,8 @@ def _fold_sliding(df: DataFrame, key: str, ts: str, order: str, limit: int, wind
             return (True,)
         return (False,)
 
-    res = stream_fold(seg, [key, "_seg"], ["_us", order], ["_ms"], init, step, [("allowed", "boolean")])
-    return res.drop("_ms", "_us", "_seg")
+    folded = stream_fold(j.where("_seg IS NOT NULL"), [key, "_seg"], ["_ms", order], ["_ms"], init, step, [("allowed", "boolean")])
+    return free.unionByName(folded.select(free.columns))
 
 
 # -------------------------------------------------------------------- L3 token bucket

@@ -26,11 +26,10 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from missive.operators.fold import HOUR_US, segment_by_gap, stream_fold
-from missive.operators.ordering import binned_running
+from missive.operators.fold import HOUR_US, stream_fold
 from missive.session import materialize
 
 
@@ -41,18 +40,37 @@ def amounts(capacity: float, rate: float) -> tuple[int, int, int]:
     return unit, r.numerator, int(capacity * unit)
 
 
-def all_admit_balance(df: DataFrame, key: str, ts: str, order: str, weight: str,
-                      capacity: float, rate: float) -> DataFrame:
+def all_admit_balance(df: DataFrame, key: str, ts: str, order: str, weight: str, capacity: float,
+                      rate: float, bin_us: int = HOUR_US) -> DataFrame:
     """Adds ``_us``, ``_w`` (units), ``_short`` (units missing after the row if all were
-    admitted) and ``_busy`` (equal for the rows since the bucket was last full)."""
-    unit, p, _cap = amounts(capacity, rate)
+    admitted), ``_busy`` (equal for the rows since the bucket was last full) and ``_piece``
+    (start of the last pause that fills the bucket).
+
+    One window per (key, bin) and one small table of bins: sums, minima and pauses before a
+    bin come from the bins before it."""
+    unit, p, cap = amounts(capacity, rate)
+    w = Window.partitionBy(key, "_bin").orderBy("_us", order)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = (df.withColumn("_us", F.expr(f"unix_micros(cast({ts} as timestamp))"))
-           .withColumn("_w", F.col(weight).cast("bigint") * unit))
-    by, bins = [F.col("_us"), F.col(order)], F.floor(F.col("_us") / F.lit(HOUR_US))
-    d = binned_running(d, [key], by, bins, F.col("_w"), "sum", "_a")
-    d = d.withColumn("_a", F.col("_a") - F.col("_us") * p)
-    d = binned_running(d, [key], by, bins, F.col("_a") - F.col("_w"), "min", "_busy")
-    return d.withColumn("_short", F.col("_a") - F.col("_busy")).drop("_a")
+           .withColumn("_w", F.col(weight).cast("bigint") * unit).withColumn("_bin", F.floor(F.col("_us") / F.lit(bin_us)).cast("bigint")))
+    d = d.withColumn("_in", F.sum("_w").over(upto)).withColumn("_lag", F.lag("_us").over(w))
+    d = (d.withColumn("_low", F.min(F.col("_in") - F.col("_w") - F.col("_us") * p).over(upto))
+          .withColumn("_pause", F.max(F.when((F.col("_us") - F.col("_lag")) * p >= cap, F.col("_us"))).over(upto)).drop("_lag"))
+    d = materialize(d, "bucket_bins")
+    earlier = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    bins = d.groupBy(F.col(key).alias("_k"), F.col("_bin").alias("_b")).agg(
+        F.sum("_w").alias("_total"), F.min("_low").alias("_lowest"), F.min("_us").alias("_first"), F.max("_us").alias("_last"),
+        F.max("_pause").alias("_paused"))
+    bins = bins.withColumn("_before", F.coalesce(F.sum("_total").over(earlier), F.lit(0))).withColumn("_prev", F.max("_last").over(earlier))
+    fresh = F.col("_prev").isNull() | ((F.col("_first") - F.col("_prev")) * p >= cap)
+    bins = bins.withColumn("_from", F.when(fresh, F.col("_first")))
+    bins = (bins.withColumn("_floor", F.min(F.col("_before") + F.col("_lowest")).over(earlier))
+                .withColumn("_from", F.coalesce("_from", F.max(F.coalesce("_paused", "_from")).over(earlier)))
+                .select("_k", "_b", "_before", "_floor", "_from"))
+    j = d.join(bins, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_bin") == F.col("_b")))
+    busy = F.least(F.col("_floor"), F.col("_before") + F.col("_low"))
+    return j.select(*df.columns, "_us", "_w", (F.col("_before") + F.col("_in") - F.col("_us") * p - busy).alias("_short"),
+                    busy.alias("_busy"), F.coalesce("_pause", "_from").alias("_piece"))
 
 
 def split_tiers(d: DataFrame, key: str, order: str, cap: int) -> tuple[DataFrame, DataFrame]:
@@ -77,9 +95,8 @@ def limit_token_bucket(df: DataFrame, key: str, ts: str, order: str, weight: str
     balance = materialize(all_admit_balance(df, key, ts, order, weight, capacity, rate), "bucket_balance")
     sure, open_ = split_tiers(balance, key, order, cap)
     free = sure.select(*df.columns, F.lit(True).alias("allowed"), ((F.lit(cap) - F.col("_short")) / F.lit(float(unit))).alias("tokens_left"))
-    group = F.concat_ws("|", F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")), F.col("_busy").cast("string"))
-    open_ = materialize(open_.select(*df.columns, "_us", "_w", "_tokens", group.alias("_g")), "bucket_open")
-    pieces = segment_by_gap(open_, "_g", "_us", ["_us", order], (F.col("_us") - F.col("_prev")) * p >= cap)
+    group = F.concat_ws("|", F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")), F.col("_busy").cast("string"), F.col("_piece").cast("string"))
+    pieces = open_.select(*df.columns, "_us", "_w", "_tokens", group.alias("_g"))
 
     def init():
         return [None, 0]                       # tokens (None: first row of a piece), time
@@ -92,6 +109,6 @@ def limit_token_bucket(df: DataFrame, key: str, ts: str, order: str, weight: str
             st[0] -= w
         return ok, st[0] / unit
 
-    folded = stream_fold(pieces, ["_g", "_seg"], ["_us", order], ["_us", "_w", "_tokens"], init, step,
+    folded = stream_fold(pieces, ["_g"], ["_us", order], ["_us", "_w", "_tokens"], init, step,
                          [("allowed", "boolean"), ("tokens_left", "double")])
     return free.unionByName(folded.select(free.columns))

@@ -199,10 +199,16 @@ def test_sliding_fold_sees_only_contested_rows(spark):
     from missive.operators import limits as L
     rows = [(i, "k", i * 100) for i in range(3000)] + [(10_000 + i, "k", 150_000 + i) for i in range(30)]
     d = spark.createDataFrame(rows, "req_id long, key string, _ms long")
-    near = {r["req_id"] for r in L.contested(d, "key", 12, 1000).where("_near").collect()}
+    d = d.withColumn("_bk", L.bucket_of_window("_ms", 1000))
+
+    def folded(x):
+        runs = L.contested_buckets(x, "key", 12, 1000)
+        return x.join(runs, (x["key"] == runs["_k"]) & (x["_bk"] == runs["_bk"]), "left_semi")
+
+    near = {r["req_id"] for r in folded(d).collect()}
     assert {10_000 + i for i in range(30)} <= near
-    assert all(149_000 < ms < 152_000 for i, _, ms in rows if i in near) and len(near) < 70
-    assert L.contested(d.where("req_id < 3000"), "key", 12, 1000).where("_near").count() == 0
+    assert all(149_000 <= ms < 152_000 for i, _, ms in rows if i in near) and len(near) < 70
+    assert folded(d.where("req_id < 3000")).count() == 0
 
 
 def _split_events(spark):
