@@ -6,7 +6,8 @@ is solved on the driver whatever the corpus): minimise the number of sequences o
 configurations (multisets of lengths that fit), covering every length's count.  The
 program is solved by multiplicative weights: each step prices lengths by how far they lag
 behind and takes the best configuration by a knapsack dynamic program; the fractions are
-rounded down, and what remains is filled by exact subset sums, largest piece first.
+rounded up while pieces are left, and what remains is filled by exact subset sums, largest
+piece first.
 
 Pieces then find their sequence by their rank among the pieces of their length.  Ranks are
 prefix sums over about sqrt(n) buckets per length, so a length that a third of all pieces
@@ -20,14 +21,14 @@ import os
 import re
 import struct
 import zlib
-from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from missive.llm.common import arrow_rows, drop_tables, shared_table, sqrt_buckets
+from missive.llm.common import arrow_rows, shared_table, sqrt_buckets
+from missive.llm.words import find_words, word_hashes
 from missive.session import ship_package
 
 SIZE = 2048
@@ -60,7 +61,8 @@ class WordTokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), cache, {}
-        self.before: dict[bytes, bytes] = {}
+        self.ids: dict[int, bytes] = {}
+        self.before: dict[int, bytes] = {}
         with contextlib.suppress(AttributeError):      # only speed: its own cache is not needed beside this one
             self.tokenizer.model._resize_cache(0)
         self._learn_all([b",", b"."])
@@ -80,10 +82,11 @@ class WordTokens:
             if plain is None:
                 hard.append(w)
                 continue
-            core = plain[1].lower().encode("utf-8")
+            low = plain[1].lower()
+            core = low.encode("utf-8")
             ids = known.get(core)
-            if ids is None:
-                found = [t.id for t in model(core.decode("latin-1").translate(_BYTE_CHARS))]
+            if ids is None:                              # ASCII letters stand for themselves
+                found = [t.id for t in model(low if low.isascii() else core.decode("latin-1").translate(_BYTE_CHARS))]
                 ids = known[core] = struct.pack(f"<{len(found)}I", *found)
             if w != core:
                 known[w] = ids + self.marks[plain[2]]
@@ -101,15 +104,37 @@ class WordTokens:
                 self.known[w] = ids[a:b]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
+        """Ids of each text, little-endian.  Words are told apart by 64-bit hashes; ids are
+        looked up once per distinct word and gathered for all places at once."""
+        data = b"".join(texts)
+        off = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
+        buf = np.frombuffer(data, np.uint8)
+        starts, ends, first = find_words(buf, off)
+        if starts.size == 0:
+            return [b""] * len(texts)
+        keys, at, inverse = np.unique(word_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+        if len(self.ids) > self.limit:
+            self.ids, self.before = {}, self.ids
         if len(self.known) > self.limit:
-            self.known, self.before = {}, self.known
-        new = set(filterfalse(self.known.__contains__, chain.from_iterable(words)))
-        old = new.intersection(self.before)
-        self.known.update(zip(old, map(self.before.__getitem__, old)))
-        self._learn(list(new - old))
-        get = self.known.__getitem__
-        return [b"".join(map(get, ws)) for ws in words]
+            self.known = {}
+        found = keys.tolist()
+        new = [i for i, k in enumerate(found) if k not in self.ids]
+        old = [i for i in new if found[i] in self.before]
+        self.ids.update((found[i], self.before[found[i]]) for i in old)
+        new = [i for i in new if found[i] not in self.ids]
+        if new:
+            a, b = starts[at[new]].tolist(), ends[at[new]].tolist()
+            words = [data[x:y] for x, y in zip(a, b)]
+            self._learn([w for w in words if w not in self.known])
+            self.ids.update(zip(map(found.__getitem__, new), map(self.known.__getitem__, words)))
+        ids = list(map(self.ids.__getitem__, found))
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, begin = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+        n = size[inverse]
+        upto = np.concatenate(([0], np.cumsum(n)))
+        tokens = flat[np.repeat(begin[inverse] - upto[:-1], n) + np.arange(upto[-1])]
+        cut = upto[first].tolist()
+        return [tokens[x:y].tobytes() for x, y in zip(cut, cut[1:])]
 
 
 def _pieces(tokenizer: str, size: int, with_ids: bool):
@@ -144,13 +169,13 @@ def _pieces(tokenizer: str, size: int, with_ids: bool):
 def knapsack(lengths: np.ndarray, prices: np.ndarray, size: int) -> np.ndarray:
     """Copies of each length in the configuration of highest price (any number of each)."""
     best, pick = np.zeros(size + 1), np.full(size + 1, -1)
-    fits = np.searchsorted(lengths, np.arange(size + 1), "right").tolist()
+    price = np.full(size + 1, -np.inf)
+    price[lengths] = prices
     for c in range(int(lengths[0]), size + 1):
-        k = fits[c]
-        v = best[c - lengths[:k]] + prices[:k]
-        j = int(v.argmax())
-        if v[j] > best[c - 1]:
-            best[c], pick[c] = v[j], j
+        v = best[:c][::-1] + price[1:c + 1]              # the piece of length k + 1 goes last
+        k = int(v.argmax())
+        if v[k] > best[c - 1]:
+            best[c], pick[c] = v[k], k + 1
         else:
             best[c] = best[c - 1]
     a, c = np.zeros(lengths.size, np.int64), size
@@ -158,8 +183,8 @@ def knapsack(lengths: np.ndarray, prices: np.ndarray, size: int) -> np.ndarray:
         if pick[c] < 0 or best[c] == best[c - 1]:
             c -= 1
             continue
-        a[pick[c]] += 1
-        c -= int(lengths[pick[c]])
+        a[np.searchsorted(lengths, pick[c])] += 1
+        c -= int(pick[c])
     return a
 
 
@@ -192,65 +217,77 @@ def fill(lengths: np.ndarray, left: np.ndarray, size: int) -> np.ndarray:
     return a
 
 
-def fractions(lengths: np.ndarray, counts: np.ndarray, size: int, epsilon: float = 0.2) -> tuple[dict[bytes, float], np.ndarray]:
+def fractions(lengths: np.ndarray, counts: np.ndarray, size: int, epsilon: float = 0.05,
+              rounds: int = 3) -> tuple[dict[bytes, float], np.ndarray]:
     """Multiplicative weights: amounts of configurations and how often they cover each length.
 
-    Each step prices a length by its weight over its count, takes the best configuration
-    until its scarcest length is covered once more, and lowers the weights of what it
-    covers.  The number of steps depends on the size and the number of lengths only."""
-    weight, covered = np.ones(lengths.size), np.zeros(lengths.size)
+    A length's price starts a little above the room it takes (so that full configurations
+    of long pieces, the hard ones, come first) and falls as the length is covered; each step
+    takes the best configuration until its scarcest length is covered once more, so no step
+    covers any length more than once.  It ends when every length is covered ``rounds`` times, at
+    the latest after two steps per length (the lengths bound it, not the counts); the amounts
+    are scaled by the least coverage."""
+    price, covered = (lengths / size) ** 1.1, np.zeros(lengths.size)
     amounts: dict[bytes, float] = {}
-    for _ in range(int(np.clip(600_000_000 // (size * lengths.size), 300, 3000))):
-        a = knapsack(lengths, weight / counts, size)
+    for _ in range(2 * lengths.size):
+        a = knapsack(lengths, price, size)
         used = a > 0
         step = float((counts[used] / a[used]).min())
         amounts[a.tobytes()] = amounts.get(a.tobytes(), 0.0) + step
         share = a * step / counts
         covered += share
-        weight *= np.exp(-epsilon * share)
-        weight /= weight.max()
-    return amounts, covered
+        price = price * np.exp(-epsilon * share)
+        price /= price.max()
+        if covered.min() >= rounds:
+            break
+    scale = max(1.0, float(covered.min()))
+    return {k: x / scale for k, x in amounts.items()}, covered / scale
 
 
-def rounded(lengths: np.ndarray, counts: np.ndarray, size: int, amounts, scale: float, gap: int) -> list[tuple[np.ndarray, int]]:
-    """Whole copies of the configurations with at most ``gap`` unused, the largest amounts
-    first; what they leave is filled by exact subset sums."""
-    left, out = counts.copy(), []
+def rounded(lengths: np.ndarray, counts: np.ndarray, size: int, amounts, gap: int, part: float = 1.0) -> tuple[list[tuple[np.ndarray, int]], int]:
+    """Whole copies (``part`` of the amounts rounded up, as far as pieces are left) of the
+    configurations with at most ``gap`` unused, the largest amounts first; what they leave is
+    filled by exact subset sums.  Also the number of sequences from the program."""
+    left, out, n = counts.copy(), [], 0
     for key, x in sorted(amounts.items(), key=lambda kv: (-kv[1], kv[0])):
         a = np.frombuffer(key, np.int64)
         used = a > 0
-        copies = int(min(x // scale, (left[used] // a[used]).min()))
+        copies = int(min(np.ceil(x * part), (left[used] // a[used]).min()))
         if copies > 0 and size - int(a @ lengths) <= gap:
             left -= a * copies
             out.append((a, copies))
+            n += copies
     while left.any():                                   # each turn uses up a length
         a = fill(lengths, left, size)
         used = a > 0
         copies = int((left[used] // a[used]).min())
         left -= a * copies
         out.append((a, copies))
-    return out
+    return out, n
 
 
 def solve(lengths: np.ndarray, counts: np.ndarray, size: int) -> list[tuple[np.ndarray, int]]:
-    """Configurations with their numbers of copies that use up all counts exactly: the best
-    of a few roundings of the fractional solution, the first that meets the lower bound."""
+    """Configurations with their numbers of copies that use up all counts exactly."""
+    return _solve(lengths, counts, size)[0]
+
+
+def _solve(lengths: np.ndarray, counts: np.ndarray, size: int) -> tuple[list[tuple[np.ndarray, int]], int, int]:
+    """(plan, sequences, sequences from the program): of the roundings (a small gap or none;
+    all of the amounts, or less so that the filler has more to choose from) the one with fewest
+    sequences, then with most from the program.  The subset-sum filler alone is the last
+    resort: the total never exceeds it."""
     order = np.argsort(lengths)
     lengths, counts = np.asarray(lengths, np.int64)[order], np.asarray(counts, np.int64)[order]
     if lengths.size == 0:
-        return []
-    least = max(-(-int(lengths @ counts) // size), int(counts[lengths > size // 2].sum()))
-    amounts, covered = fractions(lengths, counts, size)
-    best, n_best = [], None
-    for scale in sorted({max(1.0, float(np.median(covered))), max(1.0, float(covered.min()))}, reverse=True):
-        for gap in (size // 256, size):
-            out = rounded(lengths, counts, size, amounts, scale, gap)
-            n = sum(m for _, m in out)
-            if n_best is None or n < n_best:
-                best, n_best = out, n
-            if n_best <= least:
-                return _plan(lengths, best)
-    return _plan(lengths, best)
+        return [], 0, 0
+    amounts, _covered = fractions(lengths, counts, size)
+    best = None
+    for chosen, gap, part in ((amounts, size // 256, 1.0), (amounts, 0, 1.0), (amounts, 0, 0.8), (amounts, 0, 0.6), ({}, 0, 1.0)):
+        plan, n_program = rounded(lengths, counts, size, chosen, gap, part)
+        score = (sum(m for _, m in plan), -n_program)
+        if best is None or score < best[0]:
+            best = score, plan
+    return _plan(lengths, best[1]), best[0][0], -best[0][1]
 
 
 def _plan(lengths: np.ndarray, configs) -> list[tuple[np.ndarray, int]]:
