@@ -20,10 +20,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from missive.llm.common import drop_tables, key60, n_words_of, one_row_per_id, shared_table, sqrt_buckets
+from missive.operators.ordering import global_row_number
 
 LEVELS = 5          # bisection steps evaluated by one aggregate (2^5 - 1 candidates)
 ROUNDS = 6          # aggregates: 30 bisection steps in all
-PARTS = 1_000_000   # weights are whole millionths from here on: integer arithmetic only
+REST = 1e9          # remainders of quotas are compared in billionths of a token
 
 
 def source_shares(counts: DataFrame) -> DataFrame:
@@ -85,6 +86,19 @@ def mix_exponent(shares: DataFrame, budget: int | None, target_entropy: float |
     return lo if target_entropy is not None else hi
 
 
+def whole_quotas(shares: DataFrame, weight: Column, budget: int) -> DataFrame:
+    """Adds ``quota``: the budget dealt by weight in whole tokens, which sum to the budget.
+
+    Every source gets the whole part of its share; the tokens left go one each to the sources
+    with the largest remainders (ties by name).  Sources are ranked by range partitioning, so
+    their number has no bound."""
+    exact = weight * F.lit(float(budget))
+    q = shares.withColumn("quota", F.floor(exact).cast("long")).withColumn("rest", -F.floor((exact - F.floor(exact)) * F.lit(REST)).cast("long"))
+    left = budget - int(q.agg(F.coalesce(F.sum("quota"), F.lit(0)).alias("t")).first()["t"])
+    ranked = global_row_number(q, ["rest", "source"], out="nth")
+    return ranked.withColumn("quota", F.col("quota") + F.when(F.col("nth") <= left, 1).otherwise(0)).drop("rest", "nth")
+
+
 def mixture(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", *,
             tokens: Column | None = None, budget: int | None = None, target_entropy: float | None = None,
             max_epochs: float | None = None, cover: bool = False, block_tokens: int = 1 << 20,
@@ -113,9 +127,9 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     if cover:
         budget = math.ceil((r["need"] or 0.0) * norm)
     blocks = max(1, -(-budget // block_tokens))
-    quota = (F.floor(_power(exponent) / F.lit(norm) * F.lit(float(PARTS)) + F.lit(0.5)) * F.lit(budget) / F.lit(PARTS))
-    quota = F.greatest(quota, F.col("tokens")) if cover else quota
-    plan = shared_table(shares.where("tokens > 0").select("source", "tokens", F.floor(quota).cast("long").alias("quota")).where("quota > 0")
+    quota = F.greatest("quota", "tokens") if cover else F.col("quota")
+    plan = shared_table(whole_quotas(shares.where("tokens > 0"), _power(exponent) / F.lit(norm), budget)
+                        .select("source", "tokens", quota.alias("quota")).where("quota > 0")
                         .withColumn("epochs", F.ceil(F.col("quota") / F.col("tokens")).cast("long")), "mix-plan")
     uses = (counts.where("n_tokens > 0").join(plan.select("source", "epochs"), "source")
             .withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1))).drop("epochs")

@@ -65,10 +65,11 @@ bis(i, lo, hi) AS (
         FROM bis b WHERE i < 30)),
 expo AS (SELECT CASE WHEN NOT (SELECT f FROM flat WHERE a = 0) THEN 0.0::DOUBLE WHEN (SELECT f FROM flat WHERE a = 1) THEN 1.0::DOUBLE
                 ELSE (SELECT hi FROM bis WHERE i = 30) END AS a),
+exact AS (SELECT source, tokens, pow(share, (SELECT a FROM expo)) / (SELECT sum(pow(share, (SELECT a FROM expo))) FROM shares)
+                 * (SELECT budget FROM tot)::DOUBLE AS q FROM shares),
 plan AS (
-  SELECT source, tokens,
-         ((floor(pow(share, (SELECT a FROM expo)) / (SELECT sum(pow(share, (SELECT a FROM expo))) FROM shares) * 1000000.0 + 0.5)::BIGINT)::HUGEINT
-           * (SELECT budget FROM tot) // 1000000)::BIGINT AS quota FROM shares),
+  SELECT source, tokens, floor(q)::BIGINT + CASE WHEN row_number() OVER (ORDER BY floor((q - floor(q)) * 1e9) DESC, source)
+           <= (SELECT budget FROM tot) - sum(floor(q)::BIGINT) OVER () THEN 1 ELSE 0 END AS quota FROM exact),
 uses AS (
   SELECT doc_id, c.source, n_tokens, epoch, tokens, quota,
          ('0x' || substr(md5('42|' || epoch || '|' || doc_id), 1, 15))::BIGINT AS key

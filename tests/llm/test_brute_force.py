@@ -9,6 +9,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from data import WORDS, corpus, frame, words
 from missive.llm import near_dups, packing, quality_rules, substring_dedup, toxicity, url_filters
@@ -419,3 +421,30 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     packed = Counter(r["doc_id"] for r in after["packing"].where("piece = 0").collect())
     assert packed == mixed
     assert corpus_pipeline.run(spark, d).count() == after["packing"].count()
+
+
+@pytest.mark.parametrize("seed,times", [(1, 1), (2, 40)])
+def test_packing_comes_from_the_program_and_never_exceeds_the_filler(seed, times):
+    rng = np.random.default_rng(seed)
+    lengths, counts = np.unique(np.clip(rng.lognormal(4, 0.9, 900), 1, 512).astype(np.int64), return_counts=True)
+    counts = counts * times
+    plan, n, n_program = packing._solve(lengths, counts, 512)
+    used = {}
+    for config, copies in plan:
+        assert int((config[0] * config[1]).sum()) <= 512
+        for length, k in config.T.tolist():
+            used[length] = used.get(length, 0) + k * copies
+    assert used == dict(zip(lengths.tolist(), counts.tolist())) and n == sum(m for _, m in plan)
+    filler = sum(m for _, m in packing.rounded(lengths, counts, 512, {}, 0)[0])
+    assert n <= filler and 2 * n_program > n
+
+
+def test_no_source_vanishes_from_a_mixture(spark):
+    """Fifty-one sources of one token beside one of a million; a thousand equal ones on a short budget."""
+    from missive.llm.mixing import mixture
+    docs = spark.range(51).selectExpr("id AS doc_id", "concat('s', id) AS source", "1L AS n").unionByName(
+        spark.createDataFrame([(1000, "big", 1_000_000)], "doc_id long, source string, n long")).withColumn("text", F.lit("x"))
+    got = mixture(docs, tokens=F.col("n"), max_epochs=1.25)
+    assert got.select("source").distinct().count() == 52
+    even = spark.range(1000).selectExpr("id AS doc_id", "concat('s', id) AS source", "'x' AS text")
+    assert mixture(even, budget=300, max_epochs=1.25).count() == 300
