@@ -10,8 +10,8 @@ votes as a match can do with are then verified on the words of the texts themsel
 
 * a phrase must stand there word by word;
 * a notice must have at least ``SHARE`` of its words covered by its k-grams in the span; of
-  notices whose spans overlap, those with most covered words remain (the LGPL's notice holds
-  nearly all words of the GPL's).
+  notices whose spans overlap, those with most covered words remain, and of these the
+  shortest (the LGPL's notice holds nearly all words of the GPL's).
 
 The templates are a fixed list of some hundred k-grams, so they are broadcast; texts are
 joined again only where a span needs verifying.  A text's k-grams are exploded from arrays of
@@ -163,13 +163,14 @@ def license_spans(docs: DataFrame, temps: DataFrame | None = None) -> DataFrame:
     seen = spans.join(texts, ["id", "id2"]).select("id", "id2", F.explode(check(F.col("words"))).alias("s")).select("id", "id2", "s.*")
     seen = seen.where("NOT phrase OR covered > 0")
     seen = seen.withColumns({"share": F.col("covered") / F.col("size"), "found": F.col("phrase") | (F.col("covered") >= F.ceil(F.col("size") * SHARE))})
-    # regions of overlapping notices keep those with most covered words
+    # regions of overlapping notices keep those with most covered words, and of these the shortest
     by = Window.partitionBy("id", "id2", "phrase")
     reach = F.max("end").over(by.orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
     seen = seen.withColumn("new", F.coalesce((F.col("start") >= reach).cast("int"), F.lit(1)))
     seen = seen.withColumn("region", F.sum("new").over(by.orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)))
-    most = F.max("covered").over(Window.partitionBy("id", "id2", "phrase", "region"))
-    seen = seen.withColumn("most", most).withColumn("found", F.col("found") & (F.col("phrase") | (F.col("covered") == F.col("most"))))
+    rank = F.struct(F.col("covered"), -F.col("size"))
+    most = F.max(rank).over(Window.partitionBy("id", "id2", "phrase", "region"))
+    seen = seen.withColumn("most", most).withColumn("found", F.col("found") & (F.col("phrase") | (rank == F.col("most"))))
     return shared_table(seen.select("id", "id2", "label", "phrase", "start", "end", "share", "found"), "license-found", **ID_FILTER)
 
 

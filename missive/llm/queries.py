@@ -432,7 +432,7 @@ regions AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, phrase ORDER BY a, b
   SELECT *, CASE WHEN a < max(b) OVER (PARTITION BY doc_id, phrase ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh
   FROM seen WHERE NOT phrase OR covered > 0)),
 judged AS (SELECT *, covered::DOUBLE / size AS share,
-                  phrase OR (covered >= ceil(size * {SHARE}) AND covered = max(covered) OVER (PARTITION BY doc_id, phrase, region)) AS found FROM regions),
+                  phrase OR (covered >= ceil(size * {SHARE}) AND covered * 10000 - size = max(covered * 10000 - size) OVER (PARTITION BY doc_id, phrase, region)) AS found FROM regions),
 per AS (
   SELECT doc_id, count(*) FILTER (WHERE phrase) AS n_base, min(a) FILTER (WHERE phrase) AS first_word, max(a) FILTER (WHERE phrase) AS last_word,
          list_sort(list(DISTINCT label) FILTER (WHERE phrase)) AS base, list_sort(list(DISTINCT label) FILTER (WHERE found)) AS every, max(share) AS score
