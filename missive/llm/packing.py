@@ -137,9 +137,19 @@ class WordTokens:
         return [tokens[x:y].tobytes() for x, y in zip(cut, cut[1:])]
 
 
+_LOADED: dict[str, WordTokens] = {}
+
+
+def _loaded(path: str) -> WordTokens:
+    """One table of known words per Python worker, kept from task to task."""
+    if path not in _LOADED:
+        _LOADED[path] = WordTokens(path)
+    return _LOADED[path]
+
+
 def _pieces(tokenizer: str, size: int, with_ids: bool):
     def run(batches):
-        tokens = WordTokens(tokenizer)
+        tokens = _loaded(tokenizer)
         for batch in batches:
             texts = [(t or "").encode("utf-8") for t in batch.column(1).to_pylist()]
             ids = batch.column(0).to_pylist()
