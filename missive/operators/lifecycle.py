@@ -21,6 +21,7 @@ MAX_RETRIES = 3
 ZOMBIE_US = 5 * 60 * 1_000_000
 MINUTE_US = 60 * 1_000_000
 RATE_LIMIT_US = 10 * 1_000_000
+TERMINAL = ("delivered", "failed_permanently", "canceled")
 RANK = {"create": 0, "attempt": 1, "lock": 1, "limited": 2, "outcome": 2, "cancel": 3}
 
 
@@ -70,7 +71,12 @@ def apply_timers(s: dict, t: int, max_retries: int = MAX_RETRIES) -> None:
             s.update(status="pending", retry=s["retry"] + 1)
         else:
             s["status"] = "failed_permanently"
-        s.update(upd=s["upd"] + ZOMBIE_US, n=s["n"] + 1)
+        s.update(upd=s["upd"] + ZOMBIE_US, n=s["n"] + 1, zombies=s["zombies"] + 1)
+
+
+def new_row() -> dict:
+    """The state of an id nothing is known of."""
+    return {"status": None, "retry": 0, "next": None, "ext": None, "upd": None, "n": 0, "zombies": 0, "refusals": 0}
 
 
 def next_timer(s: dict):
@@ -111,7 +117,7 @@ def apply_event(s: dict, t: int, kind: str, http, mid, max_retries: int = MAX_RE
             _apply_outcome(s, t, http, mid, max_retries)
     elif kind == "limited":
         if st == "processing":
-            s.update(status="failed_retrying", next=t + RATE_LIMIT_US, upd=t, n=s["n"] + 1)
+            s.update(status="failed_retrying", next=t + RATE_LIMIT_US, upd=t, n=s["n"] + 1, refusals=s["refusals"] + 1)
     elif kind == "cancel":
         if st in ("pending", "failed_retrying"):
             s.update(status="canceled", upd=t, n=s["n"] + 1)
@@ -119,27 +125,25 @@ def apply_event(s: dict, t: int, kind: str, http, mid, max_retries: int = MAX_RE
 
 def lifecycle_fold(events: DataFrame, max_retries: int = MAX_RETRIES) -> DataFrame:
     """Per event, the row state after it: status, retry_count, next_retry_us,
-    external_id, updated_us and the number of transitions so far (``moves``)."""
-
-    def init():
-        return {"status": None, "retry": 0, "next": None, "ext": None, "upd": None, "n": 0}
+    external_id, updated_us, the number of transitions so far (``moves``) and of these the
+    zombie sweeps and the limiter's refusals."""
 
     def step(s, t, kind, http, mid):
         apply_event(s, t, kind, http, mid, max_retries)
-        return s["status"], s["retry"], s["next"], s["ext"], s["upd"], s["n"]
+        return s["status"], s["retry"], s["next"], s["ext"], s["upd"], s["n"], s["zombies"], s["refusals"]
 
     return stream_fold(events, ["id"], ["t", "rank", "attempt_no", "http_status", "message_id", "latency_s"],
-                       ["t", "kind", "http_status", "message_id"], init, step,
+                       ["t", "kind", "http_status", "message_id"], new_row, step,
                        [("status", "string"), ("retry_count", "int"), ("next_retry_us", "long"),
-                        ("external_id", "string"), ("updated_us", "long"), ("moves", "int")])
+                        ("external_id", "string"), ("updated_us", "long"), ("moves", "int"), ("zombies", "int"), ("refusals", "int")])
 
 
 def final_rows(folded: DataFrame) -> DataFrame:
     """The state after each id's last event (``max_by`` per id, partial aggregate)."""
-    last = F.max_by(F.struct("status", "retry_count", "next_retry_us", "external_id", "updated_us", "moves"),
+    last = F.max_by(F.struct("status", "retry_count", "next_retry_us", "external_id", "updated_us", "moves", "zombies", "refusals"),
                     F.struct("t", "rank", "attempt_no", F.coalesce("http_status", F.lit(-1)),
                              "message_id", "latency_s"))
     g = folded.groupBy("id").agg(last.alias("s"))
     ts = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
     return g.select("id", "s.status", "s.retry_count", ts(F.col("s.next_retry_us")).alias("next_retry_at"),
-                    "s.external_id", ts(F.col("s.updated_us")).alias("updated_at"), "s.moves")
+                    "s.external_id", ts(F.col("s.updated_us")).alias("updated_at"), "s.moves", "s.zombies", "s.refusals")

@@ -111,7 +111,7 @@ def stream_breaker(spark, sf):
 
 LIFECYCLE_DELAY_DAYS = 3650
 _FINAL_M10 = """SELECT id, status, CAST(retry AS INT) AS retry_count, make_timestamp(nxt) AS next_retry_at, ext AS external_id,
-  make_timestamp(upd) AS updated_at, CAST(n AS INT) AS moves
+  make_timestamp(upd) AS updated_at, CAST(n AS INT) AS moves, CAST(zombies AS INT) AS zombies, CAST(refusals AS INT) AS refusals
 FROM r QUALIFY en = max(en) OVER (PARTITION BY id)"""
 # the stream also fires the one timer that is due when the watermark (latest event time
 # minus the delay) passes it: a due retry is swept back to pending, a stuck row swept
@@ -120,7 +120,8 @@ _FINAL_STREAM = f"""SELECT id, CASE WHEN due_retry THEN 'pending' WHEN zombie TH
   CAST(CASE WHEN zombie AND retry < 3 THEN retry + 1 ELSE retry END AS INT) AS retry_count,
   make_timestamp(nxt) AS next_retry_at, ext AS external_id,
   make_timestamp(CASE WHEN due_retry THEN nxt WHEN zombie THEN upd + 300000000 ELSE upd END) AS updated_at,
-  CAST(n + CASE WHEN due_retry OR zombie THEN 1 ELSE 0 END AS INT) AS moves
+  CAST(n + CASE WHEN due_retry OR zombie THEN 1 ELSE 0 END AS INT) AS moves,
+  CAST(zombies + CASE WHEN zombie THEN 1 ELSE 0 END AS INT) AS zombies, CAST(refusals AS INT) AS refusals
 FROM (SELECT *, status = 'failed_retrying' AND nxt < wm - 1000 AS due_retry,
     status = 'processing' AND upd + 300000000 < wm - 1000 AS zombie
   FROM (SELECT *, (SELECT max(t) FROM ev) - CAST({LIFECYCLE_DELAY_DAYS} AS BIGINT) * 86400000000 AS wm
@@ -130,15 +131,14 @@ FROM (SELECT *, status = 'failed_retrying' AND nxt < wm - 1000 AS due_retry,
 @query("stream_lifecycle", LIFECYCLE_SQL.replace(_FINAL_M10, _FINAL_STREAM),
        ("notifications", "attempts", "cancel_requests"))
 def stream_lifecycle(spark, sf):
-    from missive.operators import lifecycle as LC
+    from missive.plans.transitions import worker_log
     known = D.notifications(spark, sf).select("id")          # static side of the semi join
     with streaming_tables("orders", "lineitem", "events"):
-        ev = LC.event_log(D.notifications(spark, sf), D.attempts(spark, sf), D.cancel_requests(spark, sf),
-                          known_ids=known)
+        ev = worker_log(spark, sf, known)
     out = X.run_to_parquet(X.lifecycle_stream(ev, f"{LIFECYCLE_DELAY_DAYS} days"), "lifecycle")
     r = spark.read.parquet(out)
     last = r.groupBy("id").agg(F.max_by(F.struct("status", "retry_count", "next_retry_us", "external_id",
-                                                 "updated_us", "moves"), F.col("moves")).alias("s"))
+                                                 "updated_us", "moves", "zombies", "refusals"), F.col("moves")).alias("s"))
     ts = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
     return last.select("id", "s.status", "s.retry_count", ts(F.col("s.next_retry_us")).alias("next_retry_at"),
-                       "s.external_id", ts(F.col("s.updated_us")).alias("updated_at"), "s.moves")
+                       "s.external_id", ts(F.col("s.updated_us")).alias("updated_at"), "s.moves", "s.zombies", "s.refusals")

@@ -142,35 +142,33 @@ _EVENTS_SQL = """SELECT id, t, rank, kind, http_status, message_id,
   SELECT id, epoch_us(created_at) AS t, 0 AS rank, 'create' AS kind, CAST(NULL AS INT) AS http_status,
     CAST(NULL AS VARCHAR) AS message_id, CAST(NULL AS INT) AS attempt_no, CAST(NULL AS DOUBLE) AS latency_s
   FROM notifications
-  UNION ALL SELECT id, epoch_us(attempt_ts), 1, 'attempt', http_status, message_id, attempt_no, latency_s FROM attempts
-  UNION ALL SELECT id, epoch_us(ts), 2, 'cancel', NULL, NULL, NULL, NULL FROM cancel_requests
+  UNION ALL SELECT id, epoch_us(attempt_ts), 1, 'lock', NULL, NULL, NULL, NULL FROM attempts WHERE id IN (SELECT id FROM notifications)
+  UNION ALL SELECT id, epoch_us(attempt_ts), 2, 'limited', NULL, NULL, NULL, NULL FROM attempts
+    WHERE id IN (SELECT id FROM notifications) AND CAST(round(latency_s * 10) AS INT) % 11 = 0
+  UNION ALL SELECT id, epoch_us(attempt_ts) + CAST(round(latency_s * 10) AS BIGINT) * 100000, 2, 'outcome', http_status, message_id, NULL, NULL
+    FROM attempts WHERE id IN (SELECT id FROM notifications)
+      AND CAST(round(latency_s * 10) AS INT) % 11 <> 0 AND CAST(round(latency_s * 10) AS INT) % 13 <> 0
+  UNION ALL SELECT id, epoch_us(ts), 3, 'cancel', NULL, NULL, NULL, NULL FROM cancel_requests
     WHERE id IN (SELECT id FROM notifications))"""
 
 _Z = "CAST(300000000 AS BIGINT)"
 LIFECYCLE_SQL = f"""WITH RECURSIVE ev AS ({_EVENTS_SQL}),
 r AS (
   SELECT id, CAST(0 AS BIGINT) AS en, CAST(NULL AS VARCHAR) AS status, 0 AS retry, CAST(NULL AS BIGINT) AS nxt,
-    CAST(NULL AS VARCHAR) AS ext, CAST(NULL AS BIGINT) AS upd, 0 AS n FROM (SELECT DISTINCT id FROM ev)
+    CAST(NULL AS VARCHAR) AS ext, CAST(NULL AS BIGINT) AS upd, 0 AS n, 0 AS zombies, 0 AS refusals FROM (SELECT DISTINCT id FROM ev)
   UNION ALL
   SELECT id, en,
-    CASE WHEN kind = 'create' AND s1 IS NULL THEN 'pending'
-         WHEN kind = 'attempt' AND s1 = 'pending' THEN
-           CASE WHEN oc = 'delivered' THEN 'delivered' WHEN oc = 'retriable' AND r1 + 1 < 3 THEN 'failed_retrying'
-                ELSE 'failed_permanently' END
-         WHEN kind = 'cancel' AND s1 IN ('pending', 'failed_retrying') THEN 'canceled' ELSE s1 END,
-    CASE WHEN kind = 'create' AND s1 IS NULL THEN 0
-         WHEN kind = 'attempt' AND s1 = 'pending' AND oc <> 'delivered' THEN r1 + 1 ELSE r1 END,
-    CASE WHEN kind = 'create' AND s1 IS NULL THEN NULL
-         WHEN kind = 'attempt' AND s1 = 'pending' AND oc = 'retriable' AND r1 + 1 < 3
-           THEN t + CAST(power(2, r1) AS BIGINT) * CAST(60000000 AS BIGINT)
-         WHEN kind = 'attempt' AND s1 = 'pending' AND oc <> 'delivered' THEN NULL ELSE nxt END,
-    CASE WHEN kind = 'create' AND s1 IS NULL THEN NULL
-         WHEN kind = 'attempt' AND s1 = 'pending' AND oc = 'delivered' THEN nullif(message_id, '') ELSE ext END,
-    CASE WHEN (kind = 'create' AND s1 IS NULL) OR (kind = 'attempt' AND s1 = 'pending')
-           OR (kind = 'cancel' AND s1 IN ('pending', 'failed_retrying')) THEN t ELSE u1 END,
-    n1 + CASE WHEN kind = 'create' AND s1 IS NULL THEN 1 WHEN kind = 'attempt' AND s1 = 'pending' THEN 2
-              WHEN kind = 'cancel' AND s1 IN ('pending', 'failed_retrying') THEN 1 ELSE 0 END
-  FROM (SELECT e.id, e.en, e.t, e.kind, e.message_id, r.ext, r.nxt,
+    CASE WHEN NOT go THEN s1 WHEN kind = 'create' THEN 'pending' WHEN kind = 'lock' THEN 'processing' WHEN kind = 'limited' THEN 'failed_retrying'
+         WHEN kind = 'cancel' THEN 'canceled' WHEN oc = 'delivered' THEN 'delivered'
+         WHEN oc = 'retriable' AND r1 + 1 < 3 THEN 'failed_retrying' ELSE 'failed_permanently' END,
+    CASE WHEN go AND kind = 'create' THEN 0 WHEN go AND kind = 'outcome' AND oc <> 'delivered' THEN r1 + 1 ELSE r1 END,
+    CASE WHEN NOT go OR kind IN ('lock', 'cancel') THEN nxt WHEN kind = 'create' THEN NULL WHEN kind = 'limited' THEN t + 10000000
+         WHEN oc = 'delivered' THEN nxt WHEN oc = 'retriable' AND r1 + 1 < 3 THEN t + CAST(power(2, r1) AS BIGINT) * CAST(60000000 AS BIGINT) END,
+    CASE WHEN go AND kind = 'create' THEN NULL WHEN go AND kind = 'outcome' AND oc = 'delivered' THEN nullif(message_id, '') ELSE ext END,
+    CASE WHEN go THEN t ELSE u1 END, n1 + CASE WHEN go THEN 1 ELSE 0 END, z1, refusals + CASE WHEN go AND kind = 'limited' THEN 1 ELSE 0 END
+  FROM (SELECT *, CASE kind WHEN 'create' THEN s1 IS NULL WHEN 'lock' THEN coalesce(s1 = 'pending', false)
+        WHEN 'cancel' THEN coalesce(s1 IN ('pending', 'failed_retrying'), false) ELSE coalesce(s1 = 'processing', false) END AS go
+   FROM (SELECT e.id, e.en, e.t, e.kind, e.message_id, r.ext, r.nxt, r.refusals,
       CASE WHEN e.http_status IS NULL OR e.http_status >= 500 OR e.http_status IN (429, 408) THEN 'retriable'
            WHEN e.http_status BETWEEN 200 AND 299 THEN 'delivered' ELSE 'permanent' END AS oc,
       CASE WHEN r.status = 'failed_retrying' AND r.nxt <= e.t THEN 'pending'
@@ -181,18 +179,29 @@ r AS (
       CASE WHEN r.status = 'failed_retrying' AND r.nxt <= e.t THEN r.nxt
            WHEN r.status = 'processing' AND r.upd < e.t - {_Z} THEN r.upd + {_Z} ELSE r.upd END AS u1,
       r.n + CASE WHEN (r.status = 'failed_retrying' AND r.nxt <= e.t)
-                   OR (r.status = 'processing' AND r.upd < e.t - {_Z}) THEN 1 ELSE 0 END AS n1
-    FROM r JOIN ev e ON e.id = r.id AND e.en = r.en + 1))
+                   OR (r.status = 'processing' AND r.upd < e.t - {_Z}) THEN 1 ELSE 0 END AS n1,
+      r.zombies + CASE WHEN r.status = 'processing' AND r.upd < e.t - {_Z} THEN 1 ELSE 0 END AS z1
+    FROM r JOIN ev e ON e.id = r.id AND e.en = r.en + 1)))
 SELECT id, status, CAST(retry AS INT) AS retry_count, make_timestamp(nxt) AS next_retry_at, ext AS external_id,
-  make_timestamp(upd) AS updated_at, CAST(n AS INT) AS moves
+  make_timestamp(upd) AS updated_at, CAST(n AS INT) AS moves, CAST(zombies AS INT) AS zombies, CAST(refusals AS INT) AS refusals
 FROM r QUALIFY en = max(en) OVER (PARTITION BY id)"""
 
 
+def worker_log(spark, sf, known=None):
+    """The event log of the derived tables: creations, locks, refusals, outcomes, cancels."""
+    from missive.operators import lifecycle as LC
+    locks, refusals, outcomes = D.worker_events(spark, sf)
+    none = D.attempts(spark, sf).where(F.lit(False))
+    return LC.event_log(D.notifications(spark, sf), none, D.cancel_requests(spark, sf), known_ids=known,
+                        locks=locks, refusals=refusals, outcomes=outcomes)
+
+
 @query("lifecycle_fold", LIFECYCLE_SQL, ("notifications", "attempts", "cancel_requests"))
 def lifecycle_fold(spark, sf):
+    """The final row of every notification, with how often the zombie sweep and the
+    limiter moved it."""
     from missive.operators import lifecycle as LC
-    ev = LC.event_log(D.notifications(spark, sf), D.attempts(spark, sf), D.cancel_requests(spark, sf))
-    return LC.final_rows(LC.lifecycle_fold(ev))
+    return LC.final_rows(LC.lifecycle_fold(worker_log(spark, sf)))
 
 
 @query("dual_write_outbox", f"""SELECT 'o-30000000-0000-4000-8000-' || lpad(CAST(seq AS VARCHAR), 12, '0') AS id,

@@ -172,6 +172,18 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def worker_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(locks, refusals, outcomes) of the worker: every attempt locks its row; by its latency
+    (tenths of a second) the limiter refuses it (multiples of 11), the worker dies with it and
+    leaves the lock (multiples of 13), or its outcome comes that much later."""
+    a = attempts(spark, sf_dir)
+    tenths = F.round(F.col("latency_s") * 10).cast("int")
+    later = F.col("attempt_ts") + F.make_dt_interval(secs=(tenths / 10).cast("decimal(18,6)"))
+    return (a.select("id", F.col("attempt_ts").alias("ts")),
+            a.where(tenths % 11 == 0).select("id", F.col("attempt_ts").alias("ts")),
+            a.where((tenths % 11 != 0) & (tenths % 13 != 0)).select("id", later.alias("ts"), "http_status", "message_id"))
+
+
 def offset_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consumed offsets per topic partition with out-of-order completion."""
     e = read_table(spark, sf_dir, "events")

@@ -316,20 +316,24 @@ def breaker_stream(calls: DataFrame, max_failures: int, window_s: int, open_s: i
 def lifecycle_stream(events: DataFrame, delay: str = "3650 days") -> DataFrame:
     """The M10 fold per notification with its row as keyed state; the next timer
     (retry due, or five minutes in processing) is an event-time timeout that applies
-    the sweep when the watermark passes it.  Emits the row after each batch."""
+    the sweep when the watermark passes it.  Emits the row after each batch.
+
+    A row in a terminal status (delivered, failed for good, canceled) is emitted for the last
+    time and its state removed, so the state holds live rows only; what comes later for its
+    id finds no row and moves nothing (ids are created once)."""
     from missive.operators import lifecycle as LC
     ship_package(events.sparkSession)
     d = events.withColumn("ets", F.timestamp_micros("t").cast("timestamp")).withWatermark("ets", delay)
     fields = [("status", T.StringType()), ("retry_count", T.IntegerType()), ("next_retry_us", T.LongType()),
-              ("external_id", T.StringType()), ("updated_us", T.LongType()), ("moves", T.IntegerType())]
+              ("external_id", T.StringType()), ("updated_us", T.LongType()), ("moves", T.IntegerType()),
+              ("zombies", T.IntegerType()), ("refusals", T.IntegerType())]
+    names = ("status", "retry", "next", "ext", "upd", "n", "zombies", "refusals")
     out_schema = T.StructType([T.StructField("id", T.StringType())] +
                               [T.StructField(n, t) for n, t in fields])
     state_schema = T.StructType([T.StructField(n, t) for n, t in fields])
-    order = ["t", "rank", "attempt_no", "http_status", "message_id", "latency_s"]
 
     def fn(k, it, state):
-        s = ({"status": None, "retry": 0, "next": None, "ext": None, "upd": None, "n": 0} if not state.exists
-             else dict(zip(("status", "retry", "next", "ext", "upd", "n"), state.get)))
+        s = dict(zip(names, state.get)) if state.exists else LC.new_row()
         if state.hasTimedOut:
             now = state.getCurrentWatermarkMs() * 1000
             LC.apply_timers(s, now)
@@ -343,13 +347,16 @@ def lifecycle_stream(events: DataFrame, delay: str = "3650 days") -> DataFrame:
                 rows.sort(key=lambda r: tuple((0, 0) if x is None or x != x else (1, x) for x in r[:6]))
             for t, _rank, _no, http, mid, _lat, kind in rows:
                 LC.apply_event(s, t, kind, http, mid)
-        state.update((s["status"], s["retry"], s["next"], s["ext"], s["upd"], s["n"]))
-        due = LC.next_timer(s)
-        if due is not None:
-            state.setTimeoutTimestamp(max(due // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"id": [k[0]], "status": [s["status"]], "retry_count": [s["retry"]],
-                            "next_retry_us": [s["next"]], "external_id": [s["ext"]],
-                            "updated_us": [s["upd"]], "moves": [s["n"]]})
+        if s["status"] in LC.TERMINAL:
+            if state.exists:
+                state.remove()
+        elif s["status"] is not None:
+            state.update(tuple(s[n] for n in names))
+            due = LC.next_timer(s)
+            if due is not None:
+                state.setTimeoutTimestamp(max(due // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        if s["status"] is not None:
+            yield pd.DataFrame({"id": [k[0]], **{f: [s[n]] for (f, _t), n in zip(fields, names)}})
 
     return d.groupBy("id").applyInPandasWithState(fn, out_schema, state_schema, "append",
                                                  GroupStateTimeout.EventTimeTimeout)

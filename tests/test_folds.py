@@ -224,11 +224,11 @@ def _split_events(spark):
                       locks=spark.createDataFrame([(i, sec(t)) for i, t in locks], at),
                       refusals=spark.createDataFrame([("b", sec(1))], at),
                       outcomes=spark.createDataFrame([(i, sec(t), h, m) for i, t, h, m in outcomes], at + ", http_status int, message_id string"))
-    want = {"a": ("processing", 1, None, None, sec(1200), 4),            # stuck, swept, locked again
-            "b": ("delivered", 0, sec(11), "m1", sec(13), 6),            # refused, swept after 10 s, delivered
-            "c": ("failed_permanently", 1, None, None, sec(3), 3),       # no cancel while processing
-            "d": ("failed_permanently", 3, None, None, sec(2100), 9),    # stuck four times
-            "e": ("pending", 1, None, None, sec(301), 3)}                # an outcome after the sweep is void
+    want = {"a": ("processing", 1, None, None, sec(1200), 4, 1, 0),            # stuck, swept, locked again
+            "b": ("delivered", 0, sec(11), "m1", sec(13), 6, 0, 1),            # refused, swept after 10 s, delivered
+            "c": ("failed_permanently", 1, None, None, sec(3), 3, 0, 0),       # no cancel while processing
+            "d": ("failed_permanently", 3, None, None, sec(2100), 9, 4, 0),    # stuck four times
+            "e": ("pending", 1, None, None, sec(301), 3, 1, 0)}                # an outcome after the sweep is void
     return ev, want
 
 

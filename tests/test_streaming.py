@@ -82,3 +82,29 @@ def test_stream_token_bucket_equals_batch_over_micro_batches(spark, tmp_path):
     batch = L.limit_token_bucket(spark.read.parquet(src), "key", "ts", "req_id", "weight", 10, 1 / 36_000)
     want = {r["req_id"]: (r["allowed"], round(r["tokens_left"], 6)) for r in batch.collect()}
     assert got == want and len(got) == 600 and {a for a, _ in got.values()} == {True, False}
+
+
+def test_lifecycle_state_holds_live_rows_only(spark, tmp_path):
+    """Two files, one per micro-batch: rows that reach a terminal status leave the state."""
+    import datetime as dt
+    from missive.operators import lifecycle as LC
+    t0 = dt.datetime(2024, 1, 1)
+    sec = lambda x: t0 + dt.timedelta(seconds=x)
+    made = spark.createDataFrame([(i, t0) for i in "abc"], "id string, created_at timestamp_ntz")
+    none = spark.createDataFrame([], "id string, attempt_ts timestamp_ntz, http_status int, message_id string, attempt_no int, latency_s double")
+    locks = spark.createDataFrame([(i, sec(1)) for i in "abc"], "id string, ts timestamp_ntz")
+    done = spark.createDataFrame([("a", sec(2), 200, "m"), ("b", sec(2), 400, "")], "id string, ts timestamp_ntz, http_status int, message_id string")
+    log = LC.event_log(made, none, none.selectExpr("id", "attempt_ts AS ts"), locks=locks, outcomes=done)
+    src = str(tmp_path / "log")
+    log.where("kind <> 'outcome'").coalesce(1).write.parquet(src)
+    log.where("kind = 'outcome'").coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = X.lifecycle_stream(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+        "checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    rows = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert rows[0] == 3 and rows[-1] == 1
+    last = {}
+    for r in spark.read.parquet(str(tmp_path / "out")).orderBy("moves").collect():
+        last[r["id"]] = r["status"]
+    assert last == {"a": "delivered", "b": "failed_permanently", "c": "processing"}
