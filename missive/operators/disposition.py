@@ -10,6 +10,8 @@ locked messages), B1 + J8 (breaker replay over webhook calls, as-of lookup) and
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,11 +20,12 @@ from missive.operators import joins as J
 from missive.operators import limits as L
 from missive.operators.projections import classify_http
 from missive.operators.transitions import MAX_RETRIES, latest_outcome
-from missive.session import materialize
+from missive.session import ensure_checkpoint_dir, materialize
 
 # Fixed values of the worker (limits per channel, breaker settings).
 CHANNEL_LIMIT, CHANNEL_WINDOW_MS = 100, 1000
 BREAKER_NAME = "webhook_main"
+DLQ_TOPIC = "notifications-dlq"
 BREAKER_MAX, BREAKER_WINDOW_S, BREAKER_OPEN_S = 10, 10, 30
 
 
@@ -93,3 +96,21 @@ def disposition(messages: DataFrame, snapshot: DataFrame, cancels: DataFrame,
             .when(F.col("outcome") == "delivered", "delivered")
             .otherwise("dlq_permanent"))
     return m.select("msg_id", "nid", disp.alias("disposition"))
+
+
+def dead_letters(decided: DataFrame, messages: DataFrame) -> DataFrame:
+    """msg_id, reason, topic, key, value of the messages that ``disposition`` sends to the
+    dead letter topic; ``messages``: (msg_id, payload).  Value: the message as it came; key:
+    the notification id, none when the payload did not parse."""
+    dead = decided.where(F.col("disposition").startswith("dlq"))
+    key = F.when(F.col("disposition") != "dlq_unparsable", F.encode("nid", "UTF-8"))
+    return dead.join(messages.select("msg_id", "payload"), "msg_id").select(
+        "msg_id", F.col("disposition").alias("reason"), F.lit(DLQ_TOPIC).alias("topic"), key.alias("key"),
+        F.encode("payload", "UTF-8").alias("value"))
+
+
+def write_dead_letters(decided: DataFrame, messages: DataFrame) -> str:
+    """``dead_letters`` as files under the shared folder, one folder per topic."""
+    path = f"{ensure_checkpoint_dir(decided.sparkSession).rstrip('/')}/tables/dead-letters-{uuid.uuid4().hex[:12]}"
+    dead_letters(decided, messages).write.partitionBy("topic").parquet(path)
+    return path

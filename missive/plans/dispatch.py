@@ -74,14 +74,17 @@ def disposition(spark, sf):
 
 
 @query("dlq_split", breaker_sql(_CALLS, DS.BREAKER_MAX, DS.BREAKER_WINDOW_S, DS.BREAKER_OPEN_S,
-                                final=_FINAL.replace("SELECT msg_id, nid, disposition FROM (",
-                                                     "SELECT disposition, count(*) AS n FROM (", 1)
-                                + " WHERE disposition LIKE 'dlq%' GROUP BY disposition"),
+                                final=f"""SELECT f.msg_id, f.disposition AS reason, CASE WHEN f.disposition <> 'dlq_unparsable' THEN f.nid END AS key, o.payload AS value
+  FROM ({_FINAL}) f JOIN outbox o ON o.id = f.msg_id WHERE f.disposition LIKE 'dlq%'"""),
        ("outbox", "notifications", "attempts", "cancel_requests"))
 def dlq_split(spark, sf):
-    """S7 / X8 batch form: the DLQ side of the disposition, counted by reason."""
-    d = disposition(spark, sf)
-    return d.where(F.col("disposition").startswith("dlq")).groupBy("disposition").agg(F.count(F.lit(1)).alias("n"))
+    """What goes to the dead letter topic, from all three sites: the message's bytes under
+    its notification id, unparsable ones without a key.  Written once, by topic, as the broker's
+    (topic, key, value) bytes and read back."""
+    messages = D.outbox(spark, sf).select(F.col("id").alias("msg_id"), "payload")
+    path = DS.write_dead_letters(disposition(spark, sf), messages)
+    return spark.read.parquet(path).where(F.col("topic") == DS.DLQ_TOPIC).select(
+        "msg_id", "reason", F.decode("key", "UTF-8").alias("key"), F.decode("value", "UTF-8").alias("value"))
 
 
 @query("webhook_calls", breaker_sql(_CALLS, DS.BREAKER_MAX, DS.BREAKER_WINDOW_S, DS.BREAKER_OPEN_S,

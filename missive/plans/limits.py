@@ -149,6 +149,16 @@ def breaker_intervals(spark, sf):
     return B.breaker_intervals(_replay(spark, sf), open_s=BREAKER["open_s"])
 
 
+@query("breaker_downtime", _breaker_final(
+    f"""SELECT name, count(*) AS trips, CAST(count(*) * {BREAKER['open_s']} AS BIGINT) AS downtime_s, max(ts) AS last_opened_at
+  FROM rep WHERE tripped GROUP BY name"""), ("calls",))
+def breaker_downtime(spark, sf):
+    """B2: how often and how long every breaker was open (its intervals never overlap)."""
+    i = B.breaker_intervals(_replay(spark, sf), open_s=BREAKER["open_s"])
+    seconds = F.unix_seconds(F.col("closes_at").cast("timestamp")) - F.unix_seconds(F.col("opened_at").cast("timestamp"))
+    return i.groupBy("name").agg(F.count(F.lit(1)).alias("trips"), F.sum(seconds).alias("downtime_s"), F.max("opened_at").alias("last_opened_at"))
+
+
 @query("breaker_trips", _breaker_final("SELECT count(*) AS value FROM rep WHERE tripped"), ("calls",))
 def breaker_trips(spark, sf):
     """closed/half-open -> open edges."""

@@ -91,7 +91,8 @@ SELECT CASE event_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'normal' ELSE 'low' END
   CAST(floor(event_id / 9) AS BIGINT) AS "offset",
   ts AS tracked_at,
   CAST(CASE WHEN event_id % 997 <> 0 THEN event_id + floor(value) END AS BIGINT) AS done_rank,
-  CASE WHEN event_id % 997 <> 0 THEN ts + to_seconds(CAST(floor(value) AS BIGINT)) END AS done_at
+  CASE WHEN event_id % 997 <> 0 THEN ts + to_seconds(CAST(floor(value) AS BIGINT)) END AS done_at,
+  CASE WHEN event_id % 499 <> 0 THEN ts + to_seconds(CAST(floor(value / 4) AS BIGINT)) END AS picked_at
 FROM events"""
 
 VIEWS["calls"] = """

@@ -41,7 +41,8 @@ def stream_dual_write(spark, sf):
 
 
 _ROUTED = """SELECT id, CASE coalesce(payload ->> '$.priority', '') WHEN 'high' THEN 'notifications-high'
-  WHEN 'low' THEN 'notifications-low' ELSE 'notifications-normal' END AS topic FROM outbox
+  WHEN 'low' THEN 'notifications-low' ELSE 'notifications-normal' END AS topic,
+  coalesce(payload ->> '$.recipient', '') AS key, payload AS value FROM outbox
 WHERE {cond} AND NOT __POISON__"""
 
 
@@ -50,7 +51,7 @@ def stream_route(spark, sf):
     with streaming_tables("orders"):
         box = D.outbox(spark, sf)
     out = X.route(box)
-    return spark.read.parquet(out).select("id", "topic")
+    return spark.read.parquet(out).select("id", "topic", F.decode("key", "UTF-8").alias("key"), F.decode("value", "UTF-8").alias("value"))
 
 
 @query("stream_dlq", "SELECT id FROM outbox WHERE __POISON__", ("outbox",))
@@ -72,6 +73,19 @@ def stream_cancel_join(spark, sf):
     return spark.read.parquet(out).select("msg_id", "id", "ts")
 
 
+@query("stream_cancel_streams", """SELECT msg_id, id, ts FROM messages m WHERE ts < (
+    SELECT least((SELECT max(ts) FROM messages), (SELECT max(cancel_ts) FROM cancels)) - INTERVAL 1 HOUR) AND NOT EXISTS (
+  SELECT 1 FROM cancels c WHERE c.id = m.id AND c.cancel_ts <= m.ts AND m.ts < c.cancel_ts + INTERVAL 24 HOUR)""",
+       ("messages", "cancels"))
+def stream_cancel_streams(spark, sf):
+    """X6, both sides streamed: the messages the final watermark has passed (the earlier of the
+    two last event times, less the delay) that carry no live cancel flag."""
+    with streaming_tables("events"):
+        msgs, cancels = D.messages(spark, sf), D.cancels(spark, sf)
+    out = X.run_to_parquet(X.cancel_join_stream_stream(msgs, cancels, "1 hour"), "cancel_streams")
+    return spark.read.parquet(out).select("msg_id", "id", "ts")
+
+
 @query("stream_metrics", """SELECT date_trunc('minute', ts) AS window_start, method, route, count(*) AS value
 FROM api_log GROUP BY ALL""", ("api_log",))
 def stream_metrics(spark, sf):

@@ -47,12 +47,12 @@ def gauge_over_time(spark, sf):
     return _gauge(spark, sf)
 
 
-def _gauge(spark, sf):
+def _gauge(spark, sf, end="done_at"):
     o = D.offset_log(spark, sf)
-    # +1 when a message is taken, -1 when it is done; at equal time the +1 sorts first
+    # +1 when a message is taken, -1 at its end; at equal time the +1 sorts first
     ev = (o.select("topic", F.col("tracked_at").alias("ts"), F.lit(1).alias("delta"))
-          .unionByName(o.where(F.col("done_at").isNotNull())
-                       .select("topic", F.col("done_at").alias("ts"), F.lit(-1).alias("delta"))))
+          .unionByName(o.where(F.col(end).isNotNull())
+                       .select("topic", F.col(end).alias("ts"), F.lit(-1).alias("delta"))))
     res = R.binned_running(ev, ["topic"], [F.col("ts"), F.col("delta").desc()],
                            F.date_trunc("hour", F.col("ts")), F.col("delta"), "sum", "gauge")
     return res.select("topic", "ts", "delta", F.col("gauge").cast("bigint").alias("gauge"))
@@ -68,12 +68,19 @@ def active_workers(spark, sf):
                                   F.max_by("gauge", F.struct("ts", (-F.col("delta")).alias("d"))).alias("last_value"))
 
 
-@query("inflight", """SELECT topic, CAST(count(*) - count(done_at) AS BIGINT) AS value FROM offset_log GROUP BY topic""",
-       ("offset_log",))
+_INFLIGHT_SQL = """(SELECT topic, tracked_at AS ts, 1 AS delta FROM offset_log
+  UNION ALL SELECT topic, picked_at, -1 FROM offset_log WHERE picked_at IS NOT NULL)"""
+
+
+@query("inflight", f"""SELECT topic, CAST(max(gauge) AS BIGINT) AS peak, CAST(arg_max(gauge, (ts, -delta)) AS BIGINT) AS value FROM (
+  SELECT topic, ts, delta, sum(delta) OVER (PARTITION BY topic ORDER BY ts, delta DESC
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS gauge FROM {_INFLIGHT_SQL}) GROUP BY topic""", ("offset_log",))
 def inflight(spark, sf):
-    """Messages taken but not finished, per topic (final value of the gauge)."""
-    o = D.offset_log(spark, sf)
-    return o.groupBy("topic").agg((F.count(F.lit(1)) - F.count("done_at")).alias("value"))
+    """The gauge rises when a message is fetched and falls when a worker picks it up;
+    its peak and final value per topic."""
+    g = _gauge(spark, sf, "picked_at")
+    return g.groupBy("topic").agg(F.max("gauge").alias("peak"),
+                                  F.max_by("gauge", F.struct("ts", (-F.col("delta")).alias("d"))).alias("value"))
 
 
 _RELAY_SQL = """(SELECT id, payload, row_number() OVER (ORDER BY created_at, id) AS rn FROM outbox WHERE status = 'pending')"""

@@ -197,6 +197,8 @@ def offset_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(done, eid + F.floor(F.col("value"))).cast("bigint").alias("done_rank"),
         F.when(done, F.col("ts") + F.make_dt_interval(secs=F.floor(F.col("value")).cast("int")))
          .alias("done_at"),
+        F.when(eid % 499 != 0, F.col("ts") + F.make_dt_interval(secs=F.floor(F.col("value") / 4).cast("int")))
+         .alias("picked_at"),
     )
 
 
