@@ -22,14 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from missive.llm.common import arrow_rows, hash_sample, shared_table
+from missive.llm.common import arrow_rows, shared_table
 from missive.llm.words import slices
 from missive.session import ship_package
 
-SAMPLE = 1500        # training texts per language at most
+SAMPLE = 1500        # training texts per language, about
 MOST = 512           # declared languages at most (256 KB of table each in every task); more raise an error
 BUCKETS = 1 << 16
-CUT = 4096           # bytes of each training text that are counted (the sample is bounded; scoring is not)
 STRENGTH = 20.0      # rows of pseudo-counts a parent level lends to its child
 UNKNOWN = "und"
 
@@ -51,19 +50,38 @@ def trigrams(buf: np.ndarray) -> np.ndarray:
 
 def train(texts: list[str], langs: list[str]) -> tuple[list[str], np.ndarray]:
     """(languages, log-likelihood table [bucket, language + background])."""
-    return _tables((name, [t for t, x in zip(texts, langs) if x == name]) for name in sorted(set(langs)))
-
-
-def _tables(samples) -> tuple[list[str], np.ndarray]:
-    """``train`` from (language, its texts) pairs; only one language's texts are held at a time."""
-    names, logs, seen = [], [], np.zeros(BUCKETS)
-    for name, texts in samples:
-        counts = np.zeros(BUCKETS)
-        for text in texts:
-            counts += np.bincount(trigrams(np.frombuffer((text or "").encode()[:CUT], np.uint8)), minlength=BUCKETS)
-        names.append(name)
-        logs.append(np.log((counts + 0.2) / (counts.sum() + 0.2 * BUCKETS)).astype(np.float32))
-        seen += counts
+    counts: dict[str, np.ndarray] = {}
+    for text, lang in zip(texts, langs):
+        _count(counts, lang, np.frombuffer((text or "").encode(), np.uint8))
+    return _tables(counts)
+
+
+def _count(counts: dict[str, np.ndarray], lang: str, buf: np.ndarray) -> None:
+    own = counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
+    own += np.bincount(trigrams(buf), minlength=BUCKETS)
+
+
+def _count_batches(batches):
+    """(language, text) to the trigram counts of this task: (lang, bucket, n)."""
+    counts: dict[str, np.ndarray] = {}
+    for b in batches:
+        langs = b.column(0).to_pylist()
+        for i, j, buf, off in slices(b.column(1)):
+            for k in range(i, j):
+                _count(counts, langs[k], buf[off[k - i]:off[k - i + 1]])
+    for lang, own in counts.items():
+        at = np.flatnonzero(own)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * at.size, pa.string()), pa.array(at.astype(np.int32)), pa.array(own[at])],
+                                         names=["lang", "bucket", "n"])
+
+
+def _tables(counts: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray]:
+    """Log-likelihoods of every language's trigram counts, and the background's."""
+    names, logs, seen = sorted(counts), [], np.zeros(BUCKETS)
+    for name in names:
+        own = counts[name].astype(np.float64)
+        logs.append(np.log((own + 0.2) / (own.sum() + 0.2 * BUCKETS)).astype(np.float32))
+        seen += own
     seen += 0.2
     flat = np.log((seen ** 0.25) / (seen ** 0.25).sum())          # background: nearly flat over trigrams
     return names, np.stack([*logs, flat.astype(np.float32)]).T
@@ -104,19 +122,28 @@ def _text_evidence(table: np.ndarray, with_text: bool):
 
 def fit_languages(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_language: int = SAMPLE,
                   usable: Column | None = None, most_languages: int = MOST):
-    """Train every language of ``lang_col`` on at most ``per_language`` labelled texts (smallest
-    id hashes), one scan per language.  More than ``most_languages`` raise an error: none is left out."""
+    """Train every language of ``lang_col`` on about ``per_language`` labelled texts, whole (those
+    whose id hash lies in the share of its rows that gives as many), in one scan for all
+    languages.  Tasks count trigrams; at most 65,536 counts per language reach the driver.
+    More than ``most_languages`` raise an error: none is left out."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows if usable is None else rows.where(usable)
     langs = rows.groupBy(lang_col).count().limit(most_languages + 1).collect()
     if len(langs) > most_languages:
         raise ValueError(f"{lang_col} declares more than {most_languages} languages: pass a larger most_languages, or clean the column")
-
-    def picked(lang, n):
-        own = rows.where(F.col(lang_col) == lang).select(F.col(id_col).alias("i"), F.substring(text_col, 1, CUT).alias("t"))
-        return [r["t"] for r in hash_sample(own, "i", n, per_language).collect()]
-    samples = ((lang, picked(lang, n)) for lang, n in sorted((r[0], r[1]) for r in langs))
-    return _tables(samples) if langs else ([], np.zeros((BUCKETS, 1), np.float32))
+    if not langs:
+        return [], np.zeros((BUCKETS, 1), np.float32)
+    ship_package(docs.sparkSession)
+    upto = F.create_map(*[x for r in langs for x in (F.lit(r[0]), F.lit(int(min(1.0, per_language / r[1]) * (1 << 30)) * (1 << 33) - 1))])
+    h = F.xxhash64(F.col(id_col).cast("long")).bitwiseAND(F.lit((1 << 63) - 1))
+    picked = rows.where(h <= F.try_element_at(upto, F.col(lang_col)))
+    counts = picked.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(_count_batches, "lang string, bucket int, n long")
+    found = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("c")).collect()
+    tables = {r[0]: np.zeros(BUCKETS, np.int64) for r in langs}
+    for r in found:
+        for bucket, n in r["c"]:
+            tables[r["lang"]][bucket] = n
+    return _tables(tables)
 
 
 def identify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", declared: Column | None = None,
