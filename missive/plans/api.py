@@ -101,12 +101,16 @@ UNION ALL SELECT 'channel_sliding', CAST({_CHANNEL_SQL} AS BIGINT)"""
 def rate_limit_hits(spark, sf):
     """Refusals per limiter: API flood guard (sliding log per client address), API token
     bucket (single requests and batches), worker channel limiter."""
+    return hits(spark, sf, AC.quota(decoded(spark, sf).calls, API_CAPACITY, API_RATE), disposition(spark, sf))
+
+
+def hits(spark, sf, verdicts, decided):
+    """Refusals per limiter, from the bucket's verdicts and the worker's dispositions."""
     reqs = D.requests(spark, sf)
     ip = client_ip(F.col("xff"), F.lit(""))
     flood = L.limit_sliding(reqs.select("seq", "arrival_ts", ip.alias("ip")), "ip", "arrival_ts", "seq", FLOOD_LIMIT, FLOOD_WINDOW_MS)
-    refused = [("global_flood", flood.where("NOT allowed")),
-               ("token_bucket", AC.quota(decoded(spark, sf).calls, API_CAPACITY, API_RATE).where("NOT allowed")),
-               ("channel_sliding", disposition(spark, sf).where("disposition = 'retry_limited'"))]
+    refused = [("global_flood", flood.where("NOT allowed")), ("token_bucket", verdicts.where("NOT allowed")),
+               ("channel_sliding", decided.where("disposition = 'retry_limited'"))]
     out = None
     for name, rows in refused:
         n = rows.agg(F.count(F.lit(1)).alias("value")).select(F.lit(name).alias("limiter_type"), "value")

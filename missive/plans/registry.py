@@ -45,4 +45,4 @@ def sql_trim(expr: str) -> str:
 def load_all() -> None:
     """Import every plan module so its queries register."""
     from missive.plans import (validation, listing, joins, metrics, windows,  # noqa: F401
-                               transitions, limits, audits, streams, dispatch, sources, api)
+                               transitions, limits, audits, streams, dispatch, sources, api, exposition)

@@ -1,4 +1,4 @@
-"""Source/sink and export queries (S5, S10, S11) and B3."""
+"""Source queries (S5, S10) and B3."""
 
 from __future__ import annotations
 
@@ -11,8 +11,6 @@ from missive.plans.limits import BREAKER
 from missive.plans.registry import query
 from missive.sources import derived as D
 from missive.sources.tables import read_table
-from missive.operators import metrics as A
-from missive.plans.metrics import _hist_sql
 
 # --------------------------------------------------------------------------- S10
 _GEN_SQL = """SELECT event_id AS seq,
@@ -114,60 +112,3 @@ def breaker_concurrent(spark, sf):
     a probe is in flight)."""
     c = D.timed_calls(spark, sf)
     return B.breaker_concurrent(c, **BREAKER).select("call_id", "name", "verdict", "executed", "tripped")
-
-
-# --------------------------------------------------------------------------- S11
-def _labels(*pairs):
-    """Exposition-style label text: k="v" pairs joined by commas, keys in order."""
-    parts = []
-    for i, (k, c) in enumerate(pairs):
-        if i:
-            parts.append(F.lit(","))
-        parts += [F.lit(f'{k}="'), F.col(c), F.lit('"')]
-    return F.concat(*parts) if parts else F.lit("")
-
-
-_HTTP_LABELS = "'method=\"' || method || '\",route=\"' || route || '\"'"
-
-
-@query("metrics_export", f"""SELECT '{A.METRIC_HTTP_REQUESTS}' AS metric,
-  'method="' || method || '",route="' || route || '",status_code="' || status_code || '"' AS labels,
-  CAST(count(*) AS DOUBLE) AS value FROM api_log GROUP BY method, route, status_code
-UNION ALL SELECT '{A.METRIC_HTTP_DURATION}_bucket', 'method="' || method || '",route="' || route || '",le="' || le || '"',
-  CAST(bucket_count AS DOUBLE) FROM ({_hist_sql("api_log", ["method", "route"], "latency_s", A.API_LATENCY_BUCKETS)})
-UNION ALL SELECT '{A.METRIC_HTTP_DURATION}_sum', {_HTTP_LABELS}, round(sum(latency_s), 6) FROM api_log GROUP BY method, route
-UNION ALL SELECT '{A.METRIC_HTTP_DURATION}_count', {_HTTP_LABELS}, CAST(count(*) AS DOUBLE) FROM api_log GROUP BY method, route
-UNION ALL SELECT '{A.METRIC_OUTBOX_DEPTH}', '', CAST(count(*) AS DOUBLE) FROM outbox WHERE status = 'pending'
-UNION ALL SELECT '{A.METRIC_ZOMBIES}', '', CAST(count(*) AS DOUBLE) FROM notifications
-  WHERE status = 'processing' AND updated_at < TIMESTAMP '1998-06-01 00:00:00' - INTERVAL 5 MINUTE AND retry_count < 3""",
-       ("api_log", "outbox", "notifications"))
-def metrics_export(spark, sf):
-    """Metrics as exposition samples (metric, labels, value), one union of the
-    per-metric aggregates (each a partial/final hash aggregate)."""
-    from missive.operators import transitions as M
-    log = D.api_log(spark, sf)
-    req = A.counter(log, ["method", "route", "status_code"]).select(
-        F.lit(A.METRIC_HTTP_REQUESTS).alias("metric"),
-        _labels(("method", "method"), ("route", "route"), ("status_code", "status_code")).alias("labels"),
-        F.col("value").cast("double").alias("value"))
-    h = A.histogram(log, ["method", "route"], "latency_s", A.API_LATENCY_BUCKETS)
-    buckets = h.select(F.lit(A.METRIC_HTTP_DURATION + "_bucket").alias("metric"),
-                       _labels(("method", "method"), ("route", "route"), ("le", "le")).alias("labels"),
-                       F.col("bucket_count").cast("double").alias("value"))
-    series = h.where(F.col("le") == "+Inf")
-    sums = series.select(F.lit(A.METRIC_HTTP_DURATION + "_sum").alias("metric"),
-                         _labels(("method", "method"), ("route", "route")).alias("labels"),
-                         F.col("sum").alias("value"))
-    counts = series.select(F.lit(A.METRIC_HTTP_DURATION + "_count").alias("metric"),
-                           _labels(("method", "method"), ("route", "route")).alias("labels"),
-                           F.col("count").cast("double").alias("value"))
-    depth = A.counter(D.outbox(spark, sf).where(F.col("status") == "pending"), []).select(
-        F.lit(A.METRIC_OUTBOX_DEPTH).alias("metric"), F.lit("").alias("labels"),
-        F.col("value").cast("double").alias("value"))
-    _new, z = M.sweep_zombies(D.notifications(spark, sf), D.AS_OF)
-    zomb = A.counter(z, []).select(F.lit(A.METRIC_ZOMBIES).alias("metric"),
-                                   F.lit("").alias("labels"), F.col("value").cast("double").alias("value"))
-    out = req
-    for p in (buckets, sums, counts, depth, zomb):
-        out = out.unionByName(p)
-    return out

@@ -168,6 +168,16 @@ def windowed_counts(events: DataFrame, ts: str, labels: list[str], width: str =
     return run_foreach_batch(flat, name, fn, mode="update")
 
 
+def windowed_samples(all_facts: DataFrame, slots: int, width: str = "1 hour", delay: str = "1 hour", name: str = "samples") -> str:
+    """Every metric per tumbling window from one keyed state: facts of ``exposition.facts``
+    (with ``ts``) grouped by (window, metric, labels), the bucket counts of histograms beside
+    their sums.  Update mode, each batch's changed groups tagged with the batch id."""
+    from missive.operators.exposition import buffers
+    g = all_facts.withWatermark("ts", delay).groupBy(F.window("ts", width).alias("w"), "metric", "labels").agg(*buffers(slots))
+    flat = g.select(F.col("w.start").alias("window_start"), *[c for c in g.columns if c != "w"])
+    return run_foreach_batch(flat, name, lambda batch, batch_id, out: _write_batch(batch, out, batch_id), mode="update")
+
+
 def latest_per_key(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """Read an update-mode output and keep the last value written per key."""
     df = spark.read.parquet(path)
