@@ -1,13 +1,14 @@
 """Plan-shape checks over every registered batch query: nothing funnels the data into one
 task.  A single-partition exchange may only feed a global aggregate (one row per
-partition after the partial step) or the small bin tables of the binned helpers."""
+partition after the partial step) or the small tables of the ordering helpers: one row per
+bin of time, or one per partition (``_pid``, the counts behind global row numbers)."""
 
 import re
 
 from tables_dir import SF_SMALL
 from missive.plans import registry
 
-ALLOWED_PARENT = re.compile(r"HashAggregate\(keys=\[\]|ObjectHashAggregate\(keys=\[\]|Sort \[_b(in)?#")
+ALLOWED_PARENT = re.compile(r"HashAggregate\(keys=\[\]|ObjectHashAggregate\(keys=\[\]|Sort \[_(b(in)?|pid)#")
 
 
 def test_no_single_partition_funnels(spark):
