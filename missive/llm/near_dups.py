@@ -98,13 +98,15 @@ def linked_pairs(ids, sets, blocks, home: tuple[int, int], percent: int):
     tested again; the others meet through an index of their shingles.
     """
     m = len(ids)
-    root = np.arange(m)
+    part = np.arange(m)                        # part of each set; a join renames the smaller one
+    held = np.ones(m, np.int64)
 
-    def find(a):
-        while root[a] != a:
-            root[a] = root[root[a]]
-            a = root[a]
-        return a
+    def join(a, b):
+        a, b = part[a], part[b]
+        if held[a] < held[b]:
+            a, b = b, a
+        part[part == b] = a
+        held[a] += held[b]
 
     size = np.array([s.size for s in sets], np.int64)
     tok = np.concatenate(sets)
@@ -124,25 +126,24 @@ def linked_pairs(ids, sets, blocks, home: tuple[int, int], percent: int):
         return (inter > 0) & (100 * inter >= percent * (size[a] + size - inter))
 
     for b in np.flatnonzero(linked(0)):
-        if find(b) != find(0):
-            root[find(b)] = find(0)
+        if part[b] != part[0]:
+            join(0, b)
             if home[0] == home[1]:
                 out.append((0, b))
     for a in range(1, m):
-        parts = np.array([find(x) for x in range(m)])
-        rest = parts != parts[a]
+        # the part of the hub is large: its own members leave the tests to the others
+        if part[a] == part[0]:
+            continue
+        rest = part != part[a]
         if home[0] != home[1]:
             rest &= blocks != blocks[a]
         rest &= (100 * size >= percent * size[a]) & (100 * size[a] >= percent * size)
-        # the part of the hub is large: its own members leave the tests to the others
         rest[0] = False
-        if parts[a] == find(0) and a != 0:
-            rest &= False
         if not rest.any():
             continue
         for b in np.flatnonzero(linked(a) & rest):
-            if find(a) != find(b):
-                root[find(a)] = find(b)
+            if part[a] != part[b]:
+                join(a, b)
                 out.append((a, b))
     return out
 
