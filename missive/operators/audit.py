@@ -80,6 +80,23 @@ def audit_unresolved(log: DataFrame) -> DataFrame:
     return g.where(~F.col("last_status").isin(*TERMINAL))
 
 
+def resolution_sketches(applied: DataFrame) -> DataFrame:
+    """T5, time to resolution: sketches (channel, day, slot, n) of the microseconds from creation
+    to the move into a terminal status.  ``applied``: rows with ``resolved_at`` (null: not
+    resolved); ``day`` is the day of that move."""
+    from missive.operators.quantiles import sketch
+    took = F.unix_micros(F.col("resolved_at").cast("timestamp")) - F.unix_micros(F.col("created_at").cast("timestamp"))
+    rows = applied.select("channel", F.to_date("resolved_at").alias("day"), took.alias("took_us"))
+    return sketch(rows, ["channel", "day"], "took_us")
+
+
+def resolution_times(sketches: DataFrame) -> DataFrame:
+    """Per channel: resolved rows and the 50th, 95th and 99th percentile (within 1/256) of the
+    merged sketches of all days."""
+    from missive.operators.quantiles import merge, quantiles
+    return quantiles(merge(sketches, ["channel"]), ["channel"], [50, 95, 99])
+
+
 def audit_dlq_complete(snapshot: DataFrame, dlq_ids: DataFrame) -> DataFrame:
     """failed_permanently rows without a DLQ record (left anti join)."""
     return (snapshot.where(F.col("status") == "failed_permanently").select("id")

@@ -253,16 +253,15 @@ def sweep_zombies(snapshot: DataFrame, as_of: _dt.datetime,
     return new, out
 
 
-def dual_write(valid_requests: DataFrame, out_dir: str, batch_id: Column | None = None) -> tuple[str, str]:
-    """S8 batch form: one admitted frame -> the notifications rows and their outbox rows,
-    both written from the same persisted data (both or none per run; a rerun overwrites
-    both folders).  Returns the two table paths."""
+def dual_write(valid_requests: DataFrame, out_dir: str, batch_id: Column | None = None, version: str = "batch") -> bool:
+    """S8 batch form: one admitted frame -> the notifications rows and their outbox rows, from the
+    same persisted data as one commit (both or none; a rerun of a committed ``version`` writes
+    nothing).  Read the tables with ``sources.commits.committed``."""
     from pyspark import StorageLevel
+    from missive.sources.commits import commit_tables
     rows, _ = apply_create(valid_requests, batch_id)
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        rows.write.mode("overwrite").parquet(f"{out_dir}/notifications")
-        outbox_rows(rows).write.mode("overwrite").parquet(f"{out_dir}/outbox")
+        return commit_tables(out_dir, version, {"notifications": rows, "outbox": outbox_rows(rows)})
     finally:
         rows.unpersist()
-    return f"{out_dir}/notifications", f"{out_dir}/outbox"

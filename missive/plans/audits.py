@@ -50,6 +50,26 @@ def audit_unresolved(spark, sf):
     return T.audit_unresolved(D.transitions(spark, sf))
 
 
+def _middle(percent: int) -> str:
+    """The exact value of nearest rank, then the middle of the slot it falls in."""
+    v = f"vs[(len(vs) * {percent} + 99) // 100]"
+    s = f"greatest(length(bin({v})) - 8, 0)"
+    return f"(({v} >> {s}) << {s}) + (1::BIGINT << {s}) // 2"
+
+
+@query("resolution_times", f"""SELECT channel, len(vs) AS n, {_middle(50)} AS p50, {_middle(95)} AS p95, {_middle(99)} AS p99 FROM (
+  SELECT n.channel, list_sort(list(greatest(epoch_us(o.updated_at) - epoch_us(n.created_at), 0))) AS vs
+  FROM ({OUTCOME_SQL}) o JOIN notifications n USING (id)
+  WHERE o.old_status <> o.status AND o.status IN ('delivered', 'failed_permanently') GROUP BY n.channel)""", ("notifications", "attempts"))
+def resolution_times(spark, sf):
+    """T5: how long messages took from creation to a terminal status, per channel, from one
+    sketch per channel and day."""
+    n = D.notifications(spark, sf).withColumn("old_status", F.col("status"))
+    done = (F.col("old_status") != F.col("status")) & F.col("status").isin("delivered", "failed_permanently")
+    out = M.apply_outcomes(n, D.attempts(spark, sf), keep=("old_status",)).withColumn("resolved_at", F.when(done, F.col("updated_at")))
+    return T.resolution_times(T.resolution_sketches(out))
+
+
 @query("audit_dlq_complete", f"""SELECT id FROM ({OUTCOME_SQL}) WHERE status = 'failed_permanently' AND NOT dlq""",
        ("notifications", "attempts"))
 def audit_dlq_complete(spark, sf):

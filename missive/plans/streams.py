@@ -11,8 +11,10 @@ from missive.plans.limits import (BREAKER, BUCKET_CAPACITY, BUCKET_RATE, SLIDING
 from missive.plans.registry import query
 from missive.plans.transitions import LIFECYCLE_SQL
 from missive.sources import derived as D
+from missive.sources.commits import committed
 from missive.sources.tables import streaming_tables
 from missive.streaming import jobs as X
+from missive.streaming import ordered as O
 
 
 @query("stream_admission", f"""SELECT '30000000-0000-4000-8000-' || lpad(CAST(seq AS VARCHAR), 12, '0') AS id,
@@ -22,7 +24,7 @@ def stream_admission(spark, sf):
     with streaming_tables("events"):
         reqs = D.requests(spark, sf)
     out = X.admission(reqs, existing)
-    return spark.read.parquet(f"{out}/notifications").select("id", "idempotency_key", "channel")
+    return committed(spark, out, "notifications").select("id", "idempotency_key", "channel")
 
 
 @query("stream_dual_write", f"""SELECT 'o-30000000-0000-4000-8000-' || lpad(CAST(seq AS VARCHAR), 12, '0') AS id,
@@ -34,8 +36,8 @@ def stream_dual_write(spark, sf):
     with streaming_tables("events"):
         reqs = D.requests(spark, sf)
     out = X.admission(reqs, existing, name="dual_write")
-    rows = spark.read.parquet(f"{out}/notifications").select("id")
-    box = spark.read.parquet(f"{out}/outbox").select("id", "aggregate_id")
+    rows = committed(spark, out, "notifications").select("id")
+    box = committed(spark, out, "outbox").select("id", "aggregate_id")
     # both or none: every outbox row has its notification row
     return box.join(rows.withColumnRenamed("id", "aggregate_id"), "aggregate_id", "left_semi")
 
@@ -114,6 +116,33 @@ def stream_token_bucket(spark, sf):
     return spark.read.parquet(out).select("req_id", "key", "allowed", F.round("tokens_left", 9).alias("tokens_left"))
 
 
+ORDERED_BIN_MS = 6 * 3_600_000
+# the rows whose bin the final watermark (last event time less an hour) has passed
+_RELEASED = f""" WHERE req_id IN (SELECT req_id FROM limiter_requests WHERE epoch_us(ts) // {ORDERED_BIN_MS * 1000}
+  < ((SELECT max(epoch_ms(ts)) FROM limiter_requests) - 3600000) // {ORDERED_BIN_MS})"""
+
+
+def _ordered(spark, sf, weight, limiter, name):
+    with streaming_tables("events"):
+        reqs = D.limiter_requests(spark, sf)
+    with O.map_state(spark):
+        return spark.read.parquet(X.run_to_parquet(
+            O.ordered_limit_stream(reqs, "key", "ts", "req_id", weight, limiter, ORDERED_BIN_MS, "1 hour"), name))
+
+
+@query("stream_limits_ordered", _SLIDING_SQL + _RELEASED, ("limiter_requests",))
+def stream_limits_ordered(spark, sf):
+    """X4, L2 in event-time order: the rows the final watermark has released."""
+    return _ordered(spark, sf, None, O.SlidingLog(SLIDING_LIMIT, SLIDING_WINDOW_MS), "limits_ordered").select("req_id", "key", "allowed")
+
+
+@query("stream_token_bucket_ordered", _bucket_sql("limiter_requests", BUCKET_CAPACITY, BUCKET_RATE) + _RELEASED, ("limiter_requests",))
+def stream_token_bucket_ordered(spark, sf):
+    """X4, L3 in event-time order: the rows the final watermark has released."""
+    r = _ordered(spark, sf, "weight", O.TokenBucket(BUCKET_CAPACITY, BUCKET_RATE), "token_bucket_ordered")
+    return r.select("req_id", "key", "allowed", F.round("tokens_left", 9).alias("tokens_left"))
+
+
 @query("stream_breaker", breaker_sql("calls", **BREAKER), ("calls",))
 def stream_breaker(spark, sf):
     with streaming_tables("events"):

@@ -213,10 +213,11 @@ def dual_write_outbox(spark, sf):
     checkpoint folder; the outbox rows whose notification row exists are returned."""
     import uuid
     from missive.session import ensure_checkpoint_dir
+    from missive.sources.commits import committed
     base = ensure_checkpoint_dir(spark).rstrip("/") + f"/tables/dual-{uuid.uuid4().hex[:12]}"
-    rows_path, box_path = M.dual_write(admitted(spark, sf), base, batch_id())
-    rows = spark.read.parquet(rows_path).select(F.col("id").alias("aggregate_id"))
-    return spark.read.parquet(box_path).join(rows, "aggregate_id", "left_semi") \
+    M.dual_write(admitted(spark, sf), base, batch_id())
+    rows = committed(spark, base, "notifications").select(F.col("id").alias("aggregate_id"))
+    return committed(spark, base, "outbox").join(rows, "aggregate_id", "left_semi") \
                 .select("id", "aggregate_id", "event_type", F.get_json_object("payload", "$.correlation_id").alias("correlation_id"))
 
 

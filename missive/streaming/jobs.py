@@ -3,8 +3,8 @@
 Every job reads its inputs with the file source (``streaming_tables``), runs with
 ``trigger(availableNow=True)`` and keeps its checkpoint and output under the shared
 ``spark.checkpoint.dir``, so a restarted job resumes from its offsets and state.  Sinks
-that must stay idempotent (dual write, DLQ split) go through ``foreachBatch`` and write
-one folder per batch id, overwritten if the batch is replayed.
+that must stay idempotent go through ``foreachBatch``: the dual write publishes both tables of
+a batch by one manifest, the others write one folder per batch id, overwritten on replay.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from missive.operators import joins as J
 from missive.operators import validate as V
 from missive.operators.projections import payload_json, route_priority
 from missive.session import ensure_checkpoint_dir, ship_package
+from missive.sources.commits import commit_tables, committed
 
 
 def run_dir(spark: SparkSession, name: str) -> str:
@@ -55,15 +56,11 @@ def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/micro_batch={batch_id}")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 # ----------------------------------------------------------------------- X1 admission
 def admission(requests: DataFrame, existing_keys: DataFrame, name: str = "admission") -> str:
     """X1 + S8: validate, keep the first arrival of each key, drop keys already taken (by
-    the table or by earlier batches), and dual-write notifications + outbox per batch.
+    the table or by earlier batches), and write notifications + outbox as one commit per batch
+    (``sources.commits``; read them with ``committed``).
 
     Exact and unbounded (keys are kept for ever, as the reference's unique index does):
     each batch anti-joins the keys written so far.  For a bounded-state variant see
@@ -72,19 +69,16 @@ def admission(requests: DataFrame, existing_keys: DataFrame, name: str = "admiss
     valid = V.validate_requests(requests).where(F.col("error").isNull()).drop("error")
 
     def fn(batch: DataFrame, batch_id: int, out: str) -> None:
-        spark = batch.sparkSession
         first = batch.groupBy("idempotency_key").agg(F.min("seq").alias("seq"))
         b = batch.join(first, ["idempotency_key", "seq"], "left_semi")
         b = b.join(existing_keys, "idempotency_key", "left_anti")
-        if _exists(spark, f"{out}/notifications"):      # any other read error stops the stream
-            seen = spark.read.parquet(f"{out}/notifications").where(F.col("micro_batch") < batch_id) \
-                        .select("idempotency_key")
-            b = b.join(seen, "idempotency_key", "left_anti")
+        seen = committed(batch.sparkSession, out, "notifications")     # a read error stops the stream
+        if seen is not None:
+            b = b.join(seen.select("idempotency_key"), "idempotency_key", "left_anti")
         from missive.operators.transitions import apply_create
         b = b.persist()
         rows, outbox = apply_create(b)
-        _write_batch(rows, f"{out}/notifications", batch_id)
-        _write_batch(outbox, f"{out}/outbox", batch_id)
+        commit_tables(out, f"batch-{batch_id}", {"notifications": rows, "outbox": outbox})
         b.unpersist()
 
     return run_foreach_batch(valid, name, fn)
