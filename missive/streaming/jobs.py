@@ -317,53 +317,80 @@ def breaker_stream(calls: DataFrame, max_failures: int, window_s: int, open_s: i
 
 
 # --------------------------------------------------------------------- X3 lifecycle
-def lifecycle_stream(events: DataFrame, delay: str = "3650 days") -> DataFrame:
+LIFECYCLE_BUCKETS = 4096
+
+
+def lifecycle_stream(events: DataFrame, delay: str = "3650 days", buckets: int = LIFECYCLE_BUCKETS) -> DataFrame:
     """The M10 fold per notification with its row as keyed state; the next timer
     (retry due, or five minutes in processing) is an event-time timeout that applies
     the sweep when the watermark passes it.  Emits the row after each batch.
 
+    The state is keyed by a hash of the id: a call into Python costs milliseconds however few
+    rows it gets, so one call handles the ids of a bucket.  A bucket holds its live rows column
+    by column, each with its own timer, and the timeout of the bucket is the earliest of them.
+
     A row in a terminal status (delivered, failed for good, canceled) is emitted for the last
     time and its state removed, so the state holds live rows only; what comes later for its
     id finds no row and moves nothing (ids are created once)."""
     from missive.operators import lifecycle as LC
     ship_package(events.sparkSession)
     d = events.withColumn("ets", F.timestamp_micros("t").cast("timestamp")).withWatermark("ets", delay)
+    d = d.withColumn("bucket", F.pmod(F.hash("id"), F.lit(buckets)))
     fields = [("status", T.StringType()), ("retry_count", T.IntegerType()), ("next_retry_us", T.LongType()),
               ("external_id", T.StringType()), ("updated_us", T.LongType()), ("moves", T.IntegerType()),
               ("zombies", T.IntegerType()), ("refusals", T.IntegerType())]
     names = ("status", "retry", "next", "ext", "upd", "n", "zombies", "refusals")
     out_schema = T.StructType([T.StructField("id", T.StringType())] +
                               [T.StructField(n, t) for n, t in fields])
-    state_schema = T.StructType([T.StructField(n, t) for n, t in fields])
+    state_schema = T.StructType([T.StructField(n, T.ArrayType(t)) for n, t in
+                                 [("id", T.StringType()), *fields, ("timer_ms", T.LongType())]])
 
     def fn(k, it, state):
-        s = dict(zip(names, state.get)) if state.exists else LC.new_row()
-        if state.hasTimedOut:
-            now = state.getCurrentWatermarkMs() * 1000
-            LC.apply_timers(s, now)
-        else:
-            chunks = list(it)
-            pdf = chunks[0] if len(chunks) == 1 else pd.concat(chunks)
-            rows = list(zip(pdf["t"].tolist(), pdf["rank"].tolist(), pdf["attempt_no"].tolist(),
-                            pdf["http_status"].tolist(), pdf["message_id"].tolist(),
-                            pdf["latency_s"].tolist(), pdf["kind"].tolist()))
+        mark = state.getCurrentWatermarkMs()
+        live = {}                                  # id -> (row, its timer)
+        if state.exists:
+            for i, *values, timer in zip(*state.get):
+                live[i] = (dict(zip(names, values)), timer)
+        logs = {}
+        if not state.hasTimedOut:
+            for pdf in it:
+                for i, *row in zip(*[pdf[c].tolist() for c in ("id", "t", "rank", "attempt_no", "http_status",
+                                                               "message_id", "latency_s", "kind")]):
+                    logs.setdefault(i, []).append(row)
+        moved = []
+        for i, (s, timer) in list(live.items()):   # timers of rows without events
+            if i not in logs and timer is not None and timer < mark:
+                LC.apply_timers(s, mark * 1000)
+                moved.append((i, s))
+        for i, rows in logs.items():
+            s = live[i][0] if i in live else LC.new_row()
             if len(rows) > 1:                      # total order; nulls first, as in the batch fold
                 rows.sort(key=lambda r: tuple((0, 0) if x is None or x != x else (1, x) for x in r[:6]))
             for t, _rank, _no, http, mid, _lat, kind in rows:
                 LC.apply_event(s, t, kind, http, mid)
-        if s["status"] in LC.TERMINAL:
-            if state.exists:
-                state.remove()
-        elif s["status"] is not None:
-            state.update(tuple(s[n] for n in names))
-            due = LC.next_timer(s)
-            if due is not None:
-                state.setTimeoutTimestamp(max(due // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        if s["status"] is not None:
-            yield pd.DataFrame({"id": [k[0]], **{f: [s[n]] for (f, _t), n in zip(fields, names)}})
-
-    return d.groupBy("id").applyInPandasWithState(fn, out_schema, state_schema, "append",
-                                                 GroupStateTimeout.EventTimeTimeout)
+            if s["status"] is not None:
+                moved.append((i, s))
+        for i, s in moved:
+            if s["status"] in LC.TERMINAL:
+                live.pop(i, None)
+            else:
+                due = LC.next_timer(s)
+                live[i] = (s, None if due is None else max(due // 1000 + 1, mark + 1))
+        if live:
+            state.update(([*live], *[[s[n] for s, _timer in live.values()] for n in names],
+                          [timer for _s, timer in live.values()]))
+            timers = [timer for _s, timer in live.values() if timer is not None]
+            if timers:
+                state.setTimeoutTimestamp(min(timers))
+        elif state.exists:
+            state.remove()
+        if moved:
+            yield pd.DataFrame({"id": pd.Series([i for i, _s in moved], dtype=object),
+                                **{f: pd.Series([s[n] for _i, s in moved], dtype=object)
+                                   for (f, _t), n in zip(fields, names)}})
+
+    return d.groupBy("bucket").applyInPandasWithState(fn, out_schema, state_schema, "append",
+                                                     GroupStateTimeout.EventTimeTimeout)
 
 
 def payload_of(df: DataFrame) -> DataFrame:

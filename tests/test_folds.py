@@ -275,3 +275,36 @@ def test_concurrent_breaker_is_cut_where_it_is_idle(spark):
     finally:
         B._cut_idle = cut
     assert seen == [3] and got == want and len(got) == 300 and any(r[3] for r in got)
+
+
+def _stuck_log(spark, n):
+    """``n`` notifications locked a second later; every third is delivered in the second half of the log."""
+    made = spark.createDataFrame([(f"n{i}", ts(i)) for i in range(n)], "id string, created_at timestamp_ntz")
+    none = spark.createDataFrame([], "id string, attempt_ts timestamp_ntz, http_status int, message_id string, attempt_no int, latency_s double")
+    locks = spark.createDataFrame([(f"n{i}", ts(i + 1)) for i in range(n)], "id string, ts timestamp_ntz")
+    done = spark.createDataFrame([(f"n{i}", ts(i + 2), 200, f"m{i}") for i in range(0, n, 3)],
+                                 "id string, ts timestamp_ntz, http_status int, message_id string")
+    from missive.operators import lifecycle as LC
+    return LC.event_log(made, none, none.selectExpr("id", "attempt_ts AS ts"), locks=locks, outcomes=done)
+
+
+def test_lifecycle_stream_holds_many_ids_in_few_states(spark, tmp_path):
+    """Sixty ids share four keyed states over two micro-batches; every id keeps its own row and timer."""
+    from missive.streaming import jobs as X
+    log, src = _stuck_log(spark, 60), str(tmp_path / "log")
+    log.where("kind <> 'outcome'").coalesce(1).write.parquet(src)
+    log.where("kind = 'outcome'").coalesce(1).write.mode("append").parquet(src)
+    late = spark.createDataFrame([("z", 0)], "id string, n int").select(
+        "id", F.lit(1_800_000_000_000_000).alias("t"), F.lit(0).alias("rank"), F.lit("create").alias("kind"),
+        F.lit(None).cast("int").alias("http_status"), F.lit(None).cast("string").alias("message_id"),
+        F.lit(None).cast("int").alias("attempt_no"), F.lit(None).cast("double").alias("latency_s"))
+    late.coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = X.lifecycle_stream(stream, "1 hour", buckets=4).writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+        "checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert all(p["stateOperators"][0]["numRowsTotal"] <= 4 for p in q.recentProgress if p["stateOperators"])
+    last = {r["id"]: (r["status"], r["retry_count"], r["moves"]) for r in spark.read.parquet(str(tmp_path / "out")).orderBy("moves").collect()}
+    # delivered ones are final; the others' five minutes end under the last event's watermark
+    want = {f"n{i}": ("delivered", 0, 3) if i % 3 == 0 else ("pending", 1, 3) for i in range(60)} | {"z": ("pending", 0, 1)}
+    assert last == want
