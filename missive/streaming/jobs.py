@@ -12,6 +12,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -254,6 +255,9 @@ def token_bucket_stream(reqs: DataFrame, key: str, ts: str, order: str, weight:
                                                 GroupStateTimeout.EventTimeTimeout)
 
 
+BREAKER_SLICE = 50_000
+
+
 def breaker_stream(calls: DataFrame, max_failures: int, window_s: int, open_s: int,
                    delay: str = "1 hour") -> DataFrame:
     """B1 per breaker name with its keys as state (expiry times + failure count)."""
@@ -275,9 +279,25 @@ def breaker_stream(calls: DataFrame, max_failures: int, window_s: int, open_s: i
             return
         st = dict(zip(("state", "half", "probe", "fails", "fails_until"), state.get)) if state.exists \
             else {"state": None, "half": None, "probe": None, "fails": 0, "fails_until": None}
-        pdf = pd.concat(list(it)).sort_values(["_us", "call_id"], kind="stable")
+        # a name's calls are held as plain arrays (no row objects, no names) and go out in slices
+        parts = [(pdf["_us"].to_numpy("float64" if pdf["_us"].hasnans else "int64"), pdf["call_id"].to_numpy("int64"),
+                  pdf["ok"].to_numpy()) for pdf in it]
+        us, ids, oks = (np.concatenate(x) for x in zip(*parts))
+        del parts
+        along = np.lexsort((ids, us))              # missing times last
+        for lo in range(0, len(along), BREAKER_SLICE):
+            at = along[lo:lo + BREAKER_SLICE]
+            st, out = replay(st, us[at].tolist(), oks[at].tolist())
+            yield pd.DataFrame({"call_id": ids[at], "name": k[0], "verdict": [o[0] for o in out],
+                                "executed": [o[1] for o in out], "tripped": [o[2] for o in out]})
+        state.update(tuple(st[n] for n in ("state", "half", "probe", "fails", "fails_until")))
+        ends = [x for x in (st["state"], st["half"], st["probe"], st["fails_until"]) if x is not None]
+        if ends:
+            state.setTimeoutTimestamp(int(max(ends)) // 1000)
+
+    def replay(st, times, goods):
         out = []
-        for t, good in zip(pdf["_us"].tolist(), pdf["ok"].tolist()):
+        for t, good in zip(times, goods):
             trip = False
             if _alive(st["state"], t):
                 v = "open"
@@ -304,13 +324,7 @@ def breaker_stream(calls: DataFrame, max_failures: int, window_s: int, open_s: i
                               fails=0, fails_until=None)
                     trip = True
             out.append((v, run, trip))
-        state.update(tuple(st[n] for n in ("state", "half", "probe", "fails", "fails_until")))
-        ends = [x for x in (st["state"], st["half"], st["probe"], st["fails_until"]) if x is not None]
-        if ends:
-            state.setTimeoutTimestamp(int(max(ends)) // 1000)
-        yield pd.DataFrame({"call_id": pdf["call_id"].astype("int64"), "name": k[0],
-                            "verdict": [o[0] for o in out], "executed": [o[1] for o in out],
-                            "tripped": [o[2] for o in out]})
+        return st, out
 
     return d.groupBy("name").applyInPandasWithState(fn, out_schema, state_schema, "append",
                                                    GroupStateTimeout.EventTimeTimeout)
