@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from missive.operators.fold import HOUR_US, segment_by_gap, stream_fold
+from missive.operators.fold import HOUR_US, segment_by_bins, segment_by_gap, stream_fold
 from missive.operators.ordering import binned_running
 
 # Fixed values of the breaker.
@@ -26,12 +26,13 @@ def _alive(until, t):
 
 def breaker_replay(calls: DataFrame, name: str = "name", ts: str = "ts", ok: str = "ok",
                    order: str = "call_id", max_failures: int = 10, window_s: int = 10,
-                   open_s: int = 30) -> DataFrame:
+                   open_s: int = 30, trips_only: bool = False) -> DataFrame:
     """B1: per call, ``verdict`` in {closed, probe, open}, ``executed`` and ``tripped``
-    (this call opened the breaker)."""
+    (this call opened the breaker).  ``trips_only``: every call is replayed, those that
+    trip are returned."""
     d = calls.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
     reset_us = max(open_s + HALF_OPEN_EXTRA_S, window_s, PROBE_LOCK_S) * 1_000_000
-    seg = segment_by_gap(d, name, "_us", ["_us", order], (F.col("_us") - F.col("_prev")) >= reset_us)
+    seg = segment_by_bins(d, name, "_us", reset_us)
     open_us, half_us = open_s * 1_000_000, (open_s + HALF_OPEN_EXTRA_S) * 1_000_000
     win_us, lock_us = window_s * 1_000_000, PROBE_LOCK_S * 1_000_000
 
@@ -67,7 +68,8 @@ def breaker_replay(calls: DataFrame, name: str = "name", ts: str = "ts", ok: str
         return v, run, trip
 
     res = stream_fold(seg, [name, "_seg"], ["_us", order], ["_us", ok], init, step,
-                      [("verdict", "string"), ("executed", "boolean"), ("tripped", "boolean")])
+                      [("verdict", "string"), ("executed", "boolean"), ("tripped", "boolean")],
+                      only="tripped" if trips_only else None)
     return res.drop("_us", "_seg")
 
 

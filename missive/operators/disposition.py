@@ -29,7 +29,7 @@ DLQ_TOPIC = "notifications-dlq"
 BREAKER_MAX, BREAKER_WINDOW_S, BREAKER_OPEN_S = 10, 10, 30
 
 
-def webhook_replay(attempts: DataFrame) -> DataFrame:
+def webhook_replay(attempts: DataFrame, trips_only: bool = False) -> DataFrame:
     """B1 over all webhook calls (one breaker for the whole worker): verdict per call."""
     calls = attempts.select(
         F.lit(BREAKER_NAME).alias("name"), F.col("attempt_ts").alias("ts"),
@@ -37,18 +37,19 @@ def webhook_replay(attempts: DataFrame) -> DataFrame:
         F.struct("id", "attempt_no", F.coalesce("http_status", F.lit(-1)).alias("h"), "message_id",
                  "latency_s").alias("call_id"))
     return B.breaker_replay(calls, max_failures=BREAKER_MAX, window_s=BREAKER_WINDOW_S,
-                            open_s=BREAKER_OPEN_S)
+                            open_s=BREAKER_OPEN_S, trips_only=trips_only)
 
 
 def webhook_breaker_trips(attempts: DataFrame) -> DataFrame:
-    return webhook_replay(attempts).where("tripped").select("name", "ts")
+    return webhook_replay(attempts, trips_only=True).select("name", "ts")
 
 
 def disposition(messages: DataFrame, snapshot: DataFrame, cancels: DataFrame,
                 attempts: DataFrame, max_retries: int = MAX_RETRIES,
-                channel_limit: int = CHANNEL_LIMIT) -> DataFrame:
+                channel_limit: int = CHANNEL_LIMIT, trips: DataFrame | None = None) -> DataFrame:
     """``messages``: (msg_id, ts, payload).  Returns one row per message with
-    ``disposition`` and the notification id it names."""
+    ``disposition`` and the notification id it names.  ``trips``: the trips of
+    ``webhook_breaker_trips`` where the caller has them at hand."""
     m = messages.select("msg_id", "ts", J.parse_payload(F.col("payload")).alias("_p"))
     m = m.select("msg_id", "ts", F.col("_p.poison").alias("poison"), F.col("_p.id").alias("nid"),
                  F.col("_p.channel").alias("channel"))
@@ -57,6 +58,8 @@ def disposition(messages: DataFrame, snapshot: DataFrame, cancels: DataFrame,
     m = J.latest_before(m, c, "nid", "ts", "cancel_ts", J.CANCEL_TTL_SECONDS, "_cancel")
     # The first message of an id takes an eligible row; missing rows are seen
     #      (first among the messages that reach the lock: min per id, a partial aggregate)
+    # read by the search for first messages and by the main branch: parsed once, written once
+    m = materialize(m, "disposition_parsed")
     m = m.withColumn("_reach", ~F.col("poison") & (F.col("nid") != "") & F.col("_cancel").isNull())
     firsts = (m.where("_reach").groupBy("nid")
                .agg(F.min(F.struct("ts", "msg_id")).alias("_f")))
@@ -76,7 +79,8 @@ def disposition(messages: DataFrame, snapshot: DataFrame, cancels: DataFrame,
            .select("msg_id", "allowed")
     m = m.join(lim, "msg_id", "left")
     # Breaker open at the message time
-    trips = webhook_breaker_trips(attempts)
+    # (a few rows, written so that no branch replays the calls again)
+    trips = materialize(webhook_breaker_trips(attempts), "webhook_trips") if trips is None else trips
     m = B.breaker_open_at(m.withColumn("name", F.lit(BREAKER_NAME)), trips, open_s=BREAKER_OPEN_S)
     # the webhook answer for the row (latest attempt)
     out = latest_outcome(attempts).select(F.col("id").alias("nid"),

@@ -90,6 +90,12 @@ def dedup_in_batch(reqs: DataFrame, key: str = "idempotency_key", order: str = "
                     F.coalesce(F.col("batch_has_dup"), F.lit(False)).alias("batch_has_dup"))
 
 
+# an object of these fields alone, texts or nulls, told by one look at its schema; every other
+# object has its fields' types read one by one
+_FIELD = f"(?:{'|'.join(PAYLOAD_FIELDS)}): (?:STRING|VOID)"
+_PLAIN_PAYLOAD = f"^OBJECT<(?:{_FIELD}(?:, {_FIELD})*)?>$"
+
+
 def _poison_of(v: Column) -> Column:
     sch = F.schema_of_variant(v)
     wrong = None
@@ -98,7 +104,7 @@ def _poison_of(v: Column) -> Column:
         bad = F.coalesce(~t.isin("STRING", "VOID"), F.lit(False))
         wrong = bad if wrong is None else (wrong | bad)
     return (F.when(v.isNull(), True).when(sch == "VOID", False)
-            .when(~sch.startswith("OBJECT"), True).otherwise(wrong))
+            .when(~sch.startswith("OBJECT"), True).when(sch.rlike(_PLAIN_PAYLOAD), False).otherwise(wrong))
 
 
 def strict_json(text: Column) -> Column:

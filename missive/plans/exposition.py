@@ -8,6 +8,7 @@ from missive.operators import api_calls as AC
 from missive.operators import exposition as E
 from missive.operators import metrics as A
 from missive.plans import api, dispatch, joins, limits, metrics, transitions, windows  # noqa: F401  (their queries and SQL)
+from missive.plans.oracle_views import with_views
 from missive.plans.registry import ORACLE, QUERIES, query
 from missive.session import materialize
 from missive.sources import derived as D
@@ -42,8 +43,10 @@ HISTOGRAMS = [
      "(SELECT a.*, n.channel FROM attempts a JOIN notifications n ON n.id = a.id WHERE n.status <> 'canceled')"),
     ("webhook_call_duration_seconds", ["channel"], "latency_s", A.WEBHOOK_BUCKETS, "(SELECT a.*, n.channel FROM attempts a JOIN notifications n ON n.id = a.id)"),
 ]
+# the export's dispositions are those of the fixture's channel limit, as in its other counters
+_COUNTER_SQL = ORACLE | {"dlq_total": with_views(dispatch.DLQ_SQL, *dispatch._DLQ_VIEWS)}
 _SQL = f"WITH sizes AS MATERIALIZED {api._COMMITTED}\n" + "\nUNION ALL ".join(
-    [E.sample_sql(m, f"({ORACLE[key]})", labels, value, None) for m, labels, key, value in COUNTERS]
+    [E.sample_sql(m, f"({_COUNTER_SQL[key]})", labels, value, None) for m, labels, key, value in COUNTERS]
     + [E.sample_sql(m, rows, labels, value, bounds) for m, labels, value, bounds, rows in HISTOGRAMS])
 
 
@@ -57,8 +60,16 @@ def metrics_export(spark, sf):
     attempts = D.attempts(spark, sf).join(D.notifications(spark, sf).select("id", "channel", "status"), "id")
     rows = {"api_request_duration_seconds": D.api_log(spark, sf), "notification_batch_size": sizes.select(F.col("weight").alias("size")),
             "notification_processing_duration_seconds": attempts.where(F.col("status") != "canceled"), "webhook_call_duration_seconds": attempts}
-    decided = materialize(dispatch.disposition(spark, sf), "decided")     # two metrics count it
+    # what two metrics read is worked out once: webhook and hook calls replayed, dispositions, outcomes
+    webhook = materialize(dispatch.DS.webhook_replay(D.attempts(spark, sf)), "webhook_replay")
+    hooks = materialize(limits._replay(spark, sf), "hook_replay")
+    applied = materialize(metrics._applied(spark, sf).select("id", "old_status", "status", "channel"), "applied")
+    decided = materialize(dispatch.disposition(spark, sf, webhook.where("tripped").select("name", "ts")), "decided")
     at_hand = {"rate_limit_hits": api.hits(spark, sf, verdicts, decided),
+               "webhook_calls": dispatch.webhook_calls(spark, sf, webhook),
+               "breaker_trips": limits.breaker_trips(spark, sf, hooks), "breaker_state": limits.breaker_state(spark, sf, hooks),
+               "processed_by_status": metrics.processed_by_status(spark, sf, applied),
+               "retry_total": metrics.retry_total(spark, sf, applied),
                "dlq_total": A.counter(decided.where(F.col("disposition").startswith("dlq")), [])}
     out = [E.facts(at_hand[key] if key in at_hand else QUERIES[key](spark, sf), metric, labels, value) for metric, labels, key, value in COUNTERS]
     out += [E.facts(rows[metric], metric, labels, value, bounds) for metric, labels, value, bounds, _sql in HISTOGRAMS]

@@ -160,17 +160,18 @@ def breaker_downtime(spark, sf):
 
 
 @query("breaker_trips", _breaker_final("SELECT count(*) AS value FROM rep WHERE tripped"), ("calls",))
-def breaker_trips(spark, sf):
+def breaker_trips(spark, sf, replayed=None):
     """closed/half-open -> open edges."""
-    return A.counter(_replay(spark, sf).where("tripped"), [])
+    r = replayed if replayed is not None else _replay(spark, sf)
+    return A.counter(r.where("tripped"), [])
 
 
 @query("breaker_state", _breaker_final(
     """SELECT name, CAST(CASE WHEN arg_max(verdict, (ts, call_id)) = 'open' OR arg_max(tripped, (ts, call_id))
       THEN 1 ELSE 0 END AS INT) AS value FROM rep GROUP BY name"""), ("calls",))
-def breaker_state(spark, sf):
+def breaker_state(spark, sf, replayed=None):
     """Gauge per breaker after its last call (1 = open, 0 = closed)."""
-    r = _replay(spark, sf)
+    r = replayed if replayed is not None else _replay(spark, sf)
     last = F.max_by(F.struct("verdict", "tripped"), F.struct("ts", "call_id"))
     g = r.groupBy("name").agg(last.alias("l"))
     return g.select("name", F.when((F.col("l.verdict") == "open") | F.col("l.tripped"), 1).otherwise(0)

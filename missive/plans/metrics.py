@@ -63,8 +63,9 @@ def _applied(spark, sf):
 @query("processed_by_status", f"""SELECT CASE status WHEN 'failed_retrying' THEN 'retrying' ELSE status END AS status,
   channel, count(*) AS value FROM ({OUTCOME_SQL}) o JOIN (SELECT id, channel FROM notifications) c USING (id)
   WHERE old_status = 'processing' AND status <> 'processing' GROUP BY ALL""", ("notifications", "attempts"))
-def processed_by_status(spark, sf):
-    a = _applied(spark, sf).where((F.col("old_status") == "processing") & (F.col("status") != "processing"))
+def processed_by_status(spark, sf, applied=None):
+    a = applied if applied is not None else _applied(spark, sf)
+    a = a.where((F.col("old_status") == "processing") & (F.col("status") != "processing"))
     a = a.withColumn("status", F.when(F.col("status") == "failed_retrying", "retrying").otherwise(F.col("status")))
     return A.counter(a, ["status", "channel"])
 
@@ -95,8 +96,9 @@ def webhook_latency_hist(spark, sf):
 @query("retry_total", f"""SELECT channel, count(*) AS value FROM ({OUTCOME_SQL}) o
   JOIN (SELECT id, channel FROM notifications) c USING (id)
   WHERE old_status = 'processing' AND status = 'failed_retrying' GROUP BY channel""", ("notifications", "attempts"))
-def retry_total(spark, sf):
-    a = _applied(spark, sf).where((F.col("old_status") == "processing") & (F.col("status") == "failed_retrying"))
+def retry_total(spark, sf, applied=None):
+    a = applied if applied is not None else _applied(spark, sf)
+    a = a.where((F.col("old_status") == "processing") & (F.col("status") == "failed_retrying"))
     return A.counter(a, ["channel"])
 
 

@@ -308,3 +308,63 @@ def test_lifecycle_stream_holds_many_ids_in_few_states(spark, tmp_path):
     # delivered ones are final; the others' five minutes end under the last event's watermark
     want = {f"n{i}": ("delivered", 0, 3) if i % 3 == 0 else ("pending", 1, 3) for i in range(60)} | {"z": ("pending", 0, 1)}
     assert last == want
+
+
+def test_fold_returns_last_or_marked_rows_across_arrow_batches(spark):
+    """Groups that span batches of three rows; the fold sends back only what is asked for."""
+    from missive.operators.fold import stream_fold
+    rows = [(k, i, None if (k + i) % 4 == 0 else i * 10, f"p{k}-{i}") for k in range(7) for i in range(1 + 3 * k)]
+    df = spark.createDataFrame(rows, "k long, i long, v long, pass string")
+
+    def step(s, v):
+        s[0] += 1
+        s[1] += 0 if v != v else v
+        return s[1], s[0] % 3 == 0
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        run = lambda only: {tuple(r) for r in stream_fold(df, ["k"], ["i"], ["v"], lambda: [0, 0], step,
+                                                          [("total", "long"), ("third", "boolean")], only=only).collect()}
+        full, last, marked = run(None), run("last"), run("third")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    want, total = set(), {}
+    for k, i, v, p in rows:
+        total[k] = total.get(k, 0) + (v or 0)
+        want.add((k, i, v, p, total[k], i % 3 == 2))
+    assert full == want
+    assert last == {r for r in want if r[1] == 3 * r[0]}
+    assert marked == {r for r in want if r[5]}
+
+
+def test_breaker_pieces_come_from_idle_bins(spark):
+    """Two names and one without; a pause of the reset or more cuts, and the trips alone equal those of all verdicts."""
+    from missive.operators.fold import segment_by_bins
+    rnd, calls, t = random.Random(5), [], 0
+    for i in range(200):
+        t += 200_000 if i in (60, 130) else rnd.randint(100, 4000)
+        calls.append((i, ("a", "b", None)[i % 3], ts(t), rnd.random() < 0.3))
+    calls.append((200, "a", None, False))
+    df = spark.createDataFrame(calls, "call_id long, name string, ts timestamp_ntz, ok boolean")
+    args = dict(max_failures=3, window_s=10, open_s=30)
+    full = {tuple(r) for r in B.breaker_replay(df, **args).select("call_id", "name", "ts", "tripped").collect()}
+    trips = {tuple(r) for r in B.breaker_replay(df, trips_only=True, **args).select("call_id", "name", "ts", "tripped").collect()}
+    assert len(full) == 201 and trips and trips == {r for r in full if r[3]}
+    seg = segment_by_bins(df.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp"))), "name", "_us", 35_000_000)
+    got = {(r["name"], r["_seg"]): r["n"] for r in seg.groupBy("name", "_seg").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert sum(got.values()) == 201 and got.pop(("a", None)) == 1
+    assert sorted(got, key=str) == sorted([(n, s) for n in ("a", "b", None) for s in (1, 2, 3)], key=str)
+
+
+def test_breaker_stream_goes_through_a_name_in_slices(spark, tmp_path, monkeypatch):
+    from missive.streaming import jobs as X
+    rnd = random.Random(9)
+    calls = [(i, f"h{i % 2}", ts(rnd.randint(0, 200_000)), rnd.random() < 0.4) for i in range(150)]
+    df = spark.createDataFrame(calls, "call_id long, name string, ts timestamp_ntz, ok boolean")
+    df.coalesce(1).write.parquet(str(tmp_path / "calls"))
+    monkeypatch.setattr(X, "BREAKER_SLICE", 7)
+    s = X.breaker_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "calls")), 3, 10, 30)
+    cols = ["call_id", "name", "verdict", "executed", "tripped"]
+    got = {tuple(r) for r in spark.read.parquet(X.run_to_parquet(s, "t_breaker")).select(*cols).collect()}
+    want = {tuple(r) for r in B.breaker_replay(df, max_failures=3, window_s=10, open_s=30).select(*cols).collect()}
+    assert got == want and any(r[4] for r in got)
