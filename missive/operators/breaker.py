@@ -9,6 +9,8 @@ Each name's timeline is cut at idle gaps >= every expiry and folded in parallel.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,10 +28,10 @@ def _alive(until, t):
 
 def breaker_replay(calls: DataFrame, name: str = "name", ts: str = "ts", ok: str = "ok",
                    order: str = "call_id", max_failures: int = 10, window_s: int = 10,
-                   open_s: int = 30, trips_only: bool = False) -> DataFrame:
+                   open_s: int = 30, trips_only: bool = False, keep: list[str] | None = None) -> DataFrame:
     """B1: per call, ``verdict`` in {closed, probe, open}, ``executed`` and ``tripped``
     (this call opened the breaker).  ``trips_only``: every call is replayed, those that
-    trip are returned."""
+    trip are returned.  ``keep``: the columns of the calls to return (all if not given)."""
     d = calls.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
     reset_us = max(open_s + HALF_OPEN_EXTRA_S, window_s, PROBE_LOCK_S) * 1_000_000
     seg = segment_by_bins(d, name, "_us", reset_us)
@@ -67,9 +69,20 @@ def breaker_replay(calls: DataFrame, name: str = "name", ts: str = "ts", ok: str
                 trip = True
         return v, run, trip
 
-    res = stream_fold(seg, [name, "_seg"], ["_us", order], ["_us", ok], init, step,
+    def skip(s, columns, i, end):
+        """Refused calls change nothing while the breaker is open, nor do successes once all is clear."""
+        t, good = columns
+        if _alive(s["state"], t[i]):
+            return bisect_left(t, s["state"], i, end)
+        if s["state"] is None and s["fails"] == 0:
+            while i < end and good[i] is True:
+                i += 1
+        return i
+
+    # sorted by piece before name: Spark compares the first column of a sort as a number, and names are few
+    res = stream_fold(seg, ["_seg", name], ["_us", order], ["_us", ok], init, step,
                       [("verdict", "string"), ("executed", "boolean"), ("tripped", "boolean")],
-                      only="tripped" if trips_only else None)
+                      only="tripped" if trips_only else None, keep=keep, skip=skip if trips_only else None)
     return res.drop("_us", "_seg")
 
 
@@ -84,12 +97,12 @@ def breaker_intervals(replayed: DataFrame, name: str = "name", ts: str = "ts",
 
 def breaker_open_at(fetches: DataFrame, trips: DataFrame, name: str = "name", ts: str = "ts",
                     open_s: int = 30) -> DataFrame:
-    """Is the breaker open at each fetch time?  As-of lookup of the latest trip
-    within ``open_s`` before the fetch (bucketed union + running max, no pair join)."""
-    from missive.operators.joins import latest_before
-    m = latest_before(fetches, trips.select(name, F.col(ts).alias("_trip_ts")), name, ts,
-                      "_trip_ts", open_s, "_trip")
-    return m.withColumn("breaker_open", F.col("_trip").isNotNull()).drop("_trip")
+    """Is the breaker open at each fetch time, i.e. is there a trip within ``open_s``
+    before the fetch (an aggregate of the trips per time bucket, no pair join)?"""
+    from missive.operators.joins import any_before
+    key = F.struct(F.col(name).alias("k"))       # a missing name is a name like any other
+    m = any_before(fetches.withColumn("_name", key), trips.select(key.alias("_name"), ts), "_name", ts, ts, open_s, "breaker_open")
+    return m.drop("_name")
 
 
 def _cut_idle(ev: DataFrame, name: str, order: str, expiry_us: int) -> DataFrame:

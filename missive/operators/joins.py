@@ -49,6 +49,25 @@ def latest_before(left: DataFrame, right: DataFrame, key: str, lt: str, rt: str,
     return u.withColumn(value, fresh).where(F.col("_kind") == 1).select(*cols, value)
 
 
+def any_before(left: DataFrame, right: DataFrame, key: str, lt: str, rt: str,
+               width_seconds: int, out: str = "_any") -> DataFrame:
+    """For each left row: is there a right time ``<= left time`` newer than ``width_seconds``, per key?
+
+    In the left row's own bucket any right time up to it is new enough, so the earliest decides;
+    in the bucket before, all lie before it, so the latest decides.  Both come from one
+    aggregate per (key, bucket), which meets a left row at most once, so no pair is formed.
+    """
+    us, b = width_seconds * 1_000_000, bucket_of(rt, width_seconds)
+    r = right.where(F.col(rt).isNotNull()).select(F.col(key).alias("_k"), _micros(rt).alias("_t"), F.explode(F.array(b, b + 1)).alias("_b"), b.alias("_own"))
+    own = F.col("_b") == F.col("_own")
+    near = r.groupBy("_k", "_b").agg(F.min(F.when(own, F.col("_t"))).alias("_lo"), F.max(F.when(~own, F.col("_t"))).alias("_hi"))
+    t = _micros(lt)
+    hit = F.coalesce(F.col("_lo") <= t, F.lit(False)) | F.coalesce(t - F.col("_hi") < us, F.lit(False))
+    # plain equalities: the aggregate's partitioning serves the join
+    j = left.withColumn("_lb", bucket_of(lt, width_seconds)).join(near, (F.col(key) == F.col("_k")) & (F.col("_lb") == F.col("_b")), "left")
+    return j.select(*left.columns, hit.alias(out))
+
+
 def cancel_flag_join(msgs: DataFrame, cancels: DataFrame, key: str = "id", ts: str = "ts",
                      cancel_ts: str = "cancel_ts", ttl_seconds: int = CANCEL_TTL_SECONDS) -> DataFrame:
     """Drop messages whose id carries a live cancel flag (cancel_ts <= ts < cancel_ts+ttl)."""
@@ -107,6 +126,17 @@ def _poison_of(v: Column) -> Column:
             .when(~sch.startswith("OBJECT"), True).when(sch.rlike(_PLAIN_PAYLOAD), False).otherwise(wrong))
 
 
+def _in_array(text: Column) -> Column:
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+
+
+def _alone(text: Column, inside: Column) -> Column:
+    """``inside``, the text parsed in an array, if it holds one value at most and the text did not close it."""
+    as_member = F.try_parse_json(F.concat(F.lit('{"k":'), text, F.lit("}")))
+    one = F.when(F.try_variant_get(inside, "$[1]", "variant").isNull(), inside)
+    return F.when(~F.contains(text, F.lit("]")) | as_member.isNotNull(), one)
+
+
 def strict_json(text: Column) -> Column:
     """The value of a text that is one JSON value and nothing else (null otherwise).
 
@@ -114,22 +144,22 @@ def strict_json(text: Column) -> Column:
     the array or adds elements.  Only a text that holds a closing bracket could close the
     array itself, and is parsed inside an object as well.
     """
-    inside = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    one = F.when(F.size(F.try_variant_get(inside, "$", "array<variant>")) == 1, F.try_variant_get(inside, "$[0]", "variant"))
-    as_member = F.try_parse_json(F.concat(F.lit('{"k":'), text, F.lit("}")))
-    return F.when(~F.contains(text, F.lit("]")) | as_member.isNotNull(), one)
-
-
-def parse_payload(payload: Column) -> Column:
-    """D3 + decode: struct(poison, id, channel, priority, recipient), the string fields
-    '' when absent or null (a JSON ``null`` payload decodes to empty).  Meant for a
-    projection, where the one ``try_parse_json`` is shared by all references; inside a
-    filter use ``poison_payload``."""
-    v = strict_json(payload)
-    get = lambda f: F.coalesce(F.try_variant_get(v, f"$.{f}", "string"), F.lit(""))
-    return F.struct(_poison_of(v).alias("poison"), get("id").alias("id"),
-                    get("channel").alias("channel"), get("priority").alias("priority"),
-                    get("recipient").alias("recipient"))
+    return F.try_variant_get(_alone(text, _in_array(text)), "$[0]", "variant")
+
+
+def parse_payload(df: DataFrame, payload: str, fields: dict[str, str]) -> DataFrame:
+    """D3 + decode: adds ``poison`` and the named string fields ({column: field}) in place of
+    ``payload``, '' when absent or null (a JSON ``null`` payload decodes to empty).
+
+    The parse and its value are columns of their own: an expression that several others read
+    stays below them, so each text is parsed once.  Inside a filter use ``poison_payload``."""
+    keep = [c for c in df.columns if c != payload]
+    v = df.select(*keep, F.col(payload).alias("_text"), _in_array(F.col(payload)).alias("_in"))
+    v = v.select(*keep, _alone(F.col("_text"), F.col("_in")).alias("_one"))
+    get = lambda f: F.coalesce(F.try_variant_get("_one", f"$[0].{f}", "string"), F.lit(""))
+    plain = F.schema_of_variant("_one").rlike(f"^ARRAY<{_PLAIN_PAYLOAD[1:-1]}>$")
+    poison = F.when(plain, False).otherwise(_poison_of(F.try_variant_get("_one", "$[0]", "variant")))
+    return v.select(*keep, poison.alias("poison"), *[get(f).alias(c) for c, f in fields.items()])
 
 
 def poison_payload(payload: Column) -> Column:

@@ -368,3 +368,65 @@ def test_breaker_stream_goes_through_a_name_in_slices(spark, tmp_path, monkeypat
     got = {tuple(r) for r in spark.read.parquet(X.run_to_parquet(s, "t_breaker")).select(*cols).collect()}
     want = {tuple(r) for r in B.breaker_replay(df, max_failures=3, window_s=10, open_s=30).select(*cols).collect()}
     assert got == want and any(r[4] for r in got)
+
+
+def test_any_before_against_pairs(spark):
+    """Own bucket and the one before, both ends of the width, times before 1970, missing names and times."""
+    from missive.operators.joins import any_before
+    rnd = random.Random(12)
+    at = lambda: rnd.choice([None, *[dt.datetime(1970, 1, 1) + dt.timedelta(seconds=rnd.randint(-300, 300)) for _ in range(9)]])
+    left = [(i, rnd.choice(["a", "b", None]), at()) for i in range(300)]
+    right = [(rnd.choice(["a", None, "c"]), at()) for _ in range(12)]
+    fetches = spark.createDataFrame(left, "i int, name string, ts timestamp_ntz")
+    trips = spark.createDataFrame(right, "name string, ts timestamp_ntz")
+    width = dt.timedelta(seconds=30)
+    want = {i: any(n == k and t is not None and r is not None and r <= t < r + width for k, r in right) for i, n, t in left}
+    assert {r["i"]: r["breaker_open"] for r in B.breaker_open_at(fetches, trips).collect()} == want
+    got = {r["i"]: r["o"] for r in any_before(fetches, trips, "name", "ts", "ts", 30, "o").where("name IS NOT NULL").collect()}
+    assert got == {i: want[i] for i, n, _ in left if n is not None} and len(set(got.values())) == 2
+
+
+def test_latest_answer_is_the_latest_outcome(spark):
+    """Equal times and numbers, missing values, times before 1970: a status by a hash aggregate is that of the whole order."""
+    from missive.operators import disposition as DS
+    from missive.operators.projections import classify_http
+    from missive.operators.transitions import latest_outcome
+    rnd = random.Random(4)
+    rows = [(f"n{rnd.randint(0, 60)}", rnd.choice([None, 1, 2, -3, 2 ** 31 - 1]),
+             rnd.choice([None, dt.datetime(1960, 1, 1), T0, ts(1)]), rnd.choice([None, 200, 202, 400, 429, 500]), "", 0.1) for _ in range(300)]
+    a = spark.createDataFrame(rows, "id string, attempt_no int, attempt_ts timestamp_ntz, http_status int, message_id string, latency_s double")
+    answers = DS.latest_answer(a)
+    got = {tuple(r) for r in answers.collect()}
+    assert got == {tuple(r) for r in latest_outcome(a).select("id", classify_http("http_status")).collect()} and len(got) == len({r[0] for r in rows})
+    assert "SortAggregate" not in answers._jdf.queryExecution().executedPlan().toString()
+
+
+def test_trips_alone_move_the_calls_once(spark):
+    """The pieces are joined without moving the calls, Python sees no ids, and passing over
+    refused calls and cleared successes leaves the trips of the whole replay."""
+    from missive.operators import disposition as DS
+    rnd = random.Random(8)
+    rows = [(f"n{i}", 1, T0 + dt.timedelta(seconds=i // 3 + 100 * (i // 400)), rnd.choice([200, 500, 500, 500]) if i % 400 < 250 else 200, "", 0.1)
+            for i in range(2000)]
+    a = spark.createDataFrame(rows, "id string, attempt_no int, attempt_ts timestamp_ntz, http_status int, message_id string, latency_s double")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        trips = DS.webhook_breaker_trips(a)
+        got = sorted(r["ts"] for r in trips.collect())
+        want = sorted(r["ts"] for r in DS.webhook_replay(a).where("tripped").collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got == want and len(got) == 10
+    whole = DS.webhook_replay(a, trips_only=True, keep=["name", "ts"])
+    assert set(whole.columns) == {"name", "ts", "ok", "verdict", "executed", "tripped"}
+    assert trips._jdf.queryExecution().sparkPlan().toString().count("Join") == 1
+    plan = trips._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+
+
+def test_first_messages_of_repeated_ids(spark):
+    from missive.operators import disposition as DS
+    rows = [("m1", ts(5), "a"), ("m2", ts(3), "a"), ("m0", ts(3), "a"), ("m3", ts(1), "b"), ("m4", None, "c"), ("m5", ts(1), "c")]
+    m = spark.createDataFrame(rows, "msg_id string, ts timestamp_ntz, nid string")
+    assert {r["nid"]: r["_f"]["msg_id"] for r in DS.first_messages(m).collect()} == {"a": "m0", "c": "m4"}

@@ -49,6 +49,23 @@ def test_payload_is_one_value(spark):
     assert [got[i] for i in range(len(bodies))] == [p for _, p in bodies]
 
 
+def test_parsed_payload_is_the_poison_rule(spark):
+    """The frame's parse agrees with the filter's rule, and each text is parsed once in an array."""
+    from missive.operators.joins import parse_payload, poison_payload
+    bodies = ['{"id":"1","channel":"sms"}', '{"id":"1"} junk', '{"id":"1"},null', '{"id":"1"}] x', ' {"id":"]","channel":"\\u0061"} ', "null", "null,null",
+              "", " ", "[]", '[{"id":"1"}]', '"id"', "5", '{"id":5,"channel":"x"}', '{"id":"1","other":[1]}', '{"channel":[]}', "{}", '{"id":null}',
+              '{"id":"1","id":"2"}', '{"id":"1","recipient":{"id":"3"}}', "not json", None]
+    df = spark.createDataFrame(list(enumerate(bodies)), "i int, payload string")
+    parsed = parse_payload(df, "payload", {"nid": "id", "channel": "channel"})
+    got = {r["i"]: r for r in parsed.collect()}
+    want = {r["i"]: r["p"] for r in df.select("i", poison_payload(F.col("payload")).alias("p")).collect()}
+    assert {i: r["poison"] for i, r in got.items()} == want and sum(want.values()) == 16
+    assert [(got[i]["nid"], got[i]["channel"]) for i in (0, 1, 2, 4, 5, 13, 14, 17)] == [
+        ("1", "sms"), ("", ""), ("", ""), ("]", "a"), ("", ""), ("5", "x"), ("1", ""), ("", "")]
+    plan = parsed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("concat([, ") == 1, plan
+
+
 def test_batches(spark):
     big = "[" + ",".join([GOOD] * 1001) + "]"
     bodies = [(1, "[" + GOOD + "," + GOOD.replace('"k"', '"k2"') + "]"), (2, "[]"), (3, big),
