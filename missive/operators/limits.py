@@ -44,23 +44,33 @@ def limit_fixed(df: DataFrame, key: str, ts: str, order: str, limit: int) -> Dat
 PARTS = 8          # buckets per window: more of them tell steady traffic just under the limit from contested
 
 
+STRETCH = 1024     # buckets of a key that one window partition goes through, 2 * PARTS at least
+
+
 def contested_buckets(d: DataFrame, key: str, limit: int, window_ms: int) -> DataFrame:
     """(_k, _bk, _seg): the buckets of a ``PARTS``-th of a window whose rows a fold has to see.
 
     ``d`` has ``_bk``, the bucket of each row.  The log at any row lies in the row's bucket and
     the ``PARTS`` before, so a row can only be refused in a bucket that, with these, holds
-    more than ``limit`` rows; such buckets and the ones before them (their log) are contested.
-    All of it is aggregates of counts per (key, bucket).  ``_seg`` numbers the runs of adjacent
-    contested buckets: a run starts with buckets that refuse nothing and need no log."""
-    from missive.operators.fold import segment_by_gap
-    reach = F.sequence(F.lit(0), F.lit(PARTS))
-    n = d.groupBy(F.col(key).alias("_k"), "_bk").agg(F.count(F.lit(1)).alias("n"))
-    hot = (n.select("_k", "n", F.explode(F.transform(reach, lambda i: F.col("_bk") + i)).alias("_bk")).groupBy("_k", "_bk")
-            .agg(F.sum("n").alias("near")).where(F.col("near") > limit))
-    run = hot.select("_k", F.explode(F.transform(reach, lambda i: F.col("_bk") - i)).alias("_bk")).distinct()
-    run = run.withColumn("_us", F.col("_bk") * window_ms * 1000).withColumn("_kk", F.struct("_k"))
-    seg = segment_by_gap(run, "_kk", "_us", ["_us"], (F.col("_us") - F.col("_prev")) > window_ms * 1000, bin_us=window_ms * 1_000_000)
-    return seg.select("_k", "_bk", "_seg")
+    more than ``limit`` rows (hot); such buckets and the ones before them (their log) are contested.
+    All of it is windows over the buckets that hold rows, by stretches of buckets: the ones near
+    a border go to both sides.  ``_seg`` names runs of contested buckets by their first: a run
+    ends where the next hot bucket's log starts after it, so it begins with buckets that refuse
+    nothing and need no log."""
+    from missive.operators.ordering import binned_running
+    n = d.groupBy(F.col(key).alias("_k"), "_bk").agg(F.count(F.lit(1)).alias("n")).where("_bk IS NOT NULL")
+    stretch = lambda b: F.floor(b / F.lit(STRETCH)).cast("bigint")
+    b = F.col("_bk")
+    # a bucket's place in its run needs the run's buckets of PARTS before, and their logs
+    n = n.withColumn("_st", F.explode(F.array_distinct(F.array(stretch(b - PARTS), stretch(b), stretch(b + 2 * PARTS)))))
+    w = Window.partitionBy("_k", "_st").orderBy("_bk")
+    n = n.withColumn("_hot", F.when(F.sum("n").over(w.rangeBetween(-PARTS, 0)) > limit, b))
+    n = n.withColumn("_next", F.min("_hot").over(w.rangeBetween(0, PARTS))).where("_next IS NOT NULL")
+    last = F.lag("_bk").over(w)
+    n = n.withColumn("_first", F.when(last.isNull() | (F.col("_next") - last > PARTS), b)).where(F.col("_st") == stretch(b))
+    run = materialize(n.select(F.struct("_k").alias("_kk"), "_bk", "_st", "_first"), "contested_buckets")
+    run = binned_running(run, ["_kk"], [b], F.col("_st"), F.col("_first"), "max", "_seg")
+    return run.select(F.col("_kk._k").alias("_k"), "_bk", "_seg")
 
 
 def bucket_of_window(ms, window_ms: int):

@@ -211,6 +211,26 @@ def test_sliding_fold_sees_only_contested_rows(spark):
     assert folded(d.where("req_id < 3000")).count() == 0
 
 
+def test_contested_runs_across_stretches_match_replay(spark, monkeypatch):
+    """Runs that cross the borders of window partitions, pauses of every length, keys that are null."""
+    monkeypatch.setattr(L, "STRETCH", 2 * L.PARTS)
+    rng = random.Random(5)
+    rows, ms = [], 0
+    for i in range(1500):
+        ms += rng.choice([0, 1, 30, 125, 126, 400, 875, 999, 1000, 1001, 1125, 1300])
+        rows.append((i, rng.choice(["a", "b", None]), ms, 1))
+    got = {r["req_id"]: r["allowed"] for r in L.limit_sliding(req_df(spark, rows), "key", "ts", "req_id", 2, 1000).collect()}
+    assert got == replay_sliding([(i, k or "", ms, w) for i, k, ms, w in rows], 2, 1000)
+    assert not all(got.values())
+
+
+def test_contested_buckets_make_no_row_per_empty_bucket(spark):
+    """A lonely hot bucket is one row: the empty buckets around it are not written out."""
+    d = spark.createDataFrame([("k", i * 100_000) for i in range(50) for _ in range(3)], "key string, _ms long")
+    runs = L.contested_buckets(d.withColumn("_bk", L.bucket_of_window("_ms", 1000)), "key", 2, 1000).collect()
+    assert len(runs) == 50 and len({r["_seg"] for r in runs}) == 50
+
+
 def _split_events(spark):
     """Histories with locks that rest, refusals and late outcomes, and their final rows."""
     from missive.operators import lifecycle as LC

@@ -5,6 +5,8 @@ bin of time, or one per partition (``_pid``, the counts behind global row number
 
 import re
 
+from pyspark.sql import functions as F
+
 from tables_dir import SF_SMALL
 from missive.plans import registry
 
@@ -33,3 +35,14 @@ def test_topk_plans(spark):
     assert "TakeOrderedAndProject" in page
     top = registry.QUERIES["top_per_group"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert top.count("WindowGroupLimit") >= 2          # partial (before the shuffle) and final
+
+
+def test_rows_of_one_row_group_are_dealt_before_costly_work(spark, tmp_path):
+    """A table of one row group reaches the work per row in several tasks, whole."""
+    from missive.sources.tables import dealt_tables, read_table
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    with dealt_tables("orders"):
+        dealt = read_table(spark, str(tmp_path), "orders")
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 1000 and len(sizes) > 1 and max(sizes) < 500
+    assert read_table(spark, str(tmp_path), "orders").rdd.getNumPartitions() == 1
