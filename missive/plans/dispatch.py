@@ -9,6 +9,7 @@ from missive.operators import metrics as A
 from missive.plans.limits import breaker_sql
 from missive.plans.registry import query
 from missive.sources import derived as D
+from missive.sources.tables import dealt_tables
 
 # the fixture has a few messages per channel and day; the worker's own limit is DS.CHANNEL_LIMIT
 CHANNEL_LIMIT = 1
@@ -68,7 +69,8 @@ SELECT msg_id, nid, CASE WHEN poison THEN 'dlq_unparsable' WHEN nid = '' THEN 's
 @query("disposition", breaker_sql(_CALLS, DS.BREAKER_MAX, DS.BREAKER_WINDOW_S, DS.BREAKER_OPEN_S, final=_FINAL),
        ("outbox", "notifications", "attempts", "cancel_requests"))
 def disposition(spark, sf, trips=None, channel_limit=CHANNEL_LIMIT):
-    o = D.outbox(spark, sf).select(F.col("id").alias("msg_id"), F.col("created_at").alias("ts"), "payload")
+    with dealt_tables("orders"):          # a payload is written and parsed per row
+        o = D.outbox(spark, sf).select(F.col("id").alias("msg_id"), F.col("created_at").alias("ts"), "payload")
     return DS.disposition(o, D.notifications(spark, sf), D.cancel_requests(spark, sf), D.attempts(spark, sf),
                           channel_limit=channel_limit, trips=trips)
 
@@ -81,7 +83,8 @@ def dlq_split(spark, sf):
     """What goes to the dead letter topic, from all three sites: the message's bytes under
     its notification id, unparsable ones without a key.  Written once, by topic, as the broker's
     (topic, key, value) bytes and read back."""
-    messages = D.outbox(spark, sf).select(F.col("id").alias("msg_id"), "payload")
+    with dealt_tables("orders"):
+        messages = D.outbox(spark, sf).select(F.col("id").alias("msg_id"), "payload")
     path = DS.write_dead_letters(disposition(spark, sf), messages)
     return spark.read.parquet(path).where(F.col("topic") == DS.DLQ_TOPIC).select(
         "msg_id", "reason", F.decode("key", "UTF-8").alias("key"), F.decode("value", "UTF-8").alias("value"))
