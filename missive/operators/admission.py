@@ -8,7 +8,8 @@ Decided in rounds, with no pair of batches ever formed:
   batch sharing a key is refused);
 * a batch with a key whose earliest *admitted* batch is earlier is refused.
 
-The earliest undecided batch is always decided, so the loop ends; the number of rounds
+The rounds see only keys that several batches hold: a batch with none of these is admitted in
+the first.  The earliest undecided batch is always decided, so the loop ends; the number of rounds
 is the longest chain of conflicts.  Each round's state is checkpointed into the shared
 checkpoint folder, so lineage stays short and a lost executor recomputes one round.
 """
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from missive.session import checkpoint_once, ensure_checkpoint_dir
+from missive.session import checkpoint_once, ensure_checkpoint_dir, materialize
 
 UNDECIDED, ADMITTED, REFUSED = 0, 1, 2
 
@@ -29,24 +30,27 @@ def batch_atomic_admission(members: DataFrame, batch: str = "batch_no", key: str
 
     Runs until every batch is decided; each round decides at least the earliest."""
     ensure_checkpoint_dir(members.sparkSession)
-    m = members.select(F.col(batch).alias("b"), F.col(key).alias("k"), F.col(order).alias("o")).distinct()
-    batches = m.groupBy("b").agg(F.min("o").alias("o"))
+    m = members.groupBy(F.col(batch).alias("b"), F.col(key).alias("k"), F.col(order).alias("o")).agg(F.count(F.lit(1)).alias("n"))
+    m = materialize(m, "admission_members")          # read by each step from here on
     # a key repeated inside one batch refuses it at once
-    inner = (members.groupBy(F.col(batch).alias("b"), F.col(key).alias("k")).count()
-             .where("count > 1").select("b").distinct().withColumn("_inner", F.lit(True)))
-    st = batches.join(inner, "b", "left").select(
-        "b", "o", F.when(F.col("_inner"), F.lit(REFUSED)).otherwise(F.lit(UNDECIDED)).alias("s"),
-        F.when(F.col("_inner"), F.lit(0)).alias("r"))
+    refused = m.groupBy("b", "k").agg(F.sum("n").alias("n")).where("n > 1").select("b")
     if refused_upfront is not None:
-        up = refused_upfront.select(F.col(batch).alias("b")).distinct().withColumn("_up", F.lit(True))
-        st = st.join(up, "b", "left").select(
-            "b", "o", F.when(F.col("_up"), F.lit(REFUSED)).otherwise(F.col("s")).alias("s"),
-            F.when(F.col("_up"), F.lit(0)).otherwise(F.col("r")).alias("r"))
-    st = checkpoint_once(st)
+        refused = refused.unionByName(refused_upfront.select(F.col(batch).alias("b")))
+    refused = materialize(refused.distinct(), "admission_refused")
+    live = m.join(refused, "b", "left_anti").select("b", "k", "o")
+    # only a key that several of the others hold can refuse one, so the rounds go over these keys alone
+    shared = live.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
+    held = materialize(live.join(shared, "k", "left_semi"), "admission_held")
+    st = (m.groupBy("b").agg(F.min("o").alias("o")).join(refused.withColumn("_no", F.lit(True)), "b", "left")
+           .join(held.select("b").distinct().withColumn("_held", F.lit(True)), "b", "left"))
+    st = st.select("b", "o", F.when(F.col("_no"), REFUSED).when(F.col("_held"), UNDECIDED).otherwise(ADMITTED).alias("s"),
+                   F.when(F.col("_no"), 0).when(F.col("_held").isNull(), 1).alias("r"))
+    st = materialize(st, "admission_state")
+    settled, st = st.where(F.col("s") != UNDECIDED), checkpoint_once(st.where(F.col("s") == UNDECIDED))
     rnd = 0
     while st.where(F.col("s") == UNDECIDED).limit(1).count() > 0:
         rnd += 1
-        ms = m.join(st.select("b", "s"), "b")
+        ms = held.join(st.select("b", "s"), "b")
         per_key = ms.groupBy("k").agg(
             F.min(F.when(F.col("s") != REFUSED, F.col("o"))).alias("first_live"),
             F.min(F.when(F.col("s") == ADMITTED, F.col("o"))).alias("first_admitted"))
@@ -63,5 +67,5 @@ def batch_atomic_admission(members: DataFrame, batch: str = "batch_no", key: str
             F.when((F.col("s") == UNDECIDED) & (F.col("blocked") | F.col("all_first")), F.lit(rnd))
              .otherwise(F.col("r")).alias("r"))
         st = checkpoint_once(nxt)
-    return st.select(F.col("b").alias(batch), (F.col("s") == ADMITTED).alias("admitted"),
+    return settled.unionByName(st).select(F.col("b").alias(batch), (F.col("s") == ADMITTED).alias("admitted"),
                      F.col("r").cast("int").alias("round"))

@@ -64,6 +64,7 @@ def committed(api: ApiCalls, verdicts: DataFrame, existing_keys: DataFrame) -> D
     passed = passed.join(invalid, "call_id", "left_anti")
     members = api.rows.join(passed, "call_id").select("call_id", F.col("idempotency_key").alias("key"),
                                                        F.struct("ts", "call_id").alias("at"))
+    members = materialize(members, "commit_members")       # read by the key check and by the rounds' start
     taken = members.join(existing_keys.select(F.col("idempotency_key").alias("key")), "key", "left_semi").select("call_id")
     verdict = batch_atomic_admission(members, "call_id", "key", "at", refused_upfront=taken)
     return passed.join(verdict.where("admitted").select("call_id"), "call_id", "left_semi")

@@ -28,10 +28,11 @@ def _alive(until, t):
 
 def breaker_replay(calls: DataFrame, name: str = "name", ts: str = "ts", ok: str = "ok",
                    order: str = "call_id", max_failures: int = 10, window_s: int = 10,
-                   open_s: int = 30, trips_only: bool = False, keep: list[str] | None = None) -> DataFrame:
+                   open_s: int = 30, trips_only: bool = False, keep: list | None = None) -> DataFrame:
     """B1: per call, ``verdict`` in {closed, probe, open}, ``executed`` and ``tripped``
     (this call opened the breaker).  ``trips_only``: every call is replayed, those that
-    trip are returned.  ``keep``: the columns of the calls to return (all if not given)."""
+    trip are returned.  ``keep``: the columns of the calls to return (all if not given), by
+    name or as columns made of them."""
     d = calls.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
     reset_us = max(open_s + HALF_OPEN_EXTRA_S, window_s, PROBE_LOCK_S) * 1_000_000
     seg = segment_by_bins(d, name, "_us", reset_us)
@@ -73,16 +74,16 @@ def breaker_replay(calls: DataFrame, name: str = "name", ts: str = "ts", ok: str
         """Refused calls change nothing while the breaker is open, nor do successes once all is clear."""
         t, good = columns
         if _alive(s["state"], t[i]):
-            return bisect_left(t, s["state"], i, end)
+            return bisect_left(t, s["state"], i, end), ("open", False, False)
         if s["state"] is None and s["fails"] == 0:
             while i < end and good[i] is True:
                 i += 1
-        return i
+        return i, ("closed", True, False)
 
     # sorted by piece before name: Spark compares the first column of a sort as a number, and names are few
     res = stream_fold(seg, ["_seg", name], ["_us", order], ["_us", ok], init, step,
                       [("verdict", "string"), ("executed", "boolean"), ("tripped", "boolean")],
-                      only="tripped" if trips_only else None, keep=keep, skip=skip if trips_only else None)
+                      only="tripped" if trips_only else None, keep=keep, skip=skip)
     return res.drop("_us", "_seg")
 
 

@@ -29,7 +29,7 @@ DLQ_TOPIC = "notifications-dlq"
 BREAKER_MAX, BREAKER_WINDOW_S, BREAKER_OPEN_S = 10, 10, 30
 
 
-def webhook_replay(attempts: DataFrame, trips_only: bool = False, keep: list[str] | None = None) -> DataFrame:
+def webhook_replay(attempts: DataFrame, trips_only: bool = False, keep: list | None = None) -> DataFrame:
     """B1 over all webhook calls (one breaker for the whole worker): verdict per call."""
     calls = attempts.select(
         F.lit(BREAKER_NAME).alias("name"), F.col("attempt_ts").alias("ts"),
@@ -70,10 +70,15 @@ def latest_answer(attempts: DataFrame) -> DataFrame:
 def disposition(messages: DataFrame, snapshot: DataFrame, cancels: DataFrame,
                 attempts: DataFrame, max_retries: int = MAX_RETRIES,
                 channel_limit: int = CHANNEL_LIMIT, trips: DataFrame | None = None) -> DataFrame:
-    """``messages``: (msg_id, ts, payload).  Returns one row per message with
+    """``messages``: (msg_id, ts, payload), or (msg_id, ts, poison, nid, channel) where the caller
+    has the payloads parsed.  Returns one row per message with
     ``disposition`` and the notification id it names.  ``trips``: the trips of
-    ``webhook_breaker_trips`` where the caller has them at hand."""
-    m = J.parse_payload(messages.select("msg_id", "ts", "payload"), "payload", {"nid": "id", "channel": "channel"})
+    ``webhook_breaker_trips`` where the caller has them at hand; ``attempts`` may then be
+    the latest of each id alone."""
+    if "payload" in messages.columns:
+        m = J.parse_payload(messages.select("msg_id", "ts", "payload"), "payload", {"nid": "id", "channel": "channel"})
+    else:
+        m = messages.select("msg_id", "ts", "poison", "nid", "channel")
     # Live cancel flag (a cancel within 24 h before the message)
     m = J.any_before(m, cancels.select(F.col("id").alias("nid"), F.col("ts").alias("cancel_ts")), "nid", "ts", "cancel_ts",
                      J.CANCEL_TTL_SECONDS, "canceled")

@@ -2,8 +2,9 @@
 
 Every metric is a frame of facts: its label columns and either a value to add up (counters,
 gauges) or an observation (histograms).  All facts go through one aggregate over (metric,
-labels): the sum, and for observations one count per bucket bound of the metric in an array
-buffer, so a metric costs no pass of its own and a hot label is combined before the shuffle.
+labels): the sum, and for observations one count per bucket bound of the metric, so a hot
+label is combined before the shuffle.  A metric with many facts is tallied by its label
+columns first (``tallied``).
 """
 
 from __future__ import annotations
@@ -36,15 +37,37 @@ def union(all_facts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), all_facts)
 
 
-def buffers(slots: int) -> list[Column]:
-    """The aggregates of a (metric, labels) group: total, n, bounds and one count per bound."""
+def tallies(slots: int) -> list[Column]:
+    """The numbers of a (metric, labels) group: total, n and one count per bound."""
     hits = [F.count_if(F.col("value") <= F.get("bounds", F.lit(i))).alias(f"_{i}") for i in range(slots)]
-    return [F.sum("value").alias("total"), F.count(F.lit(1)).alias("n"), F.first("bounds").alias("bounds"), *hits]
+    return [F.sum("value").alias("total"), F.count(F.lit(1)).alias("n"), *hits]
 
 
-def expose(all_facts: list[DataFrame], slots: int, digits: int = 6) -> DataFrame:
-    """Samples of all facts; ``slots``: the largest number of bounds of any metric."""
-    return samples(union(all_facts).groupBy("metric", "labels").agg(*buffers(slots)), slots, [], digits)
+def buffers(slots: int) -> list[Column]:
+    """The aggregates of a (metric, labels) group: its tallies and bounds."""
+    total, n, *hits = tallies(slots)
+    return [total, n, F.first("bounds").alias("bounds"), *hits]
+
+
+def tallied(df: DataFrame, metric: str, labels: list[str], value: str, bounds: list[float], slots: int) -> DataFrame:
+    """The tallies of a metric with many facts, taken by its label columns: the text of the
+    labels is made once per group, not per fact."""
+    v = df.select(*labels, F.col(value).cast("double").alias("value"), F.array(*[F.lit(float(x)) for x in bounds]).alias("bounds"))
+    g = v.groupBy(*labels, "bounds").agg(*tallies(slots))
+    return g.select(F.lit(metric).alias("metric"), label_text(labels).alias("labels"), "bounds", "total", "n", *[f"_{i}" for i in range(slots)])
+
+
+def expose(all_facts: list[DataFrame], slots: int, digits: int = 6, more: list[DataFrame] | None = None) -> DataFrame:
+    """Samples of all facts; ``slots``: the largest number of bounds of any metric; ``more``:
+    frames of ``tallied``.
+
+    A metric has one list of bounds, so it may stand among the keys: with an array among the
+    aggregates the facts would be sorted instead of hashed."""
+    by = ["metric", "labels", "bounds"]
+    g = union(all_facts).groupBy(*by).agg(*tallies(slots))
+    if more:
+        g = union([g, *more]).groupBy(*by).agg(*[F.sum(c).alias(c) for c in g.columns if c not in by])
+    return samples(g, slots, [], digits)
 
 
 def samples(g: DataFrame, slots: int, keys: list[str], digits: int = 6) -> DataFrame:

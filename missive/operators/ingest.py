@@ -7,8 +7,6 @@ types are checked.  Everything stays in JVM expressions (no Python per row).
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +24,8 @@ def _entries(m: Column, name: str) -> Column:
     return F.transform(F.filter(F.map_entries(m), lambda e: F.lower(e["key"]) == name), lambda e: e["value"])
 
 
-def _wrong_type(values: Column) -> Column:
-    return F.exists(values, lambda v: ~F.coalesce(F.schema_of_variant(v), F.lit("VOID")).isin("STRING", "VOID"))
+def _no_text(v: Column) -> Column:
+    return ~F.coalesce(F.schema_of_variant(v), F.lit("VOID")).isin("STRING", "VOID")
 
 
 def _last_text(values: Column) -> Column:
@@ -36,15 +34,14 @@ def _last_text(values: Column) -> Column:
     return F.coalesce(F.variant_get(F.try_element_at(texts, F.lit(-1)), "$", "string"), F.lit(""))
 
 
-def _unknown(m: Column) -> Column:
-    return F.exists(F.map_keys(m), lambda k: ~F.lower(k).isin(*REQUEST_FIELDS))
+def _no_field(key: Column) -> Column:
+    return ~F.lower(key).isin(*REQUEST_FIELDS)
 
 
 def _bad_item(m: Column) -> Column:
     """An item is refused for an unknown key or a value that is neither string nor null; a
     null item decodes to an empty request."""
-    wrong = reduce(lambda a, b: a | b, [_wrong_type(_entries(m, f)) for f in REQUEST_FIELDS])
-    return F.coalesce(_unknown(m) | wrong, F.lit(False))
+    return F.coalesce(F.exists(F.map_entries(m), lambda e: _no_field(e["key"]) | _no_text(e["value"])), F.lit(False))
 
 
 # A body whose keys are spelled plainly, each once, with texts or nulls: its fields are read by
@@ -65,8 +62,9 @@ def _plain(value: Column, pattern: str) -> Column:
 
 def _once(df: DataFrame, keep: list[str], result: Column) -> DataFrame:
     """``keep`` and the fields of the struct ``result``, evaluated once per row: a filter on
-    them is not pushed below the generator, where it would parse again."""
-    return df.select(*keep, F.explode(F.array(result)).alias("_r")).select(*keep, "_r.*")
+    them is not pushed below the generator, where it would parse again.  The result is a column
+    before the generator, which evaluates its argument without generated code."""
+    return df.select(*keep, result.alias("_r")).select(*keep, F.explode(F.array("_r")).alias("_r")).select(*keep, "_r.*")
 
 
 def parse_requests(df: DataFrame, col: str) -> DataFrame:
@@ -81,10 +79,10 @@ def parse_requests(df: DataFrame, col: str) -> DataFrame:
     x = df.select(*keep, F.col(col).alias("_body"), F.when(F.octet_length(col) <= MAX_BODY, F.try_parse_json(col)).alias("_v"))
 
     def careful(m: Column) -> Column:
-        wrong = reduce(lambda a, b: a | b, [_wrong_type(_entries(m, f)) for f in REQUEST_FIELDS])
+        # every key is one of the fields where the types are looked at
         err = (F.when(m.isNull() & F.col("_v").isNull(), "malformed_json").when(m.isNull(), "not_an_object")
-               .when(_unknown(m), "unknown_field").when(wrong, "wrong_type"))
-        return F.struct(err.alias("error"), F.when(err.isNull(), _careful(m)).alias("f"))
+               .when(F.exists(F.map_keys(m), _no_field), "unknown_field").when(F.exists(F.map_values(m), _no_text), "wrong_type"))
+        return let(err, lambda e: F.struct(e.alias("error"), F.when(e.isNull(), _careful(m)).alias("f")))
 
     none = F.lit(None).cast(_FIELDS_TYPE)
     res = (F.when(F.octet_length(body) > MAX_BODY, F.struct(F.lit("body_too_large").alias("error"), none.alias("f")))
@@ -113,18 +111,18 @@ def parse_batches(df: DataFrame, col: str, batch_col: str) -> tuple[DataFrame, D
         return F.struct(error.alias("error"), items.alias("items"))
 
     def careful(items: Column) -> Column:
-        values = F.try_variant_get("_v", "$", "array<variant>")
-        # an unparsable value inside the array leaves it to the map reading alone
-        items = F.when(F.col("_v").isNull() | values.isNotNull(), items)
-        n = F.coalesce(F.size(items), F.size(values))
-        err = (F.when(items.isNull() & F.col("_v").isNull(), "malformed_json").when(n.isNull(), "not_an_array")
-               .otherwise(F.coalesce(sized(n), F.when(items.isNull(), "bad_item").when(F.exists(items, _bad_item), "bad_item"))))
-        return result(err, F.when(err.isNull(), F.transform(items, _careful)))
+        # the elements are taken apart only where the maps cannot tell how many they are
+        n = F.coalesce(F.size(items), F.size(F.try_variant_get("_v", "$", "array<variant>")))
+        err = let(n, lambda k: F.when(items.isNull() & F.col("_v").isNull(), "malformed_json").when(k.isNull(), "not_an_array")
+                  .otherwise(F.coalesce(sized(k), F.when(items.isNull(), "bad_item").when(F.exists(items, _bad_item), "bad_item"))))
+        return let(err, lambda e: result(e, F.when(e.isNull(), F.transform(items, _careful))))
 
     plain = F.try_variant_get("_v", "$", kind)
     res = (F.when(F.octet_length(body) > MAX_BATCH_BODY, result(F.lit("body_too_large"), F.lit(None).cast(kind)))
            .when(_plain(F.col("_v"), f"ARRAY<(?:{_PLAIN_OBJECT}|VOID)>"), result(sized(F.size(plain)), plain))
-           .otherwise(let(F.from_json(body, "array<map<string,variant>>"), careful)))
+           # an unparsable value inside the array leaves it to the map reading alone
+           .otherwise(let(F.when(F.col("_v").isNull() | F.schema_of_variant("_v").startswith("ARRAY<"),
+                                 F.from_json(body, "array<map<string,variant>>")), careful)))
     checked = _once(x, [batch_col], res)
     rejected = checked.where(F.col("error").isNotNull()).select(batch_col, "error")
     rows = checked.where(F.col("error").isNull()).select(batch_col, F.posexplode("items").alias("_pos", "_item"))

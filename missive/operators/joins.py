@@ -133,7 +133,8 @@ def _in_array(text: Column) -> Column:
 def _alone(text: Column, inside: Column) -> Column:
     """``inside``, the text parsed in an array, if it holds one value at most and the text did not close it."""
     as_member = F.try_parse_json(F.concat(F.lit('{"k":'), text, F.lit("}")))
-    one = F.when(F.try_variant_get(inside, "$[1]", "variant").isNull(), inside)
+    # counted: a path to a missing second element ends in an exception, row by row
+    one = F.when(F.coalesce(F.size(F.try_variant_get(inside, "$", "array<variant>")) <= 1, F.lit(True)), inside)
     return F.when(~F.contains(text, F.lit("]")) | as_member.isNotNull(), one)
 
 

@@ -154,10 +154,11 @@ def apply_cancel(snapshot: DataFrame, requests: DataFrame, as_of: _dt.datetime,
 def latest_outcome(attempts: DataFrame) -> DataFrame:
     """One outcome per id: the last attempt by (time, number), remaining columns as
     tie-break so equal keys pick equal rows.  ``max_by`` is a partial/final aggregate, so
-    a hot id is combined map-side before the shuffle."""
+    a hot id is combined map-side before the shuffle.  The aggregate sorts: a hash of the id
+    before the id makes nearly every comparison one of numbers."""
     key = F.struct("attempt_ts", "attempt_no", F.coalesce("http_status", F.lit(-1)),
                    "message_id", "latency_s")
-    return (attempts.groupBy("id")
+    return (attempts.groupBy(F.xxhash64("id").alias("_h"), "id")
             .agg(F.max_by(F.struct("attempt_ts", "attempt_no", "http_status", "message_id",
                                    "latency_s"), key).alias("a"))
             .select("id", "a.*"))
@@ -191,10 +192,12 @@ def outcome_rules(status: Column, retry_count: Column, external_id: Column,
 
 
 def apply_outcomes(snapshot: DataFrame, attempts: DataFrame,
-                   max_retries: int = MAX_RETRIES, keep: tuple[str, ...] = ()) -> DataFrame:
+                   max_retries: int = MAX_RETRIES, keep: tuple[str, ...] = (),
+                   latest: DataFrame | None = None) -> DataFrame:
     """J7 + M4/M6/M7: latest outcome per id joined to the snapshot, applied only when
-    the row is processing.  Adds ``dlq`` (the permanent failures to publish)."""
-    o = latest_outcome(attempts).select(
+    the row is processing.  Adds ``dlq`` (the permanent failures to publish).  ``latest``:
+    ``latest_outcome`` of the attempts where the caller has it at hand."""
+    o = (latest if latest is not None else latest_outcome(attempts)).select(
         "id", classify_http("http_status").alias("_outcome"),
         F.col("message_id").alias("_mid"), F.col("attempt_ts").alias("_at"))
     j = snapshot.join(o, "id", "left")

@@ -68,10 +68,15 @@ SELECT msg_id, nid, CASE WHEN poison THEN 'dlq_unparsable' WHEN nid = '' THEN 's
 
 @query("disposition", breaker_sql(_CALLS, DS.BREAKER_MAX, DS.BREAKER_WINDOW_S, DS.BREAKER_OPEN_S, final=_FINAL),
        ("outbox", "notifications", "attempts", "cancel_requests"))
-def disposition(spark, sf, trips=None, channel_limit=CHANNEL_LIMIT):
-    with dealt_tables("orders"):          # a payload is written and parsed per row
-        o = D.outbox(spark, sf).select(F.col("id").alias("msg_id"), F.col("created_at").alias("ts"), "payload")
-    return DS.disposition(o, D.notifications(spark, sf), D.cancel_requests(spark, sf), D.attempts(spark, sf),
+def disposition(spark, sf, trips=None, channel_limit=CHANNEL_LIMIT, parsed=None, latest=None):
+    """D4.  ``parsed``: the outbox as ``parsed_outbox`` gives it, ``latest``: the latest attempts,
+    with ``trips``; where the caller has them at hand."""
+    if parsed is not None:
+        o = parsed.withColumnsRenamed({"id": "msg_id", "created_at": "ts"})
+    else:
+        with dealt_tables("orders"):          # a payload is written and parsed per row
+            o = D.outbox(spark, sf).select(F.col("id").alias("msg_id"), F.col("created_at").alias("ts"), "payload")
+    return DS.disposition(o, D.notifications(spark, sf), D.cancel_requests(spark, sf), D.attempts(spark, sf) if latest is None else latest,
                           channel_limit=channel_limit, trips=trips)
 
 
@@ -95,13 +100,21 @@ def dlq_split(spark, sf):
   WHEN h = -1 OR h >= 500 OR h IN (429, 408) THEN 'error' ELSE 'success' END AS result, count(*) AS value
 FROM (SELECT verdict, struct_extract(call_id, 'h') AS h, struct_extract(call_id, 'id') AS id FROM rep)
 JOIN notifications USING (id) GROUP BY ALL"""), ("attempts", "notifications"))
-def webhook_calls(spark, sf, replayed=None):
+def webhook_calls(spark, sf, named=None):
     """A10: calls by channel and result; a call that the open breaker refuses is circuit_open."""
-    rep = replayed if replayed is not None else DS.webhook_replay(D.attempts(spark, sf))
-    rep = rep.select(F.col("call_id.id").alias("id"), "verdict", "ok")
+    rep = named if named is not None else named_calls(spark, sf).where("known")
     res = F.when(F.col("verdict") == "open", "circuit_open").when(~F.col("ok"), "error").otherwise("success")
-    ch = D.notifications(spark, sf).select("id", "channel")
-    return A.counter(rep.withColumn("result", res).join(ch, "id"), ["channel", "result"])
+    return A.counter(rep.withColumn("result", res), ["channel", "result"])
+
+
+def named_calls(spark, sf):
+    """Every webhook call replayed, with its latency and the channel and status of its notification
+    (``known``: there is one)."""
+    rep = DS.webhook_replay(D.attempts(spark, sf), keep=["ts", F.col("call_id.id").alias("id"), F.col("call_id.latency_s").alias("latency_s")])
+    n = D.notifications(spark, sf).select("id", "channel", "status", F.lit(True).alias("known"))
+    # a hash before the id: the join sorts, and compares numbers nearly every time
+    j = rep.withColumn("_h", F.xxhash64("id")).join(n.withColumn("_h", F.xxhash64("id")), ["_h", "id"], "left")
+    return j.select("name", "ts", "ok", "latency_s", "verdict", "tripped", "channel", "status", F.coalesce("known", F.lit(False)).alias("known"))
 
 
 _DLQ_VIEWS = ("outbox", "notifications", "attempts", "cancel_requests")

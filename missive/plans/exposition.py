@@ -57,23 +57,28 @@ def metrics_export(spark, sf):
     api_ = api.decoded(spark, sf)
     verdicts = materialize(AC.quota(api_.calls, api.API_CAPACITY, api.API_RATE), "quota")
     sizes = AC.committed(api_, verdicts, D.notifications(spark, sf)).where(F.col("call_id").startswith("b-"))
-    attempts = D.attempts(spark, sf).join(D.notifications(spark, sf).select("id", "channel", "status"), "id")
+    # what several metrics read is worked out once: webhook calls replayed and named, hook calls replayed,
+    # payloads parsed, latest attempts, dispositions, outcomes
+    calls = materialize(dispatch.named_calls(spark, sf), "named_calls")
+    attempts = calls.where("known").select("channel", "status", "latency_s")
     rows = {"api_request_duration_seconds": D.api_log(spark, sf), "notification_batch_size": sizes.select(F.col("weight").alias("size")),
             "notification_processing_duration_seconds": attempts.where(F.col("status") != "canceled"), "webhook_call_duration_seconds": attempts}
-    # what two metrics read is worked out once: webhook and hook calls replayed, dispositions, outcomes
-    webhook = materialize(dispatch.DS.webhook_replay(D.attempts(spark, sf)), "webhook_replay")
     hooks = materialize(limits._replay(spark, sf), "hook_replay")
-    applied = materialize(metrics._applied(spark, sf).select("id", "old_status", "status", "channel"), "applied")
-    decided = materialize(dispatch.disposition(spark, sf, webhook.where("tripped").select("name", "ts")), "decided")
+    latest = materialize(transitions.M.latest_outcome(D.attempts(spark, sf)), "latest_outcome")
+    applied = materialize(metrics._applied(spark, sf, latest).select("id", "old_status", "status", "channel"), "applied")
+    parsed = metrics.parsed_outbox(spark, sf)
+    decided = materialize(dispatch.disposition(spark, sf, calls.where("tripped").select("name", "ts"), parsed=parsed, latest=latest), "decided")
     at_hand = {"rate_limit_hits": api.hits(spark, sf, verdicts, decided),
-               "webhook_calls": dispatch.webhook_calls(spark, sf, webhook),
+               "webhook_calls": dispatch.webhook_calls(spark, sf, calls.where("known")),
+               "consumed_by_topic": metrics.consumed_by_topic(spark, sf, parsed), "relayed_total": windows.relayed_total(spark, sf, parsed),
                "breaker_trips": limits.breaker_trips(spark, sf, hooks), "breaker_state": limits.breaker_state(spark, sf, hooks),
                "processed_by_status": metrics.processed_by_status(spark, sf, applied),
                "retry_total": metrics.retry_total(spark, sf, applied),
                "dlq_total": A.counter(decided.where(F.col("disposition").startswith("dlq")), [])}
     out = [E.facts(at_hand[key] if key in at_hand else QUERIES[key](spark, sf), metric, labels, value) for metric, labels, key, value in COUNTERS]
-    out += [E.facts(rows[metric], metric, labels, value, bounds) for metric, labels, value, bounds, _sql in HISTOGRAMS]
-    return E.expose(out, max(len(bounds) for _m, _l, _v, bounds, _r in HISTOGRAMS))
+    slots = max(len(bounds) for _m, _l, _v, bounds, _r in HISTOGRAMS)
+    observed = [E.tallied(rows[metric], metric, labels, value, bounds, slots) for metric, labels, value, bounds, _sql in HISTOGRAMS]
+    return E.expose(out, slots, more=observed)
 
 
 # --------------------------------------------------------------------------- X7

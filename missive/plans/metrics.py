@@ -10,7 +10,9 @@ from missive.operators import transitions as M
 from missive.operators.projections import route_priority
 from missive.plans.joins import ADMITTED_SQL, OUTCOME_SQL, admitted
 from missive.plans.registry import query
+from missive.session import materialize
 from missive.sources import derived as D
+from missive.sources.tables import dealt_tables
 
 AS_OF_SQL = "TIMESTAMP '1998-06-01 00:00:00'"
 
@@ -55,9 +57,9 @@ def canceled_total(spark, sf):
     return A.counter(verdict.where(F.col("result") == "canceled"), [])
 
 
-def _applied(spark, sf):
+def _applied(spark, sf, latest=None):
     n = D.notifications(spark, sf).withColumn("old_status", F.col("status"))
-    return M.apply_outcomes(n, D.attempts(spark, sf), keep=("old_status",))
+    return M.apply_outcomes(n, D.attempts(spark, sf), keep=("old_status",), latest=latest)
 
 
 @query("processed_by_status", f"""SELECT CASE status WHEN 'failed_retrying' THEN 'retrying' ELSE status END AS status,
@@ -102,14 +104,22 @@ def retry_total(spark, sf, applied=None):
     return A.counter(a, ["channel"])
 
 
+def parsed_outbox(spark, sf):
+    """The outbox with each payload parsed once: poison, and the texts that the consumer reads.
+
+    Written before anything reads it: a filter on ``poison`` would go below the parse, to the
+    few tasks of the scan."""
+    with dealt_tables("orders"):          # a payload is written and parsed per row
+        o = D.outbox(spark, sf).select("id", "created_at", "status", "payload")
+    return materialize(J.parse_payload(o, "payload", {"nid": "id", "channel": "channel", "priority": "priority"}), "outbox_parsed")
+
+
 @query("consumed_by_topic", """SELECT CASE coalesce(payload ->> '$.priority', '') WHEN 'high' THEN 'notifications-high'
   WHEN 'low' THEN 'notifications-low' ELSE 'notifications-normal' END AS topic, count(*) AS value
 FROM outbox WHERE NOT __POISON__ GROUP BY 1""", ("outbox",))
-def consumed_by_topic(spark, sf):
-    o = D.outbox(spark, sf)
-    ok = o.where(~J.poison_payload(F.col("payload")))
-    pr = F.coalesce(F.get_json_object("payload", "$.priority"), F.lit(""))
-    return A.counter(ok.withColumn("topic", route_priority(pr)), ["topic"])
+def consumed_by_topic(spark, sf, parsed=None):
+    o = parsed if parsed is not None else parsed_outbox(spark, sf)
+    return A.counter(o.where("NOT poison").withColumn("topic", route_priority("priority")), ["topic"])
 
 
 @query("zombie_recovered", f"""SELECT count(*) AS value FROM notifications WHERE status = 'processing'

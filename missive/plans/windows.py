@@ -91,8 +91,9 @@ def relay_batches(spark, sf):
     return _relay(spark, sf).select("id", "rn", "batch_no")
 
 
-def _relay(spark, sf):
-    o = D.outbox(spark, sf).where(F.col("status") == "pending").select("id", "payload", "created_at")
+def _relay(spark, sf, parsed=None):
+    o = D.outbox(spark, sf) if parsed is None else parsed
+    o = o.where(F.col("status") == "pending").select("id", "payload" if parsed is None else "poison", "created_at")
     r = R.global_row_number(o, ["created_at", "id"])
     return r.withColumn("batch_no", F.floor((F.col("rn") - 1) / 100).cast("bigint"))
 
@@ -101,9 +102,9 @@ def _relay(spark, sf):
   SELECT (rn - 1) // 100 AS b, count(*) AS n, bool_and(poison) AS all_poison FROM (
     SELECT rn, __POISON__ AS poison
     FROM {_RELAY_SQL}) GROUP BY b) WHERE NOT all_poison""", ("outbox",))
-def relayed_total(spark, sf):
+def relayed_total(spark, sf, parsed=None):
     """Rows counted per relay batch; all-poison batches are not counted."""
-    r = _relay(spark, sf).withColumn("poison", J.poison_payload(F.col("payload")))
+    r = _relay(spark, sf, parsed) if parsed is not None else _relay(spark, sf).withColumn("poison", J.poison_payload(F.col("payload")))
     b = r.groupBy("batch_no").agg(F.count(F.lit(1)).alias("n"), F.bool_and("poison").alias("all_poison"))
     return b.where(~F.col("all_poison")).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("value"))
 
